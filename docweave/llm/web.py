@@ -84,15 +84,13 @@ def host_containers(pages: DataFrame) -> DataFrame:
 
 
 def located(pages: DataFrame) -> DataFrame:
-    """Stored blocks (page_id, pos, host, title, slug, status, lote, c, r, t, prose, home, side) inside the page's
-    container: the host's winner, or the page's own vote where the winner holds no prose on it."""
+    """Blocks (page_id, lote, status, host, slug, title, pos, side, c, r, t, prose) inside the page's container: the
+    host's winner; where the page has no such element, that of its h1; without one, the page's own vote."""
     winners = stored(host_containers(pages), "winners")
     p = join_sized(pages, winners, ["host"], "left")
-    own = F.expr("exists(blocks, b -> b.c = winner and b.prose)")
-    home = F.when(own | F.col("vote").isNull(), F.coalesce("winner", F.lit(""))).otherwise(F.col("vote"))
-    # error pages often stand in a bare element of their own: without prose in the winner or anywhere, take the heading's container
-    bare = F.expr("element_at(filter(blocks, b -> b.r = 'h1'), 1).c")
-    p = p.withColumn("home", F.when(F.expr("exists(blocks, b -> b.c = coalesce(winner, ''))") | F.col("vote").isNotNull(), home).otherwise(F.coalesce(bare, F.lit(""))))
+    there = F.expr("exists(blocks, b -> b.c = winner)")
+    headed = F.expr("element_at(filter(blocks, b -> b.r = 'h1'), 1).c")
+    p = p.withColumn("home", F.when(there, F.col("winner")).otherwise(F.coalesce(headed, "vote", F.lit(""))))
     b = p.select("page_id", "lote", "status", "host", "slug", "title", "home", F.posexplode("blocks").alias("pos", "b"))
     inside = (F.col("b.c") == F.col("home")) | ((F.col("home") != "") & F.col("b.c").startswith(F.concat("home", F.lit(">"))))
     return b.filter(inside).select("page_id", "lote", "status", "host", "slug", "title", "pos", (F.col("b.c") != F.col("home")).alias("side"), "b.c", "b.r", "b.t", "b.prose")
