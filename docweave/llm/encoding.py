@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import join_sized, stored
-from .markup import host_of
 
 # Encodings that text is wrongly read with, and its own encodings.
 READ_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "iso8859_2", "cp1250", "cp1251", "iso8859_15", "cp1254")
@@ -22,7 +21,7 @@ MIN_GAIN, MAX_GAIN, SYMBOL_GAIN = 1.2, 6.0, 2.0
 #: Rounds of expectation-maximization; weight in records of the prior; prior share of each wrong chain.
 ROUNDS, PRIOR_RECORDS, CHAIN_SHARE = 3, 20.0, 0.002
 
-_CODECS: dict[str, tuple[dict[str, int], str]] = {}
+_CODECS: dict[str, dict[str, int]] = {}
 
 
 def _table(codec: str) -> dict[str, int]:
@@ -34,8 +33,8 @@ def _table(codec: str) -> dict[str, int]:
                 t[bytes([b]).decode(codec)] = b
             except UnicodeDecodeError:
                 t[chr(b)] = b
-        _CODECS[codec] = (t, "".join(chr(b) for b in range(0)))
-    return _CODECS[codec][0]
+        _CODECS[codec] = t
+    return _CODECS[codec]
 
 
 def undo(text: str, read_as: str, own: str) -> str | None:
@@ -85,15 +84,21 @@ def token_key(token: str) -> str:
 
 
 def visible_tokens(web_in: DataFrame) -> DataFrame:
-    """(page_id, field, source, token, n) for tokens with a character beyond ASCII or a character reference.
+    """(page_id, source, token) for distinct tokens with a character beyond ASCII or a character reference.
 
-    Fields are ``body`` (visible text below body) and ``title``. Source is the host with the declared encoding."""
+    A source is the host with the declared encoding and the field, ``body`` (visible text) or ``title``."""
     body = F.regexp_replace(F.regexp_extract("html", r"(?is)<body\b[^>]*>(.*)$", 1), r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", " ")
     body = F.when(body != "", body).otherwise(F.regexp_replace("html", r"<[^>]*>", " "))
-    tokens = F.regexp_extract_all(body, F.lit(r"[^ \t\r\n]*(?:[^\x00-\x7f]|&#?\w+;)[^ \t\r\n]*"), F.lit(0))
-    d = web_in.filter(F.col("html").isNotNull()).select("page_id", F.coalesce("url_final", "url").alias("url"), F.lower(F.coalesce("encoding", F.lit("")).cast("string")).alias("enc"), F.array_distinct(tokens).alias("tokens"))
-    host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#:]+)", 1)), r"^www\.", "")
-    return d.select("page_id", F.concat_ws("|", host, "enc").alias("source"), F.explode("tokens").alias("token"))
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+
+    def tokens(text: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^ \t\r\n]*(?:[^\x00-\x7f]|&#?\w+;)[^ \t\r\n]*"), F.lit(0)))
+
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url_final", "url"), r"^[a-zA-Z]+://([^/?#:]+)", 1)), r"^www\.", "")
+    d = web_in.filter(F.col("html").isNotNull()).select(
+        "page_id", F.concat_ws("|", host, F.lower("encoding")).alias("source"), F.explode(F.array(F.struct(F.lit("body").alias("field"), tokens(body).alias("ts")), F.struct(F.lit("title").alias("field"), tokens(title).alias("ts")))).alias("f")
+    )
+    return d.select("page_id", F.concat_ws("|", "source", "f.field").alias("source"), F.explode("f.ts").alias("token"))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +122,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ks.append(None)
                 gains.append(MAX_GAIN)
                 continue
-            solid = MAX_GAIN if len(odd) > 1 or any(c.isalpha() and ord(c) < 128 for c in plain) else SYMBOL_GAIN
+            solid = MAX_GAIN if len(token_key(plain)) > 1 else SYMBOL_GAIN
             for name, steps in known:
                 fixed: str | None = plain
                 for read_as, of in steps:
@@ -198,4 +203,4 @@ def restore_text(text: str | None, chain: str | None) -> str | None:
     return re.sub(r"[^\x00-\x7f]+(?:[ -~]?[^\x00-\x7f]+)*", one, _html.unescape(text) if "&" in text and re.search(r"&[A-Z#]", text) else text)
 
 
-__all__ = ["chains", "garbled_records", "host_of", "repair", "restore_text", "token_key", "undo"]
+__all__ = ["chains", "garbled_records", "repair", "restore_text", "token_key", "undo"]

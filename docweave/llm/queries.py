@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import residue, web
+from . import encoding, quality, repeated, residue, web
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,13 +20,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return blocks.select("page_id", F.md5(F.encode("t", "UTF-8")).alias("block_md5")).distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_records(table(spark, d, "web_in")).select("page_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated.repeated_lines(table(spark, d, "documents"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     blocks = web.article_blocks(web.parsed_pages(table(spark, d, "web_in")))
     return residue.residue_pages(blocks, table(spark, d, "common_words")).select("page_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    kinds = quality.document_kinds(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return kinds.filter(F.col("kind") != "prose").select("doc_id", "kind").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p7_found": p7_found}
+    return {f.__name__: f for f in (p2_found, p3_found, p5_found, p7_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
