@@ -17,7 +17,7 @@ STATISTICS = (
 )
 SCHEMA = "doc_id bigint, " + ", ".join(f"{s} double" for s in STATISTICS)
 #: Statistics the mixture sees, after the transforms in ``_features``.
-FEATURES = ("mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "words_per_line", "sentence_rate", "distinct_share", "cell_lines", "marked_lines", "short_lines", "wordlike_share")
+FEATURES = ("mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "words_per_line", "sentence_rate", "distinct_share", "cell_lines", "marked_lines", "short_lines", "wordlike_share", "capital_share")
 #: Rounds of expectation-maximization, ridge on the covariances, and prior weight of a component in rows.
 ROUNDS, RIDGE, PRIOR = 12, 0.05, 5.0
 
@@ -59,7 +59,7 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple[float, ...]:
     cell = marked = short = ended = 0
     for x in lines:
         k = x.count(" ") + 1
-        if k <= 9:
+        if k <= 7:
             short += 1
         if _MARK.match(x):
             marked += 1
@@ -101,7 +101,9 @@ def examples() -> list[tuple[str, str]]:
     """(kind, text) of archetypes found by looking through documents; each seeds a component and names it."""
     noun = "el archivo municipal;la gestión anual;the seasonal survey;le relevé utile;o caminho rural;das erste Gebäude;il porto;la receta".split(";")
     town = "Valmora Tresgal Pontelor Bricandal Sumiergo Fronteval Galdremar Quintolas".split()
-    man = "Alda Brunero;Cosme Taliner;Rudo Vasquelin;Emil Trandor;Lia Montresor;Otto Grunvald".split(";")
+    first = "Alda Cosme Rudo Emil Lia Otto Brendo Tialma Griscon Dorel Fabral Quisten".split()
+    last = "Brunero Taliner Vasquelin Trandor Montresor Grunvald Felquador Siambral Ruestancor Lendriumo Chastergan Duelmiros".split()
+    man = [f"{first[i % 12]} {last[(i * 5 + i // 12) % 12]}" for i in range(40)]
     sentence = {
         "es": "El archivo municipal conserva el registro de la región, porque la comisión no ha terminado con los trabajos. En 1987 se presentaron 340 solicitudes, más que en el año anterior.",
         "en": "The municipal archive keeps the register of the region, because the committee has not finished its work. In 1987 there were 340 requests, which is more than the year before.",
@@ -110,6 +112,7 @@ def examples() -> list[tuple[str, str]]:
     }
     prose = [("prose", "\n\n".join(" ".join([s] * 3) for _ in range(4))) for s in sentence.values()]
     wrapped = [("prose", re.sub(r"(.{50,66}) ", r"\1\n", " ".join([s] * 8))) for s in sentence.values()]
+    wrapped += [("prose", re.sub(r"(.{36,54}) ", r"\1\n", " ".join([s] * 8))) for s in sentence.values()]
     mixed = [("prose", "# " + noun[0] + "\n\n" + " ".join([s] * 4) + "\n\n" + "\n".join(f"- {x}" for x in noun[:4]) + "\n\n" + " ".join([s] * 4)) for s in sentence.values()]
     lists = [
         ("list", "\n".join(f"- {x}" for x in noun * 3)),
@@ -117,7 +120,9 @@ def examples() -> list[tuple[str, str]]:
         ("list", "\n".join(f"* {i * 37} g {x}" for i, x in enumerate(noun * 3, 1))),
         ("list", "\n".join(f"• {x} {t}" for x, t in zip("rural anual social digital".split() * 6, town * 3))),
         ("list", "\n".join(f"- [{x}](https://{t.lower()}.example/{i * 7})" for i, (x, t) in enumerate(zip(noun * 3, town * 3)))),
-        ("list", "\n".join(man * 4)),
+        ("list", "\n".join(man)),
+        ("list", "\n".join(f"{x} {y}" for x, y in zip(man, noun * 5))),
+        ("list", "\n".join(noun * 3)),
     ]
     cells = [(t, str(i * 731 + 96), f"{i * 3.7:.1f}", a) for i, (t, a) in enumerate(zip(town * 3, "rural anual social digital".split() * 6), 1)]
     tables = [("table", "\n".join(sep.join(c) for c in cells)) for sep in (";", "\t", " | ")]
