@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, quality, repeated, residue, web
+from . import encoding, quality, repeated, residue, scanned, web
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.found_lines(table(spark, d, "layout_in"), table(spark, d, "page_text"), table(spark, d, "pdf_meta"))
+
+
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.body_paragraphs(table(spark, d, "layout_in"), table(spark, d, "page_text"), table(spark, d, "pdf_meta"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     blocks = web.article_blocks(web.parsed_pages(table(spark, d, "web_in")))
     blocks = residue.without_residue(blocks, table(spark, d, "common_words"))
@@ -39,7 +47,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p5_found, p7_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p3_found, p5_found, p7_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
