@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, quality, repeated, residue, scanned, web
+from . import encoding, linkage, quality, repeated, residue, scanned, web
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_records(table(spark, d, "web_in")).select("page_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.repeats(*(table(spark, d, t) for t in ("web_in", "web_meta", "layout_in", "page_text", "pdf_meta", "common_words")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated.repeated_lines(table(spark, d, "documents"))
 
@@ -47,7 +51,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p3_found, p5_found, p7_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p3_found, p4_found, p5_found, p7_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
