@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, linkage, quality, repeated, residue, scanned, web
+from . import encoding, language, linkage, quality, repeated, residue, scanned, web
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -40,6 +40,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated.repeated_lines(table(spark, d, "documents"))
 
 
+def _sized(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    paragraphs = language.record_paragraphs(*(table(spark, d, t) for t in ("web_in", "layout_in", "page_text", "pdf_meta", "common_words")))
+    paragraphs = language.stored(paragraphs, "texts")
+    labels = language.record_labels(table(spark, d, "web_meta"), table(spark, d, "pdf_meta"))
+    samples = language.language_samples(paragraphs, labels, table(spark, d, "common_words"))
+    return language.stored(language.compressed_sizes(paragraphs, samples), "sizes"), labels
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.bad_labels(*_sized(spark, d))
+
+
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(_sized(spark, d)[0])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     blocks = web.article_blocks(web.parsed_pages(table(spark, d, "web_in")))
     return residue.residue_pages(blocks, table(spark, d, "common_words")).select("page_id")
@@ -51,7 +67,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p3_found, p4_found, p5_found, p7_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p3_found, p4_found, p5_found, p6_found, p6_segments, p7_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
