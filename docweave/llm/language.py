@@ -52,7 +52,7 @@ def language_samples(paragraphs: DataFrame, labels: DataFrame, common_words: Dat
     out = {x: " ".join(sorted(words[x])).encode() for x in LANGUAGES}
     for r in rows:
         if len(out[r.label]) < DICTIONARY_BYTES:
-            out[r.label] += b"\n" + r.text.encode()
+            out[r.label] += b"\n" + r.text.lower().encode("utf-8", "replace")
     return {x: d[:DICTIONARY_BYTES] for x, d in out.items()}
 
 
@@ -77,7 +77,7 @@ def compressed_sizes(paragraphs: DataFrame, samples: dict[str, bytes]) -> DataFr
         for b in batches:
             n, sizes, langs, margins = [], [], [], []
             for t in b.column("text").to_pylist():
-                raw = t.encode("utf-8", "replace")
+                raw = t.lower().encode("utf-8", "replace")
                 s = [len(c.compress(raw)) for c in coders]
                 order = sorted(range(len(s)), key=s.__getitem__)
                 margin = (s[order[1]] - s[order[0]]) / s[order[0]]
