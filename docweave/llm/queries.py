@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, language, linkage, quality, repeated, residue, scanned, web
+from . import encoding, language, linkage, mixing, packing, quality, repeated, residue, scanned, web
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -61,13 +61,29 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_pages(blocks, table(spark, d, "common_words")).select("page_id")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, d), table(spark, d, "pack_specs"))
+
+
+def p9_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.schedule(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*mixing.schedule(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     kinds = quality.document_kinds(table(spark, d, "documents"), table(spark, d, "common_words"))
     return kinds.filter(F.col("kind") != "prose").select("doc_id", "kind").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p3_found, p4_found, p5_found, p6_found, p6_segments, p7_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p3_found, p4_found, p5_found, p6_found, p6_segments, p7_found, p8_containers, p8_fill, p9_schedule, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
