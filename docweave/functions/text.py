@@ -71,7 +71,7 @@ def looks_tabular(c: Column) -> Column:
     """Two pipes, or two gaps of two spaces and more between words."""
     s = strip(c)
     pipes = F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit("")))
-    return (pipes >= 2) | (F.regexp_count(s, F.lit(r"\S {2,}(?=\S)")) >= 2)
+    return (pipes >= 2) | (F.regexp_count(s, F.lit(r"\S {2,}\S")) >= 2)
 
 
 def is_list_item(c: Column) -> Column:
@@ -90,7 +90,7 @@ def normal_bullet(c: Column) -> Column:
 def ends_cut(c: Column) -> Column:
     """A heading that ends in a linking word, a comma or a hyphen, or has no word: a piece of something longer."""
     words = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
-    return (F.size(words) == 0) | F.element_at(words, -1).isin(LINKING_WORDS) | F.regexp_replace(c, r"\s+$", "").rlike("[,-]$")
+    return (F.size(words) == 0) | F.try_element_at(words, F.lit(-1)).isin(LINKING_WORDS) | F.regexp_replace(c, r"\s+$", "").rlike("[,-]$")
 
 
 def looks_like_code(lines: Column) -> Column:
@@ -142,7 +142,11 @@ def language_vote(c: Column) -> Column:
     Words are runs of plain letters; ties go to the language first in STOP_WORDS."""
     words = F.slice(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)), 1, VOTE_SAMPLE)
     total = F.size(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
-    votes = [F.struct(F.size(F.filter(words, lambda w, s=s: w.isin(s))).alias("n"), F.lit(-i).alias("i"), F.lit(x).alias("lang")) for i, (x, s) in enumerate(STOP_WORDS.items())]
+
+    def votes_of(stop: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(stop)))
+
+    votes = [F.struct(votes_of(s).alias("n"), F.lit(-i).alias("i"), F.lit(x).alias("lang")) for i, (x, s) in enumerate(STOP_WORDS.items())]
     order = F.array_sort(F.array(*votes))
     best, second = F.element_at(order, -1), F.element_at(order, -2)
     sure = (total >= VOTE_WORDS) & (best["n"] >= VOTE_SHARE * F.size(words)) & ((second["n"] == 0) | (best["n"] >= VOTE_LEAD * second["n"]))
