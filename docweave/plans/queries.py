@@ -140,7 +140,7 @@ def layer_histogram(spark: SparkSession, d: str) -> DataFrame:
 def file_dates(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "pdf_meta").select("doc_id", "fecha_archivo").distinct()
     raw = F.concat(F.lit("D:"), F.regexp_replace(F.regexp_replace("fecha_archivo", r"[-:T]|\+.*$", ""), "Z$", ""), F.when(F.col("fecha_archivo").contains("+"), F.regexp_replace(F.regexp_extract("fecha_archivo", r"(\+\d\d:\d\d)$", 1), ":", "'")).otherwise(""))
-    return x.select("doc_id", "fecha_archivo", wb.pdf_date(raw).alias("iso"))
+    return x.select("doc_id", "fecha_archivo", wb.pdf_date(F.when(F.col("fecha_archivo").rlike(r"^\d{4}-"), raw).otherwise(F.col("fecha_archivo"))).alias("iso"))
 
 
 def document_names(spark: SparkSession, d: str) -> DataFrame:
