@@ -29,7 +29,7 @@ def label_of(idioma: Column) -> Column:
     labels are kept in lower case."""
     s = F.regexp_replace(F.lower(F.trim(idioma)), r"[-_].*$", "")
     pairs = [F.lit(x) for kv in ALIASES.items() for x in kv]
-    mapped = F.element_at(F.create_map(*pairs), s)
+    mapped = F.try_element_at(F.create_map(*pairs), s)
     return F.when((s == "") | s.isin("und", "unknown", "null", "none", "xx", "mul", "zxx"), F.lit(None).cast("string")).otherwise(F.coalesce(mapped, s))
 
 
@@ -104,7 +104,7 @@ def record_languages(sized: DataFrame) -> DataFrame:
     own = alone.groupBy("kind", "id").agg(F.collect_set("lang").alias("alone"))
     x = by.join(own, ["kind", "id"], "left")
     # a narrow total (two languages in equal parts) takes the first language found alone
-    main = F.when(F.col("margin") >= MARGIN / 2, F.col("main")).otherwise(F.coalesce(F.element_at(F.array_sort("alone"), 1), F.col("main")))
+    main = F.when(F.col("margin") >= MARGIN / 2, F.col("main")).otherwise(F.coalesce(F.get(F.array_sort("alone"), 0), F.col("main")))
     x = x.withColumn("main", main)
     return x.select("kind", "id", "main", F.round(1 - F.exp(F.col("margin") * -20), 4).alias("confidence"), F.array_distinct(F.concat(F.array("main"), F.coalesce("alone", F.array().cast("array<string>")))).alias("langs"))
 

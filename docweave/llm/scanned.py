@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,7 @@ SMALL, EDGE = 0.9, 3
 REPEAT_SHARE, REPEAT_PAGES = 0.3, 2
 # Characters that divide a word at a line end.
 HYPHENS = "-\xad‐¬"
+HYPHENS_OR_SPACE = HYPHENS + " "
 # Fixed values: (read, true) pairs of characters that recognition confuses.
 CONFUSIONS = (
     ("c", "e"), ("e", "c"), ("n", "a"), ("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("l", "1"), ("i", "1"), ("0", "o"), ("o", "0"), ("f", "t"), ("t", "f"), ("5", "s"), ("s", "5"), ("9", "g"), ("g", "9"),
@@ -32,12 +34,16 @@ for _r, _t in CONFUSIONS:
 LISTED, OTHER, DOUBLE = 1.0, 3.0, 2.5
 #: A reading is replaced if the true word is this many times more frequent; and weight of the edit cost against log counts.
 RATIO, COST_WEIGHT = 4.0, 2.0
+#: Doubtful words up to this number go to the tasks as a set.
+LOCAL_WORDS = 300_000
 #: For words that are words themselves: least support of the other reading in neighbouring pairs of clean pages.
 CONTEXT_SUPPORT = 2
 
 _TOKEN = re.compile(r"[^\W_]+")
+_COMPOUND = re.compile(r"([^\W_]+)-(?=([^\W_]+))")
 _NUMBERLIKE = re.compile(r"(?=.*\d)(?=.*[lIOoSB|])[0-9lIOoSB|]{2,}")
 _CODE = re.compile(r"[A-Z]\d+")
+NUMBER_START = frozenset("0123456789liosb|")
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "5": "s", "e": "c", "9": "g", "6": "b", "t": "f"})
 
 PAGE = "doc_id bigint, page_num int, sitio string, scanned boolean, lines array<struct<b:int,l:int,t:string,sz:double>>"
@@ -59,17 +65,32 @@ def pages(layout: DataFrame, page_text: DataFrame, pdf_meta: DataFrame) -> DataF
     grouped = layout.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", F.coalesce("page_num", F.lit(0)).cast("int").alias("page_num")).agg(F.max("sitio").alias("sitio"), F.collect_list(span).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line = pa.struct([("b", pa.int32()), ("l", pa.int32()), ("t", pa.string()), ("sz", pa.float64())])
-        for b in batches:
-            out = []
-            for spans in b.column("spans").to_pylist():
-                got: dict[tuple[int, int], dict] = {}
-                for s in sorted({(s["b"], s["l"], s["s"], s["t"], s["sz"]) for s in spans}):
-                    x = got.setdefault((s[0], s[1]), {"b": s[0], "l": s[1], "t": "", "sz": s[4]})
-                    x["t"] += s[3]
-                    x["sz"] = max(x["sz"], s[4])
-                out.append([x for x in got.values() if x["t"].strip()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("page_num"), b.column("sitio"), pa.array(out, pa.list_(line))], names=["doc_id", "page_num", "sitio", "lines"])
+        for bt in batches:
+            spans = bt.column("spans")
+            at = spans.offsets.to_pylist()
+            cols = [c.to_pylist() for c in spans.values.flatten()]
+            bs, ls, ts, zs, ends = [], [], [], [], [0]
+            for i, j in zip(at, at[1:]):
+                last = None
+                for b, ln, _, t, z in sorted(set(zip(*(c[i:j] for c in cols)))):
+                    if last == (b, ln):
+                        ts[-1] += t
+                        zs[-1] = max(zs[-1], z)
+                        continue
+                    if last is not None and (not ts[-1] or ts[-1].isspace()):  # a line without text
+                        for x in (bs, ls, ts, zs):
+                            x.pop()
+                    last = (b, ln)
+                    bs.append(b)
+                    ls.append(ln)
+                    ts.append(t)
+                    zs.append(z)
+                if last is not None and (not ts[-1] or ts[-1].isspace()):
+                    for x in (bs, ls, ts, zs):
+                        x.pop()
+                ends.append(len(bs))
+            lines = pa.StructArray.from_arrays([pa.array(bs, pa.int32()), pa.array(ls, pa.int32()), pa.array(ts, pa.string()), pa.array(zs, pa.float64())], ["b", "l", "t", "sz"])
+            yield pa.RecordBatch.from_arrays([bt.column("doc_id"), bt.column("page_num"), bt.column("sitio"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines)], names=["doc_id", "page_num", "sitio", "lines"])
 
     lines = grouped.mapInArrow(run, PAGE.replace("scanned boolean, ", ""))
     flags = stored(scanned_pages(page_text, pdf_meta), "scanned")
@@ -102,30 +123,26 @@ def with_running(pg: DataFrame) -> DataFrame:
     reps = stored(rep.groupBy("doc_id").agg(F.collect_set(F.concat(F.when(F.col("top"), "t").otherwise("b"), "k")).alias("reps")), "repeated")
     x = join_sized(x, reps, ["doc_id"], "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flags = []
-            for lines, body, small, keys in zip(*(b.column(c).to_pylist() for c in ("lines", "body", "has_small", "reps"))):
-                n, keys = len(lines), set(keys or ())
-                f = []
-                for i, ln in enumerate(lines):
-                    at_edge = i < EDGE or i >= n - EDGE
-                    if small:
-                        f.append(at_edge and ln["sz"] < SMALL * body)
-                    else:
-                        f.append(bool(keys) and ((i < 1 and "t" + line_key(ln["t"]) in keys) or (i >= n - 1 and "b" + line_key(ln["t"]) in keys)))
-                flags.append(f)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "page_num", "sitio", "scanned", "lines")] + [pa.array(flags, pa.list_(pa.bool_()))], names=["doc_id", "page_num", "sitio", "scanned", "lines", "run"])
-
-    y = x.mapInArrow(run, PAGE + ", run array<boolean>")
+    n = F.size("lines")
+    small = F.transform("lines", lambda z, i: ((i < EDGE) | (i >= n - EDGE)) & (z["sz"] < SMALL * F.col("body")))
+    # a document whose sizes tell nothing: its repeated edge lines, looked up by their folded key
+    known = F.coalesce("reps", F.array().cast("array<string>"))
+    plain = F.transform("lines", lambda z, i: F.lit(False))
+    edges = F.when(F.size(known) > 0, F.transform("lines", lambda z, i: F.when(i == 0, F.array_contains(known, F.concat(F.lit("t"), F.col("key_top")))).when(i == n - 1, F.array_contains(known, F.concat(F.lit("b"), F.col("key_bottom")))).otherwise(False))).otherwise(plain)
+    with_reps = x.filter(F.col("reps").isNotNull() & ~F.col("has_small")).withColumn("key_top", edge_key(F.get("lines", 0)["t"])).withColumn("key_bottom", edge_key(F.try_element_at("lines", F.lit(-1))["t"]))
+    cols = ["doc_id", "page_num", "sitio", "scanned", "lines"]
+    rest = x.filter(F.col("reps").isNull() | F.col("has_small"))
+    y = rest.select(*cols, F.when(F.col("has_small"), small).otherwise(plain).alias("run")).unionByName(with_reps.select(*cols, edges.alias("run"))) if reps.limit(1).count() else rest.select(*cols, F.when(F.col("has_small"), small).otherwise(plain).alias("run"))
     # the next page's first body line, for words divided across pages
-    y = stored(y, "roles")
     body = F.filter(F.arrays_zip("lines", "run"), lambda z: ~z["run"])
-    ends = y.select("doc_id", "page_num", F.element_at(body, 1).alias("f"), F.element_at(body, -1).alias("z")).filter(F.col("f").isNotNull())
+    ends = y.select("doc_id", "page_num", F.get(body, 0).alias("f"), F.try_element_at(body, F.lit(-1)).alias("z")).filter(F.col("f").isNotNull())
     w = W.partitionBy("doc_id").orderBy("page_num")
     link = ends.select(
-        "doc_id", "page_num", F.lead(F.struct(F.col("page_num").alias("p"), F.col("f.lines.b").alias("b"), F.col("f.lines.l").alias("l"), F.col("f.lines.t").alias("t"))).over(w).alias("nxt"), F.lag("z.lines.t").over(w).alias("prv")
+        "doc_id", "page_num", F.lead(F.struct(F.col("page_num").alias("p"), F.col("f.lines.b").alias("b"), F.col("f.lines.l").alias("l"), F.col("f.lines.t").alias("t"))).over(w).alias("nxt"), F.lag("z.lines.t").over(w).alias("prv"), F.col("z.lines.t").alias("own")
     )
+    # only pages that end or begin within a word need to know their neighbours
+    tail = rf"[\p{{L}}\p{{N}}][{HYPHENS}] *$"
+    link = link.filter(F.col("own").rlike(tail) | F.col("prv").rlike(tail)).drop("own")
     return stored(y.join(link, ["doc_id", "page_num"], "left"), "linked")
 
 
@@ -134,36 +151,49 @@ def _ends_divided(t: str) -> bool:
     return len(t) > 1 and t[-1] in HYPHENS and t[-2].isalnum()
 
 
-def page_tokens(lines: list[dict], flags: list[bool], nxt: dict | None, prv: str | None, page: int) -> tuple[list[list[str]], list[tuple]]:
-    """(tokens of each body line without the halves of divided words, divisions (i, left, right, hyphen, next page, block, line)).
+def page_tokens(texts: list[str], nxt: dict | None, prv: str | None) -> tuple[list[list[str]], list[tuple[int, str, str, str, int | None]]]:
+    """(tokens of each body line without the halves of divided words, divisions (line, left, right, hyphen, next line)).
 
-    Tokens keep their case. ``prv`` is the last body line of the page before, ``nxt`` the first of the next one."""
-    body = [i for i, f in enumerate(flags) if not f]
-    toks = [_TOKEN.findall(lines[i]["t"]) for i in body]
-    cut_first = prv is not None and _ends_divided(prv)
+    ``texts`` are the body lines of a page, ``prv`` the last body line of the page before, ``nxt`` the first of the
+    next one; a next line of None is ``nxt``. Tokens keep their case."""
+    toks = [_TOKEN.findall(t) for t in texts]
+    n = len(texts)
     divided = []
-    for k, i in enumerate(body):
-        t = lines[i]["t"]
-        if not _ends_divided(t) or not toks[k]:
-            continue
-        if k + 1 < len(body):
-            nx = (page, lines[body[k + 1]]["b"], lines[body[k + 1]]["l"], lines[body[k + 1]]["t"])
-        elif nxt:
-            nx = (nxt["p"], nxt["b"], nxt["l"], nxt["t"])
-        else:
-            continue
-        first = _TOKEN.findall(nx[3])
-        if not first or not nx[3].lstrip(" ")[:1].isalnum():
-            continue
-        divided.append((i, k, toks[k][-1], first[0], t.rstrip(" ")[-1], *nx[:3]))
-    out = [list(x) for x in toks]
+    for k, t in enumerate(texts):
+        if t[-1:] in HYPHENS_OR_SPACE and _ends_divided(t) and toks[k]:
+            if k + 1 < n:
+                first, following = (toks[k + 1][0] if toks[k + 1] else ""), texts[k + 1]
+            elif nxt:
+                following = nxt["t"]
+                got = _TOKEN.search(following)
+                first = got[0] if got else ""
+            else:
+                continue
+            if first and following.lstrip(" ")[:1].isalnum():
+                divided.append((k, toks[k][-1], first, t.rstrip(" ")[-1], k + 1 if k + 1 < n else None))
+    if divided or prv:
+        toks = [list(x) for x in toks]
+    for d in divided:
+        toks[d[0]].pop()
     for d in divided:
-        out[d[1]] = out[d[1]][:-1]
-        if d[1] + 1 < len(out):
-            out[d[1] + 1] = out[d[1] + 1][1:]
-    if cut_first and out and out[0]:
-        out[0] = out[0][1:]
-    return out, [(d[0], *d[2:]) for d in divided]
+        if d[4] is not None and toks[d[4]]:
+            toks[d[4]].pop(0)
+        elif d[4] is not None:  # a line of one word that is divided itself
+            pass
+    if prv is not None and _ends_divided(prv) and toks and toks[0] and texts[0].lstrip(" ")[:1].isalnum():
+        toks[0].pop(0)
+    return toks, divided
+
+
+def _flat_pages(bt: pa.RecordBatch) -> Iterator[tuple[int, list[int], list[int], list[str], dict | None, str | None]]:
+    """(row, blocks, line numbers, texts) of the body lines of each page of a batch, with its neighbours."""
+    lines = bt.column("lines")
+    at = lines.offsets.to_pylist()
+    b, ln, t = (c.to_pylist() for c in lines.values.flatten()[:3])
+    run = bt.column("run").values.to_pylist()
+    for row, (i, j, nxt, prv) in enumerate(zip(at, at[1:], bt.column("nxt").to_pylist(), bt.column("prv").to_pylist())):
+        body = [k for k in range(i, j) if not run[k]]
+        yield row, [b[k] for k in body], [ln[k] for k in body], [t[k] for k in body], nxt, prv
 
 
 COUNTS = "kind string, a string, b string, clean bigint, scan bigint"
@@ -174,35 +204,38 @@ def counts(linked: DataFrame) -> DataFrame:
     on clean and on scanned pages, over all body lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple[str, str, str], list[int]] = {}
-
-        def flush() -> pa.RecordBatch:
-            keys, vals = list(acc), list(acc.values())
-            acc.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), pa.array([v[0] for v in vals], pa.int64()), pa.array([v[1] for v in vals], pa.int64())], names=["kind", "a", "b", "clean", "scan"])
+        words, pairs = (Counter(), Counter()), Counter()
+        joined, compounds = (Counter(), Counter()), (Counter(), Counter())
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, clean, scan in (("w", *words), ("j", *joined), ("c", *compounds), ("p", pairs, Counter())):
+                keys = list(clean.keys() | scan.keys())
+                if keys:
+                    a = [k if kind == "w" else k[0] for k in keys]
+                    b = [""] * len(keys) if kind == "w" else [k[1] for k in keys]
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array([clean[k] for k in keys], pa.int64()), pa.array([scan[k] for k in keys], pa.int64())], names=["kind", "a", "b", "clean", "scan"])
+            for c in (*words, pairs, *joined, *compounds):
+                c.clear()
 
         for bt in batches:
-            for lines, flags, nxt, prv, page, scanned in zip(*(bt.column(c).to_pylist() for c in ("lines", "run", "nxt", "prv", "page_num", "scanned"))):
-                toks, divided = page_tokens(lines, flags, nxt, prv, page)
-                s = 1 if scanned else 0
+            scanned = bt.column("scanned").to_pylist()
+            for row, _, _, texts, nxt, prv in _flat_pages(bt):
+                texts = [t.lower() for t in texts]
+                toks, divided = page_tokens(texts, nxt, prv.lower() if prv else None)
+                s = 1 if scanned[row] else 0
                 for ts in toks:
-                    low = [t.lower() for t in ts]
-                    for t in low:
-                        acc.setdefault(("w", t, ""), [0, 0])[s] += 1
-                    if not scanned:
-                        for p in zip(low, low[1:]):
-                            acc.setdefault(("p", *p), [0, 0])[s] += 1
-                for _, left, right, *_r in divided:
-                    acc.setdefault(("j", left.lower(), right.lower()), [0, 0])[s] += 1
-                for i, f in enumerate(flags):
-                    if not f and "-" in lines[i]["t"]:
-                        for m in re.findall(r"([^\W_]+)-(?=([^\W_]+))", lines[i]["t"].lower()):
-                            acc.setdefault(("c", *m), [0, 0])[s] += 1
-            if len(acc) > 150_000:
-                yield flush()
-        yield flush()
-
-    raw = linked.select("lines", "run", "nxt", "prv", "page_num", "scanned").mapInArrow(run, COUNTS)
+                    words[s].update(ts)
+                    if not s:
+                        pairs.update(zip(ts, ts[1:]))
+                joined[s].update((d[1], d[2].lower()) for d in divided)
+                for t in texts:
+                    if "-" in t:
+                        compounds[s].update(_COMPOUND.findall(t))
+            if len(pairs) + len(words[0]) + len(words[1]) > 200_000:
+                yield from flush()
+        yield from flush()
+
+    raw = linked.select("lines", "run", "nxt", "prv", "scanned").mapInArrow(run, COUNTS)
     return stored(raw.groupBy("kind", "a", "b").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan")), "counts")
 
 
@@ -299,20 +332,41 @@ def repairs(linked: DataFrame, cnt: DataFrame) -> tuple[DataFrame, DataFrame]:
     be. divided: (doc_id, page_num, b, l, left, right, broken, np, nb, nl), words divided at line ends; broken
     is false for a compound that ends the line at its own hyphen."""
     reads = readings(cnt)
-    cols = ("doc_id", "page_num", "lines", "run", "nxt", "prv")
-    scanned = linked.filter("scanned").select(*cols)
+    # words that cannot be, and words that are words but may be a misread other one
+    unknown = reads.filter((F.col("clean_w") == 0)).select("w", "c", "cost", "f_c", F.lit(False).alias("real"))
+    real = reads.filter((F.col("clean_w") > 0) & (F.col("cost") <= LISTED)).select("w", "c", "cost", "f_c", F.lit(True).alias("real"))
+    # a word that cannot be and may be only one other needs no context
+    number = unknown.unionByName(real).groupBy("w").agg(F.count("*").alias("choices"))
+    cand = stored(unknown.unionByName(real).join(number, "w"), "doubtful")
+    doubtful = stored(cand.select("w").distinct(), "doubtful-words")
+    few = doubtful.limit(LOCAL_WORDS + 1).count() <= LOCAL_WORDS
+    # a set of checked size goes to the tasks; a larger one is joined below
+    near = linked.sparkSession.sparkContext.broadcast(frozenset(r.w for r in doubtful.collect())) if few else None
+    scanned = linked.filter("scanned").select("doc_id", "page_num", "lines", "run", "nxt", "prv")
 
-    def div(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, page, lines, flags, nxt, prv in zip(*(b.column(c).to_pylist() for c in cols)):
-                for i, left, right, hy, np_, nb, nl in page_tokens(lines, flags, nxt, prv, page)[1]:
-                    rows.append((doc, page, lines[i]["b"], lines[i]["l"], left, right, hy, np_, nb, nl))
-            c = list(zip(*rows)) if rows else [()] * 10
-            t = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(c, t)], names=["doc_id", "page_num", "b", "l", "left", "right", "hy", "np", "nb", "nl"])
-
-    d = scanned.mapInArrow(div, "doc_id bigint, page_num int, b int, l int, left string, right string, hy string, np int, nb int, nl int")
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = near.value if near is not None else None
+        for bt in batches:
+            docs, pages_ = bt.column("doc_id").to_pylist(), bt.column("page_num").to_pylist()
+            out: list[tuple] = []
+            for row, bs, ls, texts, nxt, prv in _flat_pages(bt):
+                doc, page = docs[row], pages_[row]
+                toks, divided = page_tokens(texts, nxt, prv)
+                for k, left, right, hy, f in divided:
+                    where = (page, bs[f], ls[f]) if f is not None else (nxt["p"], nxt["b"], nxt["l"])
+                    out.append((doc, page, bs[k], ls[k], left, right, hy, False, *where))
+                for k, ts in enumerate(toks):
+                    low = [t.lower() for t in ts]
+                    for i, w in enumerate(low):
+                        number = w[0] in NUMBER_START and _NUMBERLIKE.fullmatch(ts[i]) is not None and not _CODE.fullmatch(ts[i]) and 2 * sum(map(str.isdigit, w)) >= len(w)
+                        if number or wanted is None or w in wanted:
+                            out.append((doc, page, bs[k], ls[k], ts[i], low[i - 1] if i else "", low[i + 1] if i + 1 < len(low) else "", number, None, None, None))
+            c = list(zip(*out)) if out else [()] * 11
+            t = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(c, t)], names=["doc_id", "page_num", "b", "l", "tok", "prev", "next", "number", "np", "nb", "nl"])
+
+    seen = stored(scanned.mapInArrow(look, "doc_id bigint, page_num int, b int, l int, tok string, prev string, next string, number boolean, np int, nb int, nl int"), "seen-words")
+    d = seen.filter(F.col("np").isNotNull()).select("doc_id", "page_num", "b", "l", F.col("tok").alias("left"), F.col("prev").alias("right"), F.col("next").alias("hy"), "np", "nb", "nl")
     d = d.withColumn("w", F.lower(F.concat("left", "right"))).withColumn("lo", F.lower("left")).withColumn("hi", F.lower("right"))
     lex = cnt.filter((F.col("kind") == "w") & (F.col("clean") + F.col("scan") > 1)).select(F.col("a").alias("w"), F.lit(True).alias("whole"))
     compound = cnt.filter(F.col("kind") == "c").select(F.col("a").alias("lo"), F.col("b").alias("hi"), (F.col("clean") + F.col("scan")).alias("n_comp"))
@@ -324,27 +378,7 @@ def repairs(linked: DataFrame, cnt: DataFrame) -> tuple[DataFrame, DataFrame]:
     broken = F.when(F.col("hy") != "-", True).when(F.col("whole"), True).when(F.col("n_comp").isNotNull(), False).when(F.col("fix").isNotNull(), True).otherwise(~F.coalesce("own_word", F.lit(False)))
     divided = stored(d.select("doc_id", "page_num", "b", "l", "left", "right", broken.alias("broken"), "np", "nb", "nl", F.coalesce("whole", F.lit(False)).alias("whole"), "fix"), "divided")
 
-    # words that cannot be, and words that are words but may be a misread other one
-    unknown = reads.filter((F.col("clean_w") == 0)).select("w", "c", "cost", "f_c", F.lit(False).alias("real"))
-    real = reads.filter((F.col("clean_w") > 0) & (F.col("cost") <= LISTED)).select("w", "c", "cost", "f_c", F.lit(True).alias("real"))
-    cand = stored(unknown.unionByName(real), "doubtful")
-    doubtful = stored(cand.select("w").distinct(), "doubtful-words")
-
-    def occ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, page, lines, flags, nxt, prv in zip(*(b.column(c).to_pylist() for c in cols)):
-                toks, _ = page_tokens(lines, flags, nxt, prv, page)
-                for i, ts in zip([i for i, f in enumerate(flags) if not f], toks):
-                    low = ["", *(t.lower() for t in ts), ""]
-                    for k, t in enumerate(ts, 1):
-                        rows.append((doc, page, lines[i]["b"], lines[i]["l"], t, low[k], low[k - 1], low[k + 1], bool(_NUMBERLIKE.fullmatch(t)) and not _CODE.fullmatch(t) and 2 * sum(c.isdigit() for c in t) >= len(t)))
-            c = list(zip(*rows)) if rows else [()] * 9
-            t = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(c, t)], names=["doc_id", "page_num", "b", "l", "tok", "w", "prev", "next", "number"])
-
-    schema = "doc_id bigint, page_num int, b int, l int, tok string, w string, prev string, next string, number boolean"
-    o = scanned.mapInArrow(occ, schema)
+    o = seen.filter(F.col("np").isNull()).select("doc_id", "page_num", "b", "l", "tok", F.lower("tok").alias("w"), "prev", "next", "number")
     # halves of compounds that end a line at their hyphen are words of their own
     comp = divided.filter(~F.col("broken"))
     halves = comp.select("doc_id", "page_num", "b", "l", F.col("left").alias("tok")).unionByName(comp.select("doc_id", F.col("np").alias("page_num"), F.col("nb").alias("b"), F.col("nl").alias("l"), F.col("right").alias("tok")))
@@ -353,14 +387,17 @@ def repairs(linked: DataFrame, cnt: DataFrame) -> tuple[DataFrame, DataFrame]:
     o = stored(join_sized(o, doubtful.withColumn("doubt", F.lit(True)), ["w"], "left").filter(F.col("doubt") | F.col("number")).drop("doubt"), "occurrences")
     numbers = o.filter("number").join(known_numbers, "w", "left_anti").select("doc_id", "page_num", "b", "l", "tok", F.translate("tok", "lIOoSB|", "1100581").alias("c"))
     p = cnt.filter(F.col("kind") == "p").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("clean").alias("n"))
-    oc = o.filter(~F.col("number")).withColumn("oid", F.xxhash64("doc_id", "page_num", "b", "l", "tok", "prev", "next")).join(cand, "w")
+    oc = join_sized(o.filter(~F.col("number")), cand, ["w"], limit=LOCAL_WORDS)
+    clear = ~F.col("real") & (F.col("choices") == 1)
+    sure = oc.filter(clear).select("doc_id", "page_num", "b", "l", "tok", "c")
+    oc = stored(oc.filter(~clear).withColumn("oid", F.xxhash64("doc_id", "page_num", "b", "l", "tok", "prev", "next")), "unclear")
     for name, left, right in (("pc", "prev", "c"), ("cn", "c", "next"), ("pw", "prev", "w"), ("wn", "w", "next")):
         oc = oc.join(p.select(F.col("x").alias(left), F.col("y").alias(right), F.col("n").alias(name)), [left, right], "left")
     oc = oc.na.fill(0, ["pc", "cn", "pw", "wn"])
     score = F.log("f_c") + F.log(F.col("pc") + 0.1) + F.log(F.col("cn") + 0.1) - COST_WEIGHT * F.col("cost")
     plausible = ~F.col("real") | ((F.col("pw") + F.col("wn") == 0) & (F.col("pc") + F.col("cn") >= CONTEXT_SUPPORT) & ((F.col("prev") != "") & (F.col("next") != "")))
     best = oc.filter(plausible).groupBy("oid", "doc_id", "page_num", "b", "l", "tok").agg(F.max_by("c", F.struct(score, F.col("c"))).alias("c")).drop("oid")
-    mis = best.unionByName(numbers)
+    mis = best.unionByName(sure).unionByName(numbers)
     # a misread half of a divided word stands on the line its site is in
     halves_mis = divided.filter(F.col("broken") & ~F.col("whole") & F.col("fix").isNotNull())
     here = F.col("fix.site") < F.length("left")
@@ -406,7 +443,9 @@ def paragraphs_of(linked: DataFrame, mis: DataFrame | None = None, divided: Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bt in batches:
             rows = []
-            for doc, page, lines, flags, nxt, prv, fixes, own in zip(*(bt.column(c).to_pylist() for c in ("doc_id", "page_num", "lines", "run", "nxt", "prv", "fixes", "own"))):
+            docs, numbers, all_fixes, all_own = (bt.column(c).to_pylist() for c in ("doc_id", "page_num", "fixes", "own"))
+            for row, bs, ls, texts, nxt, prv in _flat_pages(bt):
+                doc, page, fixes, own = docs[row], numbers[row], all_fixes[row], all_own[row]
                 change: dict[tuple[int, int], list[tuple[str, str]]] = {}
                 whole: dict[str, str] = {}
                 for f in fixes or ():
@@ -415,20 +454,19 @@ def paragraphs_of(linked: DataFrame, mis: DataFrame | None = None, divided: Data
                 kept = {(o["b"], o["l"]) for o in own or ()}
                 blocks: dict[int, str] = {}
                 carry = prv is not None and _ends_divided(prv)
-                body = [ln for ln, f in zip(lines, flags) if not f]
-                for k, ln in enumerate(body):
-                    t = ln["t"].strip(" ")
+                for k, text in enumerate(texts):
+                    t = text.strip(" ")
                     if carry:  # its first word went to the line before
                         t = _TOKEN.sub("", t, count=1).lstrip(" ") if _TOKEN.match(t) else t
                     carry = False
-                    for a, c in change.get((ln["b"], ln["l"]), ()):
+                    for a, c in change.get((bs[k], ls[k]), ()):
                         t = re.sub(rf"(?<!\w){re.escape(a)}(?!\w)", capital_like(a, c), t)
-                    if _ends_divided(ln["t"]):
-                        nx = body[k + 1]["t"] if k + 1 < len(body) else nxt["t"] if nxt else ""
+                    if _ends_divided(text):
+                        nx = texts[k + 1] if k + 1 < len(texts) else nxt["t"] if nxt else ""
                         m = _TOKEN.match(nx.lstrip(" "))
                         if m:
                             carry = True
-                            if (ln["b"], ln["l"]) in kept:
+                            if (bs[k], ls[k]) in kept:
                                 t += m[0]
                             else:
                                 left = _TOKEN.findall(t)[-1] if _TOKEN.findall(t) else ""
@@ -436,7 +474,7 @@ def paragraphs_of(linked: DataFrame, mis: DataFrame | None = None, divided: Data
                                 t = t[: len(t) - 1 - len(left)] + (capital_like(joined, whole[joined]) if joined in whole else joined)
                             rest = nx.lstrip(" ")[m.end() :]
                             t += re.match(r"[^\s\w]*", rest)[0]
-                    blocks[ln["b"]] = f"{blocks[ln['b']]} {t}" if ln["b"] in blocks else t
+                    blocks[bs[k]] = f"{blocks[bs[k]]} {t}" if bs[k] in blocks else t
                 rows += [(doc, page, b, re.sub(r"\s+", " ", t).strip()) for b, t in blocks.items()]
             c = list(zip(*rows)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.string())], names=["doc_id", "page_num", "block_no", "text"])

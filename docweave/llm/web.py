@@ -89,7 +89,7 @@ def located(pages: DataFrame) -> DataFrame:
     winners = stored(host_containers(pages), "winners")
     p = join_sized(pages, winners, ["host"], "left")
     there = F.expr("exists(blocks, b -> b.c = winner)")
-    headed = F.expr("element_at(filter(blocks, b -> b.r = 'h1'), 1).c")
+    headed = F.expr("try_element_at(filter(blocks, b -> b.r = 'h1'), 1).c")
     p = p.withColumn("home", F.when(there, F.col("winner")).otherwise(F.coalesce(headed, "vote", F.lit(""))))
     b = p.select("page_id", "lote", "status", "host", "slug", "title", "home", F.posexplode("blocks").alias("pos", "b"))
     inside = (F.col("b.c") == F.col("home")) | ((F.col("home") != "") & F.col("b.c").startswith(F.concat("home", F.lit(">"))))
