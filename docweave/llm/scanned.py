@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -115,6 +115,18 @@ def with_running(pg: DataFrame) -> DataFrame:
     """Stored pages with ``run``, a flag per line: running header, footer or page number, also if misread."""
     sizes = stored(body_sizes(pg), "sizes")
     x = join_sized(pg, sizes, ["doc_id"])
+    cols = ["doc_id", "page_num", "sitio", "scanned", "lines"]
+    n = F.size("lines")
+    small = F.transform("lines", lambda z, i: ((i < EDGE) | (i >= n - EDGE)) & (z["sz"] < SMALL * F.col("body")))
+    if sizes.filter(~F.col("has_small")).limit(1).count():
+        y = _running_by_repetition(pg, x, small).select(*cols, "run")
+    else:
+        y = x.select(*cols, small.alias("run"))
+    return _linked(y)
+
+
+def _running_by_repetition(pg: DataFrame, x: DataFrame, small: Column) -> DataFrame:
+    n = F.size("lines")
     edge_key = F.udf(line_key, "string")  # only for documents whose sizes tell nothing
     flat = x.filter(~F.col("has_small")).select("doc_id", "page_num", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "x")).filter((F.col("i") < 1) | (F.col("i") >= F.col("n") - 1))
     keyed = flat.select("doc_id", "page_num", (F.col("i") < 1).alias("top"), edge_key("x.t").alias("k"))
@@ -123,23 +135,23 @@ def with_running(pg: DataFrame) -> DataFrame:
     reps = stored(rep.groupBy("doc_id").agg(F.collect_set(F.concat(F.when(F.col("top"), "t").otherwise("b"), "k")).alias("reps")), "repeated")
     x = join_sized(x, reps, ["doc_id"], "left")
 
-    n = F.size("lines")
-    small = F.transform("lines", lambda z, i: ((i < EDGE) | (i >= n - EDGE)) & (z["sz"] < SMALL * F.col("body")))
     # a document whose sizes tell nothing: its repeated edge lines, looked up by their folded key
     known = F.coalesce("reps", F.array().cast("array<string>"))
     plain = F.transform("lines", lambda z, i: F.lit(False))
     edges = F.when(F.size(known) > 0, F.transform("lines", lambda z, i: F.when(i == 0, F.array_contains(known, F.concat(F.lit("t"), F.col("key_top")))).when(i == n - 1, F.array_contains(known, F.concat(F.lit("b"), F.col("key_bottom")))).otherwise(False))).otherwise(plain)
     with_reps = x.filter(F.col("reps").isNotNull() & ~F.col("has_small")).withColumn("key_top", edge_key(F.get("lines", 0)["t"])).withColumn("key_bottom", edge_key(F.try_element_at("lines", F.lit(-1))["t"]))
     cols = ["doc_id", "page_num", "sitio", "scanned", "lines"]
-    rest = x.filter(F.col("reps").isNull() | F.col("has_small"))
-    y = rest.select(*cols, F.when(F.col("has_small"), small).otherwise(plain).alias("run")).unionByName(with_reps.select(*cols, edges.alias("run"))) if reps.limit(1).count() else rest.select(*cols, F.when(F.col("has_small"), small).otherwise(plain).alias("run"))
+    rest = x.filter(F.col("reps").isNull() | F.col("has_small")).select(*cols, F.when(F.col("has_small"), small).otherwise(plain).alias("run"))
+    return rest.unionByName(with_reps.select(*cols, edges.alias("run"))) if reps.limit(1).count() else rest
+
+
+def _linked(y: DataFrame) -> DataFrame:
     # the next page's first body line, for words divided across pages
-    body = F.filter(F.arrays_zip("lines", "run"), lambda z: ~z["run"])
-    ends = y.select("doc_id", "page_num", F.get(body, 0).alias("f"), F.try_element_at(body, F.lit(-1)).alias("z")).filter(F.col("f").isNotNull())
+    first = F.array_position("run", False).cast("int")
+    last = F.size("run") - F.array_position(F.reverse("run"), False).cast("int")
+    ends = y.select("doc_id", "page_num", F.when(first > 0, F.get("lines", first - 1)).alias("f"), F.when(first > 0, F.get("lines", last)["t"]).alias("z")).filter(F.col("f").isNotNull())
     w = W.partitionBy("doc_id").orderBy("page_num")
-    link = ends.select(
-        "doc_id", "page_num", F.lead(F.struct(F.col("page_num").alias("p"), F.col("f.lines.b").alias("b"), F.col("f.lines.l").alias("l"), F.col("f.lines.t").alias("t"))).over(w).alias("nxt"), F.lag("z.lines.t").over(w).alias("prv"), F.col("z.lines.t").alias("own")
-    )
+    link = ends.select("doc_id", "page_num", F.lead(F.struct(F.col("page_num").alias("p"), F.col("f.b").alias("b"), F.col("f.l").alias("l"), F.col("f.t").alias("t"))).over(w).alias("nxt"), F.lag("z").over(w).alias("prv"), F.col("z").alias("own"))
     # only pages that end or begin within a word need to know their neighbours
     tail = rf"[\p{{L}}\p{{N}}][{HYPHENS}] *$"
     link = link.filter(F.col("own").rlike(tail) | F.col("prv").rlike(tail)).drop("own")
