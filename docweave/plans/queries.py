@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import web as wb
 from ..html import page as pg
+from ..layout import document as dc
 from ..layout import structure as ls
 from ..operators import corpus as cp
 
@@ -228,9 +229,13 @@ def web_markdown(spark: SparkSession, d: str) -> DataFrame:
     return converted(spark, d).select("page_id", F.concat(F.lit("---\ntitle: "), tx.yaml_quoted(F.col("title")), F.lit("\nsource_url: "), tx.yaml_quoted(F.coalesce("url", F.lit(""))), F.lit("\n---\n\n"), F.col("markdown")).alias("markdown"))
 
 
+def layout_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return dc.documents_markdown(table(spark, d, "layout_in"))
+
+
 ALL = (
     line_flags, caps_headings, doc_language, content_summary, exact_copies, size_candidates, formula_lines, code_documents, pipe_tables, repetition_keys, normal_spans, body_sizes, line_styles, running_lines, body_lines, layout_headings, prominent_titles,
-    reading_order, cover_ends, text_layers, ocr_decisions, layer_histogram, file_dates, document_names, front_matter, page_records, thin_reasons, new_captures, output_guard, section_index, plan_collection, work_items, link_overlaps, web_manifest, web_metadata, removed_chrome, web_markdown,
+    reading_order, cover_ends, text_layers, ocr_decisions, layer_histogram, file_dates, document_names, front_matter, page_records, thin_reasons, new_captures, output_guard, section_index, plan_collection, work_items, link_overlaps, web_manifest, web_metadata, removed_chrome, web_markdown, layout_markdown,
 )
 
 
