@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions import viewer as vw
 from ..functions import web as wb
 from ..html import page as pg
 from ..layout import document as dc
@@ -77,7 +78,7 @@ def pipe_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repetition_keys(spark: SparkSession, d: str) -> DataFrame:
-    x = doc_lines(spark, d).filter(F.col("line_no") < F.lit(2**31 - 1)).withColumn("key", tx.repetition_key(F.col("line")))
+    x = doc_lines(spark, d).withColumn("key", tx.repetition_key(F.col("line")))
     return x.filter(F.length("key") >= 6).groupBy("key").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("docs")).filter("docs >= 3")
 
 
@@ -233,9 +234,13 @@ def layout_markdown(spark: SparkSession, d: str) -> DataFrame:
     return dc.documents_markdown(table(spark, d, "layout_in"))
 
 
+def line_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return vw.line_kinds(doc_lines(spark, d)).groupBy("doc_id", "kind").agg(F.count("*").alias("lines"))
+
+
 ALL = (
     line_flags, caps_headings, doc_language, content_summary, exact_copies, size_candidates, formula_lines, code_documents, pipe_tables, repetition_keys, normal_spans, body_sizes, line_styles, running_lines, body_lines, layout_headings, prominent_titles,
-    reading_order, cover_ends, text_layers, ocr_decisions, layer_histogram, file_dates, document_names, front_matter, page_records, thin_reasons, new_captures, output_guard, section_index, plan_collection, work_items, link_overlaps, web_manifest, web_metadata, removed_chrome, web_markdown, layout_markdown,
+    reading_order, cover_ends, text_layers, ocr_decisions, layer_histogram, file_dates, document_names, front_matter, page_records, thin_reasons, new_captures, output_guard, section_index, plan_collection, work_items, link_overlaps, web_manifest, web_metadata, removed_chrome, web_markdown, layout_markdown, line_kinds,
 )
 
 
