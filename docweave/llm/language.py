@@ -37,11 +37,11 @@ def language_samples(paragraphs: DataFrame, labels: DataFrame, common_words: Dat
     """Raw dictionary content per language from a bounded sample: of each language at most SAMPLE_PARAGRAPHS
     paragraphs, least by hash of their text, whose record bears the label and whose frequent words agree with it."""
     words: dict[str, set[str]] = {x: set() for x in LANGUAGES}
-    for r in common_words.select("lang", "word").limit(5000).collect():
+    for r in common_words.select("lang", "word").collect():
         if r.lang in words and r.word:
             words[r.lang].add(r.word.lower())
     votes = [F.expr(f"regexp_count(lower(text), '{_own(words, x)}')").alias(x) for x in LANGUAGES]
-    p = paragraphs.filter(F.length("text") >= 2 * MIN_CHARS).select("kind", "id", "text", F.xxhash64("text").alias("h"))
+    p = paragraphs.filter(F.length("text") >= MIN_CHARS).select("kind", "id", "text", F.xxhash64("text").alias("h"))
     # a first, wider choice by hash keeps the counting of words to the sample
     p = join_sized(p, labels.filter(F.col("label").isin(*LANGUAGES)), ["kind", "id"])
     wide = p.withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy("h", "text"))).filter(F.col("rn") <= 3 * SAMPLE_PARAGRAPHS)

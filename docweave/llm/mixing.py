@@ -25,7 +25,7 @@ def demands(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     what it has; the rest is handed on to the others in proportion, as long as some can give. Missing sources give
     nothing; null or negative shares count as 0, repeats under 1 as 1."""
     t = targets.groupBy("mix_id", "source").agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1))).alias("max_repeats"))
-    x = t.join(F.broadcast(sizes.limit(100_000)), "source", "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("double")).withColumn("cap", F.col("available") * F.col("max_repeats"))
+    x = t.join(sizes, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("double")).withColumn("cap", F.col("available") * F.col("max_repeats"))
     mix = W.partitionBy("mix_id")  # a mix names a bounded number of sources
     goal = F.lit(float(total_tokens)) if total_tokens else F.sum("available").over(mix)
     x = x.withColumn("goal", goal)
@@ -69,7 +69,7 @@ def schedule(documents: DataFrame, targets: DataFrame, total_tokens: int | None
     sized = stored(with_token_counts(documents, ("doc_id", "source"), path=path).filter((F.col("n_tokens") > 0) & F.col("source").isNotNull()), "sizes")
     need = stored(demands(sized.groupBy("source").agg(F.sum("n_tokens").alias("available")), targets, total_tokens), "demands")
     use = need.filter(F.col("demand") > 0).select("mix_id", "source", "available", "demand", "slope", "max_repeats")
-    x = sized.join(F.broadcast(use.limit(100_000)), "source")
+    x = sized.join(F.broadcast(use), "source")  # at most a row per row of the fixed targets; a shuffle would gather a source
     epochs = F.least(F.ceil(F.col("demand") / F.col("available")), F.col("max_repeats")).cast("int")
     x = x.withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
     x = x.withColumn("h", F.xxhash64("doc_id", "epoch", F.lit(seed))).withColumn("slice", F.shiftrightunsigned("h", 56).cast("int") % SLICES)

@@ -75,8 +75,10 @@ def containers(documents: DataFrame, specs: DataFrame, path: str | None = None)
     are left out. Equal texts under several ids are packed each."""
     sized = stored(with_token_counts(documents, path=path), "tokens")
     rows = specs.filter(F.col("capacity_tokens") > 0).select("spec_id", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator_tokens"))
-    # the specs are a fixed small table
-    x = sized.filter(F.col("n_tokens") > 0).crossJoin(F.broadcast(rows.limit(1000)))
+    # the specs are a fixed small table: each text goes into containers of every capacity
+    each = [F.struct(F.lit(r.spec_id).alias("spec_id"), F.lit(r.capacity_tokens).alias("capacity_tokens"), F.lit(r.separator_tokens).alias("separator_tokens")) for r in rows.collect()]
+    none = F.array().cast("array<struct<spec_id:int,capacity_tokens:int,separator_tokens:int>>")
+    x = sized.filter(F.col("n_tokens") > 0).withColumn("spec", F.explode(F.array(*each) if each else none)).select("doc_id", "n_tokens", "spec.*")
     whole = F.floor(F.col("n_tokens") / F.col("capacity_tokens")).cast("int")
     parts = F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).cast("int")
     x = x.withColumn("full", F.when(F.col("n_tokens") > F.col("capacity_tokens"), whole).otherwise(0)).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -105,7 +107,7 @@ def containers(documents: DataFrame, specs: DataFrame, path: str | None = None)
 def fill_report(placed: DataFrame, specs: DataFrame) -> DataFrame:
     """(spec_id, capacity_tokens, containers, items, tokens, separators, fill): share of the capacity in use, by spec."""
     per = placed.groupBy("spec_id", "container").agg(F.count("*").alias("items"), F.sum("n_tokens").alias("tokens"))
-    x = per.join(F.broadcast(specs.limit(1000)), "spec_id")
+    x = per.join(F.broadcast(specs), "spec_id")  # a fixed small table
     sep = (F.col("items") - 1) * F.coalesce("separator_tokens", F.lit(0))
     return x.groupBy("spec_id", "capacity_tokens").agg(
         F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.sum(sep).alias("separators"), F.round((F.sum("tokens") + F.sum(sep)) / (F.count("*") * F.first("capacity_tokens")), 6).alias("fill")

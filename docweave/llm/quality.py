@@ -77,7 +77,7 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple[float, ...]:
 
 def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """One row of STATISTICS per document, over the whole text. ``common_words`` is a fixed list of at most some thousands."""
-    common = frozenset(r.word.lower() for r in common_words.select("word").limit(100_000).collect() if r.word)
+    common = frozenset(r.word.lower() for r in common_words.select("word").collect() if r.word)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,6 +174,31 @@ class Mixture:
         return e / e.sum(1, keepdims=True)
 
 
+#: Partitions above which the partial sums are added up in tasks before they go to the driver, and into how many.
+MANY_PARTITIONS, SUM_TASKS = 256, 32
+
+
+def _summed(parts: DataFrame) -> dict[str, np.ndarray | float]:
+    """Sums of the columns (numbers or arrays) of partial rows, of which every partition of the input gave one."""
+    schema = ", ".join(f"{n} {t}" for n, t in parts.dtypes)
+    names = [n for n, _ in parts.dtypes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b.to_pylist() for b in batches]
+        total = _added([r for part in rows for r in part], names)
+        if total:
+            yield pa.RecordBatch.from_pylist([{n: v.tolist() if isinstance(v, np.ndarray) else v for n, v in total.items()}], schema=arrow)
+
+    arrow = pa.schema([(n, pa.float64() if t == "double" else pa.list_(pa.float64())) for n, t in parts.dtypes])
+    if len(parts.inputFiles()) > MANY_PARTITIONS:
+        parts = parts.repartition(SUM_TASKS).mapInArrow(run, schema)
+    return _added([r.asDict() for r in parts.collect()], names)
+
+
+def _added(rows: list[dict], names: list[str]) -> dict[str, np.ndarray | float]:
+    return {n: sum(np.asarray(r[n], float) if isinstance(r[n], list) else r[n] for r in rows) for n in names} if rows else {}
+
+
 def _moments(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, q = 0, np.zeros(len(FEATURES)), np.zeros(len(FEATURES))
@@ -182,10 +207,13 @@ def _moments(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             n, s, q = n + len(x), s + x.sum(0), q + (x * x).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([q.tolist()], pa.list_(pa.float64()))], names=["n", "s", "q"])
 
-    parts = stats.select(*FEATURES).mapInArrow(run, "n double, s array<double>, q array<double>").collect()  # a row per partition
-    n = max(1.0, sum(p.n for p in parts))
-    mean = sum((np.array(p.s) for p in parts), np.zeros(len(FEATURES))) / n
-    var = sum((np.array(p.q) for p in parts), np.zeros(len(FEATURES))) / n - mean**2
+    parts = stats.select(*FEATURES).mapInArrow(run, "n double, s array<double>, q array<double>")
+    total = _summed(parts)
+    if not total:
+        return np.zeros(len(FEATURES)), np.ones(len(FEATURES))
+    n = max(1.0, total["n"])
+    mean = total["s"] / n
+    var = total["q"] / n - mean**2
     return mean, np.sqrt(np.maximum(var, 1e-4))
 
 
@@ -214,10 +242,11 @@ def fit(stats: DataFrame, common: Iterable[str], rounds: int = ROUNDS) -> Mixtur
         yield pa.RecordBatch.from_arrays([pa.array([n.tolist()], pa.list_(pa.float64())), pa.array([s.ravel().tolist()], pa.list_(pa.float64())), pa.array([q.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "s", "q"])
 
     for _ in range(rounds):
-        parts = stats.select(*FEATURES).mapInArrow(sums, "n array<double>, s array<double>, q array<double>").collect()  # a row per partition
-        n = sum((np.array(p.n) for p in parts), np.zeros(k))
-        s = sum((np.array(p.s).reshape(k, d) for p in parts), np.zeros((k, d)))
-        q = sum((np.array(p.q).reshape(k, d, d) for p in parts), np.zeros((k, d, d)))
+        parts = stats.select(*FEATURES).mapInArrow(sums, "n array<double>, s array<double>, q array<double>")
+        total = _summed(parts)
+        if not total:
+            break
+        n, s, q = total["n"], total["s"].reshape(k, d), total["q"].reshape(k, d, d)
         # a few rows' worth of prior at the example keeps rare components alive
         n1 = n + PRIOR
         centres = (s + PRIOR * z0) / n1[:, None]
@@ -254,7 +283,7 @@ def classified(stats: DataFrame, model: Mixture) -> DataFrame:
 def document_kinds(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """Statistics, kind and confidence of every document. Blank texts have zero statistics; repeated rows stay."""
     stats = stored(document_statistics(documents, common_words), "statistics")
-    common = [r.word.lower() for r in common_words.select("word").limit(100_000).collect() if r.word]
+    common = [r.word.lower() for r in common_words.select("word").collect() if r.word]
     return classified(stats, fit(stats, common))
 
 

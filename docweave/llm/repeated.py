@@ -68,17 +68,18 @@ def site_lines(keyed: DataFrame) -> DataFrame:
     per_doc = keyed.select("site", F.explode(F.filter(F.array_distinct(F.concat("keys", "extra")), lambda x: x.isNotNull())).alias("key"))
     per_site = stored(per_doc.groupBy("site", "key").agg(F.count("*").alias("k")), "site-lines")
     sizes = stored(keyed.groupBy("site").agg(F.count("*").alias("n")), "sites")
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    total = F.lit(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     tested = stored(per_site.filter(F.col("k") >= MIN_DOCS).select("key").distinct(), "tested")
     rates = join_sized(join_sized(per_site, tested, ["key"], "left_semi"), sizes, ["site"])
     heavy = F.col("k") >= MIN_SHARE * F.col("n")
     overall = rates.groupBy("key").agg(
         F.sum(F.when(~heavy, F.col("k")).otherwise(0)).alias("k_rest"), F.sum(F.when(heavy, F.col("n")).otherwise(0)).alias("n_heavy")
     )
-    t = rates.filter(F.col("k") >= MIN_DOCS).join(overall, "key").crossJoin(F.broadcast(total))  # one row
+    t = rates.filter(F.col("k") >= MIN_DOCS).join(overall, "key")
     k2 = F.col("k_rest") - F.when(~heavy, F.col("k")).otherwise(0)
-    n2 = F.col("total") - F.col("n_heavy") - F.when(~heavy, F.col("n")).otherwise(0)
-    t = t.withColumn("others", k2).withColumn("outside", n2)
+    n2 = total - F.col("n_heavy") - F.when(~heavy, F.col("n")).otherwise(0)
+    # prior: as many documents without the line as the site has, so a line frequent in every site is still told from none
+    t = t.withColumn("others", k2).withColumn("outside", n2 + F.col("n"))
     return t.select("site", "key", "k", "n", "others", "outside", _likelihood_ratio(F.col("k"), F.col("n"), F.col("others"), F.col("outside")).alias("g"))
 
 
