@@ -96,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "file_dates": "SELECT doc_id, fecha_archivo, CASE WHEN fecha_archivo IS NULL THEN '' WHEN length(fecha_archivo) = 10 THEN fecha_archivo WHEN contains(fecha_archivo, '+') THEN regexp_replace(fecha_archivo, ' ', 'T') ELSE fecha_archivo END AS iso FROM (SELECT DISTINCT doc_id, fecha_archivo FROM pdf_meta)",
         "reading_order": f"WITH {_LAY}, b AS (SELECT doc_id, page_num, block_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(width) AS width FROM ln GROUP BY 1, 2, 3), w AS (SELECT *, (x1 - x0 >= 0.6 * width)::INT AS wide, (bool_or(x1 <= 0.625 * width) OVER p AND bool_or(x0 >= 0.375 * width) OVER p) AS two FROM b WINDOW p AS (PARTITION BY doc_id, page_num)), c AS (SELECT *, CASE WHEN two THEN sum(wide) OVER (PARTITION BY doc_id, page_num ORDER BY y0, x0, block_no) * 2 - wide ELSE 0 END AS band, CASE WHEN wide = 1 OR NOT two THEN 0 ELSE (x0 >= 0.375 * width)::INT END AS side FROM w) SELECT doc_id, page_num, block_no, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY band, side, y0, x0, block_no)::INT AS turn FROM c",
         "line_kinds": f"WITH {_LINES}, r AS (SELECT doc_id, line_no, line, trim(line, ' ') = '---' AS bar, starts_with(ltrim(line, ' '), '```') AS fence FROM l), c AS (SELECT *, sum(bar::INT) OVER w AS bars, sum(fence::INT) OVER w AS fences, first_value(bar) OVER w AS head, length(regexp_extract(line, '^(#{{1,6}})\\s', 1)) AS lv FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), k AS (SELECT doc_id, CASE WHEN head AND (bars < 2 OR (bar AND bars = 2)) THEN 'front' WHEN fence OR fences % 2 = 1 THEN 'code' WHEN lv > 0 THEN 'heading' || least(lv, 4) WHEN regexp_matches(line, '^\\s*(---+|\\*\\*\\*+|___+)\\s*$') THEN 'rule' WHEN regexp_matches(line, '^\\s*>\\s*\\[!\\w+\\]') THEN 'callout' WHEN regexp_matches(line, '^\\s*>') THEN 'quote' WHEN regexp_matches(line, '^\\s*\\|') THEN 'table' WHEN regexp_matches(line, '^\\s*([-*+]|\\d+[.)])\\s') THEN 'list' WHEN regexp_matches(line, '\\]\\(|\\[\\[|<https?://') THEN 'link' ELSE 'text' END AS kind FROM c) SELECT doc_id, kind, count(*) AS lines FROM k GROUP BY 1, 2",
+        "forced_recognition": "WITH p AS (SELECT doc_id, page_num, max(coalesce(char_count, 0)) AS n FROM page_text GROUP BY 1, 2) SELECT doc_id, count_if(n >= 250) < 0.25 * count(*) AS forced FROM p GROUP BY 1",
     }

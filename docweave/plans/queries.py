@@ -12,6 +12,7 @@ from ..functions import viewer as vw
 from ..functions import web as wb
 from ..html import page as pg
 from ..layout import document as dc
+from ..layout import images as im
 from ..layout import structure as ls
 from ..operators import corpus as cp
 
@@ -238,9 +239,13 @@ def line_kinds(spark: SparkSession, d: str) -> DataFrame:
     return vw.line_kinds(doc_lines(spark, d)).groupBy("doc_id", "kind").agg(F.count("*").alias("lines"))
 
 
+def forced_recognition(spark: SparkSession, d: str) -> DataFrame:
+    return im.forced_recognition(table(spark, d, "page_text"))
+
+
 ALL = (
     line_flags, caps_headings, doc_language, content_summary, exact_copies, size_candidates, formula_lines, code_documents, pipe_tables, repetition_keys, normal_spans, body_sizes, line_styles, running_lines, body_lines, layout_headings, prominent_titles,
-    reading_order, cover_ends, text_layers, ocr_decisions, layer_histogram, file_dates, document_names, front_matter, page_records, thin_reasons, new_captures, output_guard, section_index, plan_collection, work_items, link_overlaps, web_manifest, web_metadata, removed_chrome, web_markdown, layout_markdown, line_kinds,
+    reading_order, cover_ends, text_layers, ocr_decisions, layer_histogram, file_dates, document_names, front_matter, page_records, thin_reasons, new_captures, output_guard, section_index, plan_collection, work_items, link_overlaps, web_manifest, web_metadata, removed_chrome, web_markdown, layout_markdown, line_kinds, forced_recognition,
 )
 
 
