@@ -42,9 +42,10 @@ def language_samples(paragraphs: DataFrame, labels: DataFrame, common_words: Dat
             words[r.lang].add(r.word.lower())
     votes = [F.expr(f"regexp_count(lower(text), '{_own(words, x)}')").alias(x) for x in LANGUAGES]
     p = paragraphs.filter(F.length("text") >= MIN_CHARS).select("kind", "id", "text", F.xxhash64("text").alias("h"))
-    # a first, wider choice by hash keeps the counting of words to the sample
+    # a first, wider choice by hash keeps the counting of words to the sample; up to 1000 rows a label the limit is
+    # applied before the shuffle, so no task holds the paragraphs of a language
     p = join_sized(p, labels.filter(F.col("label").isin(*LANGUAGES)), ["kind", "id"])
-    wide = p.withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy("h", "text"))).filter(F.col("rn") <= 3 * SAMPLE_PARAGRAPHS)
+    wide = p.withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy("h", "text"))).filter(F.col("rn") <= 2 * SAMPLE_PARAGRAPHS)
     counted = wide.select("label", "h", "text", *votes)
     best = F.greatest(*[F.col(x) for x in LANGUAGES])
     agree = F.coalesce(*[F.when(F.col("label") == x, F.col(x)) for x in LANGUAGES])
