@@ -48,6 +48,13 @@ def body_sizes(spans: DataFrame) -> DataFrame:
     return per.groupBy("doc_id").agg(F.max_by("size", F.struct(F.col("n"), -F.col("size"))).alias("body"))
 
 
+def body_sizes_without_notes(spans: DataFrame, zone: float = 0.82) -> DataFrame:
+    """As body_sizes, over the spans above the zone of footnotes; documents with text only there take all of it."""
+    h = F.when(F.coalesce(F.col("height"), F.lit(0.0)) > 0, F.col("height")).otherwise(PAGE_HEIGHT)
+    above = body_sizes(spans.filter(F.col("y0") < zone * h))
+    return above.unionByName(body_sizes(spans).join(above, "doc_id", "left_anti"))
+
+
 def in_margin(y0: Column, y1: Column, height: Column) -> Column:
     """In the top or bottom strip of the page; lines without coordinates are not."""
     h = F.when(F.coalesce(height, F.lit(0.0)) > 0, height).otherwise(PAGE_HEIGHT)

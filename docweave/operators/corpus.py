@@ -92,7 +92,7 @@ def work_items(lines: DataFrame, list_id: str = "list_id") -> DataFrame:
     cells = F.transform(F.split(bare, r"\s*[;|\t]\s*"), tx.strip)
     url = F.get(F.filter(cells, wb.is_url), 0)
     page = F.get(F.filter(cells, lambda c: c.rlike(r"(?i)\.html?$") & ~wb.is_url(c)), 0)
-    x = x.select(list_id, "line_no", F.coalesce("section", F.lit("General")).alias("section"), page.alias("page"), F.regexp_replace(url, r"[.,;:]+$", "").alias("u"))
+    x = x.select(list_id, "line_no", F.coalesce("section", F.lit("General")).alias("section"), page.alias("page"), clean_address(url).alias("u"))
     x = x.filter(F.col("page").isNotNull() | F.col("u").isNotNull())
     return x.select(list_id, "line_no", "section", F.when(F.col("page").isNotNull(), "local").otherwise("url").alias("kind"), F.coalesce("page", "u").alias("origin"), F.when(F.col("page").isNotNull(), F.coalesce("u", F.lit(""))).otherwise("").alias("declared_url"))
 
@@ -101,3 +101,33 @@ def manifest_summary(rows: DataFrame, group: str) -> DataFrame:
     """(group, items, complete, scarce, absent, chars) of a web manifest with n_chars, a row per section."""
     c = wb.content_class(F.col("n_chars"))
     return rows.groupBy(F.coalesce(F.col(group), F.lit("General")).alias(group)).agg(F.count("*").alias("items"), F.count_if(c == "complete").alias("complete"), F.count_if(c == "scarce").alias("scarce"), F.count_if(c == "absent").alias("absent"), F.sum("n_chars").alias("chars"))
+
+
+def local_alternatives(thin: DataFrame, files: DataFrame) -> DataFrame:
+    """Thin outputs (name, folder) with ``alternative``: a saved page (path) of the same base name in the folder, the
+    one above it or the html folder beside it, in this order; of several in one place the first by path."""
+    f = files.select("path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("__dir"), F.lower(F.regexp_extract("path", r"([^/]+)\.html?$", 1)).alias("__base")).filter(F.col("__base") != "")
+    up = F.regexp_extract("folder", r"^(.*)/[^/]*$", 1)
+    t = thin.withColumn("__base", F.lower(F.regexp_replace("name", r"\.[^.]+$", ""))).withColumn("__places", F.array(F.col("folder"), up, F.concat(up, F.lit("/html"))))
+    best = t.join(f, "__base").withColumn("__rank", F.array_position("__places", F.col("__dir"))).filter("__rank > 0").groupBy("folder", "name").agg(F.min_by("path", F.struct("__rank", "path")).alias("alternative"))
+    return thin.join(best, ["folder", "name"], "left")
+
+
+def to_repeat(manifest: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Manifest rows (name, layer) whose output was made without a text layer and exists: to be made again with recognition."""
+    return manifest.filter(F.col("layer") == "absent").join(outputs.select("name").distinct(), "name")
+
+
+def clean_address(c: Column) -> Column:
+    """An address without trailing punctuation and without closing parentheses that open nowhere in it."""
+    s = F.regexp_replace(c, r"[.,;:]+$", "")
+    closing = F.length(s) - F.length(F.replace(s, F.lit(")"), F.lit("")))
+    opening = F.length(s) - F.length(F.replace(s, F.lit("("), F.lit("")))
+    spare = F.greatest(closing - opening, F.lit(0))
+    ends = F.length(F.regexp_extract(s, r"(\)*)$", 1))
+    return F.substring(s, F.lit(1), F.length(s) - F.least(spare, ends))
+
+
+def queue_summary(rows: DataFrame) -> DataFrame:
+    """(state, items, chars) of a queue of rows (state, n_chars), null states as waiting."""
+    return rows.groupBy(F.coalesce("state", F.lit("waiting")).alias("state")).agg(F.count("*").alias("items"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))

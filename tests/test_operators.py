@@ -121,3 +121,17 @@ def test_incremental(spark, tmp_path):
         q = ingest.incremental(ingest.stream_rows(spark, src, "id int, v string"), "id", lambda d: d.select("id", F.upper("v").alias("v")), man, chk)
         q.awaitTermination(60)
     assert sorted((r.id, r.v) for r in spark.read.parquet(man).collect()) == [(1, "A"), (2, "B"), (3, "C")]
+
+
+def test_alternatives_and_queue(spark):
+    thin = spark.createDataFrame([("a.md", "/o/x"), ("b.md", "/o/x")], "name string, folder string")
+    files_ = spark.createDataFrame([("/o/html/a.html",), ("/o/A.HTML",), ("/q/b.html",)], "path string")
+    assert {r.name: r.alternative for r in cp.local_alternatives(thin, files_).collect()} == {"a.md": "/o/html/a.html", "b.md": None}
+    u = spark.createDataFrame([("https://a/x_(16)",), ("https://a/x).",), ("https://a/x;",), (None,)], "u string")
+    assert [r[0] for r in u.select(cp.clean_address(F.col("u"))).collect()] == ["https://a/x_(16)", "https://a/x", "https://a/x", None]
+    q = spark.createDataFrame([("done", 5), ("done", None), (None, 1)], "state string, n_chars int")
+    assert {r.state: (r.items, r.chars) for r in cp.queue_summary(q).collect()} == {"done": (2, 5), "waiting": (1, 1)}
+    m = spark.createDataFrame([("a", "absent"), ("b", "native"), ("c", "absent")], "name string, layer string")
+    assert [r.name for r in cp.to_repeat(m, m.filter("name <> 'c'")).collect()] == ["a"]
+    s = sample(spark)
+    assert ls.body_sizes_without_notes(s).first().body == 11.0
