@@ -25,11 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lost executors lose nothing of it."""
+def stored(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lost executors lose nothing of it.
+
+    With ``by`` in folders of that column's values, so that a filter on it reads only its own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
