@@ -87,4 +87,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries it can express: the exact rule of problem 5, which the operator's result has to meet."""
+    return {
+        "p5_found": "WITH s AS (SELECT doc_id, regexp_replace(lower(trim(sitio)), '^www\\.', '') AS site, text, lineas_suprimidas AS x FROM documents WHERE sitio IS NOT NULL AND trim(sitio) <> ''), "
+        "t AS (SELECT doc_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM s UNION ALL SELECT doc_id, site, unnest(x), NULL FROM s), "
+        "k AS (SELECT doc_id, site, n, regexp_replace(lower(line), '[^\\p{L}]', '', 'g') AS k FROM t), z AS (SELECT site, count(DISTINCT doc_id) AS docs FROM s GROUP BY 1), "
+        "e AS (SELECT k.site, k FROM k JOIN z ON z.site = k.site WHERE length(k) >= 8 GROUP BY k.site, k, docs HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) >= 0.1 * docs) "
+        "SELECT DISTINCT k.doc_id, k.n::INT AS line_no FROM k JOIN e ON e.site = k.site AND e.k = k.k WHERE k.n IS NOT NULL",
+    }
