@@ -16,8 +16,12 @@ from ..storage import join_sized, stored
 READ_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "iso8859_2", "cp1250", "cp1251", "iso8859_15", "cp1254")
 OWN = ("utf-8", "cp1252", "mac_roman", "cp850")
 IDENTITY, LOST = "none", "lost"
-#: How much more frequent a repaired token must be than the token as it stands, and the most one token may count (logs).
+#: From which gain a token counts alone, where only a part of a record is garbled; the most one token may count (logs).
 MIN_GAIN, MAX_GAIN, SYMBOL_GAIN = 1.2, 6.0, 2.0
+#: Weight in records of the characters of a token beside its own frequency, and what is added to every frequency.
+CHARACTERS, ADDED = 2.0, 0.05
+#: Times the evidence is counted: at first over all records, then each with its posterior to be clean.
+PASSES = 2
 #: Rounds of expectation-maximization; weight in records of the prior; prior share of each wrong chain.
 ROUNDS, PRIOR_RECORDS, CHAIN_SHARE = 3, 20.0, 0.002
 
@@ -127,8 +131,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fixed: str | None = plain
                 for read_as, of in steps:
                     fixed = undo(fixed, read_as, of) if fixed is not None else None
-                if fixed is None or fixed == plain or any(c < " " or "\x7f" <= c <= "\x9f" for c in fixed):
-                    continue
+                if fixed is None or any(c < " " or "\x7f" <= c <= "\x9f" for c in fixed):
+                    continue  # no row: the chain cannot have made this token
                 ts.append(token)
                 own.append(token_key(plain))
                 cs.append(name)
@@ -137,20 +141,46 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ts, pa.string()), pa.array(own, pa.string()), pa.array(cs, pa.string()), pa.array(ks, pa.string()), pa.array(gains, pa.float64())], names=["token", "own", "chain", "key", "cap"])
 
 
-def token_evidence(tokens: DataFrame) -> DataFrame:
-    """Stored (token, chain, gain): log ratio by which the repaired token is more frequent than the token as it
-    stands, for tokens that some chain explains better. Frequencies are pages, over all sources."""
-    counted = stored(tokens.groupBy("token").agg(F.count("*").alias("n")), "tokens")
-    cand = stored(counted.select("token").mapInArrow(_candidates, "token string, own string, chain string, key string, cap double"), "candidates")
+def token_evidence(cand: DataFrame, counted: DataFrame) -> DataFrame:
+    """Stored (token, chain, gain): log ratio of the frequency of the repaired token to that of the token as it stands,
+    positive or negative; 0 where the chain changes nothing. ``counted`` are the pages of each token.
+
+    A token does not speak for itself, so one page is taken off its own frequency. Words that are rare or never seen
+    are judged by their characters beyond ASCII too, as the rest of the word is the same before and after repair."""
+
+    def characters(c: str) -> Column:
+        return F.trim(F.regexp_replace(c, "[\\x00-\\x7f]+", " "))
+
     freq = stored(cand.filter(F.col("chain") == IDENTITY).join(counted, "token").groupBy("key").agg(F.sum("n").alias("n")), "frequency")
-    wrong = cand.filter(F.col("chain") != IDENTITY)
-    own = join_sized(wrong, freq.select(F.col("key").alias("own"), F.col("n").alias("n_own")), ["own"])
-    both = join_sized(own, freq, ["key"], "left")
+    total = freq.agg(F.sum("n")).first()[0] or 1.0
+    odd = stored(freq.groupBy(characters("key").alias("odd")).agg((F.sum("n") * (CHARACTERS / total)).alias("w")), "characters")
+    known = join_sized(freq.withColumn("odd", characters("key")), odd, ["odd"]).select(F.col("key").alias("own"), (F.greatest(F.col("n") - 1, F.lit(0.0)) + F.col("w") + ADDED).alias("n_own"))
+    wrong = cand.filter(F.col("chain") != IDENTITY).withColumn("odd", characters("key"))
+    both = join_sized(join_sized(join_sized(wrong, stored(known, "own"), ["own"]), freq, ["key"], "left"), odd, ["odd"], "left")
+    ratio = F.log((F.coalesce("n", F.lit(0.0)) + F.coalesce("w", F.lit(0.0)) + ADDED) / F.col("n_own"))
     # C1 controls and lost characters belong to no text: they count even where no frequent word is behind them
     control = F.col("own").rlike("[\\x{80}-\\x{9f}]") & F.col("n").isNotNull()
-    gain = F.when(F.col("chain") == LOST, F.col("cap")).when(control, F.greatest(F.log((F.coalesce("n", F.lit(0)) + 0.5) / (F.col("n_own") + 0.5)), F.lit(3.0)))
-    gain = F.least(gain.otherwise(F.log((F.coalesce("n", F.lit(0)) + 0.5) / (F.col("n_own") + 0.5))), "cap")
-    return stored(both.select("token", "chain", gain.alias("gain")).filter(F.col("gain") >= MIN_GAIN), "evidence")
+    gain = F.when(F.col("chain") == LOST, F.col("cap")).when(F.col("key") == F.col("own"), 0.0).when(control, F.greatest(ratio, F.lit(3.0))).otherwise(ratio)
+    return stored(both.select("token", "chain", F.greatest(F.least(gain, "cap"), F.lit(-MAX_GAIN)).alias("gain")), "evidence")
+
+
+def _scores(tokens: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Stored (page_id, source, chain, score): log ratio of each chain that speaks for a record by some token, over all
+    tokens of the record, for and against: the best of all of it being garbled, half of it, and only what stands out."""
+    group = ["page_id", "source", "chain"]
+
+    def sums(gain: Column) -> list[Column]:
+        return [F.sum(gain).alias("whole"), F.sum(F.log((F.exp(gain) + 1) / 2)).alias("half"), F.sum(F.when(gain >= MIN_GAIN, gain).otherwise(0.0)).alias("part")]
+
+    plus = stored(join_sized(tokens, stored(evidence.filter("gain > 0"), "for"), ["token"]).groupBy(*group).agg(*sums(F.col("gain"))), "for")
+    # negative evidence changes only what has some for it: other chains are below any prior
+    asked = plus.filter(F.col("chain") != LOST).select(*group)
+    pairs = tokens.join(asked, ["page_id", "source"])
+    gain = F.coalesce("gain", F.lit(-MAX_GAIN))
+    minus = pairs.join(evidence, ["token", "chain"], "left").filter(F.coalesce("gain", F.lit(-1.0)) < 0).groupBy(*group).agg(*sums(gain))
+    parts = ("whole", "half", "part")
+    both = plus.unionByName(minus).groupBy(*group).agg(*[F.sum(c).alias(c) for c in parts])
+    return stored(both.select(*group, F.greatest(*parts).alias("score")), "scores")
 
 
 def record_posteriors(web_in: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -158,20 +188,32 @@ def record_posteriors(web_in: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     the posterior that the text is garbled at all.
 
     The latent chain of a record has a prior per source that expectation-maximization learns over all of the source's
-    records, so that weak evidence counts more where other records of the source show the same chain."""
-    tokens = stored(visible_tokens(web_in), "visible")
-    evidence = token_evidence(tokens)
+    records, so that weak evidence counts more where other records of the source show the same chain. Frequencies are
+    counted again with each record's posterior to be clean, so that a form does not look ordinary because many garbled
+    records have it."""
+    tokens = stored(visible_tokens(web_in).distinct(), "visible")
+    counted = stored(tokens.groupBy("token").agg(F.count("*").cast("double").alias("n")), "tokens")
+    cand = stored(counted.select("token").mapInArrow(_candidates, "token string, own string, chain string, key string, cap double"), "candidates")
     records = stored(tokens.select("page_id", "source").distinct().groupBy("source").agg(F.count("*").alias("records")), "sources")
-    hit = join_sized(tokens.distinct(), evidence, ["token"])
-    score = stored(hit.groupBy("page_id", "source", "chain").agg(F.sum("gain").alias("score")), "scores")
+    clean = counted
+    for k in range(PASSES):
+        post = stored(_learned(_scores(tokens, token_evidence(cand, clean)), records, rounds), "posteriors")
+        if k < PASSES - 1:
+            garbled = tokens.join(post.groupBy("page_id", "source").agg(F.sum("p").alias("p")), ["page_id", "source"]).groupBy("token").agg(F.sum("p").alias("p"))
+            clean = stored(counted.join(garbled, "token", "left").select("token", F.greatest(F.col("n") - F.coalesce("p", F.lit(0.0)), F.lit(0.0)).alias("n")), "clean")
+    best = post.groupBy("page_id", "source").agg(F.max_by("chain", "p").alias("chain"), F.sum("p").alias("posterior"))
+    return best.withColumn("restorable", F.col("chain") != LOST)
+
+
+def _learned(score: DataFrame, records: DataFrame, rounds: int) -> DataFrame:
+    """Posteriors of the scores under priors per source and chain, learned in ``rounds``."""
     prior: Column = F.log(F.lit(CHAIN_SHARE))
     post = _posterior(score.withColumn("prior", prior))
     for _ in range(rounds):
         shares = post.groupBy("source", "chain").agg(F.sum("p").alias("p"))
         learned = shares.join(records, "source").select("source", "chain", F.log((F.col("p") + CHAIN_SHARE * PRIOR_RECORDS) / (F.col("records") + PRIOR_RECORDS)).alias("learned"))
         post = _posterior(join_sized(score, stored(learned, "priors"), ["source", "chain"], "left").withColumn("prior", F.coalesce("learned", prior)).drop("learned"))
-    best = post.groupBy("page_id", "source").agg(F.max_by("chain", "p").alias("chain"), F.sum("p").alias("posterior"))
-    return best.withColumn("restorable", F.col("chain") != LOST)
+    return post
 
 
 def _posterior(scored: DataFrame) -> DataFrame:

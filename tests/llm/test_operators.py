@@ -113,6 +113,18 @@ def test_garbled_records(spark):
     assert set(got) == {57, 58, 59} and not got[58] and got[59]
 
 
+def test_weak_evidence_is_pooled(spark):
+    """Every third page garbled, so that the right word is only twice as frequent; a page of garbled words seen nowhere else."""
+    r, rows = random.Random(11), []
+    for i in range(90):
+        t = " ".join(sentence(r) for _ in range(8))
+        rows.append((i, f"https://{'a' if i % 3 else 'b'}.test/x", f"<body><p>{t if i % 3 else t.encode().decode('cp1252', 'replace').replace('�', 'Ã')}</p></body>"))
+    once = ["".join(r.choice("bdflmnprst") + r.choice("aeiou") for _ in range(3)) + "ción" for _ in range(24)]
+    rows += [(100, "https://c.test/x", f"<body><p>{' '.join(once[:12]).encode().decode('cp1252')}</p></body>"), (101, "https://c.test/x", f"<body><p>{' '.join(once[12:])}</p></body>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").select("*", F.lit(None).cast("string").alias("url_final"), F.lit("utf-8").alias("encoding"))
+    assert {x.page_id for x in encoding.garbled_records(df).collect()} == {*range(0, 90, 3), 100}
+
+
 # problem 4
 
 
