@@ -27,8 +27,8 @@ BANDS, ROWS = 60, 4
 SKETCH, SKETCH_LEAST = 128, 0.33
 #: Keys or ids up to this number are broadcast to probe a table that stays in place; more are joined by shuffle.
 PROBE_KEYS = 500_000
-#: Rounds of expectation-maximization over agreement patterns, and the match probability from which a pair is checked exactly.
-ROUNDS, CHECK_FROM = 20, 0.001
+#: Rounds of expectation-maximization over agreement patterns.
+ROUNDS = 20
 FIELDS = ("title", "author", "sha", "lang", "close")
 
 RECORD = "kind string, id bigint, lote int, title string, author string, sha string, lang string, words string, sketch binary, keys array<bigint>"
@@ -242,7 +242,7 @@ class History:
         pattern = F.array(*[F.col(f"f_{f}") for f in FIELDS])
         patterns = near.groupBy(pattern.alias("p")).count().collect()  # at most 3**len(FIELDS) rows
         prior, m, u = learned_weights([(tuple(r.p), r["count"]) for r in patterns])
-        near = self._checked(near, prior, m, u)
+        near = self._weighed(near, prior, m, u)
         texts = self.records.select("kind", "id", "words")
         wanted = stored(near.select("kind", F.col("a").alias("id")).union(near.select("kind", F.col("b").alias("id"))).distinct(), "wanted")
         texts = join_sized(texts, wanted, ["kind", "id"], "left_semi", limit=PROBE_KEYS)
@@ -269,14 +269,14 @@ class History:
         return y.select("kind", "a", "b", "agree", *[agree(c).alias(f"f_{c}") for c in ("title", "author", "sha", "lang")], (F.col("agree") >= SIMILAR).cast("int").alias("f_close"))
 
     @staticmethod
-    def _checked(near: DataFrame, prior: float, m: np.ndarray, u: np.ndarray) -> DataFrame:
-        """Pairs with the probability to match under the learned weights, from CHECK_FROM on or close by sketch."""
+    def _weighed(near: DataFrame, prior: float, m: np.ndarray, u: np.ndarray) -> DataFrame:
+        """Pairs with the probability to match under the learned weights; it is reported, the exact check decides."""
         log_odds: Column = F.lit(math.log(prior / (1 - prior)))
         for j, f in enumerate(FIELDS):
             c = F.col(f"f_{f}")
             log_odds = log_odds + F.when(c > 0, float(np.log(m[j] / u[j]))).when(c == 0, float(np.log((1 - m[j]) / (1 - u[j])))).otherwise(0.0)
         p = 1 / (1 + F.exp(-log_odds))
-        return near.withColumn("match", p).filter((F.col("match") >= CHECK_FROM) | (F.col("f_close") > 0)).select("kind", "a", "b", "match")
+        return near.withColumn("match", p).select("kind", "a", "b", "match")
 
     @staticmethod
     def _exact(t: DataFrame) -> DataFrame:

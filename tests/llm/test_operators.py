@@ -160,6 +160,31 @@ def test_repeats_against_brute_force(spark):
     assert got == {(i, find(i)) for i in texts if find(i) != i}
 
 
+TEXT_COLUMNS = "kind string, id bigint, lote int, title string, author string, sha string, lang string, text string"
+
+
+def signed(text):
+    sig = linkage.signature(linkage.sequences(text.split(" ")))
+    return sig[: linkage.SKETCH] & 0xFF, set(linkage.band_keys(sig).tolist())
+
+
+def test_repeats_with_other_fields_are_checked(spark):
+    """Texts just over the threshold whose sketch is under it, with nothing else in common, beside sure copies."""
+    r, rows, want = random.Random(7), [], set()
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    for i in range(0, 300, 2):
+        core = [word() for _ in range(208)]
+        a, b = (" ".join(core + [word() for _ in range(100 if i < 200 else 0)]) for _ in range(2))
+        (x, kx), (y, ky) = signed(a), signed(b)
+        if linkage.similarity(a, b) >= linkage.SIMILAR and kx & ky and (x == y).mean() >= linkage.SKETCH_LEAST:
+            want.add((i + 1, i))
+        for j, t in enumerate((a, b)):
+            own = (i, j) if i < 200 else (i, 0)
+            rows.append(("web", i + j, 0, f"title {own}", f"author {own}", f"sha {own}", "es", t))
+    got = {(x.id, x.representative) for x in linkage.link_batches(spark.createDataFrame(rows, TEXT_COLUMNS)).representatives().collect()}
+    assert len(want) > 140 and got == want
+
+
 def test_weights_are_learned():
     pats = [((1, 1, -1, 1, 1), 90), ((0, 0, -1, 1, 0), 300), ((0, 1, 0, 0, 0), 100), ((1, 1, 1, 1, 1), 10)]
     prior, m, u = linkage.learned_weights(pats)
