@@ -1,12 +1,13 @@
 """Problem 4: new batches against all history, by incremental record linkage.
 
-A history is a folder of tables that only grow: ``keys`` (blocking key, the first record of a batch that has it), ``records``
-(sketch, fields and text of each record) and, per batch, ``roots`` (record, root), the union-find mapping of the
+A history is a folder of tables that only grow: ``keys`` (blocking key and every record that has it, exact copies within a
+batch only once), ``records`` (sketch, fields and text of each record) and, per batch, ``roots`` (record, root), the union-find mapping of the
 records that have links. A batch probes the keys, scores the pairs, checks them exactly and rewrites only the
 mapping; it never reads the text of history but of the records it was paired with."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ PROBE_KEYS = 500_000
 ROUNDS = 20
 FIELDS = ("title", "author", "sha", "lang", "close")
 
-RECORD = "kind string, id bigint, lote int, title string, author string, sha string, lang string, words string, sketch binary, keys array<bigint>"
+RECORD = "kind string, id bigint, lote int, title string, author string, sha string, lang string, words string, sketch binary, digest binary, keys array<bigint>"
 
 # Characters recognition confuses, one for each group.
 _FOLDED = (b"eai1o5fh69", b"cnll0stbbg")
@@ -136,15 +137,16 @@ def as_records(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, sketches, keys = [], [], []
+            words, sketches, digests, keys = [], [], [], []
             for kind, text in zip(b.column("kind").to_pylist(), b.column("text").to_pylist()):
                 ws = normal_words(text, kind == "pdf")
                 sig = signature(seq) if len(seq := sequences(ws)) else np.zeros(BANDS * ROWS, np.uint32)
                 words.append(" ".join(ws))
+                digests.append(hashlib.blake2b(words[-1].encode(), digest_size=16).digest())
                 sketches.append((sig[:SKETCH] & np.uint32(0xFF)).astype(np.uint8).tobytes())
                 keys.append((band_keys(sig) ^ np.int64(0x5DEECE66D if kind == "pdf" else 0)).tolist() if ws else [])
             cols = [b.column(c) for c in ("kind", "id", "lote", "title", "author", "sha", "lang")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(words, pa.string()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["kind", "id", "lote", "title", "author", "sha", "lang", "words", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(words, pa.string()), pa.array(sketches, pa.binary()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["kind", "id", "lote", "title", "author", "sha", "lang", "words", "sketch", "digest", "keys"])
 
     t = texts.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("kind", "id", F.coalesce("lote", F.lit(0)).cast("int").alias("lote"), "title", "author", "sha", "lang", "text")
     return t.mapInArrow(run, RECORD).filter(F.size("keys") > 0)
@@ -209,7 +211,7 @@ class History:
         self.roots: DataFrame | None = None
 
     def _keys(self) -> DataFrame:
-        schema = "key bigint, pdf int, lote int, id bigint, n bigint"
+        schema = "key bigint, pdf int, lote int, id bigint"
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/keys/{i}" for i in range(self.batches)]) if self.batches else self.spark.createDataFrame([], schema)
 
     def _written(self, name: str, df: DataFrame) -> DataFrame:
@@ -223,18 +225,58 @@ class History:
         known = self._keys()
         if self.copy_records:
             batch = self._written("records", batch)
+        # exact copies meet the first of them only, in whose place the others have no keys
+        same = stored(batch.groupBy("kind", "digest").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
+        copies = stored(join_sized(batch.select("kind", "digest", "id"), same, ["kind", "digest"]).filter("id != b").select("kind", F.col("id").alias("a"), "b"), "copies")
+        distinct = join_sized(batch.select("kind", "lote", "id", "keys"), copies.select("kind", F.col("a").alias("id")), ["kind", "id"], "left_anti")
         # the kind as a number: sums over numbers need no sort
-        new = batch.select((F.col("kind") == "pdf").cast("int").alias("pdf"), "lote", "id", F.explode("keys").alias("key"))
-        # a hot key is reduced to its first record on the map side; its other records meet that one only
-        first = self._written("keys", new.groupBy("key").agg(F.max("pdf").alias("pdf"), F.max("lote").alias("lote"), F.min("id").alias("id"), F.count("*").alias("n")))
+        new = self._written("keys", distinct.select(F.explode("keys").alias("key"), (F.col("kind") == "pdf").cast("int").alias("pdf"), "lote", "id"))
+        first = stored(new.groupBy("key").agg(F.max("pdf").alias("pdf"), F.min("id").alias("id"), F.count("*").alias("n")), "first")
         # the keys of history are scanned once, without being moved, against the counted keys of the batch
-        old = join_sized(known.select("key", "pdf", "lote", "id"), first.select("key"), ["key"], "left_semi", limit=PROBE_KEYS)
-        old = old.groupBy("key", "pdf").agg(F.min(F.struct("lote", "id")).alias("head")).select("key", "pdf", F.col("head.id").alias("b"))
-        # most keys are new and of one record: they pair nothing
-        heads = stored(old.unionByName(first.filter("n > 1").select("key", "pdf", F.col("id").alias("b"))), "heads")
-        pairs = join_sized(new, heads, ["key", "pdf"], limit=PROBE_KEYS).filter(F.col("id") != F.col("b")).select(F.when(F.col("pdf") == 1, "pdf").otherwise("web").alias("kind"), F.col("id").alias("a"), "b").distinct()
+        old = stored(join_sized(known, first.select("key"), ["key"], "left_semi", limit=PROBE_KEYS), "old")
+        heads = old.groupBy("key", "pdf").agg(F.min(F.struct("lote", "id")).alias("head"), F.count("*").alias("n"))
+        heads = stored(heads.select("key", "pdf", F.col("head.id").alias("b"), "n"), "old-heads")
+        # most keys are new and of one record: they pair nothing. The first records of a key are tried at first
+        heads_all = stored(heads.select("key", "pdf", "b").unionByName(first.filter("n > 1").select("key", "pdf", F.col("id").alias("b"))), "heads")
+        pairs = join_sized(new, heads_all, ["key", "pdf"], limit=PROBE_KEYS).filter(F.col("id") != F.col("b")).select(self._kind().alias("kind"), F.col("id").alias("a"), "b")
+        pairs = stored(pairs.union(copies).distinct(), "pairs")
         self.records = batch if self.records is None else self.records.unionByName(batch)
         self.batches += 1
+        links = self._links(pairs)
+        self._merge(links)
+        rest = self._other_holders(first, heads, old, new, pairs)
+        if rest.limit(1).count():
+            more = self._links(rest)
+            self._merge(more)
+            links = links.unionByName(more)
+        return links
+
+    @staticmethod
+    def _kind() -> Column:
+        return F.when(F.col("pdf") == 1, "pdf").otherwise("web")
+
+    def _other_holders(self, first: DataFrame, heads: DataFrame, old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Stored (kind, a, b): pairs of a key with a new record that were not compared yet and are not in one cluster
+        already. So of all holders of a key each two are compared or known to repeat the same; a group that its first
+        record holds together gives no pair, and only a key of different texts gives one for each two of them."""
+        size = first.join(heads.select("key", F.col("n").alias("n_old")), "key", "left").select("key", "n", F.coalesce("n_old", F.lit(0)).alias("n_old"))
+        crowded = stored(size.filter("n + n_old > 2").select("key"), "crowded")
+        holders = join_sized(old.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True))), crowded, ["key"], limit=PROBE_KEYS)
+        holders = holders.withColumn("kind", self._kind())
+        if self.roots is not None:
+            holders = holders.join(self.roots.select("kind", "id", F.col("root.id").alias("root")), ["kind", "id"], "left").withColumn("root", F.coalesce("root", "id"))
+        else:
+            holders = holders.withColumn("root", F.col("id"))
+        holders = stored(holders.select("key", "kind", "id", "root", "is_new"), "holders")
+        mixed = stored(holders.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key"), "mixed")
+        holders = join_sized(holders, mixed, ["key"], "left_semi", limit=PROBE_KEYS)
+        x = holders.filter("is_new").select("key", "kind", F.col("id").alias("a"), F.col("root").alias("root_a"))
+        y = holders.select("key", "kind", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("is_new").alias("b_new"))
+        both = x.join(y, ["key", "kind"]).filter((F.col("root_a") != F.col("root_b")) & (~F.col("b_new") | (F.col("a") > F.col("b")))).select("kind", "a", "b").distinct()
+        return stored(both.join(pairs, ["kind", "a", "b"], "left_anti"), "pairs")
+
+    def _links(self, pairs: DataFrame) -> DataFrame:
+        """Stored links (kind, a, b, match, similarity) among pairs of records."""
         slim = self.records.select("kind", "id", "title", "author", "sha", "lang", "sketch")
         x = pairs.join(slim.withColumnRenamed("id", "a"), ["kind", "a"])
         y = slim.select("kind", F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("title", "author", "sha", "lang", "sketch")])
@@ -247,9 +289,7 @@ class History:
         wanted = stored(near.select("kind", F.col("a").alias("id")).union(near.select("kind", F.col("b").alias("id"))).distinct(), "wanted")
         texts = join_sized(texts, wanted, ["kind", "id"], "left_semi", limit=PROBE_KEYS)
         t = near.join(texts.select("kind", F.col("id").alias("a"), F.col("words").alias("wa")), ["kind", "a"]).join(texts.select("kind", F.col("id").alias("b"), F.col("words").alias("wb")), ["kind", "b"])
-        links = stored(self._exact(t), "links")
-        self._merge(links)
-        return links
+        return stored(self._exact(t), "links")
 
     @staticmethod
     def _scored(x: DataFrame) -> DataFrame:

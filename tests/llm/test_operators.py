@@ -185,6 +185,24 @@ def test_repeats_with_other_fields_are_checked(spark):
     assert len(want) > 140 and got == want
 
 
+def test_every_holder_of_a_key_is_compared(spark):
+    """Repeats of each other among many texts with a common core that are none, in the same and in later batches."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    core, texts = [word() for _ in range(186)], {}
+    for i in range(0, 240, 2):
+        own = [word() for _ in range(22)]
+        for j in range(2):
+            texts[i + j] = " ".join(core + own + [word() for _ in range(92)])
+    lote = {i: (i * 7) % 3 for i in texts}
+    rows = [("web", i, lote[i], None, None, None, "es", t) for i, t in texts.items()]
+    seen = {i: signed(t)[1] for i, t in texts.items()}
+    want = {max((i, i + 1), (i + 1, i), key=lambda p: (lote[p[0]], p[0])) for i in range(0, 240, 2) if seen[i] & seen[i + 1] and linkage.similarity(texts[i], texts[i + 1]) >= linkage.SIMILAR}
+    assert linkage.similarity(texts[0], texts[2]) < linkage.SIMILAR
+    got = {(x.id, x.representative) for x in linkage.link_batches(spark.createDataFrame(rows, TEXT_COLUMNS)).representatives().collect()}
+    assert len(want) > 100 and got == want
+
+
 def test_weights_are_learned():
     pats = [((1, 1, -1, 1, 1), 90), ((0, 0, -1, 1, 0), 300), ((0, 1, 0, 0, 0), 100), ((1, 1, 1, 1, 1), 10)]
     prior, m, u = linkage.learned_weights(pats)
