@@ -197,6 +197,20 @@ def page_tokens(texts: list[str], nxt: dict | None, prv: str | None) -> tuple[li
     return toks, divided
 
 
+def in_sequence(toks: list[list[str]], divided: list[tuple[int, str, str, str, int | None]], bs: list[int]) -> list[tuple[int, int, str]]:
+    """(line, place in it, word in lower case) of a page's body words in order over line ends; at place -1 a divided
+    word stands whole between the lines it is on, and an empty one between blocks ``bs``, whose words are no neighbours."""
+    cut = {d[0]: (d[1] + d[2]).lower() for d in divided}
+    out = []
+    for k, ts in enumerate(toks):
+        if k and bs[k] != bs[k - 1] and k - 1 not in cut:
+            out.append((k, -1, ""))
+        out += [(k, i, t.lower()) for i, t in enumerate(ts)]
+        if k in cut:
+            out.append((k, -1, cut[k]))
+    return out
+
+
 def _flat_pages(bt: pa.RecordBatch) -> Iterator[tuple[int, list[int], list[int], list[str], dict | None, str | None]]:
     """(row, blocks, line numbers, texts) of the body lines of each page of a batch, with its neighbours."""
     lines = bt.column("lines")
@@ -231,14 +245,15 @@ def counts(linked: DataFrame) -> DataFrame:
 
         for bt in batches:
             scanned = bt.column("scanned").to_pylist()
-            for row, _, _, texts, nxt, prv in _flat_pages(bt):
+            for row, bs, _, texts, nxt, prv in _flat_pages(bt):
                 texts = [t.lower() for t in texts]
                 toks, divided = page_tokens(texts, nxt, prv.lower() if prv else None)
                 s = 1 if scanned[row] else 0
                 for ts in toks:
                     words[s].update(ts)
-                    if not s:
-                        pairs.update(zip(ts, ts[1:]))
+                if not s:
+                    ws = [w for _, _, w in in_sequence(toks, divided, bs)]
+                    pairs.update(x for x in zip(ws, ws[1:]) if x[0] and x[1])
                 joined[s].update((d[1], d[2].lower()) for d in divided)
                 for t in texts:
                     if "-" in t:
@@ -367,12 +382,14 @@ def repairs(linked: DataFrame, cnt: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for k, left, right, hy, f in divided:
                     where = (page, bs[f], ls[f]) if f is not None else (nxt["p"], nxt["b"], nxt["l"])
                     out.append((doc, page, bs[k], ls[k], left, right, hy, False, *where))
-                for k, ts in enumerate(toks):
-                    low = [t.lower() for t in ts]
-                    for i, w in enumerate(low):
-                        number = w[0] in NUMBER_START and _NUMBERLIKE.fullmatch(ts[i]) is not None and not _CODE.fullmatch(ts[i]) and 2 * sum(map(str.isdigit, w)) >= len(w)
-                        if number or wanted is None or w in wanted:
-                            out.append((doc, page, bs[k], ls[k], ts[i], low[i - 1] if i else "", low[i + 1] if i + 1 < len(low) else "", number, None, None, None))
+                flat = in_sequence(toks, divided, bs)
+                for j, (k, i, w) in enumerate(flat):
+                    if i < 0:
+                        continue
+                    tok = toks[k][i]
+                    number = w[0] in NUMBER_START and _NUMBERLIKE.fullmatch(tok) is not None and not _CODE.fullmatch(tok) and 2 * sum(map(str.isdigit, w)) >= len(w)
+                    if number or wanted is None or w in wanted:
+                        out.append((doc, page, bs[k], ls[k], tok, flat[j - 1][2] if j else "", flat[j + 1][2] if j + 1 < len(flat) else "", number, None, None, None))
             c = list(zip(*out)) if out else [()] * 11
             t = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(c, t)], names=["doc_id", "page_num", "b", "l", "tok", "prev", "next", "number", "np", "nb", "nl"])
@@ -407,7 +424,8 @@ def repairs(linked: DataFrame, cnt: DataFrame) -> tuple[DataFrame, DataFrame]:
         oc = oc.join(p.select(F.col("x").alias(left), F.col("y").alias(right), F.col("n").alias(name)), [left, right], "left")
     oc = oc.na.fill(0, ["pc", "cn", "pw", "wn"])
     score = F.log("f_c") + F.log(F.col("pc") + 0.1) + F.log(F.col("cn") + 0.1) - COST_WEIGHT * F.col("cost")
-    plausible = ~F.col("real") | ((F.col("pw") + F.col("wn") == 0) & (F.col("pc") + F.col("cn") >= CONTEXT_SUPPORT) & ((F.col("prev") != "") & (F.col("next") != "")))
+    # any number may follow any word: at the edge of a block one neighbour tells nothing of it
+    plausible = ~F.col("real") | ((F.col("pw") + F.col("wn") == 0) & (F.col("pc") + F.col("cn") >= CONTEXT_SUPPORT) & (~F.col("w").rlike(r"^\d+$") | ((F.col("prev") != "") & (F.col("next") != ""))))
     best = oc.filter(plausible).groupBy("oid", "doc_id", "page_num", "b", "l", "tok").agg(F.max_by("c", F.struct(score, F.col("c"))).alias("c")).drop("oid")
     mis = best.unionByName(sure).unionByName(numbers)
     # a misread half of a divided word stands on the line its site is in

@@ -44,6 +44,17 @@ def test_scanned_pages(spark):
     assert out == "La región conserva el catalogo con la biblioteca de la receta y amplía el registro técnico-fiscal con 370 páginas"
 
 
+def test_misread_words_at_line_ends(spark):
+    """A misreading that is a word itself, as first and last word of a line, in a line of its own, and at the page's end."""
+    clean = [(9, p, [(0, 2 * i + j, t, 11.0) for i in range(10) for j, t in enumerate(("la casa blanca del norte y la", "casa blanca del viejo puente"))]) for p in range(1, 9)]
+    clean.append((9, 9, [(0, 0, "esto cosa alguna", 11.0)]))
+    scan = [(1, 1, [(0, 0, "del viejo puente y la", 11.0), (0, 1, "cosa blanca del norte y la cosa", 11.0), (0, 2, "blanca del norte y la", 11.0), (0, 3, "cosa", 11.0), (0, 4, "blanca del viejo puente y la cosa", 11.0)])]
+    text = spark.createDataFrame([(9, p, False) for p in range(1, 10)] + [(1, 1, True)], "doc_id bigint, page_num int, ocr_aplicado boolean")
+    meta = spark.createDataFrame([(1, "ocr"), (9, "nativa")], "doc_id bigint, capa_texto string")
+    got = {x.line_no for x in scanned.found_lines(layout(spark, clean + scan), text, meta).filter("kind = 'misread'").collect()}
+    assert got == {1, 3, 4}
+
+
 def test_edit_costs():
     assert scanned.edit_cost("coriserva", "conserva") == (scanned.LISTED, 2) and scanned.edit_cost("archiv0", "archivo")[0] == scanned.LISTED
     assert scanned.edit_cost("riiral", "rural")[0] == scanned.LISTED and scanned.edit_cost("casas", "casa") is None
