@@ -135,7 +135,7 @@ def record_paragraphs(web_in: DataFrame, layout: DataFrame, page_text: DataFrame
     list entries, cells and captions only where a record has nothing else."""
     from . import residue, scanned, web
 
-    blocks = residue.without_residue(web.article_blocks(web.parsed_pages(web_in)), common_words)
+    blocks = web.exploded(residue.real_articles(web.parsed_pages(web_in, common_words)))
     w = blocks.select(F.lit("web").alias("kind"), F.col("page_id").alias("id"), F.col("pos").cast("long").alias("pos"), F.col("t").alias("text"), F.col("prose")).dropDuplicates(["id", "pos"])
     linked = scanned.with_running(scanned.pages(layout, page_text, pdf_meta))
     p = scanned.paragraphs_of(linked)

@@ -119,13 +119,19 @@ def text_blocks(src: str) -> list[tuple[tuple[str, ...], str, bool]]:
     return out
 
 
-_split: dict[tuple[str, ...], tuple[str, str]] = {}
+_split: dict[tuple[str, ...], tuple[str, str, bool, bool]] = {}
 
+# Tags of headings, and of blocks that recur by nature and so are no notices.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RECURRING = HEADINGS | frozenset("li td th caption figcaption dt dd".split())
 
-def container_of(path: tuple[str, ...]) -> tuple[str, str]:
-    """(container path, remainder): the remainder are the bare tags at the end that only structure prose.
 
-    A table cell that holds other blocks is a container itself, as in pages laid out by a table."""
+def placed(path: tuple[str, ...]) -> tuple[str, str, bool, bool]:
+    """(container path, remainder, heading, may be a notice): the remainder are the bare tags at the end that only
+    structure prose.
+
+    A table cell that holds other blocks is a container itself, as in pages laid out by a table; a cell that is all
+    there is below a container may hold a notice."""
     got = _split.get(path)
     if got is None:
         k = len(path)
@@ -135,10 +141,16 @@ def container_of(path: tuple[str, ...]) -> tuple[str, str]:
             k -= 1
         if len(_split) > 50_000:
             _split.clear()
-        got = _split[path] = (">".join(path[:k]), ">".join(path[k:]))
+        last = path[-1] if k < len(path) else ""
+        got = _split[path] = (">".join(path[:k]), ">".join(path[k:]), last in HEADINGS, last not in RECURRING or len(path) - k == 1 and last in ("td", "th"))
     return got
 
 
+def container_of(path: tuple[str, ...]) -> tuple[str, str]:
+    """The first two of :func:`placed`."""
+    return placed(path)[:2]
+
+
 def title_of(src: str) -> str:
     m = _TITLE.search(src)
     return _SPACE.sub(" ", _html.unescape(m[1])).strip() if m else ""

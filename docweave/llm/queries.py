@@ -14,6 +14,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return web.parsed_pages(table(spark, d, "web_in"), table(spark, d, "common_words"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scanned.found_lines(table(spark, d, "layout_in"), table(spark, d, "page_text"), table(spark, d, "pdf_meta"))
 
@@ -23,11 +27,14 @@ def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    blocks = web.article_blocks(web.parsed_pages(table(spark, d, "web_in")))
-    blocks = residue.without_residue(blocks, table(spark, d, "common_words"))
+    blocks = web.exploded(residue.real_articles(_parsed(spark, d)))
     return blocks.select("page_id", F.md5(F.encode("t", "UTF-8")).alias("block_md5")).distinct()
 
 
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    return web.main_text(residue.real_articles(_parsed(spark, d)))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_records(table(spark, d, "web_in")).select("page_id")
 
@@ -57,8 +64,7 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    blocks = web.article_blocks(web.parsed_pages(table(spark, d, "web_in")))
-    return residue.residue_pages(blocks, table(spark, d, "common_words")).select("page_id")
+    return residue.residue_pages(web.articles(_parsed(spark, d), text=False)).select("page_id")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +89,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p3_found, p4_found, p5_found, p6_found, p6_segments, p7_found, p8_containers, p8_fill, p9_schedule, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_text, p3_found, p4_found, p5_found, p6_found, p6_segments, p7_found, p8_containers, p8_fill, p9_schedule, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,93 +1,127 @@
-"""Problem 7: pages whose main area holds template residue, filler or an error message instead of an article."""
+"""Problem 7: pages whose main area holds template residue, filler or an error message instead of an article.
+
+No list of messages decides. Each page is described by how its address, title and body agree, by how much is said in it
+compared with the host's other pages, by blocks and titles that other addresses and hosts have too, by placeholders,
+and by its status; two classes of pages are told apart by expectation-maximization over the counted patterns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import join_sized, stored
+from .web import FEW_IDS, applied, host_rules
+
+#: A block of at most so many letters that stands under so many distinct titles is a repeated message.
+SHORT_LETTERS, DUPLICATE_TITLES = 120, 3
+#: A title that so many hosts have is a general one.
+TITLE_HOSTS = 3
+#: Pages a host has at least for its own typical size to count, and the least share of the typical size of all pages.
+HOST_PAGES, HOST_SHARE = 5, 0.25
+#: Share of a page's letters that makes it repeated or placeholder; shares of the host's typical size that bound the
+#: levels of information.
+MOST, INFORMATION = 0.5, (1 / 16, 1 / 10, 1 / 4)
+
+#: Evidence of a page, with the shares of its levels that expectation-maximization starts at, among pages without an
+#: article and among articles. information: letters of distinct blocks that are no placeholder and not repeated,
+#: against the host's typical page; agreement: the title is its own, on many hosts, or only the host's name (by two), and
+#: some term of title and address is in the body or none is (odd), in one as short titles do both; repeated,
+#: placeholder: most of the body; status: 400 and more.
+EVIDENCE = {
+    "information": ((0.849, 0.149, 0.001, 0.001), (0.002, 0.010, 0.060, 0.928)),
+    "agreement": ((0.06, 0.24, 0.08, 0.32, 0.06, 0.24), (0.800, 0.140, 0.035, 0.015, 0.007, 0.003)),
+    "repeated": ((0.50, 0.50), (0.96, 0.04)),
+    "placeholder": ((0.60, 0.40), (0.999, 0.001)),
+    "status": ((0.60, 0.40), (0.97, 0.03)),
+}
+#: Evidence whose shares among pages without an article define that class and are not learned.
+ANCHOR = "information"
+#: Share of pages without an article at first; pages that the shares above weigh; rounds; posterior to be found.
+START, PRIOR_PAGES, ROUNDS, LEAST = 0.05, 20.0, 20, 0.5
+
+
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """Stored (page_id and the columns of EVIDENCE), a row per page of :func:`web.articles`; pages delivered twice count
+    once. A null status is none; a page without body text has no information and does not agree."""
+
+    def total(cond: Column | None = None, of: str = "n") -> Column:
+        b = F.filter("blocks", lambda x: ~x["b"]["head"] & (F.lit(True) if cond is None else x["b"][cond]))
+        return F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + F.greatest(x["b"][of], F.lit(1)))
+
+    agree = F.exists("blocks", lambda x: x["b"]["agree"])
+    short = F.transform(F.filter("blocks", lambda x: ~x["b"]["head"] & x["b"]["k"].isNotNull() & (x["b"]["n"] <= SHORT_LETTERS)), lambda x: F.struct(x["b"]["k"].alias("k"), x["b"]["n"].alias("n"), x["b"]["mark"].alias("mark")))
+    said = F.array_distinct(F.transform(F.filter("blocks", lambda x: ~x["b"]["head"] & ~x["b"]["mark"]), lambda x: F.struct(x["b"]["k"].alias("k"), x["b"]["n"].alias("n"))))
+    once = F.aggregate(said, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    p = pages.select("page_id", "host", "tk", "status", total().alias("all"), total("mark").alias("marks"), once.alias("once"), agree.alias("agree"), F.array_distinct(short).alias("short"))
+    p = stored(p.dropDuplicates(["page_id"]), "weighed")
+    blocks = p.select("page_id", "tk", F.explode("short").alias("x")).select("page_id", "tk", "x.*")
+    often = stored(blocks.select("k", "tk").distinct().groupBy("k").agg(F.count("*").alias("titles")).filter(F.col("titles") >= DUPLICATE_TITLES).select("k"), "messages")
+    again = join_sized(blocks, often, ["k"], "left_semi", limit=FEW_IDS).groupBy("page_id").agg(F.sum("n").alias("again"), F.sum(F.when(~F.col("mark"), F.col("n")).otherwise(0)).alias("again_unmarked"))
+    shared = stored(p.filter("tk != 0").select("tk", "host").distinct().groupBy("tk").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= TITLE_HOSTS).select("tk", F.lit(True).alias("shared")), "titles")
+    typical = p.groupBy("host").agg(F.percentile_approx("all", 0.5).alias("own"), F.count("*").alias("pages"))
+    middle = p.agg(F.percentile_approx("all", 0.5)).first()[0] or 1
+    own = F.when(F.col("pages") >= HOST_PAGES, F.greatest(F.col("own"), F.lit(HOST_SHARE * middle))).otherwise(F.lit(float(middle)))
+    typical = stored(typical.select("host", F.greatest(own, F.lit(1.0)).alias("typical")), "typical")
+    x = p.select("page_id", "host", "tk", "status", "all", "marks", "once", "agree")
+    x = join_sized(x, stored(again, "again"), ["page_id"], "left", limit=FEW_IDS).na.fill(0, ["again", "again_unmarked"])
+    x = join_sized(join_sized(x, shared, ["tk"], "left", limit=FEW_IDS), typical, ["host"])
+    said = (F.col("once") - F.col("again_unmarked")) / F.col("typical")
+    level = F.lit(len(INFORMATION))
+    for i, bound in reversed(list(enumerate(INFORMATION))):
+        level = F.when(said < bound, i).otherwise(level)
+    most = F.greatest(MOST * F.col("all"), F.lit(1))
+    columns = {
+        "information": level, "agreement": F.when(F.col("tk") == 0, 4).when(F.col("shared"), 2).otherwise(0) + (~F.col("agree")).cast("int"), "repeated": (F.col("again") >= most).cast("int"),
+        "placeholder": (F.col("marks") >= most).cast("int"), "status": F.coalesce((F.col("status") >= 400).cast("int"), F.lit(0)),
+    }
+    return stored(x.select("page_id", *[columns[e].alias(e) for e in EVIDENCE]), "evidence")
+
+
+def learned_classes(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Posterior of each pattern of evidence (a row of levels) to be of a page without an article, by
+    expectation-maximization over the counted patterns; the start shares weigh as PRIOR_PAGES pages."""
+    names = list(EVIDENCE)
+    start = [tuple(np.array(s) for s in EVIDENCE[e]) for e in names]
+    without, having, share = [w for w, _ in start], [h for _, h in start], START
+
+    def posterior() -> np.ndarray:
+        a = np.log(share) + sum(np.log(m[patterns[:, j]]) for j, m in enumerate(without))
+        b = np.log(1 - share) + sum(np.log(m[patterns[:, j]]) for j, m in enumerate(having))
+        return 1 / (1 + np.exp(np.clip(b - a, -50, 50)))
+
+    for _ in range(rounds):
+        r = posterior()
+        share = ((r * counts).sum() + START * PRIOR_PAGES) / (counts.sum() + PRIOR_PAGES)
+        for j, (w, h) in enumerate(start):
+            for to, first, weight in ((without, w, r * counts), (having, h, (1 - r) * counts)):
+                if to is without and names[j] == ANCHOR:
+                    continue
+                to[j] = (np.bincount(patterns[:, j], weight, len(first)) + PRIOR_PAGES * first) / (weight.sum() + PRIOR_PAGES)
+    return posterior()
+
+
+def residue_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, posterior and the columns of EVIDENCE): pages of :func:`web.articles` without an article."""
+    evidence = page_evidence(pages)
+    rows = evidence.groupBy(*EVIDENCE).count().collect()  # at most 192 patterns
+    if not rows:
+        return evidence.withColumn("posterior", F.lit(0.0)).limit(0)
+    p = learned_classes(np.array([[r[e] for e in EVIDENCE] for r in rows]), np.array([float(r["count"]) for r in rows]))
+    code, size = F.lit(0), 1
+    index = np.zeros(len(rows), int)
+    for e, (first, _) in EVIDENCE.items():
+        code = code + F.col(e) * size
+        index += np.array([r[e] for r in rows]) * size
+        size *= len(first)
+    table = np.zeros(size)
+    table[index] = p
+    found = evidence.withColumn("posterior", F.element_at(F.array(*[F.lit(float(x)) for x in table]), code.cast("int") + 1))
+    return found.filter(F.col("posterior") >= LEAST)
+
 
-#: A short block repeated on so many hosts is no information of its page.
-DUPLICATE_HOSTS, SHORT_LETTERS = 3, 120
-#: Blocks of more characters than this hold no single message, mark or stub; only the filler test applies to them.
-MESSAGE_CHARS = 400
-#: Share of a page's text that must be placeholders, filler, messages or repeated blocks.
-LOW_SHARE = 0.7
-
-# Marks of template languages, stub phrases, error and block messages, and demands for scripts.
-TEMPLATE_MARKS = r"\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|\$\{[^}]*\}|%%\w+%%|@@\w+@@|\[\[[\w.| ]+\]\]|__[A-Z_]+__|\{\d+\}|#\{\w+\}"
-STUBS = (
-    r"\blorem\b|\bipsum\b|^x{3,}$|^todo\b|\btbd\b|^\[[^\]]{3,40}\]$|goes here|sample (headline|text)|placeholder|your text|new page|untitled|"
-    r"texto (aquí|de ejemplo)|aquí (el texto|una descripción)|pendiente de redactar|título de ejemplo|sin título|nueva página|"
-    r"texte à remplacer|titre d.exemple|nouvelle page|sans titre|votre texte|"
-    r"beispiel(text|titel|überschrift)|neue seite|ohne titel|ihr text|"
-    r"qui il testo|testo (di esempio|segnaposto)|titolo di (esempio|prova)|nuova pagina|senza titolo|"
-    r"texto (aqui|de exemplo)|título de exemplo|nova página|sem título|o seu texto"
-)
-MESSAGES = (
-    r"\b(error|erro|errore|erreur|fehler)\b|^(4\d\d|5\d\d)\b|\bref\. \d+$|request id|forbidden|access denied|internal server|bad gateway|not found|does not exist|can.t find|"
-    r"stack trace|fatal error|exception|timed out|database connection|not a robot|was blocked|connection is safe|maintenance|administrator|service unavailable|too many requests|"
-    r"no existe o ha cambiado|no hemos encontrado|acceso (restringido|denegado)|no tiene permiso|mantenimiento|página no encontrada|"
-    r"n.existe pas|ne mène nulle part|accès (refusé|restreint|interdit)|en maintenance|page introuvable|"
-    r"gibt es nicht|nichts gefunden|wartung|zugriff verweigert|nicht gefunden|"
-    r"non esiste|non (è stata|abbiamo) trovat|manutenzione|accesso negato|pagina non trovata|"
-    r"não existe|não encontr|manutenção|acesso (negado|restrito)|^ups$|^oops|"
-    r"javascript|scripts? are switched off|scripts? (desactivad|disabled)"
-)
-
-
-def detectors(text: F.Column) -> F.Column:
-    """True where a block shows a template mark, a stub phrase or a message of a server."""
-    low = F.lower(text)
-    return text.rlike(TEMPLATE_MARKS) | low.rlike(STUBS) | low.rlike(MESSAGES)
-
-
-def residue_pages(blocks: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(page_id, low_share, hits, host_title, slug_match, body_match): pages without an article.
-
-    A page's text outside its headings is weighed by letters. Low is what a detector matches, what recurs as a short
-    block on several hosts, and prose without function words (filler). A page is residue if most of its text is low
-    and something else speaks against it: a detector hit, a heading that is only the host's name, or a heading whose
-    words neither the address nor the remaining text shares. One real paragraph clears a page that speaks of such
-    things. ``common_words`` (lang, word) is a fixed list; with an empty one the filler test is off."""
-    words = sorted({r.word.lower() for r in common_words.select("word").collect() if r.word}, key=lambda w: (-len(w), w))
-    heading = F.col("r").rlike("(^|>)h[1-6]$")
-    brief = F.length("t") <= MESSAGE_CHARS
-    b = blocks.withColumn("heading", heading).withColumn("k", F.when(brief, F.trim(F.regexp_replace(F.lower("t"), "[^\\p{L}]+", " "))))
-    b = b.withColumn("letters", F.coalesce(F.length(F.regexp_replace("k", " ", "")), F.length("t")))
-    filler = F.lit(False)
-    if words:
-        filler = F.col("prose") & ~F.lower("t").rlike(r"^(?:.*?\b(?:" + "|".join(words) + r")\b){2}")
-    b = b.withColumn("filler", filler).withColumn("weight", F.when(F.col("heading"), 0).otherwise(F.greatest("letters", F.lit(1))))
-    b = stored(b.select("page_id", "host", "slug", "r", "k", "letters", "heading", "weight", "filler", F.when(brief, F.col("t")).alias("t")), "weighed")
-    dup = b.filter(~F.col("heading") & (F.col("letters") <= SHORT_LETTERS)).groupBy("k").agg(F.count_distinct("host").alias("hosts")).filter(F.col("hosts") >= DUPLICATE_HOSTS).select("k", F.lit(True).alias("dup"))
-    # long prose cannot be low: where it alone keeps the low share down, no detector has to look
-    sure = F.sum(F.when(F.col("t").isNull() & ~F.col("filler"), F.col("weight")).otherwise(0))
-    open_pages = stored(b.groupBy("page_id").agg(F.sum("weight").alias("all"), sure.alias("sure")).filter(F.col("sure") <= (1 - LOW_SHARE) * F.col("all")).select("page_id"), "open")
-    b = join_sized(b, open_pages, ["page_id"], "left_semi").withColumn("hit", F.col("filler") | F.coalesce(detectors(F.col("t")), F.lit(False)))
-    b = join_sized(b, stored(dup, "messages"), ["k"], "left")
-    b = stored(b.withColumn("low", F.col("hit") | (F.coalesce("dup", F.lit(False)) & (F.col("letters") <= SHORT_LETTERS))).drop("t", "filler", "dup"), "judged")
-    host = F.regexp_replace(F.regexp_replace("host", r"\.[a-z]+$", ""), "[^a-z]", "")
-    page = b.groupBy("page_id").agg(
-        F.sum("weight").alias("all"),
-        F.sum(F.when(F.col("low"), F.col("weight")).otherwise(0)).alias("low"),
-        F.sum(F.col("hit").cast("int")).alias("hits"),
-        F.max((F.col("r") == "h1") & (F.regexp_replace("k", "[^a-z]", "") == host)).alias("host_title"),
-        F.max("slug").alias("slug"),
-    )
-    page = page.withColumn("low_share", F.when(F.col("all") > 0, F.col("low") / F.col("all")).otherwise(1.0)).filter(F.col("low_share") >= LOW_SHARE)
-    page = stored(page.select("page_id", "low_share", "hits", "host_title", "slug"), "low")
-    # what address, heading and remaining text have in common, for these pages only
-    terms = join_sized(b, page.select("page_id"), ["page_id"], "left_semi").groupBy("page_id").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("heading"), F.split("k", " "))))).alias("head"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("heading") & ~F.col("low"), F.split("k", " "))))).alias("body"),
-    )
-    page = page.join(terms, "page_id").withColumn("slug_match", F.arrays_overlap("head", F.split("slug", "-"))).withColumn("body_match", F.arrays_overlap("head", "body"))
-    against = (F.col("hits") > 0) | F.col("host_title") | (~F.col("slug_match") & ~F.col("body_match"))
-    return page.filter(against).select("page_id", "low_share", "hits", "host_title", "slug_match", "body_match")
-
-
-def without_residue(blocks: DataFrame, common_words: DataFrame) -> DataFrame:
-    """The article blocks of the pages that have an article."""
-    blocks = stored(blocks, "articles")
-    return join_sized(blocks, stored(residue_pages(blocks, common_words).select("page_id"), "residue"), ["page_id"], "left_anti")
+def real_articles(parsed: DataFrame) -> DataFrame:
+    """:func:`web.applied` of parsed pages, without the pages that have no article; text is read only for the others."""
+    rules = host_rules(parsed)
+    found = stored(residue_pages(applied(parsed, rules, text=False)).select("page_id"), "residue")
+    return applied(join_sized(parsed, found, ["page_id"], "left_anti", limit=FEW_IDS), rules)

@@ -1,4 +1,8 @@
-"""Main body of web pages by consensus of the pages of a host (problem 2), used by the operators that need article text."""
+"""Main body of web pages by consensus of the pages of a host (problem 2), used by the operators that need article text.
+
+A page stays one row from parsing to the article: containers, furniture and side boxes are voted on over light rows
+without text, and their result per host is applied to the page's blocks in place, so text is neither exploded nor
+shuffled."""
 
 from __future__ import annotations
 
@@ -6,12 +10,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import BROADCAST_ROWS, join_sized, stored
-from .markup import container_of, host_of, slug_of, text_blocks, title_of
+from ..storage import join_sized, stored
+from .markup import host_of, placed, slug_of, text_blocks, title_of
 
 #: Letters from which a block that ends as a sentence counts as prose.
 PROSE_CHARS = 40
@@ -19,110 +23,240 @@ PROSE_CHARS = 40
 CRUFT_SHARE, CRUFT_TITLES = 0.04, 3
 #: Of the blocks in a classed element inside the winning container, the share that must be prose for it to be kept.
 SIDE_PROSE_SHARE = 0.5
+#: Words from which a block is tested for filler, and the share of function words that real text has at least.
+FILLER_WORDS, FUNCTION_SHARE = 8, 0.1
+#: Share of a block that must be marks of templates for it to be a placeholder.
+MARK_SHARE = 0.5
+#: Ids (one bigint a row) up to this number are broadcast to drop or keep pages; more are joined by shuffle.
+FEW_IDS = 500_000
+
+# Marks of template languages; a character that every one of them has.
+TEMPLATE_MARKS = re.compile(r"\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|\$\{[^}]*\}|%%\w+%%|@@\w+@@|\[\[[\w.| ]+\]\]|__[A-Z_]+__|\{\d+\}|#\{\w+\}")
+_MAY_MARK = re.compile(r"[{%@\[]|__")
 
-BLOCK = "array<struct<c:string,r:string,t:string,prose:boolean>>"
-PARSED = f"page_id bigint, lote int, status int, host string, slug string, title string, vote string, blocks {BLOCK}"
+#: c: container path; r: tags below it; prose: running text; head: heading; run: may be a notice; k: hash of its letters
+#: (null without any); n: letters; mark: placeholder or filler; agree: shares a term with title or address.
+BLOCK = "struct<c:string,r:string,prose:boolean,head:boolean,run:boolean,k:bigint,n:int,mark:boolean,agree:boolean>"
+PARSED = f"page_id bigint, lote int, status int, host string, slug string, title string, th bigint, tk bigint, vote string, blocks array<{BLOCK}>, ts array<string>"
 
 _SENTENCE_END = re.compile(r"[.!?…][\"'”»)\]]*$")
-_NOT_ASCII_LETTER = re.compile(r"[^a-z]+")
-
-
-def ascii_key(text: str) -> str:
-    """Lower-case ASCII letters only: the same for a line and for its copies with other numbers or a garbled encoding."""
-    return _NOT_ASCII_LETTER.sub("", text.lower())
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = pa.struct([("c", pa.string()), ("r", pa.string()), ("t", pa.string()), ("prose", pa.bool_())])
-    for b in batches:
-        hosts, slugs, titles, votes, offsets = [], [], [], [], [0]
-        cs, rs, ts, ps = [], [], [], []
-        for src, url in zip(b.column("html").to_pylist(), b.column("address").to_pylist()):
-            src = src or ""
-            score: dict[str, float] = {}
-            for path, text, link in text_blocks(src):
-                c, r = container_of(path)
-                prose = not link and len(text) >= PROSE_CHARS and _SENTENCE_END.search(text) is not None or len(text) >= 3 * PROSE_CHARS and text.count(". ") > 0
-                cs.append(c)
-                rs.append(r)
-                ts.append(text)
-                ps.append(prose)
-                if prose:
-                    score[c] = score.get(c, 0) + len(text)
-            offsets.append(len(cs))
-            hosts.append(host_of(url))
-            slugs.append(slug_of(url))
-            titles.append(title_of(src))
-            votes.append(max(score, key=score.__getitem__) if score else None)
-        arr = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(cs, pa.string()), pa.array(rs, pa.string()), pa.array(ts, pa.string()), pa.array(ps, pa.bool_())], fields=list(block)))
-        yield pa.RecordBatch.from_arrays(
-            [b.column("page_id"), b.column("lote"), b.column("status"), pa.array(hosts), pa.array(slugs), pa.array(titles), pa.array(votes, pa.string()), arr],
-            names=["page_id", "lote", "status", "host", "slug", "title", "vote", "blocks"],
-        )
-
-
-def parsed_pages(web_in: DataFrame) -> DataFrame:
+_SEPARATOR = re.compile(r"\s+[-|–—·»:]+\s+")
+_TERM = re.compile(r"[^\W\d_]{4,}")
+_LETTERS = frozenset(range(65, 91)) | frozenset(range(97, 123))
+_NO_LETTERS = bytes(b for b in range(128) if b not in _LETTERS)
+_APART = bytes.maketrans(_NO_LETTERS, b" " * len(_NO_LETTERS))
+
+
+def letters_of(text: str) -> bytes:
+    """Lower-case ASCII letters: the same for a line and for its copies with other numbers or a garbled encoding. Text
+    mostly in other scripts keeps those letters too."""
+    raw = text.lower().encode("utf-8", "replace").translate(None, _NO_LETTERS)
+    plain = raw.decode("utf-8", "ignore").encode("ascii", "ignore") if not raw.isascii() else raw
+    return plain if 2 * len(plain) >= len(raw) - len(plain) else raw
+
+
+def hash64(raw: bytes) -> int:
+    """A signed 64-bit hash."""
+    h = xxhash.xxh3_64_intdigest(raw)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def is_placeholder(text: str) -> bool:
+    """Whether marks of template languages make up MARK_SHARE of a block, of whatever length."""
+    return _MAY_MARK.search(text) is not None and sum(m.end() - m.start() for m in TEMPLATE_MARKS.finditer(text)) >= MARK_SHARE * len(text)
+
+
+def is_filler(text: str, function_words: frozenset[bytes]) -> bool:
+    """Whether FILLER_WORDS and more words hold next to no function words, over the whole block."""
+    ws = text.lower().encode("utf-8", "replace").translate(_APART).split()
+    return len(ws) >= FILLER_WORDS and sum(map(function_words.__contains__, ws)) < FUNCTION_SHARE * len(ws)
+
+
+def title_key(title: str, host: str) -> int:
+    """Hash of a title's letters without the parts that name the host; 0 if nothing else is there."""
+    name = host.rpartition(".")[0].encode().translate(None, _NO_LETTERS)
+    parts = [p for x in _SEPARATOR.split(title) if (p := letters_of(x)) and p != name]
+    return hash64(b"".join(parts)) if parts else 0
+
+
+def terms_of(title: str, slug: str, host: str) -> list[str]:
+    """Words of four and more letters of title and address that are not part of the host's name."""
+    return [w for w in dict.fromkeys(_TERM.findall(f"{title} {slug}".lower())) if w not in host]
+
+
+def _parser(function_words: frozenset[bytes]):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int | None, int, bool]] = {}
+
+        def features(text: str) -> tuple[int | None, int, bool]:
+            raw = letters_of(text)
+            n = len(raw.decode("utf-8", "replace")) if not raw.isascii() else len(raw)
+            return hash64(raw) if raw else None, n, is_placeholder(text) or (bool(function_words) and is_filler(text, function_words))
+
+        for b in batches:
+            hosts, slugs, titles, ths, tks, votes, offsets = [], [], [], [], [], [], [0]
+            cols: list[list] = [[] for _ in range(9)]
+            cs, rs, ps, heads, runs, ks, ns, marks, agrees = cols
+            ts: list[str] = []
+            for src, url in zip(b.column("html").to_pylist(), b.column("address").to_pylist()):
+                src = src or ""
+                host, slug, title = host_of(url), slug_of(url), title_of(src)
+                found = text_blocks(src)
+                terms: list[str] | None = None
+                score: dict[str, float] = {}
+                for path, text, link in found:
+                    c, r, head, run_ = placed(path)
+                    prose = not link and len(text) >= PROSE_CHARS and _SENTENCE_END.search(text) is not None or len(text) >= 3 * PROSE_CHARS and text.count(". ") > 0
+                    cs.append(c)
+                    rs.append(r)
+                    ts.append(text)
+                    ps.append(prose)
+                    heads.append(head)
+                    runs.append(run_)
+                    if len(text) < 60:  # menus and notices come again and again
+                        f = known.get(text)
+                        if f is None:
+                            if len(known) > 100_000:
+                                known.clear()
+                            f = known[text] = features(text)
+                    else:
+                        f = features(text)
+                    ks.append(f[0])
+                    ns.append(f[1])
+                    marks.append(f[2])
+                    if terms is None:
+                        terms = terms_of(title, slug, host)
+                    low = text.lower()
+                    agrees.append(not head and any(w in low for w in terms))
+                    if prose:
+                        score[c] = score.get(c, 0) + len(text)
+                offsets.append(len(cs))
+                hosts.append(host)
+                slugs.append(slug)
+                titles.append(title)
+                ths.append(hash64(title.encode("utf-8", "replace")))
+                tks.append(title_key(title, host))
+                votes.append(max(score, key=score.__getitem__) if score else None)
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()]
+            at = pa.array(offsets, pa.int32())
+            blocks = pa.StructArray.from_arrays([pa.array(x, y) for x, y in zip(cols, kinds)], ["c", "r", "prose", "head", "run", "k", "n", "mark", "agree"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("page_id"), b.column("lote"), b.column("status"), pa.array(hosts, pa.string()), pa.array(slugs, pa.string()), pa.array(titles, pa.string()), pa.array(ths, pa.int64()), pa.array(tks, pa.int64()), pa.array(votes, pa.string()), pa.ListArray.from_arrays(at, blocks), pa.ListArray.from_arrays(at, pa.array(ts, pa.string()))],
+                names=["page_id", "lote", "status", "host", "slug", "title", "th", "tk", "vote", "blocks", "ts"],
+            )
+
+    return run
+
+
+def parsed_pages(web_in: DataFrame, common_words: DataFrame | None = None) -> DataFrame:
     """One stored row per delivered record with markup, with its text blocks and the container it votes for.
 
     Records with null or empty html have no row; a record delivered twice has two equal rows, which the operators
-    below count once."""
+    below count once. ``common_words`` (lang, word) is a fixed list of frequent words, by which filler is told from
+    prose; without it, or with an empty one, no block counts as filler."""
+    words = frozenset(r.word.lower().encode() for r in common_words.select("word").collect() if r.word) if common_words is not None else frozenset()
     src = web_in.filter(F.col("html").isNotNull() & (F.length("html") > 0)).select(
         "page_id", F.col("lote").cast("int").alias("lote"), F.col("status").cast("int").alias("status"), F.coalesce("url_final", "url").alias("address"), "html"
     )
-    return stored(src.mapInArrow(_parse, PARSED), "parsed")
-
-
-def _key(text: F.Column) -> F.Column:
-    return F.regexp_replace(F.lower(text), "[^a-z]+", "")
+    return stored(src.mapInArrow(_parser(words), PARSED), "parsed")
 
 
 def host_containers(pages: DataFrame) -> DataFrame:
-    """(host, winner): the container path most pages of the host vote for; ties go to the path first in order."""
-    votes = pages.filter(F.col("vote").isNotNull()).groupBy("host", "vote").agg(F.count_distinct("page_id").alias("n"))
-    best = F.max_by(F.col("vote"), F.struct("n", "vote")).alias("winner")
-    return votes.groupBy("host").agg(best)
+    """(host, winner): the container path most pages of the host vote for; ties go to the path last in order."""
+    votes = pages.filter(F.col("vote").isNotNull()).select("host", "vote", "page_id").distinct().groupBy("host", "vote").agg(F.count("*").alias("n"))
+    return votes.groupBy("host").agg(F.max_by(F.col("vote"), F.struct("n", "vote")).alias("winner"))
 
 
-def located(pages: DataFrame) -> DataFrame:
-    """Blocks (page_id, lote, status, host, slug, title, pos, side, c, r, t, prose) inside the page's container: the
-    host's winner; where the page has no such element, that of its h1; without one, the page's own vote."""
-    winners = stored(host_containers(pages), "winners")
-    p = join_sized(pages, winners, ["host"], "left")
+def _with_home(pages: DataFrame) -> DataFrame:
+    """Pages with ``winner`` and ``home``, the page's container: the host's winner; where the page has no such element,
+    that of its h1; without one, the page's own vote."""
     there = F.expr("exists(blocks, b -> b.c = winner)")
     headed = F.expr("try_element_at(filter(blocks, b -> b.r = 'h1'), 1).c")
-    p = p.withColumn("home", F.when(there, F.col("winner")).otherwise(F.coalesce(headed, "vote", F.lit(""))))
-    b = p.select("page_id", "lote", "status", "host", "slug", "title", "home", F.posexplode("blocks").alias("pos", "b"))
-    inside = (F.col("b.c") == F.col("home")) | ((F.col("home") != "") & F.col("b.c").startswith(F.concat("home", F.lit(">"))))
-    return b.filter(inside).select("page_id", "lote", "status", "host", "slug", "title", "pos", (F.col("b.c") != F.col("home")).alias("side"), "b.c", "b.r", "b.t", "b.prose")
+    return pages.withColumn("home", F.when(there, F.col("winner")).otherwise(F.coalesce(headed, "vote", F.lit(""))))
+
 
+def _inside(c: Column, home: Column) -> Column:
+    return (c == home) | ((home != "") & c.startswith(F.concat(home, F.lit(">"))))
 
-def _running_text(r: str = "r") -> F.Column:
-    """Blocks that may be notices or prompts: not headings, list items, cells or captions, which recur by nature."""
-    return ~F.col(r).rlike(r"(^|>)(h[1-6]|li|td|th|caption|figcaption|dt|dd)$") | F.col(r).isin("td", "th")
+
+def located(pages: DataFrame, winners: DataFrame) -> DataFrame:
+    """Light rows (page_id, host, th, side, c, prose, run, k) of the blocks inside each page's container."""
+    p = _with_home(join_sized(pages.select("page_id", "host", "th", "vote", "blocks"), winners, ["host"], "left"))
+    b = p.select("page_id", "host", "th", "home", F.explode("blocks").alias("b")).filter(_inside(F.col("b.c"), F.col("home")))
+    return b.select("page_id", "host", "th", (F.col("b.c") != F.col("home")).alias("side"), "b.c", "b.prose", "b.run", "b.k")
 
 
 def host_furniture(blocks: DataFrame) -> DataFrame:
     """(host, k): keys of running text that many distinct titles of a host carry. Copies of one article share the
     title, so a large group of copies does not make its paragraphs furniture."""
-    lines = blocks.filter(_running_text()).select("host", "title", _key(F.col("t")).alias("k")).filter(F.length("k") > 0)
+    lines = blocks.filter(F.col("run") & F.col("k").isNotNull()).select("host", "th", "k")
     per_key = lines.distinct().groupBy("host", "k").agg(F.count("*").alias("n"))
-    titles = blocks.select("host", "title").distinct().groupBy("host").agg(F.count("*").alias("titles"))
+    titles = blocks.select("host", "th").distinct().groupBy("host").agg(F.count("*").alias("titles"))
     return join_sized(per_key.filter(F.col("n") >= CRUFT_TITLES), stored(titles, "titles"), ["host"]).filter(F.col("n") >= CRUFT_SHARE * F.col("titles")).select("host", "k")
 
 
+def host_rules(pages: DataFrame) -> DataFrame:
+    """Stored (host, winner, furniture, sides): what is applied to each page of a host.
+
+    Furniture are at most 1 / CRUFT_SHARE times the lines of a page; sides are the classed elements inside the winner
+    most of whose blocks on the host are prose that does not recur."""
+    winners = stored(host_containers(pages), "winners")
+    blocks = stored(located(pages, winners), "located")
+    furniture = stored(host_furniture(blocks), "furniture")
+    side = blocks.filter("side").withColumn("k", F.when(F.col("run"), F.col("k")))
+    # rows without a key are no furniture and join nothing: each gets a key of its own, so that they stay spread
+    side = join_sized(side.withColumn("k", F.coalesce("k", F.xxhash64("page_id", "c"))), furniture, ["host", "k"], "left_anti")
+    sides = side.groupBy("host", "c").agg(F.avg(F.col("prose").cast("double")).alias("share"), F.count("*").alias("n"))
+    kept = sides.filter((F.col("share") >= SIDE_PROSE_SHARE) & (F.col("n") >= CRUFT_TITLES)).groupBy("host").agg(F.sort_array(F.collect_list("c")).alias("sides"))
+    hosts = blocks.select("host").distinct()
+    x = hosts.join(winners, "host", "left").join(furniture.groupBy("host").agg(F.sort_array(F.collect_list("k")).alias("furniture")), "host", "left").join(kept, "host", "left")
+    return stored(x, "rules")
+
+
+def applied(pages: DataFrame, rules: DataFrame, text: bool = True) -> DataFrame:
+    """Parsed pages (page_id, lote, status, host, slug, title, tk, blocks) with the blocks of the article: pos, t and, as
+    b, the fields of BLOCK. A page none of whose blocks is kept has no row; without ``text`` t is null and not read.
+
+    Kept are the blocks directly in the container, and those of its classed elements that the host's rules keep.
+    Furniture of the host is dropped."""
+    p = _with_home(join_sized(pages if text else pages.drop("ts"), rules, ["host"], "left"))
+    if text:
+        at = F.transform(F.zip_with("blocks", "ts", lambda b, t: F.struct(b.alias("b"), t.alias("t"))), lambda x, i: F.struct(i.alias("pos"), x["t"].alias("t"), x["b"].alias("b")))
+    else:
+        at = F.transform("blocks", lambda b, i: F.struct(i.alias("pos"), F.lit(None).cast("string").alias("t"), b.alias("b")))
+    none = F.array().cast("array<string>")
+
+    def keep(x: Column) -> Column:
+        b = x["b"]
+        inside = (b["c"] == F.col("home")) | (_inside(b["c"], F.col("home")) & F.array_contains(F.coalesce("sides", none), b["c"]))
+        cruft = b["run"] & F.array_contains(F.coalesce("furniture", F.array().cast("array<bigint>")), b["k"])
+        return inside & ~F.coalesce(cruft, F.lit(False))
+
+    p = p.withColumn("blocks", F.filter(at, keep)).filter(F.size("blocks") > 0)
+    return p.select("page_id", "lote", "status", "host", "slug", "title", "tk", "blocks")
+
+
+def articles(pages: DataFrame, text: bool = True) -> DataFrame:
+    """:func:`applied` with the rules of the pages' own hosts."""
+    return applied(pages, host_rules(pages), text)
+
+
+def exploded(pages: DataFrame) -> DataFrame:
+    """Block rows (page_id, lote, status, host, slug, title, tk, pos, r, t, prose, ...) of :func:`articles`."""
+    b = pages.select("page_id", "lote", "status", "host", "slug", "title", "tk", F.explode("blocks").alias("x"))
+    return b.select("page_id", "lote", "status", "host", "slug", "title", "tk", "x.pos", "x.b.r", "x.t", "x.b.prose")
+
+
 def article_blocks(pages: DataFrame) -> DataFrame:
-    """Blocks of the article on each page: (page_id, lote, status, host, slug, title, pos, r, t, prose).
+    """Blocks of the article on each page: (page_id, lote, status, host, slug, title, tk, pos, r, t, prose)."""
+    return exploded(articles(pages))
+
 
-    Kept are the blocks directly in the container, and those of a classed element inside it if most of that
-    element's blocks on the host are prose that does not recur. Furniture of the host is dropped."""
-    blocks = located(pages)
-    blocks = stored(blocks, "located")
-    furniture = stored(host_furniture(blocks).withColumn("furniture", F.lit(True)), "furniture")
-    b = blocks.withColumn("k", F.when(_running_text(), _key(F.col("t"))))
-    marked = join_sized(b, furniture, ["host", "k"], "left").filter(F.col("furniture").isNull()).drop("k", "furniture")
-    sides = marked.filter("side").groupBy("host", "c").agg(F.avg(F.col("prose").cast("double")).alias("share"), F.count("*").alias("n"))
-    kept = stored(sides.filter((F.col("share") >= SIDE_PROSE_SHARE) & (F.col("n") >= CRUFT_TITLES)).select("host", "c", F.lit(True).alias("kept")), "sides")
-    return join_sized(marked, kept, ["host", "c"], "left").filter(~F.col("side") | F.col("kept")).drop("kept", "side", "c")
+def main_text(pages: DataFrame) -> DataFrame:
+    """(page_id, title, text): the article of each page, its blocks in reading order, a line each; a page delivered
+    twice has one row."""
+    text = F.array_join(F.transform("blocks", lambda x: x["t"]), "\n")
+    return pages.select("page_id", "title", text.alias("text")).groupBy("page_id").agg(F.max("title").alias("title"), F.max("text").alias("text"))
 
 
-__all__ = ["BROADCAST_ROWS", "article_blocks", "ascii_key", "host_containers", "host_furniture", "located", "parsed_pages"]
+__all__ = ["applied", "article_blocks", "articles", "exploded", "host_containers", "host_furniture", "host_rules", "located", "main_text", "parsed_pages"]
