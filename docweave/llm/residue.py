@@ -29,7 +29,7 @@ MOST, INFORMATION = 0.5, (1 / 16, 1 / 10, 1 / 4)
 #: some term of title and address is in the body or none is (odd), in one as short titles do both; repeated,
 #: placeholder: most of the body; status: 400 and more.
 EVIDENCE = {
-    "information": ((0.849, 0.149, 0.001, 0.001), (0.002, 0.010, 0.060, 0.928)),
+    "information": ((0.930, 0.068, 0.001, 0.001), (0.002, 0.010, 0.060, 0.928)),
     "agreement": ((0.06, 0.24, 0.08, 0.32, 0.06, 0.24), (0.800, 0.140, 0.035, 0.015, 0.007, 0.003)),
     "repeated": ((0.50, 0.50), (0.96, 0.04)),
     "placeholder": ((0.60, 0.40), (0.999, 0.001)),

@@ -39,10 +39,11 @@ def run_all(t):
     p3 = [t[k] for k in ("layout_in", "page_text", "pdf_meta")]
     yield "p1", scanned.found_lines(*p3)
     yield "p1 text", scanned.body_paragraphs(*p3)
-    blocks = web.article_blocks(web.parsed_pages(t["web_in"]))
-    yield "p2", blocks
-    yield "p7", residue.residue_pages(blocks, t["common_words"])
-    yield "p2 kept", residue.without_residue(blocks, t["common_words"])
+    parsed = web.parsed_pages(t["web_in"], t["common_words"])
+    yield "p2", web.article_blocks(parsed)
+    yield "p7", residue.residue_pages(web.articles(parsed))
+    yield "p2 kept", residue.real_articles(parsed)
+    yield "p2 text", web.main_text(residue.real_articles(parsed))
     yield "p3", encoding.garbled_records(t["web_in"])
     yield "p4", linkage.repeats(t["web_in"], t["web_meta"], *p3, t["common_words"])
     yield "p5", repeated.repeated_lines(t["documents"])

@@ -90,8 +90,34 @@ def test_main_text_and_residue(spark):
     assert texts[1][0] == "El tema 1" and len(texts[1]) == 4 and len(texts[0]) == 2
     assert not any("Comparte" in t or "Otro tema" in t for ts in texts.values() for t in ts)
     words = spark.createDataFrame([("es", w) for w in "la de el con y".split()], "lang string, word string")
-    got = residue.residue_pages(spark.createDataFrame(blocks), words)
+    pages = web.articles(web.parsed_pages(site(spark), words))
+    got = residue.residue_pages(pages)
     assert {r.page_id for r in got.collect()} == {100, 101, 102}
+    assert residue.residue_pages(pages.limit(0)).count() == 0
+
+
+def test_residue_without_any_list_of_messages(spark):
+    """Messages of no known wording, under status 200 and in a language of no list, beside short and long articles."""
+    r, rows = random.Random(12), []
+    word = lambda: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.choice((2, 3, 4))))
+    page = lambda h, ps: f"<html><head><title>{h} - Portal {'abc'[len(rows) % 3]}</title></head><body><div class=main><h1>{h}</h1>{''.join(f'<p>{p}</p>' for p in ps)}</div></body></html>"
+    for i in range(240):
+        head = f"{word()} {word()}"
+        ps = [" ".join([head] + [word() for _ in range(60)]) + "." for _ in range(1 if i % 10 == 0 else 5)]
+        rows.append((i, f"https://portal{'abc'[i % 3]}.test/{head.replace(' ', '-')}-{i}", page(head.capitalize(), ps), 500 if i % 17 == 0 else 200))
+    for i in range(20):
+        head, text = (("Zuvore", "Bako nerid pazu tolid."), ("Meliko", "Fadu zenobi kelato, fadu."))[i % 2]
+        rows.append((1000 + i, f"https://portal{'abc'[i % 3]}.test/{head.lower()}-{i}", page(head, [text]), 200))
+    rows.append((2000, "https://portala.test/long-2000", page("{{ head }}", ["{{ body }} " * 200]), 200))
+    df = spark.createDataFrame(rows, "page_id bigint, url_final string, html string, status int").select("*", F.lit(0).alias("lote"), F.lit(None).cast("string").alias("url"))
+    got = {x.page_id for x in residue.residue_pages(web.articles(web.parsed_pages(df))).collect()}
+    assert got == {*range(1000, 1020), 2000}
+
+
+def test_placeholders_of_any_length():
+    assert web.is_placeholder("${a.b} " * 500) and not web.is_placeholder("Write {{ name }} where the name shall stand, and close both braces.")
+    words = frozenset(b"la de el y".split())
+    assert web.is_filler("vultu magnis filum ipsum rutro tenpor nocem erat " * 90, words) and not web.is_filler("la casa de la ciudad y el puerto de la villa", words)
 
 
 # problem 3
