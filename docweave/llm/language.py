@@ -135,8 +135,8 @@ def record_paragraphs(web_in: DataFrame, layout: DataFrame, page_text: DataFrame
     list entries, cells and captions only where a record has nothing else."""
     from . import residue, scanned, web
 
-    blocks = web.exploded(residue.real_articles(web.parsed_pages(web_in, common_words)))
-    w = blocks.select(F.lit("web").alias("kind"), F.col("page_id").alias("id"), F.col("pos").cast("long").alias("pos"), F.col("t").alias("text"), F.col("prose")).dropDuplicates(["id", "pos"])
+    blocks = residue.real_articles(web.parsed_pages(web_in, common_words))
+    w = blocks.select(F.lit("web").alias("kind"), F.col("page_id").alias("id"), F.col("pos").cast("long").alias("pos"), F.col("t").alias("text"), web.flag(web.PROSE).alias("prose")).dropDuplicates(["id", "pos"])
     linked = scanned.with_running(scanned.pages(layout, page_text, pdf_meta))
     p = scanned.paragraphs_of(linked)
     p = p.select(F.lit("pdf").alias("kind"), F.col("doc_id").alias("id"), (F.col("page_num") * F.lit(1_000_000).cast("long") + F.col("block_no")).alias("pos"), "text", ((F.length("text") >= MIN_CHARS) & ~F.col("text").rlike(r"^\s*[•◦–▪-]")).alias("prose"))

@@ -159,8 +159,7 @@ def _clean(c: str) -> Column:
 
 def web_texts(web_in: DataFrame, web_meta: DataFrame, common_words: DataFrame) -> DataFrame:
     """Article text of the pages that have one, each page once, with the fields of its metadata."""
-    pages = residue.real_articles(web.parsed_pages(web_in, common_words))
-    text = pages.select(F.col("page_id").alias("id"), "lote", F.array_join(F.transform("blocks", lambda x: x["t"]), "\n").alias("text"))
+    text = web.main_text(residue.real_articles(web.parsed_pages(web_in, common_words))).withColumnRenamed("page_id", "id").drop("title")
     meta = web_meta.groupBy(F.col("page_id").alias("id")).agg(F.min(_clean("titulo")).alias("title"), F.min(_clean("autor")).alias("author"), F.min(_clean("sha256_html")).alias("sha"), F.min(F.substring(_clean("idioma"), 1, 2)).alias("lang"))
     return text.join(meta, "id", "left").select(F.lit("web").alias("kind"), "id", "lote", "title", "author", "sha", "lang", "text")
 

@@ -55,6 +55,10 @@ def _tag(raw: str) -> _Tag:
     return t
 
 
+def _one_space(s: str) -> str:
+    return (_SPACE.sub(" ", s) if "\n" in s or "\t" in s or "  " in s else s).strip(" ")
+
+
 def text_blocks(src: str) -> list[tuple[tuple[str, ...], str, bool]]:
     """(path of labels below body, text, holds a link) of each text block, in reading order.
 
@@ -89,7 +93,7 @@ def text_blocks(src: str) -> list[tuple[tuple[str, ...], str, bool]]:
         if s and not s.isspace():
             if "&" in s:
                 s = _html.unescape(s)
-            s = _SPACE.sub(" ", s).strip(" ")
+            s = _one_space(s)
             if s:
                 out.append((tuple(labels), s, link))
         link = False
@@ -113,7 +117,7 @@ def text_blocks(src: str) -> list[tuple[tuple[str, ...], str, bool]]:
         buf.append(after)
     s = "".join(buf)
     if s and not s.isspace():
-        s = _SPACE.sub(" ", _html.unescape(s)).strip(" ")
+        s = _one_space(_html.unescape(s))
         if s:
             out.append((tuple(labels), s, link))
     return out

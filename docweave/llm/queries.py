@@ -27,12 +27,12 @@ def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    blocks = web.exploded(residue.real_articles(_parsed(spark, d)))
+    blocks = residue.real_articles(_parsed(spark, d))
     return blocks.select("page_id", F.md5(F.encode("t", "UTF-8")).alias("block_md5")).distinct()
 
 
 def p2_text(spark: SparkSession, d: str) -> DataFrame:
-    return web.main_text(residue.real_articles(_parsed(spark, d)))
+    return web.main_text(residue.real_articles(_parsed(spark, d))).select("page_id", "title", "text")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,8 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_pages(web.articles(_parsed(spark, d), text=False)).select("page_id")
+    pages = _parsed(spark, d)
+    return residue.residue_pages(web.Rules(pages).blocks(pages, text=False)).select("page_id")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:

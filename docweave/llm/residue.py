@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import join_sized, stored
-from .web import FEW_IDS, applied, host_rules
+from .web import AGREE, FEW_IDS, HEAD, MARK, Rules, flag
 
 #: A block of at most so many letters that stands under so many distinct titles is a repeated message.
 SHORT_LETTERS, DUPLICATE_TITLES = 120, 3
@@ -41,23 +41,22 @@ ANCHOR = "information"
 START, PRIOR_PAGES, ROUNDS, LEAST = 0.05, 20.0, 20, 0.5
 
 
-def page_evidence(pages: DataFrame) -> DataFrame:
-    """Stored (page_id and the columns of EVIDENCE), a row per page of :func:`web.articles`; pages delivered twice count
-    once. A null status is none; a page without body text has no information and does not agree."""
-
-    def total(cond: Column | None = None, of: str = "n") -> Column:
-        b = F.filter("blocks", lambda x: ~x["b"]["head"] & (F.lit(True) if cond is None else x["b"][cond]))
-        return F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + F.greatest(x["b"][of], F.lit(1)))
-
-    agree = F.exists("blocks", lambda x: x["b"]["agree"])
-    short = F.transform(F.filter("blocks", lambda x: ~x["b"]["head"] & x["b"]["k"].isNotNull() & (x["b"]["n"] <= SHORT_LETTERS)), lambda x: F.struct(x["b"]["k"].alias("k"), x["b"]["n"].alias("n"), x["b"]["mark"].alias("mark")))
-    said = F.array_distinct(F.transform(F.filter("blocks", lambda x: ~x["b"]["head"] & ~x["b"]["mark"]), lambda x: F.struct(x["b"]["k"].alias("k"), x["b"]["n"].alias("n"))))
-    once = F.aggregate(said, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    p = pages.select("page_id", "host", "tk", "status", total().alias("all"), total("mark").alias("marks"), once.alias("once"), agree.alias("agree"), F.array_distinct(short).alias("short"))
-    p = stored(p.dropDuplicates(["page_id"]), "weighed")
-    blocks = p.select("page_id", "tk", F.explode("short").alias("x")).select("page_id", "tk", "x.*")
+def page_evidence(blocks: DataFrame) -> DataFrame:
+    """Stored (page_id and the columns of EVIDENCE), a row per page of article blocks (:meth:`web.Rules.blocks`, with or
+    without text); pages delivered twice count once. A null status is none; a page without body text has no information
+    and does not agree."""
+    about = [F.max(c).alias(c) for c in ("host", "tk", "status")]
+    b = blocks.select("page_id", "pos", "host", "tk", "status", "f", "k", "n").repartition("page_id")
+    b = b.groupBy("page_id", "pos").agg(*about, *[F.max(c).alias(c) for c in ("f", "k", "n")])
+    letters = F.when(flag(HEAD), 0).otherwise(F.greatest("n", F.lit(1)))
+    key = b.groupBy("page_id", "k").agg(*about, F.sum(letters).alias("n"), F.max(letters).alias("one"), F.max(flag(MARK)).alias("mark"), F.max(flag(AGREE)).alias("agree"))
+    key = stored(key, "weighed")
+    said = F.when(~F.col("mark"), F.when(F.col("k").isNull(), F.col("n")).otherwise(F.col("one"))).otherwise(0)
+    p = key.groupBy("page_id").agg(*about, F.sum("n").alias("all"), F.sum(F.when(F.col("mark"), F.col("n")).otherwise(0)).alias("marks"), F.sum(said).alias("once"), F.max("agree").alias("agree"))
+    p = stored(p, "pages")
+    blocks = key.filter(F.col("k").isNotNull() & (F.col("one") > 0) & (F.col("one") <= SHORT_LETTERS)).select("page_id", "tk", "k", "n", "one", "mark")
     often = stored(blocks.select("k", "tk").distinct().groupBy("k").agg(F.count("*").alias("titles")).filter(F.col("titles") >= DUPLICATE_TITLES).select("k"), "messages")
-    again = join_sized(blocks, often, ["k"], "left_semi", limit=FEW_IDS).groupBy("page_id").agg(F.sum("n").alias("again"), F.sum(F.when(~F.col("mark"), F.col("n")).otherwise(0)).alias("again_unmarked"))
+    again = join_sized(blocks, often, ["k"], "left_semi", limit=FEW_IDS).groupBy("page_id").agg(F.sum("n").alias("again"), F.sum(F.when(~F.col("mark"), F.col("one")).otherwise(0)).alias("again_unmarked"))
     shared = stored(p.filter("tk != 0").select("tk", "host").distinct().groupBy("tk").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= TITLE_HOSTS).select("tk", F.lit(True).alias("shared")), "titles")
     typical = p.groupBy("host").agg(F.percentile_approx("all", 0.5).alias("own"), F.count("*").alias("pages"))
     middle = p.agg(F.percentile_approx("all", 0.5)).first()[0] or 1
@@ -101,9 +100,9 @@ def learned_classes(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUN
     return posterior()
 
 
-def residue_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, posterior and the columns of EVIDENCE): pages of :func:`web.articles` without an article."""
-    evidence = page_evidence(pages)
+def residue_pages(blocks: DataFrame) -> DataFrame:
+    """(page_id, posterior and the columns of EVIDENCE): pages of article blocks that hold no article."""
+    evidence = page_evidence(blocks)
     rows = evidence.groupBy(*EVIDENCE).count().collect()  # at most 192 patterns
     if not rows:
         return evidence.withColumn("posterior", F.lit(0.0)).limit(0)
@@ -120,8 +119,8 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     return found.filter(F.col("posterior") >= LEAST)
 
 
-def real_articles(parsed: DataFrame) -> DataFrame:
-    """:func:`web.applied` of parsed pages, without the pages that have no article; text is read only for the others."""
-    rules = host_rules(parsed)
-    found = stored(residue_pages(applied(parsed, rules, text=False)).select("page_id"), "residue")
-    return applied(join_sized(parsed, found, ["page_id"], "left_anti", limit=FEW_IDS), rules)
+def real_articles(pages: DataFrame) -> DataFrame:
+    """The article blocks, with text, of the parsed pages that have an article; text is read only in the last step."""
+    rules = Rules(pages)
+    found = stored(residue_pages(rules.blocks(pages, text=False)).select("page_id"), "residue")
+    return rules.blocks(join_sized(pages, found, ["page_id"], "left_anti", limit=FEW_IDS))

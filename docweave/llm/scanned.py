@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import join_sized, stored
+from ..storage import BROADCAST_ROWS, join_sized, stored
 
 #: Lines smaller than this share of the document's body size, among the first or last EDGE lines of a page, are running.
 SMALL, EDGE = 0.9, 3
 #: Without small lines, a line is running if its key stands at the same edge of this share of pages, two at least.
 REPEAT_SHARE, REPEAT_PAGES = 0.3, 2
+#: Letters a repeated line has at least that is not the outermost of its page.
+INNER_LETTERS = 4
 # Characters that divide a word at a line end.
 HYPHENS = "-\xad‐¬"
 HYPHENS_OR_SPACE = HYPHENS + " "
@@ -28,14 +33,27 @@ CONFUSIONS = (
 )
 _CONFUSED = frozenset(CONFUSIONS)
 _BY_READ: dict[str, list[str]] = {}
+_BY_TRUE: dict[str, list[str]] = {}
 for _r, _t in CONFUSIONS:
     _BY_READ.setdefault(_r, []).append(_t)
+    _BY_TRUE.setdefault(_t, []).append(_r)
 #: Cost of a listed confusion, of another single substitution, and of a second listed confusion in one word.
 LISTED, OTHER, DOUBLE = 1.0, 3.0, 2.5
 #: A reading is replaced if the true word is this many times more frequent; and weight of the edit cost against log counts.
 RATIO, COST_WEIGHT = 4.0, 2.0
-#: Doubtful words up to this number go to the tasks as a set.
-LOCAL_WORDS = 300_000
+#: Bits of the filter by which tasks pass over words that are not doubtful, whatever their number; partial filters made.
+FILTER_BITS, FILTER_PARTS = 1 << 25, 16
+#: A form seen so often on scanned pages, and in this share of their words, counts as a word.
+SEEN_LEAST, SEEN_SHARE = 20, 4e-6
+#: Read words up to this length try the listed confusions one by one; longer ones use the index of deletes, which has no
+#: keys of fewer characters than INDEX_KEY, so none is shared by all short words.
+SHORT_WORD, INDEX_KEY = 4, 3
+#: Up to this length a word tries all pairs of listed confusions; longer ones meet the lexicon half way.
+PAIRS_LENGTH = 24
+#: Key characters from which keys are rolling hashes, so that a long word costs its length and not its square.
+ROLLING = 60
+#: Pages of a document whose neighbours are found in one task.
+CHUNK = 1_000
 #: For words that are words themselves: least support of the other reading in neighbouring pairs of clean pages.
 CONTEXT_SUPPORT = 2
 
@@ -46,7 +64,8 @@ _CODE = re.compile(r"[A-Z]\d+")
 NUMBER_START = frozenset("0123456789liosb|")
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "5": "s", "e": "c", "9": "g", "6": "b", "t": "f"})
 
-PAGE = "doc_id bigint, page_num int, sitio string, scanned boolean, lines array<struct<b:int,l:int,t:string,sz:double>>"
+LINE = "struct<b:int,l:int,t:string,sz:double>"
+PAGE = f"doc_id bigint, page_num int, lines array<{LINE}>, n int, edge array<struct<i:int,b:int,l:int,t:string,sz:double>>, hist array<struct<sz:double,n:int>>"
 
 
 def scanned_pages(page_text: DataFrame, pdf_meta: DataFrame) -> DataFrame:
@@ -57,105 +76,139 @@ def scanned_pages(page_text: DataFrame, pdf_meta: DataFrame) -> DataFrame:
 
 
 def pages(layout: DataFrame, page_text: DataFrame, pdf_meta: DataFrame) -> DataFrame:
-    """Stored pages with their lines in order, each line its spans joined; rows repeated exactly count once.
+    """Stored pages with their lines in order, each line its spans joined; rows repeated exactly count once. ``edge`` are
+    the first and last EDGE + 1 lines with their index, ``hist`` the characters of each size.
 
     Null text counts as empty, lines without text are dropped, null numbers order as 0; pages unknown to
     ``page_text`` follow the document's text layer."""
     span = F.struct(F.coalesce("block_no", F.lit(0)).alias("b"), F.coalesce("line_no", F.lit(0)).alias("l"), F.coalesce("span_no", F.lit(0)).alias("s"), F.coalesce("text", F.lit("")).alias("t"), F.coalesce("size", F.lit(0.0)).alias("sz"))
-    grouped = layout.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", F.coalesce("page_num", F.lit(0)).cast("int").alias("page_num")).agg(F.max("sitio").alias("sitio"), F.collect_list(span).alias("spans"))
+    grouped = layout.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", F.coalesce("page_num", F.lit(0)).cast("int").alias("page_num")).agg(F.collect_list(span).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bt in batches:
             spans = bt.column("spans")
             at = spans.offsets.to_pylist()
             cols = [c.to_pylist() for c in spans.values.flatten()]
-            bs, ls, ts, zs, ends = [], [], [], [], [0]
+            rows: list[tuple[int, int, str, float]] = []
+            edges: list[tuple[int, int, int, str, float]] = []
+            hist: list[tuple[float, int]] = []
+            ends, edge_ends, hist_ends, ns = [0], [0], [0], []
             for i, j in zip(at, at[1:]):
+                page: list[tuple[int, int, str, float]] = []
                 last = None
                 for b, ln, _, t, z in sorted(set(zip(*(c[i:j] for c in cols)))):
                     if last == (b, ln):
-                        ts[-1] += t
-                        zs[-1] = max(zs[-1], z)
+                        page[-1] = (b, ln, page[-1][2] + t, max(page[-1][3], z))
                         continue
-                    if last is not None and (not ts[-1] or ts[-1].isspace()):  # a line without text
-                        for x in (bs, ls, ts, zs):
-                            x.pop()
                     last = (b, ln)
-                    bs.append(b)
-                    ls.append(ln)
-                    ts.append(t)
-                    zs.append(z)
-                if last is not None and (not ts[-1] or ts[-1].isspace()):
-                    for x in (bs, ls, ts, zs):
-                        x.pop()
-                ends.append(len(bs))
-            lines = pa.StructArray.from_arrays([pa.array(bs, pa.int32()), pa.array(ls, pa.int32()), pa.array(ts, pa.string()), pa.array(zs, pa.float64())], ["b", "l", "t", "sz"])
-            yield pa.RecordBatch.from_arrays([bt.column("doc_id"), bt.column("page_num"), bt.column("sitio"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines)], names=["doc_id", "page_num", "sitio", "lines"])
-
-    lines = grouped.mapInArrow(run, PAGE.replace("scanned boolean, ", ""))
+                    page.append((b, ln, t, z))
+                page = [x for x in page if x[2] and not x[2].isspace()]
+                n = len(page)
+                sizes: dict[float, int] = {}
+                for x in page:
+                    sizes[x[3]] = sizes.get(x[3], 0) + len(x[2])
+                rows += page
+                hist += sizes.items()
+                near = range(n) if n <= 2 * EDGE + 2 else (*range(EDGE + 1), *range(n - EDGE - 1, n))
+                edges += [(k, *page[k]) for k in near]
+                ns.append(n)
+                ends.append(len(rows))
+                edge_ends.append(len(edges))
+                hist_ends.append(len(hist))
+
+            def nested(of: list[tuple], offsets: list[int], names: list[str], kinds: list[pa.DataType]) -> pa.Array:
+                c = list(zip(*of)) if of else [()] * len(names)
+                return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names))
+
+            line = [pa.int32(), pa.int32(), pa.string(), pa.float64()]
+            cols_out = [nested(rows, ends, ["b", "l", "t", "sz"], line), pa.array(ns, pa.int32()), nested(edges, edge_ends, ["i", "b", "l", "t", "sz"], [pa.int32(), *line]), nested(hist, hist_ends, ["sz", "n"], [pa.float64(), pa.int32()])]
+            yield pa.RecordBatch.from_arrays([bt.column("doc_id"), bt.column("page_num"), *cols_out], names=["doc_id", "page_num", "lines", "n", "edge", "hist"])
+
+    lines = grouped.mapInArrow(run, PAGE)
     flags = stored(scanned_pages(page_text, pdf_meta), "scanned")
     meta = stored(pdf_meta.groupBy("doc_id").agg(F.max(F.lower(F.trim("capa_texto")) == "ocr").alias("ocr")), "layers")
     x = join_sized(join_sized(lines, flags, ["doc_id", "page_num"], "left"), meta, ["doc_id"], "left")
-    return stored(x.select("doc_id", "page_num", "sitio", F.coalesce("scanned", "ocr", F.lit(False)).alias("scanned"), "lines"), "pages")
+    return stored(x.select("doc_id", "page_num", F.coalesce("scanned", "ocr", F.lit(False)).alias("scanned"), "lines", "n", "edge", "hist"), "pages")
 
 
-def line_key(text: str) -> str:
+def line_key(text: Column) -> Column:
     """Letters of a line with confusable characters folded, without numbers: equal for a running line and its misread copies."""
-    return re.sub(r"[^\w]|\d", "", re.sub(r"\d+", " ", text).lower().replace("rn", "m").replace("ri", "n").replace("ii", "u").replace("cl", "d").translate(_FOLD))
+    s = F.lower(F.regexp_replace(text, r"\d+", " "))
+    for read, true in (("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d")):
+        s = F.replace(s, F.lit(read), F.lit(true))
+    return F.regexp_replace(F.translate(s, "iet", "lcf"), r"[^\p{L}\p{N}_]", "")
 
 
 def body_sizes(pg: DataFrame) -> DataFrame:
-    """(doc_id, body, has_small): the size most characters have, and whether any line is clearly smaller."""
-    per = pg.select("doc_id", F.explode("lines").alias("x")).groupBy("doc_id", F.round("x.sz", 1).alias("sz")).agg(F.sum(F.length("x.t")).alias("n"))
-    body = per.groupBy("doc_id").agg(F.max_by("sz", F.struct("n", "sz")).alias("body"), F.min("sz").alias("least"))
+    """(doc_id, body, has_small): the size most characters have, to a tenth, and whether a line at an edge of a page is
+    clearly smaller. Sizes are weighed by the histograms of the pages, not by their lines."""
+    edge = F.array_min(F.transform("edge", lambda z: z["sz"]))
+    per = pg.select("doc_id", edge.alias("e"), F.explode("hist").alias("x")).groupBy("doc_id", F.round("x.sz", 1).alias("sz")).agg(F.sum("x.n").alias("n"), F.min("e").alias("e"))
+    body = per.groupBy("doc_id").agg(F.max_by("sz", F.struct("n", "sz")).alias("body"), F.min("e").alias("least"))
     return body.select("doc_id", "body", (F.col("least") < SMALL * F.col("body")).alias("has_small"))
 
 
+def _is_small(z: Column, i: Column) -> Column:
+    return ((i < EDGE) | (i >= F.col("n") - EDGE)) & (z["sz"] < SMALL * F.col("body"))
+
+
 def with_running(pg: DataFrame) -> DataFrame:
-    """Stored pages with ``run``, a flag per line: running header, footer or page number, also if misread."""
+    """Pages (doc_id, page_num, scanned, lines, run, nxt, prv) with ``run``, a flag per line: running header, footer or
+    page number, also if misread; and with the neighbouring body lines where a word is divided between pages.
+
+    Both come by joins with small tables as long as those are small; else the pages are stored once more."""
     sizes = stored(body_sizes(pg), "sizes")
     x = join_sized(pg, sizes, ["doc_id"])
-    cols = ["doc_id", "page_num", "sitio", "scanned", "lines"]
-    n = F.size("lines")
-    small = F.transform("lines", lambda z, i: ((i < EDGE) | (i >= n - EDGE)) & (z["sz"] < SMALL * F.col("body")))
+    run, edge_run = F.transform("lines", _is_small), F.transform("edge", lambda z: _is_small(z, z["i"]))
     if sizes.filter(~F.col("has_small")).limit(1).count():
-        y = _running_by_repetition(pg, x, small).select(*cols, "run")
-    else:
-        y = x.select(*cols, small.alias("run"))
-    return _linked(y)
-
-
-def _running_by_repetition(pg: DataFrame, x: DataFrame, small: Column) -> DataFrame:
-    n = F.size("lines")
-    edge_key = F.udf(line_key, "string")  # only for documents whose sizes tell nothing
-    flat = x.filter(~F.col("has_small")).select("doc_id", "page_num", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "x")).filter((F.col("i") < 1) | (F.col("i") >= F.col("n") - 1))
-    keyed = flat.select("doc_id", "page_num", (F.col("i") < 1).alias("top"), edge_key("x.t").alias("k"))
-    total = pg.groupBy("doc_id").agg(F.count_distinct("page_num").alias("pages"))
-    rep = keyed.groupBy("doc_id", "top", "k").agg(F.count_distinct("page_num").alias("n")).join(total, "doc_id").filter((F.col("n") >= F.greatest(F.lit(REPEAT_PAGES), REPEAT_SHARE * F.col("pages"))) & (F.length("k") != 1))
-    reps = stored(rep.groupBy("doc_id").agg(F.collect_set(F.concat(F.when(F.col("top"), "t").otherwise("b"), "k")).alias("reps")), "repeated")
-    x = join_sized(x, reps, ["doc_id"], "left")
-
-    # a document whose sizes tell nothing: its repeated edge lines, looked up by their folded key
-    known = F.coalesce("reps", F.array().cast("array<string>"))
-    plain = F.transform("lines", lambda z, i: F.lit(False))
-    edges = F.when(F.size(known) > 0, F.transform("lines", lambda z, i: F.when(i == 0, F.array_contains(known, F.concat(F.lit("t"), F.col("key_top")))).when(i == n - 1, F.array_contains(known, F.concat(F.lit("b"), F.col("key_bottom")))).otherwise(False))).otherwise(plain)
-    with_reps = x.filter(F.col("reps").isNotNull() & ~F.col("has_small")).withColumn("key_top", edge_key(F.get("lines", 0)["t"])).withColumn("key_bottom", edge_key(F.try_element_at("lines", F.lit(-1))["t"]))
-    cols = ["doc_id", "page_num", "sitio", "scanned", "lines"]
-    rest = x.filter(F.col("reps").isNull() | F.col("has_small")).select(*cols, F.when(F.col("has_small"), small).otherwise(plain).alias("run"))
-    return rest.unionByName(with_reps.select(*cols, edges.alias("run"))) if reps.limit(1).count() else rest
-
-
-def _linked(y: DataFrame) -> DataFrame:
-    # the next page's first body line, for words divided across pages
-    first = F.array_position("run", False).cast("int")
-    last = F.size("run") - F.array_position(F.reverse("run"), False).cast("int")
-    ends = y.select("doc_id", "page_num", F.when(first > 0, F.get("lines", first - 1)).alias("f"), F.when(first > 0, F.get("lines", last)["t"]).alias("z")).filter(F.col("f").isNotNull())
-    w = W.partitionBy("doc_id").orderBy("page_num")
-    link = ends.select("doc_id", "page_num", F.lead(F.struct(F.col("page_num").alias("p"), F.col("f.b").alias("b"), F.col("f.l").alias("l"), F.col("f.t").alias("t"))).over(w).alias("nxt"), F.lag("z").over(w).alias("prv"), F.col("z").alias("own"))
-    # only pages that end or begin within a word need to know their neighbours
+        reps = stored(_repeated_edges(x), "repeated")
+        x = join_sized(x, reps, ["doc_id"], "left")
+        run = F.when(F.col("reps").isNull(), run).otherwise(F.transform("lines", _is_repeated))
+        edge_run = F.when(F.col("reps").isNull(), edge_run).otherwise(F.transform("edge", lambda z: _is_repeated(z, z["i"])))
+    own = F.zip_with("edge", edge_run, lambda z, r: F.when(~r, z))
+    ends = x.select("doc_id", "page_num", F.filter(own, lambda z: z.isNotNull()).alias("body")).filter(F.size("body") > 0)
+    link = stored(_page_links(ends.select("doc_id", "page_num", F.get("body", 0).alias("f"), F.element_at("body", -1)["t"].alias("z"))), "links")
+    y = join_sized(x.select("doc_id", "page_num", "scanned", "lines", run.alias("run")), link, ["doc_id", "page_num"], "left")
+    few = all(t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS for t in (sizes, link))
+    return y if few else stored(y, "linked")
+
+
+def _repeated_edges(x: DataFrame) -> DataFrame:
+    """(doc_id, reps): for documents whose sizes tell nothing, the keys of lines at the same edge of several pages: the
+    outermost line, and of the next ones those with some letters. Keys are led by t or b, and by 0 if outermost."""
+    i, low = F.col("z.i"), F.col("n") - 1 - F.col("z.i")
+    flat = x.filter(~F.col("has_small")).select("doc_id", "page_num", "n", F.explode("edge").alias("z")).filter((i < EDGE) | (low < EDGE))
+    top = i <= low
+    keyed = flat.select("doc_id", "page_num", _edge_key(F.col("z.t"), top, F.least(i, low)).alias("k"))
+    total = x.filter(~F.col("has_small")).groupBy("doc_id").agg(F.count_distinct("page_num").alias("pages"))
+    rep = keyed.distinct().groupBy("doc_id", "k").agg(F.count("*").alias("n")).join(total, "doc_id").filter((F.col("n") >= F.greatest(F.lit(REPEAT_PAGES), REPEAT_SHARE * F.col("pages"))) & (((F.length("k") != 3) & (F.substring("k", 2, 1) == "0")) | (F.length("k") >= 2 + INNER_LETTERS)))
+    return rep.groupBy("doc_id").agg(F.collect_set("k").alias("reps"))
+
+
+def _edge_key(text: Column, top: Column, depth: Column) -> Column:
+    return F.concat(F.when(top, "t").otherwise("b"), F.when(depth == 0, "0").otherwise("1"), line_key(text))
+
+
+def _is_repeated(z: Column, i: Column) -> Column:
+    low = F.col("n") - 1 - i
+    depth = F.least(i, low)
+    return F.when(depth < EDGE, F.array_contains("reps", _edge_key(z["t"], i <= low, depth))).otherwise(False)
+
+
+def _page_links(ends: DataFrame) -> DataFrame:
+    """(doc_id, page_num, nxt, prv) of pages that end or begin within a word: the first body line of the next page with
+    text, the last of the one before. Neighbours are found in chunks of pages, and those of chunks between them, so a
+    document of any number of pages is no single task's."""
+    head = F.struct(F.col("page_num").alias("p"), F.col("f.b").alias("b"), F.col("f.l").alias("l"), F.col("f.t").alias("t"))
+    e = ends.select("doc_id", "page_num", F.floor(F.col("page_num") / CHUNK).alias("chunk"), head.alias("head"), "z")
+    w = W.partitionBy("doc_id", "chunk").orderBy("page_num")
+    near = e.select("doc_id", "page_num", "chunk", F.lead("head").over(w).alias("nxt"), F.lag("z").over(w).alias("prv"), "z")
+    chunks = e.groupBy("doc_id", "chunk").agg(F.min_by("head", "page_num").alias("head"), F.max_by("z", "page_num").alias("z"))
+    wc = W.partitionBy("doc_id").orderBy("chunk")
+    beside = chunks.select("doc_id", "chunk", F.lead("head").over(wc).alias("nxt_chunk"), F.lag("z").over(wc).alias("prv_chunk")).filter(F.col("nxt_chunk").isNotNull() | F.col("prv_chunk").isNotNull())
+    link = near.join(beside, ["doc_id", "chunk"], "left").select("doc_id", "page_num", F.coalesce("nxt", "nxt_chunk").alias("nxt"), F.coalesce("prv", "prv_chunk").alias("prv"), "z")
     tail = rf"[\p{{L}}\p{{N}}][{HYPHENS}] *$"
-    link = link.filter(F.col("own").rlike(tail) | F.col("prv").rlike(tail)).drop("own")
-    return stored(y.join(link, ["doc_id", "page_num"], "left"), "linked")
+    return link.filter((F.col("nxt").isNotNull() & F.col("z").rlike(tail)) | F.col("prv").rlike(tail)).drop("z")
 
 
 def _ends_divided(t: str) -> bool:
@@ -197,20 +250,6 @@ def page_tokens(texts: list[str], nxt: dict | None, prv: str | None) -> tuple[li
     return toks, divided
 
 
-def in_sequence(toks: list[list[str]], divided: list[tuple[int, str, str, str, int | None]], bs: list[int]) -> list[tuple[int, int, str]]:
-    """(line, place in it, word in lower case) of a page's body words in order over line ends; at place -1 a divided
-    word stands whole between the lines it is on, and an empty one between blocks ``bs``, whose words are no neighbours."""
-    cut = {d[0]: (d[1] + d[2]).lower() for d in divided}
-    out = []
-    for k, ts in enumerate(toks):
-        if k and bs[k] != bs[k - 1] and k - 1 not in cut:
-            out.append((k, -1, ""))
-        out += [(k, i, t.lower()) for i, t in enumerate(ts)]
-        if k in cut:
-            out.append((k, -1, cut[k]))
-    return out
-
-
 def _flat_pages(bt: pa.RecordBatch) -> Iterator[tuple[int, list[int], list[int], list[str], dict | None, str | None]]:
     """(row, blocks, line numbers, texts) of the body lines of each page of a batch, with its neighbours."""
     lines = bt.column("lines")
@@ -225,61 +264,148 @@ def _flat_pages(bt: pa.RecordBatch) -> Iterator[tuple[int, list[int], list[int],
 COUNTS = "kind string, a string, b string, clean bigint, scan bigint"
 
 
+def _sequence(toks: list[list[str]], divided: list[tuple[int, str, str, str, int | None]], bs: list[int]) -> tuple[list[str], list[int]]:
+    """(words, starts): the body words of a page in order over line ends, a divided word whole between the lines it is
+    on, an empty one between blocks ``bs``, whose words are no neighbours; and where each line's own words begin."""
+    cut = {d[0]: d[1] + d[2] for d in divided}
+    seq: list[str] = []
+    starts = []
+    for k, ts in enumerate(toks):
+        if k and bs[k] != bs[k - 1] and k - 1 not in cut:
+            seq.append("")
+        starts.append(len(seq))
+        seq += ts
+        if k in cut:
+            seq.append(cut[k])
+    return seq, starts
+
+
+class _Numbered(dict):
+    """Words by the number they got when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def counts(linked: DataFrame) -> DataFrame:
     """Stored counts of words (kind w), joined divided words (j), hyphened compounds (c) and neighbouring pairs (p),
-    on clean and on scanned pages, over all body lines."""
+    on clean and on scanned pages, over all body lines; in folders by kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = (Counter(), Counter()), Counter()
+        words, pairs = (Counter(), Counter()), []
         joined, compounds = (Counter(), Counter()), (Counter(), Counter())
+        number = _Numbered({"": 0})
+
+        def batch(kind: str, a: list[str], b: list[str], clean: list[int], scan: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(a)), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(clean, pa.int64()), pa.array(scan, pa.int64())], names=["kind", "a", "b", "clean", "scan"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, clean, scan in (("w", *words), ("j", *joined), ("c", *compounds), ("p", pairs, Counter())):
+            for kind, clean, scan in (("w", *words), ("j", *joined), ("c", *compounds)):
                 keys = list(clean.keys() | scan.keys())
                 if keys:
-                    a = [k if kind == "w" else k[0] for k in keys]
-                    b = [""] * len(keys) if kind == "w" else [k[1] for k in keys]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array([clean[k] for k in keys], pa.int64()), pa.array([scan[k] for k in keys], pa.int64())], names=["kind", "a", "b", "clean", "scan"])
-            for c in (*words, pairs, *joined, *compounds):
+                    one = kind == "w"
+                    yield batch(kind, keys if one else [k[0] for k in keys], [""] * len(keys) if one else [k[1] for k in keys], [clean[k] for k in keys], [scan[k] for k in keys])
+            if pairs:
+                k, n = merged()
+                names = pa.array(list(number), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(["p"] * len(k)), names.take(pa.array(k >> 32)), names.take(pa.array(k & 0xFFFFFFFF)), pa.array(n), pa.array(np.zeros(len(k), np.int64))], names=["kind", "a", "b", "clean", "scan"])
+            for c in (*words, *joined, *compounds, pairs):
                 c.clear()
+            number.clear()
+            number[""] = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            k, at = np.unique(np.concatenate([x for x, _ in pairs]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([y for _, y in pairs])).astype(np.int64)
+            pairs[:] = [(k, n)]
+            return k, n
+
+        def pair_up(seq: list[str]) -> None:
+            i = np.fromiter(map(number.__getitem__, seq), np.int64, len(seq))
+            ok = (i[:-1] > 0) & (i[1:] > 0)
+            k, n = np.unique((i[:-1] << 32 | i[1:])[ok], return_counts=True)
+            pairs.append((k, n.astype(np.int64)))
 
         for bt in batches:
             scanned = bt.column("scanned").to_pylist()
+            flat: tuple[list[str], list[str]] = ([], [])
+            seqs: list[str] = [""]
             for row, bs, _, texts, nxt, prv in _flat_pages(bt):
                 texts = [t.lower() for t in texts]
                 toks, divided = page_tokens(texts, nxt, prv.lower() if prv else None)
                 s = 1 if scanned[row] else 0
-                for ts in toks:
-                    words[s].update(ts)
-                if not s:
-                    ws = [w for _, _, w in in_sequence(toks, divided, bs)]
-                    pairs.update(x for x in zip(ws, ws[1:]) if x[0] and x[1])
-                joined[s].update((d[1], d[2].lower()) for d in divided)
+                divided = [(k, left, right.lower(), hy, f) for k, left, right, hy, f in divided]
+                if s:
+                    for ts in toks:
+                        flat[1].extend(ts)
+                else:
+                    seq, _ = _sequence(toks, divided, bs)
+                    seqs += seq
+                    seqs.append("")
+                    words[0].subtract(d[1] + d[2] for d in divided)
+                joined[s].update((d[1], d[2]) for d in divided)
                 for t in texts:
                     if "-" in t:
                         compounds[s].update(_COMPOUND.findall(t))
-            if len(pairs) + len(words[0]) + len(words[1]) > 200_000:
+            words[1].update(flat[1])
+            words[0].update(seqs)
+            del words[0][""]
+            if len(seqs) > 2:
+                pair_up(seqs)
+            if len(pairs) > 16:
+                merged()
+            if sum(len(k) for k, _ in pairs) + len(words[0]) + len(words[1]) > 600_000:
                 yield from flush()
         yield from flush()
 
     raw = linked.select("lines", "run", "nxt", "prv", "scanned").mapInArrow(run, COUNTS)
-    return stored(raw.groupBy("kind", "a", "b").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan")), "counts")
+    return stored(raw.groupBy("kind", "a", "b").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan")).filter("clean + scan > 0"), "counts", by="kind")
+
+
+def _hashed(key: str) -> int:
+    """A signed 64-bit hash of a short key."""
+    h = xxhash.xxh3_64_intdigest(key.encode("utf-8", "replace"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+
+
+def delete_keys(w: str) -> list[tuple[int, int]]:
+    """(key, characters out) of the symmetric deletes of a word: one character out or two neighbouring ones, as hashes;
+    keys of ROLLING characters and more as rolling hashes, in time linear in the word."""
+    n = len(w)
+    out: set[tuple[int, int]] = set()
+    if n <= ROLLING:
+        for t in (1, 2):
+            if n - t >= INDEX_KEY:
+                out |= {(_hashed(w[:i] + w[i + t :]), t) for i in range(n - t + 1)}
+        return list(out)
+    before, power = [0] * (n + 1), [1] * (n + 1)
+    for i, c in enumerate(w):
+        before[i + 1] = (before[i] * _BASE + ord(c) + 1) % _PRIME
+        power[i + 1] = power[i] * _BASE % _PRIME
+    for t in (1, 2):
+        for i in range(n - t + 1):
+            if n - t < ROLLING:
+                out.add((_hashed(w[:i] + w[i + t :]), t))
+            else:
+                rest = n - i - t
+                out.add(((before[i] * power[rest] + before[n] - before[i + t] * power[rest]) % _PRIME, t))
+    return list(out)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Symmetric deletes: a word with one character out (kind 1) or two neighbouring ones (kind 2)."""
+    """The index rows (word number, key, characters out) of words."""
     for b in batches:
-        ws, ks, ts = [], [], []
-        for w in b.column("w").to_pylist():
-            for k in {w[:i] + w[i + 1 :] for i in range(len(w))}:
-                ws.append(w)
+        ids, ks, ts = [], [], []
+        for i, w in zip(b.column("id").to_pylist(), b.column("w").to_pylist()):
+            for k, t in delete_keys(w):
+                ids.append(i)
                 ks.append(k)
-                ts.append(1)
-            for k in {w[:i] + w[i + 2 :] for i in range(len(w) - 1)}:
-                ws.append(w)
-                ks.append(k)
-                ts.append(2)
-        yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array(ks, pa.string()), pa.array(ts, pa.int32())], names=["w", "k", "t"])
+                ts.append(t)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.int64()), pa.array(ts, pa.int32())], names=["id", "k", "t"])
 
 
 def edit_cost(read: str, true: str) -> tuple[float, int] | None:
@@ -317,62 +443,180 @@ def _double(word: str) -> dict[str, int]:
     return second
 
 
-def readings(cnt: DataFrame) -> DataFrame:
+def _single(word: str) -> dict[str, int]:
+    """Words that one listed confusion apart could have been read as ``word``, with the site."""
+    out: dict[str, int] = {}
+    for n in (1, 2):
+        for i in range(len(word) - n + 1):
+            for t in _BY_READ.get(word[i : i + n], ()):
+                out.setdefault(word[:i] + t + word[i + n :], i)
+    return out
+
+
+def half_way(word: str, by: dict[str, list[str]]) -> set[int]:
+    """Rolling hashes of ``word`` with one part replaced as ``by`` lists it, in time linear in the word."""
+    n = len(word)
+    before, power = [0] * (n + 1), [1] * (n + 2)
+    for i, c in enumerate(word):
+        before[i + 1] = (before[i] * _BASE + ord(c) + 1) % _PRIME
+    for i in range(n + 1):
+        power[i + 1] = power[i] * _BASE % _PRIME
+    out = set()
+    for size in (1, 2):
+        for i in range(n - size + 1):
+            for t in by.get(word[i : i + size], ()):
+                h, rest = before[i], n - i - size
+                for c in t:
+                    h = (h * _BASE + ord(c) + 1) % _PRIME
+                out.add((h * power[rest] + before[n] - before[i + size] * power[rest]) % _PRIME)
+    return out
+
+
+def two_sites(read: str, true: str) -> int | None:
+    """The first site of two listed confusions that turn ``true`` into ``read``; null if it takes others."""
+    i = 0
+    while i < min(len(read), len(true)) and read[i] == true[i]:
+        i += 1
+    for at in (i, i - 1):
+        for n in (1, 2):
+            if at >= 0:
+                for t in _BY_READ.get(read[at : at + n], ()):
+                    got = edit_cost(read[:at] + t + read[at + n :], true)
+                    if got and got[0] == LISTED:
+                        return at
+    return None
+
+
+READ = "w string, c string, cost double, site int"
+
+
+def _read_rows(rows: list[tuple[str, str, float, int]]) -> pa.RecordBatch:
+    c = list(zip(*rows)) if rows else [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int32())], names=["w", "c", "cost", "site"])
+
+
+def vocabulary(cnt: DataFrame) -> DataFrame:
+    """Stored (id, w, clean, scan, read, known): every word with its counts; read: on scanned pages, also as a divided
+    word; known: in the frequency lexicon, of words of clean pages and of those of scanned pages that are no rare reading."""
+    words = cnt.filter(F.col("kind") == "w").select(F.col("a").alias("w"), "clean", "scan")
+    joined = cnt.filter((F.col("kind") == "j") & (F.col("scan") > 0)).select(F.concat("a", "b").alias("w"), F.lit(0).cast("long").alias("clean"), F.lit(0).cast("long").alias("scan"), F.lit(True).alias("read"))
+    x = words.withColumn("read", F.col("scan") > 0).unionByName(joined).groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan"), F.max("read").alias("read"))
+    seen = words.agg(F.sum("scan")).first()[0] or 0
+    known = ~F.col("w").rlike(r"^\d+$") & ((F.col("clean") > 0) | (F.col("scan") >= max(SEEN_LEAST, SEEN_SHARE * seen)))
+    return stored(x.select(F.xxhash64("w").alias("id"), "w", "clean", "scan", "read", known.alias("known")), "vocabulary")
+
+
+def readings(vocab: DataFrame) -> DataFrame:
     """Stored (w, c, cost, site, f_w, clean_w, f_c): for words read on scanned pages, more frequent words they may be.
 
     Candidates come from an index of deletes shared by the word and the frequency lexicon, then the weighted edit
-    distance keeps changes at one site; words left without any get those two listed confusions away."""
-    words = cnt.filter(F.col("kind") == "w").select(F.col("a").alias("w"), "clean", "scan")
-    joined = cnt.filter((F.col("kind") == "j") & (F.col("scan") > 0)).select(F.concat("a", "b").alias("w")).distinct()
-    lex = words.filter(~F.col("w").rlike(r"^\d+$"))
-    seen = words.filter(F.col("scan") > 0).select("w").union(joined).distinct().filter(F.length("w") <= 60)
-    known = words.withColumn("f", F.col("clean") + F.col("scan"))
-    seen = stored(seen.join(known.select("w", F.col("f").alias("f_w"), F.col("clean").alias("clean_w")), "w", "left").na.fill(0), "seen")
-    keyed_seen = seen.select("w").mapInArrow(_keys, "w string, k string, t int")
-    # the frequency lexicon: words of clean pages, and those of scanned pages that are no rare reading
-    lexicon = stored(lex.filter((F.col("clean") > 0) | (F.col("scan") >= 20)).select(F.col("w").alias("c"), (F.col("clean") + F.col("scan")).alias("f_c")), "lexicon")
-    keyed_lex = lexicon.select(F.col("c").alias("w")).mapInArrow(_keys, "w string, k string, t int").select(F.col("w").alias("c"), "k", F.col("t").alias("tc"))
-    pairs = keyed_seen.join(keyed_lex, "k").filter((F.col("t") + F.col("tc") <= 3) & (F.col("w") != F.col("c"))).select("w", "c").distinct()
+    distance keeps changes at one site; words left without any get those two listed confusions away. Words of any length
+    take part: short ones try each confusion, long ones are hashed in time linear in them and meet the lexicon half
+    way for two confusions; strings are compared in either case."""
+    frequency = F.col("clean") + F.col("scan")
+    length = F.length("w")
+    lexicon = vocab.filter("known").select(F.col("w").alias("c"), frequency.alias("f_c"))
+    seen = vocab.filter("read").select("w", frequency.alias("f_w"), F.col("clean").alias("clean_w"))
+    index = stored(vocab.filter((F.col("read") | F.col("known")) & (length >= SHORT_WORD)).select("id", "w").mapInArrow(_keys, "id bigint, k bigint, t int").join(vocab.select("id", "read", "known"), "id"), "index")
+    left = index.filter("read").select(F.col("id").alias("wid"), "k", "t")
+    right = index.filter("known").select(F.col("id").alias("cid"), "k", F.col("t").alias("tc"))
+    pairs = left.join(right, "k").filter((F.col("t") + F.col("tc") <= 3) & (F.col("wid") != F.col("cid"))).select("wid", "cid").distinct()
+    both = pairs.join(vocab.select(F.col("id").alias("wid"), "w", frequency.alias("f_w")), "wid").join(vocab.select(F.col("id").alias("cid"), F.col("w").alias("c"), frequency.alias("f_c")), "cid").filter(F.col("f_c") >= RATIO * F.col("f_w"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, c, *got) for w, c in zip(b.column("w").to_pylist(), b.column("c").to_pylist()) if (got := edit_cost(w, c))]
-            cols = list(zip(*rows)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int32())], names=["w", "c", "cost", "site"])
+            found = ((w, c, *got) for w, c in zip(b.column("w").to_pylist(), b.column("c").to_pylist()) if (got := edit_cost(w, c)))
+            yield _read_rows([x for x in found if len(x[0]) > SHORT_WORD or x[2] != LISTED])
+
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _read_rows([(w, c, LISTED, i) for w in b.column("w").to_pylist() for c, i in _single(w).items()])
 
-    schema = "w string, c string, cost double, site int"
-    one = stored(pairs.mapInArrow(weigh, schema).join(lexicon, "c").join(seen, "w").filter(F.col("f_c") >= RATIO * F.col("f_w")), "readings")
+    def counted(x: DataFrame) -> DataFrame:
+        return x.join(lexicon, "c").join(seen, "w").filter((F.col("f_c") >= RATIO * F.col("f_w")) & (F.col("w") != F.col("c"))).select("w", "c", "cost", "site", "f_w", "clean_w", "f_c")
+
+    short = vocab.filter(F.col("read") & (length <= SHORT_WORD)).select("w").mapInArrow(singles, READ)
+    one = stored(counted(both.select("w", "c").mapInArrow(weigh, READ).unionByName(short)), "readings")
 
     def doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, c, DOUBLE, i) for w in b.column("w").to_pylist() if len(w) > 3 for c, i in _double(w).items()]
-            cols = list(zip(*rows)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int32())], names=["w", "c", "cost", "site"])
+            yield _read_rows([(w, c, DOUBLE, i) for w in b.column("w").to_pylist() for c, i in _double(w).items()])
+
+    def hashes(by: dict[str, list[str]]):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(i, h) for i, w in zip(b.column("id").to_pylist(), b.column("w").to_pylist()) for h in half_way(w, by)]
+                c = list(zip(*rows)) if rows else [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64())], names=["id", "h"])
+
+        return run
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _read_rows([(w, c, DOUBLE, at) for w, c in zip(b.column("w").to_pylist(), b.column("c").to_pylist()) if (at := two_sites(w, c)) is not None])
+
+    open_words = vocab.filter(F.col("read") & ~F.col("known") & (F.col("clean") == 0) & ~F.col("w").rlike(r"^\d+$") & (length >= SHORT_WORD)).join(one.filter(F.col("cost") <= LISTED).select("w").distinct(), "w", "left_anti").select("id", "w")
+    two = open_words.filter(length <= PAIRS_LENGTH).select("w").mapInArrow(doubles, READ)
+    long = open_words.filter(length > PAIRS_LENGTH).mapInArrow(hashes(_BY_READ), "id bigint, h bigint").withColumnRenamed("id", "wid")
+    true = vocab.filter(F.col("known") & (length > PAIRS_LENGTH - 3)).select("id", "w").mapInArrow(hashes(_BY_TRUE), "id bigint, h bigint").withColumnRenamed("id", "cid")
+    met = long.join(true, "h").select("wid", "cid").distinct().join(vocab.select(F.col("id").alias("wid"), "w"), "wid").join(vocab.select(F.col("id").alias("cid"), F.col("w").alias("c")), "cid")
+    two = two.unionByName(met.select("w", "c").mapInArrow(check, READ))
+    return stored(one.unionByName(counted(two)), "all-readings")
+
+
+def word_filter(words: DataFrame) -> bytes:
+    """A bitmap of FILTER_BITS bits with a bit for each of ``words`` (w), whatever their number: what is not in it is none
+    of them. Only FILTER_PARTS partial bitmaps reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in batches:
+            at = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) & (FILTER_BITS - 1) for w in b.column("w").to_pylist()), np.int64, b.num_rows)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    total = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in words.select("w").coalesce(FILTER_PARTS).mapInArrow(run, "bits binary").collect():
+        total |= np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
+    return total.tobytes()
 
-    open_words = seen.filter((F.col("clean_w") == 0) & ~F.col("w").rlike(r"^\d+$")).join(one.filter(F.col("cost") <= LISTED).select("w").distinct(), "w", "left_anti").join(lexicon.select(F.col("c").alias("w")), "w", "left_anti")
-    two = open_words.select("w").mapInArrow(doubles, schema).join(lexicon, "c").join(seen, "w").filter(F.col("f_c") >= RATIO * F.col("f_w"))
-    return stored(one.unionByName(two.select(*one.columns)), "all-readings")
+
+class _Judged(dict):
+    """Tokens as (lower case, 1 for one that may be doubtful, 2 for a number with letters in it, else 0)."""
+
+    def __init__(self, bits: bytes):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, tok: str) -> tuple[str, int]:
+        w = tok.lower()
+        at = zlib.crc32(w.encode("utf-8", "replace")) & (FILTER_BITS - 1)
+        kind = self.bits[at >> 3] >> (at & 7) & 1
+        if w[0] in NUMBER_START and _NUMBERLIKE.fullmatch(tok) is not None and not _CODE.fullmatch(tok) and 2 * sum(map(str.isdigit, w)) >= len(w):
+            kind = 2
+        if len(self) > 500_000:
+            self.clear()
+        got = self[tok] = (w, kind)
+        return got
 
 
 def repairs(linked: DataFrame, cnt: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(misread, divided). misread: (doc_id, page_num, b, l, tok, c), a word or number on a line and what it should
     be. divided: (doc_id, page_num, b, l, left, right, broken, np, nb, nl), words divided at line ends; broken
     is false for a compound that ends the line at its own hyphen."""
-    reads = readings(cnt)
+    vocab = vocabulary(cnt)
+    reads = readings(vocab)
     # words that cannot be, and words that are words but may be a misread other one
-    unknown = reads.filter((F.col("clean_w") == 0)).select("w", "c", "cost", "f_c", F.lit(False).alias("real"))
-    real = reads.filter((F.col("clean_w") > 0) & (F.col("cost") <= LISTED)).select("w", "c", "cost", "f_c", F.lit(True).alias("real"))
-    # a word that cannot be and may be only one other needs no context
-    number = unknown.unionByName(real).groupBy("w").agg(F.count("*").alias("choices"))
-    cand = stored(unknown.unionByName(real).join(number, "w"), "doubtful")
-    doubtful = stored(cand.select("w").distinct(), "doubtful-words")
-    few = doubtful.limit(LOCAL_WORDS + 1).count() <= LOCAL_WORDS
-    # a set of checked size goes to the tasks; a larger one is joined below
-    near = linked.sparkSession.sparkContext.broadcast(frozenset(r.w for r in doubtful.collect())) if few else None
+    choice = F.when((F.col("clean_w") == 0) | (F.col("cost") <= LISTED), F.struct("c", "cost", "f_c", (F.col("clean_w") > 0).alias("real")))
+    fix = F.max_by(F.when(F.col("cost") <= DOUBLE, F.struct("c", "site", "cost")), F.when(F.col("cost") <= DOUBLE, F.log("f_c") - COST_WEIGHT * F.col("cost")))
+    # a word has as many readings as it has sites of confusions and single letters
+    doubt = stored(reads.groupBy("w").agg(fix.alias("fix"), F.collect_list(choice).alias("choices")), "doubtful")
+    doubtful = doubt.filter(F.size("choices") > 0).select("w", "choices")
+    near = linked.sparkSession.sparkContext.broadcast(word_filter(doubtful))
     scanned = linked.filter("scanned").select("doc_id", "page_num", "lines", "run", "nxt", "prv")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = near.value if near is not None else None
+        judged = _Judged(near.value)
         for bt in batches:
             docs, pages_ = bt.column("doc_id").to_pylist(), bt.column("page_num").to_pylist()
             out: list[tuple] = []
@@ -382,14 +626,15 @@ def repairs(linked: DataFrame, cnt: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for k, left, right, hy, f in divided:
                     where = (page, bs[f], ls[f]) if f is not None else (nxt["p"], nxt["b"], nxt["l"])
                     out.append((doc, page, bs[k], ls[k], left, right, hy, False, *where))
-                flat = in_sequence(toks, divided, bs)
-                for j, (k, i, w) in enumerate(flat):
-                    if i < 0:
-                        continue
-                    tok = toks[k][i]
-                    number = w[0] in NUMBER_START and _NUMBERLIKE.fullmatch(tok) is not None and not _CODE.fullmatch(tok) and 2 * sum(map(str.isdigit, w)) >= len(w)
-                    if number or wanted is None or w in wanted:
-                        out.append((doc, page, bs[k], ls[k], tok, flat[j - 1][2] if j else "", flat[j + 1][2] if j + 1 < len(flat) else "", number, None, None, None))
+                seq: list[str] | None = None
+                for k, ts in enumerate(toks):
+                    for i, t in enumerate(ts):
+                        w, kind = judged[t]
+                        if kind:
+                            if seq is None:
+                                seq, starts = _sequence(toks, divided, bs)
+                            j = starts[k] + i
+                            out.append((doc, page, bs[k], ls[k], t, seq[j - 1].lower() if j else "", seq[j + 1].lower() if j + 1 < len(seq) else "", kind == 2, None, None, None))
             c = list(zip(*out)) if out else [()] * 11
             t = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(c, t)], names=["doc_id", "page_num", "b", "l", "tok", "prev", "next", "number", "np", "nb", "nl"])
@@ -397,14 +642,11 @@ def repairs(linked: DataFrame, cnt: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = stored(scanned.mapInArrow(look, "doc_id bigint, page_num int, b int, l int, tok string, prev string, next string, number boolean, np int, nb int, nl int"), "seen-words")
     d = seen.filter(F.col("np").isNotNull()).select("doc_id", "page_num", "b", "l", F.col("tok").alias("left"), F.col("prev").alias("right"), F.col("next").alias("hy"), "np", "nb", "nl")
     d = d.withColumn("w", F.lower(F.concat("left", "right"))).withColumn("lo", F.lower("left")).withColumn("hi", F.lower("right"))
-    lex = cnt.filter((F.col("kind") == "w") & (F.col("clean") + F.col("scan") > 1)).select(F.col("a").alias("w"), F.lit(True).alias("whole"))
-    compound = cnt.filter(F.col("kind") == "c").select(F.col("a").alias("lo"), F.col("b").alias("hi"), (F.col("clean") + F.col("scan")).alias("n_comp"))
-    top = reads.filter(F.col("cost") <= DOUBLE).groupBy("w").agg(F.max_by(F.struct("c", "site", "cost"), F.log("f_c") - COST_WEIGHT * F.col("cost")).alias("fix"))
-    d = d.join(lex, "w", "left").join(compound, ["lo", "hi"], "left").join(top, "w", "left")
-    parts = cnt.filter((F.col("kind") == "w") & (F.col("clean") > 0)).select(F.col("a").alias("hi"), F.lit(True).alias("own_word"))
-    d = d.join(parts, "hi", "left")
+    compound = cnt.filter(F.col("kind") == "c").select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit(True).alias("compound"))
+    d = d.join(vocab.filter("clean + scan > 1").select("w", F.lit(True).alias("whole")), "w", "left").join(doubt.filter(F.col("fix").isNotNull()).select("w", "fix"), "w", "left")
+    d = d.join(vocab.filter("clean > 0").select(F.col("w").alias("hi"), F.lit(True).alias("own_word")), "hi", "left").join(compound, ["hi", "lo"], "left")
     # written whole, or nearly: divided. Else a hyphen of its own if the compound is known or the second part is a word
-    broken = F.when(F.col("hy") != "-", True).when(F.col("whole"), True).when(F.col("n_comp").isNotNull(), False).when(F.col("fix").isNotNull(), True).otherwise(~F.coalesce("own_word", F.lit(False)))
+    broken = F.when(F.col("hy") != "-", True).when(F.col("whole"), True).when(F.col("compound"), False).when(F.col("fix").isNotNull(), True).otherwise(~F.coalesce("own_word", F.lit(False)))
     divided = stored(d.select("doc_id", "page_num", "b", "l", "left", "right", broken.alias("broken"), "np", "nb", "nl", F.coalesce("whole", F.lit(False)).alias("whole"), "fix"), "divided")
 
     o = seen.filter(F.col("np").isNull()).select("doc_id", "page_num", "b", "l", "tok", F.lower("tok").alias("w"), "prev", "next", "number")
@@ -412,21 +654,26 @@ def repairs(linked: DataFrame, cnt: DataFrame) -> tuple[DataFrame, DataFrame]:
     comp = divided.filter(~F.col("broken"))
     halves = comp.select("doc_id", "page_num", "b", "l", F.col("left").alias("tok")).unionByName(comp.select("doc_id", F.col("np").alias("page_num"), F.col("nb").alias("b"), F.col("nl").alias("l"), F.col("right").alias("tok")))
     o = o.unionByName(halves.select("*", F.lower("tok").alias("w"), F.lit("").alias("prev"), F.lit("").alias("next"), F.lit(False).alias("number")))
-    known_numbers = cnt.filter((F.col("kind") == "w") & (F.col("clean") > 0) & F.col("a").rlike(r"\d")).select(F.col("a").alias("w")).distinct()
-    o = stored(join_sized(o, doubtful.withColumn("doubt", F.lit(True)), ["w"], "left").filter(F.col("doubt") | F.col("number")).drop("doubt"), "occurrences")
+    known_numbers = vocab.filter((F.col("clean") > 0) & F.col("w").rlike(r"\d")).select("w")
     numbers = o.filter("number").join(known_numbers, "w", "left_anti").select("doc_id", "page_num", "b", "l", "tok", F.translate("tok", "lIOoSB|", "1100581").alias("c"))
-    p = cnt.filter(F.col("kind") == "p").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("clean").alias("n"))
-    oc = join_sized(o.filter(~F.col("number")), cand, ["w"], limit=LOCAL_WORDS)
-    clear = ~F.col("real") & (F.col("choices") == 1)
-    sure = oc.filter(clear).select("doc_id", "page_num", "b", "l", "tok", "c")
-    oc = stored(oc.filter(~clear).withColumn("oid", F.xxhash64("doc_id", "page_num", "b", "l", "tok", "prev", "next")), "unclear")
-    for name, left, right in (("pc", "prev", "c"), ("cn", "c", "next"), ("pw", "prev", "w"), ("wn", "w", "next")):
-        oc = oc.join(p.select(F.col("x").alias(left), F.col("y").alias(right), F.col("n").alias(name)), [left, right], "left")
-    oc = oc.na.fill(0, ["pc", "cn", "pw", "wn"])
-    score = F.log("f_c") + F.log(F.col("pc") + 0.1) + F.log(F.col("cn") + 0.1) - COST_WEIGHT * F.col("cost")
+    # the words that only the filter took for doubtful go here
+    oc = stored(join_sized(o.filter(~F.col("number")), doubtful, ["w"]), "occurrences")
+    clear = (F.size("choices") == 1) & ~F.get("choices", 0)["real"]
+    sure = oc.filter(clear).select("doc_id", "page_num", "b", "l", "tok", F.get("choices", 0)["c"].alias("c"))
+    oid = F.xxhash64("doc_id", "page_num", "b", "l", "tok", "prev", "next")
+    u = oc.filter(~clear).select(oid.alias("oid"), "doc_id", "page_num", "b", "l", "tok", "w", "prev", "next", F.explode("choices").alias("r")).distinct()
+    # each reading asks for its four neighbouring pairs, which meet the counted pairs in one join
+    c = F.col("r.c")
+    asks = F.array(*[F.struct(F.lit(k).alias("k"), x.alias("x"), y.alias("y")) for k, (x, y) in enumerate(((F.col("prev"), c), (c, F.col("next")), (F.col("prev"), F.col("w")), (F.col("w"), F.col("next"))))])
+    counted = cnt.filter(F.col("kind") == "p").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("clean").alias("n"))
+    u = u.withColumn("ask", F.explode(asks)).select("*", "ask.k", "ask.x", "ask.y").drop("ask").join(counted, ["x", "y"], "left")
+    own = ["oid", "doc_id", "page_num", "b", "l", "tok", "w", "prev", "next", "r"]
+    sums = [F.coalesce(F.max(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in enumerate(("pc", "cn", "pw", "wn"))]
+    u = u.groupBy(*own).agg(*sums)
+    score = F.log("r.f_c") + F.log(F.col("pc") + 0.1) + F.log(F.col("cn") + 0.1) - COST_WEIGHT * F.col("r.cost")
     # any number may follow any word: at the edge of a block one neighbour tells nothing of it
-    plausible = ~F.col("real") | ((F.col("pw") + F.col("wn") == 0) & (F.col("pc") + F.col("cn") >= CONTEXT_SUPPORT) & (~F.col("w").rlike(r"^\d+$") | ((F.col("prev") != "") & (F.col("next") != ""))))
-    best = oc.filter(plausible).groupBy("oid", "doc_id", "page_num", "b", "l", "tok").agg(F.max_by("c", F.struct(score, F.col("c"))).alias("c")).drop("oid")
+    plausible = ~F.col("r.real") | ((F.col("pw") + F.col("wn") == 0) & (F.col("pc") + F.col("cn") >= CONTEXT_SUPPORT) & (~F.col("w").rlike(r"^\d+$") | ((F.col("prev") != "") & (F.col("next") != ""))))
+    best = u.filter(plausible).groupBy("oid", "doc_id", "page_num", "b", "l", "tok").agg(F.max_by("r.c", F.struct(score, F.col("r.c"))).alias("c")).drop("oid")
     mis = best.unionByName(sure).unionByName(numbers)
     # a misread half of a divided word stands on the line its site is in
     halves_mis = divided.filter(F.col("broken") & ~F.col("whole") & F.col("fix").isNotNull())
@@ -442,9 +689,8 @@ def found_lines(layout: DataFrame, page_text: DataFrame, pdf_meta: DataFrame) ->
     mis, divided = repairs(linked, cnt)
     running = linked.filter("scanned").select("doc_id", "page_num", F.explode(F.arrays_zip("lines", "run")).alias("z")).filter("z.run").select("doc_id", "page_num", F.col("z.lines.b").alias("b"), F.col("z.lines.l").alias("l"), F.lit("running").alias("kind"))
     breaks = divided.filter("broken").select("doc_id", "page_num", "b", "l", F.lit("break").alias("kind"))
-    on_scan = linked.filter("scanned").select("doc_id", "page_num")
-    m = mis.select("doc_id", "page_num", "b", "l", F.lit("misread").alias("kind")).distinct()
-    m = m.join(on_scan, ["doc_id", "page_num"], "left_semi")
+    m = mis.select("doc_id", "page_num", "b", "l", F.lit("misread").alias("kind"))
+    m = m.join(linked.filter("scanned").select("doc_id", "page_num"), ["doc_id", "page_num"], "left_semi")
     out = running.unionByName(breaks).unionByName(m).distinct()
     return out.select("doc_id", "page_num", F.col("b").alias("block_no"), F.col("l").alias("line_no"), "kind")
 
@@ -505,7 +751,7 @@ def paragraphs_of(linked: DataFrame, mis: DataFrame | None = None, divided: Data
                             rest = nx.lstrip(" ")[m.end() :]
                             t += re.match(r"[^\s\w]*", rest)[0]
                     blocks[bs[k]] = f"{blocks[bs[k]]} {t}" if bs[k] in blocks else t
-                rows += [(doc, page, b, re.sub(r"\s+", " ", t).strip()) for b, t in blocks.items()]
+                rows += [(doc, page, b, " ".join(t.split())) for b, t in blocks.items()]
             c = list(zip(*rows)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.string())], names=["doc_id", "page_num", "block_no", "text"])
 

@@ -1,8 +1,7 @@
 """Main body of web pages by consensus of the pages of a host (problem 2), used by the operators that need article text.
 
-A page stays one row from parsing to the article: containers, furniture and side boxes are voted on over light rows
-without text, and their result per host is applied to the page's blocks in place, so text is neither exploded nor
-shuffled."""
+Containers, furniture and side boxes are voted on over light rows without text; their result per host is a set of small
+tables that the blocks meet in place, so no text is shuffled."""
 
 from __future__ import annotations
 
@@ -30,14 +29,16 @@ MARK_SHARE = 0.5
 #: Ids (one bigint a row) up to this number are broadcast to drop or keep pages; more are joined by shuffle.
 FEW_IDS = 500_000
 
-# Marks of template languages; a character that every one of them has.
+# Marks of template languages, and the characters one of which each of them has.
 TEMPLATE_MARKS = re.compile(r"\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|\$\{[^}]*\}|%%\w+%%|@@\w+@@|\[\[[\w.| ]+\]\]|__[A-Z_]+__|\{\d+\}|#\{\w+\}")
-_MAY_MARK = re.compile(r"[{%@\[]|__")
+_MARKED = ("{", "%", "@@", "[[", "__")
 
-#: c: container path; r: tags below it; prose: running text; head: heading; run: may be a notice; k: hash of its letters
-#: (null without any); n: letters; mark: placeholder or filler; agree: shares a term with title or address.
-BLOCK = "struct<c:string,r:string,prose:boolean,head:boolean,run:boolean,k:bigint,n:int,mark:boolean,agree:boolean>"
-PARSED = f"page_id bigint, lote int, status int, host string, slug string, title string, th bigint, tk bigint, vote string, blocks array<{BLOCK}>, ts array<string>"
+#: Flags of a block: running text; heading; may be a notice; placeholder or filler; shares a term with title or address.
+PROSE, HEAD, NOTICE, MARK, AGREE = 1, 2, 4, 8, 16
+#: c: hash of its container's path; t: text; f: flags; k: hash of its letters, null without any; n: letters.
+BLOCK = "struct<c:bigint,t:string,f:int,k:bigint,n:int>"
+#: paths: the containers of the page; h1: that of its first heading of the first level.
+PARSED = f"page_id bigint, lote int, status int, host string, title string, th bigint, tk bigint, vote string, h1 string, paths array<string>, blocks array<{BLOCK}>"
 
 _SENTENCE_END = re.compile(r"[.!?…][\"'”»)\]]*$")
 _SEPARATOR = re.compile(r"\s+[-|–—·»:]+\s+")
@@ -56,14 +57,14 @@ def letters_of(text: str) -> bytes:
 
 
 def hash64(raw: bytes) -> int:
-    """A signed 64-bit hash."""
-    h = xxhash.xxh3_64_intdigest(raw)
+    """A signed 64-bit hash, the same as ``xxhash64`` gives in SQL."""
+    h = xxhash.xxh64_intdigest(raw, 42)
     return h - (1 << 64) if h >> 63 else h
 
 
 def is_placeholder(text: str) -> bool:
     """Whether marks of template languages make up MARK_SHARE of a block, of whatever length."""
-    return _MAY_MARK.search(text) is not None and sum(m.end() - m.start() for m in TEMPLATE_MARKS.finditer(text)) >= MARK_SHARE * len(text)
+    return any(m in text for m in _MARKED) and sum(m.end() - m.start() for m in TEMPLATE_MARKS.finditer(text)) >= MARK_SHARE * len(text)
 
 
 def is_filler(text: str, function_words: frozenset[bytes]) -> bool:
@@ -86,63 +87,76 @@ def terms_of(title: str, slug: str, host: str) -> list[str]:
 
 def _parser(function_words: frozenset[bytes]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int | None, int, bool]] = {}
+        known: dict[str, tuple[int | None, int, int]] = {}
+        hashes: dict[str, int] = {}
 
-        def features(text: str) -> tuple[int | None, int, bool]:
-            raw = letters_of(text)
-            n = len(raw.decode("utf-8", "replace")) if not raw.isascii() else len(raw)
-            return hash64(raw) if raw else None, n, is_placeholder(text) or (bool(function_words) and is_filler(text, function_words))
+        def features(text: str, low: str) -> tuple[int | None, int, int]:
+            raw = letters_of(low)
+            n = len(raw) if raw.isascii() else len(raw.decode("utf-8", "replace"))
+            mark = is_placeholder(text) or (len(text) > FILLER_WORDS and bool(function_words) and is_filler(low, function_words))
+            return hash64(raw) if raw else None, n, MARK if mark else 0
 
         for b in batches:
-            hosts, slugs, titles, ths, tks, votes, offsets = [], [], [], [], [], [], [0]
-            cols: list[list] = [[] for _ in range(9)]
-            cs, rs, ps, heads, runs, ks, ns, marks, agrees = cols
+            hosts, titles, ths, tks, votes, h1s, all_paths, ends, path_ends = [], [], [], [], [], [], [], [0], [0]
+            cs: list[int] = []
             ts: list[str] = []
+            fs: list[int] = []
+            ks: list[int | None] = []
+            ns: list[int] = []
             for src, url in zip(b.column("html").to_pylist(), b.column("address").to_pylist()):
                 src = src or ""
                 host, slug, title = host_of(url), slug_of(url), title_of(src)
-                found = text_blocks(src)
-                terms: list[str] | None = None
+                terms = terms_of(title, slug, host)
                 score: dict[str, float] = {}
-                for path, text, link in found:
-                    c, r, head, run_ = placed(path)
-                    prose = not link and len(text) >= PROSE_CHARS and _SENTENCE_END.search(text) is not None or len(text) >= 3 * PROSE_CHARS and text.count(". ") > 0
-                    cs.append(c)
-                    rs.append(r)
-                    ts.append(text)
-                    ps.append(prose)
-                    heads.append(head)
-                    runs.append(run_)
-                    if len(text) < 60:  # menus and notices come again and again
-                        f = known.get(text)
-                        if f is None:
+                paths: dict[str, None] = {}
+                h1 = None
+                for path, text, link in text_blocks(src):
+                    c, r, head, notice = placed(path)
+                    size = len(text)
+                    low = text.lower()
+                    f = (HEAD if head else 0) | (NOTICE if notice else 0)
+                    if not link and size >= PROSE_CHARS and _SENTENCE_END.search(text[-8:]) is not None or size >= 3 * PROSE_CHARS and text.count(". ") > 0:
+                        f |= PROSE
+                        score[c] = score.get(c, 0) + size
+                    if size < 60:  # menus and notices come again and again
+                        got = known.get(text)
+                        if got is None:
                             if len(known) > 100_000:
                                 known.clear()
-                            f = known[text] = features(text)
+                            got = known[text] = features(text, low)
                     else:
-                        f = features(text)
-                    ks.append(f[0])
-                    ns.append(f[1])
-                    marks.append(f[2])
-                    if terms is None:
-                        terms = terms_of(title, slug, host)
-                    low = text.lower()
-                    agrees.append(not head and any(w in low for w in terms))
-                    if prose:
-                        score[c] = score.get(c, 0) + len(text)
-                offsets.append(len(cs))
+                        got = features(text, low)
+                    if not head:
+                        for w in terms:
+                            if w in low:
+                                f |= AGREE
+                                break
+                    elif h1 is None and r == "h1":
+                        h1 = c
+                    paths[c] = None
+                    h = hashes.get(c)
+                    if h is None:
+                        if len(hashes) > 100_000:
+                            hashes.clear()
+                        h = hashes[c] = hash64(c.encode("utf-8", "replace"))
+                    cs.append(h)
+                    ts.append(text)
+                    fs.append(f | got[2])
+                    ks.append(got[0])
+                    ns.append(got[1])
+                ends.append(len(cs))
+                all_paths += paths
+                path_ends.append(len(all_paths))
                 hosts.append(host)
-                slugs.append(slug)
                 titles.append(title)
                 ths.append(hash64(title.encode("utf-8", "replace")))
                 tks.append(title_key(title, host))
                 votes.append(max(score, key=score.__getitem__) if score else None)
-            kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()]
-            at = pa.array(offsets, pa.int32())
-            blocks = pa.StructArray.from_arrays([pa.array(x, y) for x, y in zip(cols, kinds)], ["c", "r", "prose", "head", "run", "k", "n", "mark", "agree"])
+                h1s.append(h1)
+            blocks = pa.StructArray.from_arrays([pa.array(cs, pa.int64()), pa.array(ts, pa.string()), pa.array(fs, pa.int32()), pa.array(ks, pa.int64()), pa.array(ns, pa.int32())], ["c", "t", "f", "k", "n"])
             yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("lote"), b.column("status"), pa.array(hosts, pa.string()), pa.array(slugs, pa.string()), pa.array(titles, pa.string()), pa.array(ths, pa.int64()), pa.array(tks, pa.int64()), pa.array(votes, pa.string()), pa.ListArray.from_arrays(at, blocks), pa.ListArray.from_arrays(at, pa.array(ts, pa.string()))],
-                names=["page_id", "lote", "status", "host", "slug", "title", "th", "tk", "vote", "blocks", "ts"],
+                [b.column("page_id"), b.column("lote"), b.column("status"), pa.array(hosts, pa.string()), pa.array(titles, pa.string()), pa.array(ths, pa.int64()), pa.array(tks, pa.int64()), pa.array(votes, pa.string()), pa.array(h1s, pa.string()), pa.ListArray.from_arrays(pa.array(path_ends, pa.int32()), pa.array(all_paths, pa.string())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), blocks)],
+                names=["page_id", "lote", "status", "host", "title", "th", "tk", "vote", "h1", "paths", "blocks"],
             )
 
     return run
@@ -167,96 +181,72 @@ def host_containers(pages: DataFrame) -> DataFrame:
     return votes.groupBy("host").agg(F.max_by(F.col("vote"), F.struct("n", "vote")).alias("winner"))
 
 
-def _with_home(pages: DataFrame) -> DataFrame:
-    """Pages with ``winner`` and ``home``, the page's container: the host's winner; where the page has no such element,
-    that of its h1; without one, the page's own vote."""
-    there = F.expr("exists(blocks, b -> b.c = winner)")
-    headed = F.expr("try_element_at(filter(blocks, b -> b.r = 'h1'), 1).c")
-    return pages.withColumn("home", F.when(there, F.col("winner")).otherwise(F.coalesce(headed, "vote", F.lit(""))))
+def located(pages: DataFrame, winners: DataFrame, text: bool = False) -> DataFrame:
+    """Rows (page_id, lote, status, host, title, th, tk, pos, side, c, f, k, n, and t with ``text``) of the blocks inside
+    each page's container: the host's winner; where the page has no such element, that of its h1; without one, the
+    page's own vote. side: in a classed element inside it."""
+    p = join_sized(pages, winners, ["host"], "left")
+    home = F.when(F.array_contains("paths", F.col("winner")), F.col("winner")).otherwise(F.coalesce("h1", "vote", F.lit("")))
+    p = p.withColumn("home", home)
+    inner = F.filter("paths", lambda c: (F.col("home") != "") & c.startswith(F.concat("home", F.lit(">"))))
+    keys = [F.xxhash64("home").alias("own"), F.transform(inner, lambda c: F.xxhash64(c)).alias("inner")]
+    about = ["page_id", "lote", "status", "host", "title", "th", "tk"]
+    b = p.select(*about, *keys, F.posexplode("blocks").alias("pos", "b"))
+    fields = [F.col(f"b.{c}").alias(c) for c in ("c", "f", "k", "n", *(["t"] if text else []))]
+    b = b.select(*about, "own", "inner", "pos", *fields)
+    side = F.col("c") != F.col("own")
+    return b.filter(~side | F.array_contains("inner", F.col("c"))).withColumn("side", side).drop("own", "inner")
 
 
-def _inside(c: Column, home: Column) -> Column:
-    return (c == home) | ((home != "") & c.startswith(F.concat(home, F.lit(">"))))
-
-
-def located(pages: DataFrame, winners: DataFrame) -> DataFrame:
-    """Light rows (page_id, host, th, side, c, prose, run, k) of the blocks inside each page's container."""
-    p = _with_home(join_sized(pages.select("page_id", "host", "th", "vote", "blocks"), winners, ["host"], "left"))
-    b = p.select("page_id", "host", "th", "home", F.explode("blocks").alias("b")).filter(_inside(F.col("b.c"), F.col("home")))
-    return b.select("page_id", "host", "th", (F.col("b.c") != F.col("home")).alias("side"), "b.c", "b.prose", "b.run", "b.k")
+def flag(bit: int) -> Column:
+    """Whether a block row has a flag."""
+    return F.col("f").bitwiseAND(F.lit(bit)) != 0
 
 
 def host_furniture(blocks: DataFrame) -> DataFrame:
     """(host, k): keys of running text that many distinct titles of a host carry. Copies of one article share the
     title, so a large group of copies does not make its paragraphs furniture."""
-    lines = blocks.filter(F.col("run") & F.col("k").isNotNull()).select("host", "th", "k")
+    lines = blocks.filter(flag(NOTICE) & F.col("k").isNotNull()).select("host", "th", "k")
     per_key = lines.distinct().groupBy("host", "k").agg(F.count("*").alias("n"))
     titles = blocks.select("host", "th").distinct().groupBy("host").agg(F.count("*").alias("titles"))
     return join_sized(per_key.filter(F.col("n") >= CRUFT_TITLES), stored(titles, "titles"), ["host"]).filter(F.col("n") >= CRUFT_SHARE * F.col("titles")).select("host", "k")
 
 
-def host_rules(pages: DataFrame) -> DataFrame:
-    """Stored (host, winner, furniture, sides): what is applied to each page of a host.
-
-    Furniture are at most 1 / CRUFT_SHARE times the lines of a page; sides are the classed elements inside the winner
-    most of whose blocks on the host are prose that does not recur."""
-    winners = stored(host_containers(pages), "winners")
-    blocks = stored(located(pages, winners), "located")
-    furniture = stored(host_furniture(blocks), "furniture")
-    side = blocks.filter("side").withColumn("k", F.when(F.col("run"), F.col("k")))
-    # rows without a key are no furniture and join nothing: each gets a key of its own, so that they stay spread
-    side = join_sized(side.withColumn("k", F.coalesce("k", F.xxhash64("page_id", "c"))), furniture, ["host", "k"], "left_anti")
-    sides = side.groupBy("host", "c").agg(F.avg(F.col("prose").cast("double")).alias("share"), F.count("*").alias("n"))
-    kept = sides.filter((F.col("share") >= SIDE_PROSE_SHARE) & (F.col("n") >= CRUFT_TITLES)).groupBy("host").agg(F.sort_array(F.collect_list("c")).alias("sides"))
-    hosts = blocks.select("host").distinct()
-    x = hosts.join(winners, "host", "left").join(furniture.groupBy("host").agg(F.sort_array(F.collect_list("k")).alias("furniture")), "host", "left").join(kept, "host", "left")
-    return stored(x, "rules")
-
-
-def applied(pages: DataFrame, rules: DataFrame, text: bool = True) -> DataFrame:
-    """Parsed pages (page_id, lote, status, host, slug, title, tk, blocks) with the blocks of the article: pos, t and, as
-    b, the fields of BLOCK. A page none of whose blocks is kept has no row; without ``text`` t is null and not read.
-
-    Kept are the blocks directly in the container, and those of its classed elements that the host's rules keep.
-    Furniture of the host is dropped."""
-    p = _with_home(join_sized(pages if text else pages.drop("ts"), rules, ["host"], "left"))
-    if text:
-        at = F.transform(F.zip_with("blocks", "ts", lambda b, t: F.struct(b.alias("b"), t.alias("t"))), lambda x, i: F.struct(i.alias("pos"), x["t"].alias("t"), x["b"].alias("b")))
-    else:
-        at = F.transform("blocks", lambda b, i: F.struct(i.alias("pos"), F.lit(None).cast("string").alias("t"), b.alias("b")))
-    none = F.array().cast("array<string>")
-
-    def keep(x: Column) -> Column:
-        b = x["b"]
-        inside = (b["c"] == F.col("home")) | (_inside(b["c"], F.col("home")) & F.array_contains(F.coalesce("sides", none), b["c"]))
-        cruft = b["run"] & F.array_contains(F.coalesce("furniture", F.array().cast("array<bigint>")), b["k"])
-        return inside & ~F.coalesce(cruft, F.lit(False))
-
-    p = p.withColumn("blocks", F.filter(at, keep)).filter(F.size("blocks") > 0)
-    return p.select("page_id", "lote", "status", "host", "slug", "title", "tk", "blocks")
-
+class Rules:
+    """What the pages of a host are held to, as stored tables: winners (host, winner), furniture (host, k) and sides
+    (host, c), the classed elements inside the winner most of whose blocks on the host are prose that does not recur."""
 
-def articles(pages: DataFrame, text: bool = True) -> DataFrame:
-    """:func:`applied` with the rules of the pages' own hosts."""
-    return applied(pages, host_rules(pages), text)
+    def __init__(self, pages: DataFrame):
+        self.winners = stored(host_containers(pages), "winners")
+        blocks = stored(located(pages, self.winners).select("page_id", "host", "th", "side", "c", "f", "k"), "located")
+        self.furniture = stored(host_furniture(blocks), "furniture")
+        side = self._without_furniture(blocks.filter("side"))
+        share = side.groupBy("host", "c").agg(F.avg(flag(PROSE).cast("double")).alias("share"), F.count("*").alias("n"))
+        self.sides = stored(share.filter((F.col("share") >= SIDE_PROSE_SHARE) & (F.col("n") >= CRUFT_TITLES)).select("host", "c"), "sides")
 
+    def _without_furniture(self, blocks: DataFrame) -> DataFrame:
+        # what can be no notice has a key of its own, so that such rows join nothing and stay spread
+        own = F.when(flag(NOTICE), F.col("k"))
+        return join_sized(blocks.withColumn("key", F.coalesce(own, F.xxhash64("page_id", "c", "k"))), self.furniture.withColumnRenamed("k", "key"), ["host", "key"], "left_anti").drop("key")
 
-def exploded(pages: DataFrame) -> DataFrame:
-    """Block rows (page_id, lote, status, host, slug, title, tk, pos, r, t, prose, ...) of :func:`articles`."""
-    b = pages.select("page_id", "lote", "status", "host", "slug", "title", "tk", F.explode("blocks").alias("x"))
-    return b.select("page_id", "lote", "status", "host", "slug", "title", "tk", "x.pos", "x.b.r", "x.t", "x.b.prose")
+    def blocks(self, pages: DataFrame, text: bool = True) -> DataFrame:
+        """The blocks of the article on each page (rows of :func:`located`): those directly in the container, and
+        those of its classed elements that the host's sides hold, without the host's furniture."""
+        b = self._without_furniture(located(pages, self.winners, text))
+        kept = self.sides.withColumn("kept", F.lit(True))
+        return join_sized(b, kept, ["host", "c"], "left").filter(~F.col("side") | F.col("kept")).drop("kept", "side")
 
 
 def article_blocks(pages: DataFrame) -> DataFrame:
-    """Blocks of the article on each page: (page_id, lote, status, host, slug, title, tk, pos, r, t, prose)."""
-    return exploded(articles(pages))
+    """Blocks of the article on each page: (page_id, lote, status, host, title, th, tk, pos, c, f, k, n, t)."""
+    return Rules(pages).blocks(pages)
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, title, text): the article of each page, its blocks in reading order, a line each; a page delivered
+def main_text(blocks: DataFrame) -> DataFrame:
+    """(page_id, lote, title, text): the article of each page, its blocks in reading order, a line each; a page delivered
     twice has one row."""
-    text = F.array_join(F.transform("blocks", lambda x: x["t"]), "\n")
-    return pages.select("page_id", "title", text.alias("text")).groupBy("page_id").agg(F.max("title").alias("title"), F.max("text").alias("text"))
+    b = blocks.groupBy("page_id").agg(F.min("lote").alias("lote"), F.max("title").alias("title"), F.array_sort(F.collect_set(F.struct("pos", "t"))).alias("x"))
+    return b.select("page_id", "lote", "title", F.array_join(F.transform("x", lambda x: x["t"]), "\n").alias("text"))
 
 
-__all__ = ["applied", "article_blocks", "articles", "exploded", "host_containers", "host_furniture", "host_rules", "located", "main_text", "parsed_pages"]
+__all__ = ["Rules", "article_blocks", "host_containers", "host_furniture", "located", "main_text", "parsed_pages"]

@@ -41,7 +41,7 @@ def run_all(t):
     yield "p1 text", scanned.body_paragraphs(*p3)
     parsed = web.parsed_pages(t["web_in"], t["common_words"])
     yield "p2", web.article_blocks(parsed)
-    yield "p7", residue.residue_pages(web.articles(parsed))
+    yield "p7", residue.residue_pages(web.article_blocks(parsed))
     yield "p2 kept", residue.real_articles(parsed)
     yield "p2 text", web.main_text(residue.real_articles(parsed))
     yield "p3", encoding.garbled_records(t["web_in"])

@@ -90,7 +90,7 @@ def test_main_text_and_residue(spark):
     assert texts[1][0] == "El tema 1" and len(texts[1]) == 4 and len(texts[0]) == 2
     assert not any("Comparte" in t or "Otro tema" in t for ts in texts.values() for t in ts)
     words = spark.createDataFrame([("es", w) for w in "la de el con y".split()], "lang string, word string")
-    pages = web.articles(web.parsed_pages(site(spark), words))
+    pages = web.article_blocks(web.parsed_pages(site(spark), words))
     got = residue.residue_pages(pages)
     assert {r.page_id for r in got.collect()} == {100, 101, 102}
     assert residue.residue_pages(pages.limit(0)).count() == 0
@@ -110,7 +110,7 @@ def test_residue_without_any_list_of_messages(spark):
         rows.append((1000 + i, f"https://portal{'abc'[i % 3]}.test/{head.lower()}-{i}", page(head, [text]), 200))
     rows.append((2000, "https://portala.test/long-2000", page("{{ head }}", ["{{ body }} " * 200]), 200))
     df = spark.createDataFrame(rows, "page_id bigint, url_final string, html string, status int").select("*", F.lit(0).alias("lote"), F.lit(None).cast("string").alias("url"))
-    got = {x.page_id for x in residue.residue_pages(web.articles(web.parsed_pages(df))).collect()}
+    got = {x.page_id for x in residue.residue_pages(web.article_blocks(web.parsed_pages(df))).collect()}
     assert got == {*range(1000, 1020), 2000}
 
 
