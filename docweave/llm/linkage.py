@@ -1,20 +1,24 @@
 """Problem 4: new batches against all history, by incremental record linkage.
 
-A history is a folder of tables that only grow: ``keys`` (blocking key and every record that has it, exact copies within a
-batch only once), ``records`` (sketch, fields and text of each record) and, per batch, ``roots`` (record, root), the union-find mapping of the
-records that have links. A batch probes the keys, scores the pairs, checks them exactly and rewrites only the
-mapping; it never reads the text of history but of the records it was paired with."""
+A history is a folder that can be opened again: ``keys`` (blocking key and every record that has it, exact copies within a
+batch only once), ``records`` (sketch, fields and text of each record) and ``roots`` (record, root), the union-find mapping
+of the records that have links. All three only grow and are bucketed, keys by key, the others by id, so the history
+is read in place and only what belongs to a batch is moved. Rows bear the number of their batch and count once its marker
+in ``batches`` exists, so a batch is taken whole or not at all."""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import join_sized, shared_dir, stored
@@ -26,13 +30,13 @@ SIMILAR, WORDS = 0.5, 3
 BANDS, ROWS = 60, 4
 #: Bytes of the sketch, and the share of equal ones under which a pair is not looked at further; 0.5 is 4 deviations above.
 SKETCH, SKETCH_LEAST = 128, 0.33
-#: Keys or ids up to this number are broadcast to probe a table that stays in place; more are joined by shuffle.
-PROBE_KEYS = 500_000
+#: Buckets of a new history: of a large one as many as keep the keys of a batch in one bucket within some millions.
+BUCKETS = 24
 #: Rounds of expectation-maximization over agreement patterns.
 ROUNDS = 20
 FIELDS = ("title", "author", "sha", "lang", "close")
 
-RECORD = "kind string, id bigint, lote int, title string, author string, sha string, lang string, words string, sketch binary, digest binary, keys array<bigint>"
+RECORD = "pdf int, id bigint, lote int, title string, author string, sha string, lang string, words string, sketch binary, digest binary, keys array<bigint>"
 
 # Characters recognition confuses, one for each group.
 _FOLDED = (b"eai1o5fh69", b"cnll0stbbg")
@@ -40,33 +44,40 @@ _KEPT = b"abcdefghijklmnopqrstuvwxyz0123456789"
 _SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 _FOLD = bytes.maketrans(b"\t\n\r\x0b\x0c" + _FOLDED[0], b"     " + _FOLDED[1])
 _OUT = bytes(b for b in range(128) if b not in _KEPT + b" \t\n\r\x0b\x0c")
+# scripts written without spaces give a word a character
+_WORD = re.compile("[\u3040-\u30ff\u3400-\u9fff]|[^\\W_\u3040-\u30ff\u3400-\u9fff]+")
 
 
 def normal_words(text: str, damaged: bool) -> list[str]:
-    """Words in lower case with ASCII letters and digits only, so that punctuation, hyphens and a garbled encoding make
-    no difference; for scanned text the characters that recognition confuses are folded into one."""
-    raw = text.lower().encode("ascii", "ignore")
+    """Words in lower case. Of text mostly in Latin letters only the ASCII letters and digits count, so that punctuation,
+    hyphens and a garbled encoding make no difference (nor do accents); for scanned text the characters that recognition
+    confuses are folded into one. Text mostly in other scripts keeps all letters and digits."""
+    low = text.lower()
+    raw = low.encode("ascii", "ignore")
+    if len(raw) < len(low):
+        other = len(low) - len(raw)
+        if other > len(raw) // 2 or 2 * other > len(raw.translate(None, _OUT + b" \t\n\r\x0b\x0c0123456789")):
+            return _WORD.findall(low)
     if damaged:
         return raw.translate(_FOLD, _OUT).replace(b"rl", b"n").replace(b"ll", b"u").replace(b"cl", b"d").replace(b"rn", b"m").decode().split()
     return raw.translate(_SPACES, _OUT).decode().split()
 
 
-_hashes: dict[str, int] = {}
+class _Hashes(dict):
+    """Hashes of words, each made once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+        return h
+
+
+_hashes = _Hashes()
 
 
 def _word_hashes(ws: list[str]) -> np.ndarray:
-    if len(_hashes) > 300_000:
-        _hashes.clear()
-    out = np.empty(len(ws), np.uint64)
-    for i, w in enumerate(ws):
-        h = _hashes.get(w)
-        if h is None:
-            h = 1469598103934665603
-            for c in w.encode():
-                h = (h ^ c) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-            _hashes[w] = h
-        out[i] = h
-    return out
+    return np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
 
 
 def sequences(ws: list[str]) -> np.ndarray:
@@ -133,22 +144,26 @@ def similarity(a: str, b: str) -> float:
 
 
 def as_records(texts: DataFrame) -> DataFrame:
-    """Records (RECORD) of (kind, id, lote, title, author, sha, lang, text). Null or empty text makes no record."""
+    """Records (RECORD) of (kind, id, lote, title, author, sha, lang, text); kind is ``pdf`` for scanned documents, else
+    ``web``. Null text and text without any letter or digit make no record; a null lote is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, sketches, digests, keys = [], [], [], []
-            for kind, text in zip(b.column("kind").to_pylist(), b.column("text").to_pylist()):
-                ws = normal_words(text, kind == "pdf")
+            for pdf, text in zip(b.column("pdf").to_pylist(), b.column("text").to_pylist()):
+                ws = normal_words(text, pdf == 1)
                 sig = signature(seq) if len(seq := sequences(ws)) else np.zeros(BANDS * ROWS, np.uint32)
                 words.append(" ".join(ws))
-                digests.append(hashlib.blake2b(words[-1].encode(), digest_size=16).digest())
+                digests.append(hashlib.blake2b(words[-1].encode("utf-8", "replace"), digest_size=16).digest())
                 sketches.append((sig[:SKETCH] & np.uint32(0xFF)).astype(np.uint8).tobytes())
-                keys.append((band_keys(sig) ^ np.int64(0x5DEECE66D if kind == "pdf" else 0)).tolist() if ws else [])
-            cols = [b.column(c) for c in ("kind", "id", "lote", "title", "author", "sha", "lang")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(words, pa.string()), pa.array(sketches, pa.binary()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["kind", "id", "lote", "title", "author", "sha", "lang", "words", "sketch", "digest", "keys"])
-
-    t = texts.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("kind", "id", F.coalesce("lote", F.lit(0)).cast("int").alias("lote"), "title", "author", "sha", "lang", "text")
+                keys.append(band_keys(sig) ^ np.int64(0x5DEECE66D if pdf else 0) if ws else np.empty(0, np.int64))
+            ends = np.cumsum([0, *map(len, keys)])
+            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            cols = [b.column(c) for c in ("pdf", "id", "lote", "title", "author", "sha", "lang")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(words, pa.string()), pa.array(sketches, pa.binary()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["pdf", "id", "lote", "title", "author", "sha", "lang", "words", "sketch", "digest", "keys"])
+
+    pdf = F.coalesce((F.col("kind") == "pdf").cast("int"), F.lit(0)).alias("pdf")
+    t = texts.filter(F.col("text").isNotNull() & (F.col("text") != "") & F.col("id").isNotNull()).select(pdf, "id", F.coalesce("lote", F.lit(0)).cast("int").alias("lote"), "title", "author", "sha", "lang", "text")
     return t.mapInArrow(run, RECORD).filter(F.size("keys") > 0)
 
 
@@ -200,94 +215,193 @@ def _match_probability(x: np.ndarray, prior: float, m: np.ndarray, u: np.ndarray
 
 
 class History:
-    """Accepted records of all batches so far."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, copy_records: bool = True):
-        """``copy_records`` off leaves the records where the caller has stored them."""
-        self.spark, self.path, self.copy_records = spark, path or f"{shared_dir(spark)}/docweave/history-{uuid.uuid4().hex}", copy_records
-        self.batches = 0
-        self.records: DataFrame | None = None
-        self.roots: DataFrame | None = None
-
-    def _keys(self) -> DataFrame:
-        schema = "key bigint, pdf int, lote int, id bigint"
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/keys/{i}" for i in range(self.batches)]) if self.batches else self.spark.createDataFrame([], schema)
-
-    def _written(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.path}/{name}/{self.batches}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Link a stored batch of records of one lote; returns its links (kind, a, b, match, similarity), b being in
-        history or in the batch."""
-        known = self._keys()
-        if self.copy_records:
-            batch = self._written("records", batch)
-        # exact copies meet the first of them only, in whose place the others have no keys
-        same = stored(batch.groupBy("kind", "digest").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
-        copies = stored(join_sized(batch.select("kind", "digest", "id"), same, ["kind", "digest"]).filter("id != b").select("kind", F.col("id").alias("a"), "b"), "copies")
-        distinct = join_sized(batch.select("kind", "lote", "id", "keys"), copies.select("kind", F.col("a").alias("id")), ["kind", "id"], "left_anti")
-        # the kind as a number: sums over numbers need no sort
-        new = self._written("keys", distinct.select(F.explode("keys").alias("key"), (F.col("kind") == "pdf").cast("int").alias("pdf"), "lote", "id"))
-        first = stored(new.groupBy("key").agg(F.max("pdf").alias("pdf"), F.min("id").alias("id"), F.count("*").alias("n")), "first")
-        # the keys of history are scanned once, without being moved, against the counted keys of the batch
-        old = stored(join_sized(known, first.select("key"), ["key"], "left_semi", limit=PROBE_KEYS), "old")
-        heads = old.groupBy("key", "pdf").agg(F.min(F.struct("lote", "id")).alias("head"), F.count("*").alias("n"))
-        heads = stored(heads.select("key", "pdf", F.col("head.id").alias("b"), "n"), "old-heads")
-        # most keys are new and of one record: they pair nothing. The first records of a key are tried at first
-        heads_all = stored(heads.select("key", "pdf", "b").unionByName(first.filter("n > 1").select("key", "pdf", F.col("id").alias("b"))), "heads")
-        pairs = join_sized(new, heads_all, ["key", "pdf"], limit=PROBE_KEYS).filter(F.col("id") != F.col("b")).select(self._kind().alias("kind"), F.col("id").alias("a"), "b")
-        pairs = stored(pairs.union(copies).distinct(), "pairs")
-        self.records = batch if self.records is None else self.records.unionByName(batch)
-        self.batches += 1
-        links = self._links(pairs)
-        self._merge(links)
-        rest = self._other_holders(first, heads, old, new, pairs)
+    """Accepted records of all batches so far, in a folder. One writer at a time."""
+
+    TABLES = {
+        "keys": ("key bigint, pdf int, lote int, id bigint, batch int", "key"),
+        "records": (RECORD + ", batch int", "id"),
+        "roots": ("pdf int, id bigint, root_lote int, root_id bigint, batch int", "id"),
+    }
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
+        """Opens the history in ``path``, or begins one there; the number of buckets is that of its beginning."""
+        self.spark = spark
+        self.path = path or f"{shared_dir(spark)}/docweave/history-{uuid.uuid4().hex}"
+        self.buckets = int(self._read("buckets") or buckets)
+        if self._read("buckets") is None:
+            self._write("buckets", str(self.buckets))
+        name = hashlib.md5(self.path.encode()).hexdigest()
+        for table, (columns, key) in self.TABLES.items():
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(table, name)} ({columns}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{table}'")
+        self.id = name
+
+    @staticmethod
+    def _name(table: str, of: str) -> str:
+        return f"docweave_{table}_{of}"
+
+    # markers
+
+    def _fs(self, name: str):  # noqa: ANN202
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _read(self, name: str) -> str | None:
+        fs, path = self._fs(name)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _write(self, name: str, text: str) -> None:
+        """Create a small file at once: it is written aside and renamed."""
+        fs, aside = self._fs(f"{name}-{uuid.uuid4().hex}.new")
+        out = fs.create(aside)
+        out.write(bytearray(text.encode()))
+        out.close()
+        _, path = self._fs(name)
+        if not fs.rename(aside, path):
+            raise OSError(f"cannot write {path}")
+
+    def _numbers(self, folder: str) -> list[int]:
+        fs, path = self._fs(folder)
+        if not fs.exists(path):
+            return []
+        return sorted(int(n) for x in fs.listStatus(path) if (n := x.getPath().getName()).isdigit())
+
+    def batches(self) -> list[dict]:
+        """What each accepted batch recorded: number, name, links."""
+        return [json.loads(self._read(f"batches/{n}")) for n in self._numbers("batches")]
+
+    # tables
+
+    def _table(self, table: str, also: int | None = None) -> DataFrame:
+        """Rows of the accepted batches, and of batch ``also``."""
+        accepted = self._numbers("batches") + ([also] if also is not None else [])
+        begun = [n for n in self._numbers("begun") if n not in accepted]
+        df = self.spark.table(self._name(table, self.id))
+        return df.filter(F.col("batch") <= max(accepted, default=-1)).filter(~F.col("batch").isin(begun)) if begun else df.filter(F.col("batch") <= max(accepted, default=-1))
+
+    def _insert(self, table: str, df: DataFrame) -> None:
+        columns, key = self.TABLES[table]
+        df.select(*[c.split()[0] for c in columns.split(", ")]).repartition(self.buckets, key).write.insertInto(self._name(table, self.id))
+
+    def _roots(self) -> DataFrame:
+        """(pdf, id, root) of the accepted batches: the newest of each record."""
+        root = F.struct(F.col("root_lote").alias("lote"), F.col("root_id").alias("id"))
+        return self._table("roots").groupBy("pdf", "id").agg(F.max_by(root, "batch").alias("root"))
+
+    # batches
+
+    def add(self, records: DataFrame, name: str | None = None) -> DataFrame:
+        """Link a batch of records; its links are returned, (kind, a, b, match, similarity), b in history or in the batch.
+
+        A batch whose ``name`` was accepted before gives its links again and changes nothing; records whose kind and id
+        are known already are left out. What a batch that was broken off left behind is never read."""
+        return self.add_all(records, [(name, None)])[0]
+
+    def add_all(self, records: DataFrame, parts: list[tuple[str | None, Column | None]]) -> list[DataFrame]:
+        """:meth:`add` for several batches (name, condition) out of ``records``, which is evaluated once."""
+        done = {b["name"]: b["number"] for b in self.batches() if b["name"] is not None}
+        first = 1 + max(self._numbers("begun"), default=-1)
+        todo = [(first + i, *p) for i, p in enumerate(p for p in parts if p[0] not in done)]
+        if todo:
+            number = F.lit(None).cast("int")
+            for n, part, when in todo:
+                number = F.coalesce(F.when(when, n), number) if when is not None else F.lit(n)
+                self._write(f"begun/{n}", part or "")
+            new = records.withColumn("batch", number).filter(F.col("batch").isNotNull())
+            if self._numbers("batches"):
+                known = self._table("records").select("pdf", "id")
+                new = new.join(known, ["pdf", "id"], "left_anti")
+            self._insert("records", new)
+            for n, part, _ in todo:
+                self._link(n, part)
+        mine = iter([n for n, _, _ in todo])
+        return [self._links_of(done[name] if name in done else next(mine)) for name, _ in parts]
+
+    def _links_of(self, n: int) -> DataFrame:
+        x = self.spark.read.schema("pdf int, a bigint, b bigint, match double, similarity double").parquet(f"{self.path}/links/{n}")
+        return x.select(_kind().alias("kind"), "a", "b", "match", "similarity")
+
+    def _link(self, n: int, name: str | None) -> None:
+        new = self._table("records", n).filter(F.col("batch") == n)
+        # a record delivered twice, and exact copies: they meet the first of them only, in whose place the others have no keys
+        once = new.groupBy("pdf", "id").agg(F.min("lote").alias("lote"), F.min("digest").alias("digest"))
+        first = new.groupBy("pdf", "digest").agg(F.min(F.struct("lote", "id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        copies = stored(once.join(first, ["pdf", "digest"]).filter(F.col("id") != F.col("first.id")).select("pdf", F.col("id").alias("a"), F.col("lote").alias("lote_a"), F.col("first.id").alias("b"), F.col("first.lote").alias("lote_b")), "copies")
+        distinct = join_sized(new.select("pdf", "lote", "id", "keys"), copies.select("pdf", F.col("a").alias("id")), ["pdf", "id"], "left_anti")
+        self._insert("keys", distinct.select(F.explode("keys").alias("key"), "pdf", "lote", "id", F.lit(n).alias("batch")))
+        holders = stored(self._holders(n), "holders")
+        fresh = holders.filter("is_new")
+        heads = F.explode(F.array_distinct(F.array("head", "first_new")))
+        pairs = fresh.select("pdf", F.col("id").alias("a"), F.col("lote").alias("lote_a"), heads.alias("h")).filter(F.col("a") != F.col("h.id")).select("pdf", "a", "lote_a", F.col("h.id").alias("b"), F.col("h.lote").alias("lote_b")).distinct()
+        pairs = stored(pairs, "pairs")
+        links = self._compared(pairs, n)
+        sure = copies.select("pdf", "a", "lote_a", "b", "lote_b", F.lit(1.0).alias("match"), F.lit(1.0).alias("similarity"))
+        links = links.unionByName(sure)
+        roots = self._roots()
+        changed = self._merged(roots, links)
+        rest = stored(self._other_holders(holders, self._over(roots, changed), pairs), "pairs")
         if rest.limit(1).count():
-            more = self._links(rest)
-            self._merge(more)
+            more = self._compared(rest, n)
+            changed = self._over(changed, self._merged(self._over(roots, changed), more))
             links = links.unionByName(more)
-        return links
+        links.select("pdf", "a", "b", "match", "similarity").write.mode("overwrite").parquet(f"{self.path}/links/{n}")
+        self._insert("roots", changed.select("pdf", "id", F.col("root.lote").alias("root_lote"), F.col("root.id").alias("root_id"), F.lit(n).alias("batch")))
+        self._write(f"batches/{n}", json.dumps({"number": n, "name": name}))
 
     @staticmethod
-    def _kind() -> Column:
-        return F.when(F.col("pdf") == 1, "pdf").otherwise("web")
-
-    def _other_holders(self, first: DataFrame, heads: DataFrame, old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Stored (kind, a, b): pairs of a key with a new record that were not compared yet and are not in one cluster
-        already. So of all holders of a key each two are compared or known to repeat the same; a group that its first
-        record holds together gives no pair, and only a key of different texts gives one for each two of them."""
-        size = first.join(heads.select("key", F.col("n").alias("n_old")), "key", "left").select("key", "n", F.coalesce("n_old", F.lit(0)).alias("n_old"))
-        crowded = stored(size.filter("n + n_old > 2").select("key"), "crowded")
-        holders = join_sized(old.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True))), crowded, ["key"], limit=PROBE_KEYS)
-        holders = holders.withColumn("kind", self._kind())
-        if self.roots is not None:
-            holders = holders.join(self.roots.select("kind", "id", F.col("root.id").alias("root")), ["kind", "id"], "left").withColumn("root", F.coalesce("root", "id"))
-        else:
-            holders = holders.withColumn("root", F.col("id"))
-        holders = stored(holders.select("key", "kind", "id", "root", "is_new"), "holders")
-        mixed = stored(holders.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key"), "mixed")
-        holders = join_sized(holders, mixed, ["key"], "left_semi", limit=PROBE_KEYS)
-        x = holders.filter("is_new").select("key", "kind", F.col("id").alias("a"), F.col("root").alias("root_a"))
-        y = holders.select("key", "kind", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("is_new").alias("b_new"))
-        both = x.join(y, ["key", "kind"]).filter((F.col("root_a") != F.col("root_b")) & (~F.col("b_new") | (F.col("a") > F.col("b")))).select("kind", "a", "b").distinct()
-        return stored(both.join(pairs, ["kind", "a", "b"], "left_anti"), "pairs")
-
-    def _links(self, pairs: DataFrame) -> DataFrame:
-        """Stored links (kind, a, b, match, similarity) among pairs of records."""
-        slim = self.records.select("kind", "id", "title", "author", "sha", "lang", "sketch")
-        x = pairs.join(slim.withColumnRenamed("id", "a"), ["kind", "a"])
-        y = slim.select("kind", F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("title", "author", "sha", "lang", "sketch")])
-        near = stored(self._scored(x.join(y, ["kind", "b"])).filter(F.col("agree") >= SKETCH_LEAST), "near")
+    def _over(roots: DataFrame, new: DataFrame) -> DataFrame:
+        """``roots`` with the rows of ``new`` in place of theirs."""
+        return roots.join(new.select("pdf", "id"), ["pdf", "id"], "left_anti").unionByName(new)
+
+    def _holders(self, n: int) -> DataFrame:
+        """(key, pdf, id, lote, is_new, holders, head, first_new) of the keys of batch ``n`` with several holders. The keys
+        of history are probed in their buckets and do not move."""
+        every = self._table("keys", n)
+        if self._numbers("batches"):
+            asked = every.filter(F.col("batch") == n).select("key").distinct()
+            every = every.join(asked.hint("shuffle_hash"), "key", "left_semi")
+        node = F.struct("lote", "id")
+        new = F.col("batch") == n
+        crowded = every.groupBy("key").agg(F.count("*").alias("holders"), F.min(F.when(~new, node)).alias("head"), F.min(F.when(new, node)).alias("first_new")).filter(F.col("holders") > 1)
+        crowded = crowded.withColumn("head", F.coalesce("head", "first_new"))
+        return every.join(crowded.hint("shuffle_hash"), "key").select("key", "pdf", "id", "lote", new.alias("is_new"), "holders", "head", "first_new")
+
+    def _other_holders(self, holders: DataFrame, roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Pairs of a key with a new record that were not compared yet and are not in one cluster already. So of all
+        holders of a key each two are compared or known to repeat the same; a group that its first record holds together
+        gives no pair, and only a key of different texts gives one for each two of them."""
+        x = holders.filter("holders > 2").select("key", "pdf", "id", "lote", "is_new")
+        x = x.join(roots, ["pdf", "id"], "left").withColumn("root", F.coalesce("root.id", "id"))
+        x = stored(x, "held")
+        mixed = stored(x.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key"), "mixed")
+        x = join_sized(x, mixed, ["key"], "left_semi")
+        y = x.select("key", "pdf", F.col("id").alias("b"), F.col("lote").alias("lote_b"), F.col("root").alias("root_b"), F.col("is_new").alias("b_new"))
+        x = x.filter("is_new").select("key", "pdf", F.col("id").alias("a"), F.col("lote").alias("lote_a"), F.col("root").alias("root_a"))
+        both = x.join(y, ["key", "pdf"]).filter((F.col("root_a") != F.col("root_b")) & (~F.col("b_new") | (F.col("a") > F.col("b")))).select("pdf", "a", "lote_a", "b", "lote_b").distinct()
+        return both.join(pairs.select("pdf", "a", "b"), ["pdf", "a", "b"], "left_anti").join(pairs.select("pdf", F.col("b").alias("a"), F.col("a").alias("b")), ["pdf", "a", "b"], "left_anti")
+
+    def _compared(self, pairs: DataFrame, n: int) -> DataFrame:
+        """Stored links (pdf, a, lote_a, b, lote_b, match, similarity) among pairs of records. Of the records in history
+        only those in a pair leave their bucket."""
+        wanted = pairs.select("pdf", F.col("a").alias("id")).union(pairs.select("pdf", F.col("b").alias("id"))).distinct()
+        fields = ["title", "author", "sha", "lang", "sketch"]
+        some = self._table("records", n).select("pdf", "id", *fields, "words").join(wanted, ["pdf", "id"], "left_semi")
+        some = stored(some.dropDuplicates(["pdf", "id"]), "wanted")
+        slim = some.select("pdf", "id", *fields)
+        x = join_sized(pairs, slim.withColumnRenamed("id", "a"), ["pdf", "a"])
+        x = join_sized(x, slim.select("pdf", F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in fields]), ["pdf", "b"])
+        near = stored(self._scored(x).filter(F.col("agree") >= SKETCH_LEAST), "near")
         pattern = F.array(*[F.col(f"f_{f}") for f in FIELDS])
         patterns = near.groupBy(pattern.alias("p")).count().collect()  # at most 3**len(FIELDS) rows
-        prior, m, u = learned_weights([(tuple(r.p), r["count"]) for r in patterns])
-        near = self._weighed(near, prior, m, u)
-        texts = self.records.select("kind", "id", "words")
-        wanted = stored(near.select("kind", F.col("a").alias("id")).union(near.select("kind", F.col("b").alias("id"))).distinct(), "wanted")
-        texts = join_sized(texts, wanted, ["kind", "id"], "left_semi", limit=PROBE_KEYS)
-        t = near.join(texts.select("kind", F.col("id").alias("a"), F.col("words").alias("wa")), ["kind", "a"]).join(texts.select("kind", F.col("id").alias("b"), F.col("words").alias("wb")), ["kind", "b"])
+        near = self._weighed(near, *learned_weights([(tuple(r.p), r["count"]) for r in patterns]))
+        texts = some.select("pdf", "id", "words")
+        t = near.join(texts.select("pdf", F.col("id").alias("a"), F.col("words").alias("wa")), ["pdf", "a"]).join(texts.select("pdf", F.col("id").alias("b"), F.col("words").alias("wb")), ["pdf", "b"])
         return stored(self._exact(t), "links")
 
     @staticmethod
@@ -295,17 +409,18 @@ class History:
         def agree(c: str) -> Column:
             return F.when(F.col(c).isNull() | F.col(f"{c}_b").isNull(), -1).otherwise((F.col(c) == F.col(f"{c}_b")).cast("int"))
 
-        @F.pandas_udf("double")
-        def same(a, b):  # noqa: ANN001, ANN202
-            import pandas as pd
+        fields = ("title", "author", "sha", "lang")
+        x = x.select("pdf", "a", "lote_a", "b", "lote_b", *[agree(c).alias(f"f_{c}") for c in fields], "sketch", "sketch_b")
 
-            if not len(a):
-                return pd.Series([], dtype=float)
-            p = np.frombuffer(b"".join(a), np.uint8).reshape(-1, SKETCH) == np.frombuffer(b"".join(b), np.uint8).reshape(-1, SKETCH)
-            return pd.Series(p.mean(1))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "sketch_b"))
+                same = (p == q).mean(1)
+                keep = [*b.schema.names[:-2]]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array((same >= SIMILAR).astype(np.int32)), pa.array(same)], names=[*keep, "f_close", "agree"])
 
-        y = x.withColumn("agree", same("sketch", "sketch_b"))
-        return y.select("kind", "a", "b", "agree", *[agree(c).alias(f"f_{c}") for c in ("title", "author", "sha", "lang")], (F.col("agree") >= SIMILAR).cast("int").alias("f_close"))
+        kept = ", ".join(f"{n} {t}" for n, t in x.dtypes[:-2])
+        return x.mapInArrow(run, f"{kept}, f_close int, agree double")
 
     @staticmethod
     def _weighed(near: DataFrame, prior: float, m: np.ndarray, u: np.ndarray) -> DataFrame:
@@ -315,57 +430,61 @@ class History:
             c = F.col(f"f_{f}")
             log_odds = log_odds + F.when(c > 0, float(np.log(m[j] / u[j]))).when(c == 0, float(np.log((1 - m[j]) / (1 - u[j])))).otherwise(0.0)
         p = 1 / (1 + F.exp(-log_odds))
-        return near.withColumn("match", p).select("kind", "a", "b", "match")
+        return near.withColumn("match", p).select("pdf", "a", "lote_a", "b", "lote_b", "match")
 
     @staticmethod
     def _exact(t: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 s = [similarity(x, y) for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("a"), b.column("b"), b.column("match"), pa.array(s, pa.float64())], names=["kind", "a", "b", "match", "similarity"])
+                keep = b.schema.names[:-2]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s, pa.float64())], names=[*keep, "similarity"])
 
-        return t.select("kind", "a", "b", "match", "wa", "wb").mapInArrow(run, "kind string, a bigint, b bigint, match double, similarity double").filter(F.col("similarity") >= SIMILAR)
+        return t.select("pdf", "a", "lote_a", "b", "lote_b", "match", "wa", "wb").mapInArrow(run, "pdf int, a bigint, lote_a int, b bigint, lote_b int, match double, similarity double").filter(F.col("similarity") >= SIMILAR)
 
-    def _merge(self, links: DataFrame) -> None:
-        """Union-find: relabel the clusters that a link touches with the least (lote, id) in them; others stay."""
-        if not links.limit(1).count():
-            return
-        lotes = self.records.select("kind", "id", "lote")
-        ends = links.select("kind", F.col("a").alias("id")).union(links.select("kind", F.col("b").alias("id"))).distinct()
-        node = F.struct("lote", "id")
-        ends = lotes.join(ends, ["kind", "id"], "left_semi").select("kind", "id", node.alias("own"))
-        schema = "kind string, id bigint, root struct<lote:int,id:bigint>"
-        roots = self.roots if self.roots is not None else self.spark.createDataFrame([], schema)
-        at = stored(ends.join(roots.select("kind", "id", "root"), ["kind", "id"], "left").select("kind", "id", F.coalesce("root", "own").alias("root")), "at")
+    @staticmethod
+    def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """Union-find: of ``roots`` (pdf, id, root) the clusters that a link touches get the least (lote, id) in them. What
+        comes back, stored, are only the records that are new or have another root."""
+        ends = [links.select("pdf", F.col(x).alias("id"), F.struct(F.col(f"lote_{x}").alias("lote"), F.col(x).alias("id")).alias("own")) for x in "ab"]
+        at = ends[0].union(ends[1]).distinct().join(roots, ["pdf", "id"], "left").select("pdf", "id", F.coalesce("root", "own").alias("root"), F.col("root").isNotNull().alias("known"))
+        at = stored(at, "at")
         # edges between roots; least labels spread along them, two steps a round
-        e = links.select("kind", "a", "b").join(at.select("kind", F.col("id").alias("a"), F.col("root").alias("x")), ["kind", "a"]).join(at.select("kind", F.col("id").alias("b"), F.col("root").alias("y")), ["kind", "b"]).filter(F.col("x") != F.col("y")).select("kind", "x", "y").distinct()
-        edges = stored(e.union(e.select("kind", F.col("y").alias("x"), F.col("x").alias("y"))), "edges")
+        e = links.select("pdf", "a", "b").join(at.select("pdf", F.col("id").alias("a"), F.col("root").alias("x")), ["pdf", "a"]).join(at.select("pdf", F.col("id").alias("b"), F.col("root").alias("y")), ["pdf", "b"]).filter(F.col("x") != F.col("y")).select("pdf", "x", "y").distinct()
+        edges = stored(e.union(e.select("pdf", F.col("y").alias("x"), F.col("x").alias("y"))), "edges")
         # in the first round a star, which most clusters are, has its least label
-        label = stored(edges.groupBy("kind", "x").agg(F.least(F.col("x"), F.min("y")).alias("label")), "labels")
-        while True:
-            spread = edges.join(label.select("kind", F.col("x").alias("y"), F.col("label").alias("l")), ["kind", "y"]).groupBy("kind", "x").agg(F.min("l").alias("l"))
-            step = label.join(spread, ["kind", "x"]).select("kind", "x", F.least("label", "l").alias("label"))
-            jump = step.select("kind", F.col("x").alias("label"), F.col("label").alias("far"))
-            nxt = stored(step.join(jump, ["kind", "label"], "left").select("kind", "x", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-            moved = nxt.join(label.withColumnRenamed("label", "old"), ["kind", "x"]).filter(F.col("label") != F.col("old")).limit(1).count()
-            label = nxt
-            if not moved:
-                break
-        all_roots = roots.unionByName(at.join(roots.select("kind", "id"), ["kind", "id"], "left_anti"))
-        self.roots = stored(all_roots.join(label.withColumnRenamed("x", "root"), ["kind", "root"], "left").select("kind", "id", F.coalesce("label", "root").alias("root")), "roots")
+        label = stored(edges.groupBy("pdf", "x").agg(F.least(F.col("x"), F.min("y")).alias("label")), "labels")
+        moved = 1
+        while moved:
+            spread = edges.join(label.select("pdf", F.col("x").alias("y"), F.col("label").alias("l")), ["pdf", "y"]).groupBy("pdf", "x").agg(F.min("l").alias("l"))
+            step = label.join(spread, ["pdf", "x"]).select("pdf", "x", F.col("label").alias("old"), F.least("label", "l").alias("label"))
+            jump = label.select("pdf", F.col("x").alias("label"), F.col("label").alias("far"))
+            step = step.join(jump, ["pdf", "label"], "left").select("pdf", "x", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
+            seen = Observation("moved")
+            label = stored(step.observe(seen, F.count_if(F.col("label") != F.col("old")).alias("n")), "labels").drop("old")
+            moved = seen.get["n"]
+        label = label.filter(F.col("label") != F.col("x")).withColumnRenamed("x", "root")
+        # the ends of links, and the members of clusters whose root got another
+        new = at.join(label, ["pdf", "root"], "left").filter(~F.col("known") | F.col("label").isNotNull()).select("pdf", "id", F.coalesce("label", "root").alias("root"))
+        others = roots.join(label, ["pdf", "root"]).select("pdf", "id", F.col("label").alias("root"))
+        return stored(new.unionByName(others).distinct(), "roots")
 
     def representatives(self) -> DataFrame:
         """(record_kind, id, representative) of the records that repeat another one."""
-        r = self.roots if self.roots is not None else self.spark.createDataFrame([], "kind string, id bigint, root struct<lote:int,id:bigint>")
-        return r.filter(F.col("id") != F.col("root.id")).select(F.col("kind").alias("record_kind"), "id", F.col("root.id").alias("representative"))
+        return self._roots().filter(F.col("id") != F.col("root.id")).select(_kind().alias("record_kind"), "id", F.col("root.id").alias("representative"))
+
+
+def _kind() -> Column:
+    return F.when(F.col("pdf") == 1, "pdf").otherwise("web")
 
 
-def link_batches(texts: DataFrame) -> History:
-    """Add the batches of ``texts`` to a new history, in order of ``lote``."""
-    records = stored(as_records(texts), "records", by="lote")
-    history = History(texts.sparkSession, copy_records=False)
-    for r in sorted(records.select("lote").distinct().collect()):  # one row per batch
-        history.add(records.filter(F.col("lote") == r.lote))
+def link_batches(texts: DataFrame, path: str | None = None, waiting: bool = True) -> History:
+    """Add the batches of ``texts`` to the history in ``path``, in order of ``lote``: the first, then those that wait in
+    one step, or without ``waiting`` one after another; the clusters are the same."""
+    history = History(texts.sparkSession, path)
+    lotes = sorted(r.lote for r in texts.select(F.coalesce("lote", F.lit(0)).alias("lote")).distinct().collect()) if not waiting else []
+    lote = F.col("lote")
+    history.add_all(as_records(texts), [("0", lote <= 0), ("waiting", lote > 0)] if waiting else [(str(x), lote == x) for x in lotes])
     return history
 
 
