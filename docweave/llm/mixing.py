@@ -11,8 +11,8 @@ from .tokens import with_token_counts
 
 #: How strongly weights change from begin to end: the source with the largest share falls by this, the smallest rises.
 SLOPE = 0.5
-#: Parts by hash into which the running total of a source is cut, so that no task holds a source.
-SLICES = 256
+#: Records of a part by hash into which the running total of a source is cut, so that no task holds a source.
+SLICE_RECORDS = 20_000
 #: Rounds of handing on what capped sources cannot give.
 ROUNDS = 32
 
@@ -72,16 +72,19 @@ def schedule(documents: DataFrame, targets: DataFrame, total_tokens: int | None
     x = sized.join(F.broadcast(use), "source")  # at most a row per row of the fixed targets; a shuffle would gather a source
     epochs = F.least(F.ceil(F.col("demand") / F.col("available")), F.col("max_repeats")).cast("int")
     x = x.withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    x = x.withColumn("h", F.xxhash64("doc_id", "epoch", F.lit(seed))).withColumn("slice", F.shiftrightunsigned("h", 56).cast("int") % SLICES)
+    # as many ranges of the hash as the records fill, however many there are
+    slices = max(1, -(-sized.count() // SLICE_RECORDS))
+    x = x.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "epoch", F.lit(seed)), 1)).withColumn("slice", F.floor(F.col("h") / F.lit(2.0**63) * slices).cast("int"))
     sums = x.groupBy("mix_id", "source", "epoch", "slice").agg(F.sum("n_tokens").alias("n"))
-    before = W.partitionBy("mix_id", "source", "epoch").orderBy("slice")  # at most SLICES rows
+    before = W.partitionBy("mix_id", "source", "epoch").orderBy("slice")  # a row for SLICE_RECORDS records
     base = stored(sums.withColumn("base", F.coalesce(F.sum("n").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.lit(0)).drop("n"), "bases")
     x = x.join(F.broadcast(base) if base.count() <= 200_000 else base, ["mix_id", "source", "epoch", "slice"])
     inside = W.partitionBy("mix_id", "source", "epoch", "slice").orderBy("h", "doc_id")
     x = x.withColumn("given", F.col("epoch") * F.col("available") + F.col("base") + F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     x = x.filter(F.col("given") < F.col("demand"))
     x = x.withColumn("position", position(F.col("given") / F.col("demand"), F.col("slope")))
-    order = x.select("mix_id", "position", "source", "epoch", "doc_id", "n_tokens").orderBy("mix_id", "position", "source", "doc_id", "epoch")
+    # stored, as the range sort reads it twice: once to find the ranges
+    order = stored(x.select("mix_id", "position", "source", "epoch", "doc_id", "n_tokens"), "positions").orderBy("mix_id", "position", "source", "doc_id", "epoch")
     return order, need
 
 

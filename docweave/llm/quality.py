@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..storage import stored
 
@@ -18,8 +19,11 @@ STATISTICS = (
 SCHEMA = "doc_id bigint, " + ", ".join(f"{s} double" for s in STATISTICS)
 #: Statistics the mixture sees, after the transforms in ``_features``.
 FEATURES = ("mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "words_per_line", "sentence_rate", "distinct_share", "cell_lines", "marked_lines", "short_lines", "wordlike_share", "capital_share")
-#: Rounds of expectation-maximization, ridge on the covariances, and prior weight of a component in rows.
-ROUNDS, RIDGE, PRIOR = 12, 0.05, 5.0
+#: Components of the mixture; rounds of expectation-maximization; ridge on the covariances; rows that a component's first
+#: round covariance weighs, so that a component of few rows keeps one.
+COMPONENTS, ROUNDS, RIDGE, PRIOR, FIRST = 48, 12, 0.05, 2.0, 0.3
+#: Rows, those of the least hash of their id, among which the first centres are chosen far from one another.
+SEED_ROWS = 4_000
 
 _ALNUM_SPACE = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + b" \t\n\r" + bytes(range(128, 256))
 _DIGITS = bytes(range(48, 58))
@@ -98,56 +102,50 @@ def _features(columns: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def examples() -> list[tuple[str, str]]:
-    """(kind, text) of archetypes found by looking through documents; each seeds a component and names it."""
-    noun = "el archivo municipal;la gestión anual;the seasonal survey;le relevé utile;o caminho rural;das erste Gebäude;il porto;la receta".split(";")
-    town = "Valmora Tresgal Pontelor Bricandal Sumiergo Fronteval Galdremar Quintolas".split()
-    first = "Alda Cosme Rudo Emil Lia Otto Brendo Tialma Griscon Dorel Fabral Quisten".split()
-    last = "Brunero Taliner Vasquelin Trandor Montresor Grunvald Felquador Siambral Ruestancor Lendriumo Chastergan Duelmiros".split()
-    man = [f"{first[i % 12]} {last[(i * 5 + i // 12) % 12]}" for i in range(40)]
-    sentence = {
-        "es": "El archivo municipal conserva el registro de la región, porque la comisión no ha terminado con los trabajos. En 1987 se presentaron 340 solicitudes, más que en el año anterior.",
-        "en": "The municipal archive keeps the register of the region, because the committee has not finished its work. In 1987 there were 340 requests, which is more than the year before.",
-        "fr": "L'archive municipale conserve le registre de la région, parce que la commission n'a pas fini les travaux. En 1987, on a compté 340 demandes, soit plus que l'année précédente.",
-        "de": "Das städtische Archiv bewahrt das Verzeichnis der Region, weil die Kommission mit den Arbeiten nicht fertig ist. Im Jahr 1987 gab es 340 Anträge, mehr als im Vorjahr.",
-    }
-    prose = [("prose", "\n\n".join(" ".join([s] * 3) for _ in range(4))) for s in sentence.values()]
-    wrapped = [("prose", re.sub(r"(.{50,66}) ", r"\1\n", " ".join([s] * 8))) for s in sentence.values()]
-    wrapped += [("prose", re.sub(r"(.{36,54}) ", r"\1\n", " ".join([s] * 8))) for s in sentence.values()]
-    mixed = [("prose", "# " + noun[0] + "\n\n" + " ".join([s] * 4) + "\n\n" + "\n".join(f"- {x}" for x in noun[:4]) + "\n\n" + " ".join([s] * 4)) for s in sentence.values()]
+    """(kind, text) of general forms of prose, lists, tables and junk. They name the components that were learned from the
+    documents and have no part in learning them."""
+    noun = "old bridge;the tea garden;la casa azul;le petit marché;o barco novo;der hohe Turm;il vecchio forno;la mesa redonda;green paint;el reloj".split(";")
+    place = "Oslo Lima Quito Turin Porto Lyon Graz Cork".split()
+    first = "Anna Bruno Clara David Elena Franz Greta Hugo Irene Jonas".split()
+    last = "Keller Lopes Martin Novak Ortega Prior Quint Rossi Silva Thorn".split()
+    people = [f"{first[i % 10]} {last[(i * 3 + i // 10) % 10]}" for i in range(40)]
+    sentences = (
+        "La biblioteca abre sus puertas a las nueve de la mañana y, aunque el horario ha cambiado, los lectores no se han quejado. Durante el verano de 2003 llegaron 120 visitantes cada día, casi el doble que antes.",
+        "The library opens its doors at nine in the morning and, although the hours have changed, the readers have not complained. During the summer of 2003 there were 120 visitors a day, nearly twice as many as before.",
+        "La bibliothèque ouvre ses portes à neuf heures et, même si les horaires ont changé, les lecteurs ne se sont pas plaints. Pendant l'été 2003, elle a reçu 120 visiteurs par jour, presque deux fois plus qu'avant.",
+        "Die Bibliothek öffnet um neun Uhr, und obwohl sich die Zeiten geändert haben, hat sich von den Lesern niemand beschwert. Im Sommer 2003 kamen 120 Besucher am Tag, fast doppelt so viele wie im Jahr davor.",
+        "La biblioteca apre alle nove del mattino e, anche se gli orari sono cambiati, i lettori non si sono lamentati. Durante l'estate del 2003 sono arrivati 120 visitatori al giorno, quasi il doppio di prima.",
+        "A biblioteca abre as portas às nove da manhã e, embora o horário tenha mudado, os leitores não se queixaram. No verão de 2003 chegaram 120 visitantes por dia, quase o dobro do que antes.",
+    )
+    prose = []
+    for s in sentences:
+        prose += ["\n\n".join(f"{s} {s}" for _ in range(4)), f"{s} {s} {s}".lower(), re.sub(r"(.{50,66}) ", r"\1\n", " ".join([s] * 6)), re.sub(r"(.{30,44}) ", r"\1\n", " ".join([s] * 6))]
+        prose += ["# " + noun[0] + "\n\n" + " ".join([s] * 3) + "\n\n" + "\n".join(f"- {x}" for x in noun[:5]) + "\n\n" + " ".join([s] * 3), s + "\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n\n" + s]
     lists = [
-        ("list", "\n".join(f"- {x}" for x in noun * 3)),
-        ("list", "\n".join(f"{i}. {x}" for i, x in enumerate(noun * 3, 1))),
-        ("list", "\n".join(f"* {i * 37} g {x}" for i, x in enumerate(noun * 3, 1))),
-        ("list", "\n".join(f"• {x} {t}" for x, t in zip("rural anual social digital".split() * 6, town * 3))),
-        ("list", "\n".join(f"- [{x}](https://{t.lower()}.example/{i * 7})" for i, (x, t) in enumerate(zip(noun * 3, town * 3)))),
-        ("list", "\n".join(man)),
-        ("list", "\n".join(f"{x} {y}" for x, y in zip(man, noun * 5))),
-        ("list", "\n".join(noun * 3)),
-    ]
-    cells = [(t, str(i * 731 + 96), f"{i * 3.7:.1f}", a) for i, (t, a) in enumerate(zip(town * 3, "rural anual social digital".split() * 6), 1)]
-    tables = [("table", "\n".join(sep.join(c) for c in cells)) for sep in (";", "\t", " | ")]
+        [f"- {x}" for x in noun * 3], [f"{i}. {x}" for i, x in enumerate(noun * 3, 1)], [f"* {i * 25} g {x}" for i, x in enumerate(noun * 3, 1)], [f"• {x} {t}" for x, t in zip(noun * 3, place * 4)],
+        [f"- [{x}](https://{t.lower()}.example/{i})" for i, (x, t) in enumerate(zip(noun * 3, place * 4))], people, [f"{x}, {y}" for x, y in zip(people, noun * 4)], noun * 3, [f"{x} ({1900 + i})" for i, x in enumerate(noun * 3)],
+    ]
+    cells = [(t, str(i * 613 + 48), f"{i * 2.9:.1f}", a) for i, (t, a) in enumerate(zip(place * 3, "north south east west".split() * 6), 1)]
+    tables = ["\n".join(sep.join(c) for c in cells) for sep in (";", "\t", " | ", ",")]
     tables += [
-        ("table", "| a | b | c | d |\n|---|---|---|---|\n" + "\n".join("| " + " | ".join(c) + " |" for c in cells)),
-        ("table", "\n".join(f"{c[0]:<20}{c[1]:>8}{c[2]:>8}   {c[3]}" for c in cells)),
-        ("table", "\n".join(f"{c[0]} {'.' * 24} {c[1]} ...... {c[2]}" for c in cells)),
-        ("table", "\n".join(f"| {i} | {i * 7} | {i * 83} | {i * 977} | {i % 3} | {i * 5} |" for i in range(1, 24))),
+        "| a | b | c | d |\n|---|---|---|---|\n" + "\n".join("| " + " | ".join(c) + " |" for c in cells),
+        "\n".join(f"{c[0]:<18}{c[1]:>9}{c[2]:>9}    {c[3]}" for c in cells),
+        "\n".join(f"{c[0]} {'.' * 22} {c[1]} ....... {c[2]}" for c in cells),
+        "\n".join("  ".join(f"{i * j:>7}" for j in (3, 11, 47, 5, 97)) for i in range(1, 24)),
     ]
-    rng = np.random.default_rng(7)
+    rng = np.random.default_rng(5)
 
-    def noise(alphabet: str, width: int, n: int = 18) -> str:
-        return "\n".join("".join(rng.choice(list(alphabet), width)) for _ in range(n))
+    def noise(alphabet: str, width: int) -> str:
+        return "\n".join("".join(rng.choice(list(alphabet), width)) for _ in range(18))
 
     junk = [
-        ("junk", "\n".join(f"[{i % 24:02d}:{i * 7 % 60:02d}:{i * 13 % 60:02d}] WARN proc{i} pid={i * 91} rc=-{i % 9} 0x{i * 7919 * 31:x}" for i in range(1, 24))),
-        ("junk", "\n".join(f"{i * 2654435761 % 2**32:08x}  " + " ".join(f"{x:02x}" for x in rng.integers(0, 256, 16)) for i in range(1, 24))),
-        ("junk", noise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 76)),
-        ("junk", noise("!#$%&*+-./:;<=>?@[]^_{|}~\\", 60)),
-        ("junk", noise("lI1|it.,'`~^·¬rnm    ", 66)),
-        ("junk", noise("qwertyuiopasdfghjklñzxcvbnm   ", 70)),
-        ("junk", "\n".join(" ".join(["Noticias"] * k) for k in (8, 12, 9, 11, 10, 12, 8, 9))),
-        ("junk", "\n".join(" ".join(["Agenda"] * k) for k in (12, 7, 10, 9, 11, 12, 6, 9))),
-    ]
-    return prose + wrapped + mixed + lists + tables + junk
+        "\n".join(f"2024-03-{i % 28 + 1:02d}T{i % 24:02d}:{i * 7 % 60:02d}:{i * 13 % 60:02d}Z INFO http[{i * 37}] GET /a/{i * 7919:x} {200 + i % 4} {i * 3}ms" for i in range(1, 24)),
+        "\n".join(f"Exception in thread {i}: at x.y.Z{i * 13:x}(Z.java:{i * 7}) [0x{i * 104729:08x}]" for i in range(1, 24)),
+        "\n".join(f"{i * 16:08x}  " + " ".join(f"{x:02x}" for x in rng.integers(0, 256, 16)) for i in range(1, 24)),
+        noise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 64), noise("!#$%&*+-./:;<=>?@[]^_{|}~\\", 60), noise("lI1|it.,'`~^·¬rnm    ", 66), noise("asdfghjklqwertyuiop   ", 70), noise("bcdfghjklmnpqrstvwxz   ", 60),
+        *("\n".join(" ".join([w] * k) for k in (8, 12, 9, 11, 10, 12, 8, 9)) for w in ("spam", "Inicio")), "\n".join("\\x" + " \\x".join(f"{x:02x}" for x in rng.integers(0, 256, 20)) for _ in range(20)),
+    ]
+    return [("prose", x) for x in prose] + [("list", "\n".join(x)) for x in lists] + [("table", x) for x in tables] + [("junk", x) for x in junk]
 
 
 class Mixture:
@@ -217,18 +215,32 @@ def _moments(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.sqrt(np.maximum(var, 1e-4))
 
 
+def first_centres(z: np.ndarray, k: int = COMPONENTS) -> np.ndarray:
+    """Up to ``k`` of the rows ``z``: the one next to the middle, then each by chance in proportion to its squared distance
+    from those taken, so that rare kinds of rows have centres too."""
+    rng = np.random.default_rng(1)
+    taken = [int(((z - z.mean(0)) ** 2).sum(1).argmin())]
+    d = ((z - z[taken[0]]) ** 2).sum(1)
+    while len(taken) < k and d.sum() > 1e-9:
+        taken.append(int(rng.choice(len(z), p=d / d.sum())))
+        d = np.minimum(d, ((z - z[taken[-1]]) ** 2).sum(1))
+    return z[taken]
+
+
 def fit(stats: DataFrame, common: Iterable[str], rounds: int = ROUNDS) -> Mixture:
-    """Expectation-maximization over all rows of ``stats``; only K sums per partition reach the driver.
+    """Expectation-maximization over all rows of ``stats``; only sums per component and partition reach the driver.
 
-    Components start at the inspected examples and are named by them afterwards: each component takes the kind of the
-    examples it is most responsible for, one that holds none the kind of the example next to its centre."""
+    The first centres are rows chosen from SEED_ROWS of them; then all rows take part. What the components are is named
+    afterwards: each takes the kind of the examples it is most responsible for, one that holds none of them the kind of
+    the example next to its centre by its own covariance."""
     mean, scale = _moments(stats)
-    shown = examples()
-    rows = [dict(zip(STATISTICS, statistics(t, frozenset(common)))) for _, t in shown]
-    seen = _features({k: np.array([r[k] for r in rows]) for k in FEATURES})
-    z0 = (seen - mean) / scale
-    d, k = len(FEATURES), len(shown)
-    m = Mixture(mean, scale, np.full(k, 1 / k), z0.copy(), np.repeat(np.eye(d)[None] * 0.3, k, 0))
+    d = len(FEATURES)
+    rows = stats.select("doc_id", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEED_ROWS).select(*FEATURES).collect()
+    if not rows:
+        return Mixture(mean, scale, np.ones(1), np.zeros((1, d)), np.eye(d)[None], ["prose"])
+    centres = first_centres((_features({f: np.array([r[f] for r in rows]) for f in FEATURES}) - mean) / scale)
+    k = len(centres)
+    m = Mixture(mean, scale, np.full(k, 1 / k), centres, np.repeat(np.eye(d)[None] * FIRST, k, 0))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, q = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
@@ -242,29 +254,34 @@ def fit(stats: DataFrame, common: Iterable[str], rounds: int = ROUNDS) -> Mixtur
         yield pa.RecordBatch.from_arrays([pa.array([n.tolist()], pa.list_(pa.float64())), pa.array([s.ravel().tolist()], pa.list_(pa.float64())), pa.array([q.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "s", "q"])
 
     for _ in range(rounds):
-        parts = stats.select(*FEATURES).mapInArrow(sums, "n array<double>, s array<double>, q array<double>")
-        total = _summed(parts)
-        if not total:
-            break
+        total = _summed(stats.select(*FEATURES).mapInArrow(sums, "n array<double>, s array<double>, q array<double>"))
         n, s, q = total["n"], total["s"].reshape(k, d), total["q"].reshape(k, d, d)
-        # a few rows' worth of prior at the example keeps rare components alive
-        n1 = n + PRIOR
-        centres = (s + PRIOR * z0) / n1[:, None]
-        cov = (q + PRIOR * (z0[:, :, None] * z0[:, None, :] + 0.3 * np.eye(d))) / n1[:, None, None] - centres[:, :, None] * centres[:, None, :] + RIDGE * np.eye(d)
-        m = Mixture(mean, scale, n1 / n1.sum(), centres, cov)
-    kinds = [kind for kind, _ in shown]
-    r0 = m.responsibilities(z0)
-    named = []
-    for j in range(k):
-        votes: dict[str, float] = {}
-        for kind, x in zip(kinds, r0[:, j]):
-            votes[kind] = votes.get(kind, 0.0) + x
-        best = max(votes, key=votes.__getitem__)
-        named.append(best if votes[best] > 0.5 else kinds[int(((z0 - m.centres[j]) ** 2).sum(1).argmin())])
-    m.kinds = named
+        c = np.where(n[:, None] > 1, s / np.maximum(n, 1e-9)[:, None], m.centres)
+        cross = s[:, :, None] * c[:, None, :]
+        about = q - cross - cross.transpose(0, 2, 1) + n[:, None, None] * c[:, :, None] * c[:, None, :]
+        cov = (about + PRIOR * FIRST * np.eye(d)) / (n + PRIOR)[:, None, None] + RIDGE * np.eye(d)
+        m = Mixture(mean, scale, (n + 0.5) / (n + 0.5).sum(), c, cov)
+    shown = examples()
+    known = frozenset(common)
+    seen = [dict(zip(STATISTICS, statistics(t, known))) for _, t in shown]
+    z0 = m.standard(_features({f: np.array([r[f] for r in seen]) for f in FEATURES}))
+    m.kinds = _named(m, z0, [kind for kind, _ in shown])
     return m
 
 
+def _named(m: Mixture, z: np.ndarray, kinds: list[str]) -> list[str]:
+    r = m.responsibilities(z)
+    out = []
+    for j in range(len(m.weights)):
+        votes = {kind: sum(x for x, y in zip(r[:, j], kinds) if y == kind) for kind in dict.fromkeys(kinds)}
+        best = max(votes, key=votes.__getitem__)
+        if votes[best] < 0.5:
+            low = np.linalg.cholesky(m.covariances[j] + FIRST * np.eye(z.shape[1]))
+            best = kinds[int((np.linalg.solve(low, (z - m.centres[j]).T) ** 2).sum(0).argmin())]
+        out.append(best)
+    return out
+
+
 def classified(stats: DataFrame, model: Mixture) -> DataFrame:
     """stats with ``kind`` (prose, list, table, junk) and ``confidence``, the posterior of that kind."""
     order = sorted(set(model.kinds))

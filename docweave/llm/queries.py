@@ -89,8 +89,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return kinds.filter(F.col("kind") != "prose").select("doc_id", "kind").distinct()
 
 
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_kinds(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_text, p3_found, p4_found, p5_found, p6_found, p6_segments, p7_found, p8_containers, p8_fill, p9_schedule, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_text, p3_found, p4_found, p5_found, p6_found, p6_segments, p7_found, p8_containers, p8_fill, p9_schedule, p9_shares, p10_found, p10_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

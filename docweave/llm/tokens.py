@@ -31,14 +31,23 @@ def encoder(path: str | None = None):  # noqa: ANN201
     return _encoders[path]
 
 
-def with_token_counts(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
-    """``keep`` columns and n_tokens of each whole text; null text has 0."""
+def with_token_counts(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | None = None, prompt: bool = False) -> DataFrame:
+    """``keep`` columns and n_tokens of each whole text; null text has 0. With ``prompt`` also n_prompt, the tokens of the
+    first line that is not blank, as that of an instruction or a heading that the rest answers."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
 
+    def first_line(t: str) -> str:
+        body = t.lstrip()
+        return t[: len(t) - len(body)] + body.partition("\n")[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n, pa.int32())], names=[*keep, "n_tokens"])
-
-    return documents.select(*keep, F.col("text")).mapInArrow(run, fields + ", n_tokens int")
+            texts = b.column("text").to_pylist()
+            n = [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
+            sizes = [pa.array(n, pa.int32())]
+            if prompt:
+                sizes.append(pa.array([min(k, len(enc.encode_ordinary(first_line(t)))) if t else 0 for t, k in zip(texts, n)], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *sizes], names=[*keep, "n_tokens", *(["n_prompt"] if prompt else [])])
+
+    return documents.select(*keep, F.col("text")).mapInArrow(run, fields + ", n_tokens int" + (", n_prompt int" if prompt else ""))
