@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import join_sized, stored
@@ -217,13 +218,12 @@ def _learned(score: DataFrame, records: DataFrame, rounds: int) -> DataFrame:
 
 
 def _posterior(scored: DataFrame) -> DataFrame:
-    """Adds p, the posterior of each wrong chain against the others and against none (score and log prior about 0)."""
+    """Adds p, the posterior of each wrong chain against the others and against none (score and log prior about 0). A
+    record has at most as many rows as there are chains, so one window over it gives the sum."""
     x = scored.withColumn("x", F.col("score") + F.col("prior"))
-    top = x.groupBy("page_id", "source").agg(F.max("x").alias("top"))
-    top = top.withColumn("top", F.greatest("top", F.lit(0.0)))
-    x = x.join(top, ["page_id", "source"]).withColumn("e", F.exp(F.col("x") - F.col("top")))
-    total = x.groupBy("page_id", "source").agg((F.sum("e") + F.exp(-F.first("top"))).alias("z"))
-    return x.join(total, ["page_id", "source"]).select("page_id", "source", "chain", "score", (F.col("e") / F.col("z")).alias("p"))
+    own = W.partitionBy("page_id", "source")
+    x = x.withColumn("top", F.greatest(F.max("x").over(own), F.lit(0.0))).withColumn("e", F.exp(F.col("x") - F.col("top")))
+    return x.withColumn("z", F.sum("e").over(own) + F.exp(-F.col("top"))).select("page_id", "source", "chain", "score", (F.col("e") / F.col("z")).alias("p"))
 
 
 def garbled_records(web_in: DataFrame, least: float = 0.5) -> DataFrame:
@@ -245,4 +245,22 @@ def restore_text(text: str | None, chain: str | None) -> str | None:
     return re.sub(r"[^\x00-\x7f]+(?:[ -~]?[^\x00-\x7f]+)*", one, _html.unescape(text) if "&" in text and re.search(r"&[A-Z#]", text) else text)
 
 
-__all__ = ["chains", "garbled_records", "repair", "restore_text", "token_key", "undo"]
+def restored_records(web_in: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """(page_id, chain, posterior, restorable, html): the garbled records with their html restored where it can be.
+
+    A run of characters is restored under the record's chain; a run that this chain cannot undo stays as it is, and so does
+    all of a record whose characters are lost. ``records`` are those of :func:`garbled_records`, else they are looked for.
+    A record delivered twice has one row."""
+    found = stored(garbled_records(web_in), "garbled") if records is None else records
+    src = join_sized(web_in.filter(F.col("html").isNotNull()).select("page_id", "html"), found, ["page_id"]).select("page_id", "chain", "posterior", "restorable", "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            html = [restore_text(t, c) for t, c in zip(b.column("html").to_pylist(), b.column("chain").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in b.schema.names[:-1]], pa.array(html, pa.string())], names=b.schema.names)
+
+    out = src.mapInArrow(run, "page_id bigint, chain string, posterior double, restorable boolean, html string")
+    return out.groupBy("page_id").agg(*[F.max(c).alias(c) for c in ("chain", "posterior", "restorable", "html")])
+
+
+__all__ = ["chains", "garbled_records", "repair", "restore_text", "restored_records", "token_key", "undo"]

@@ -288,6 +288,7 @@ class History:
     def _insert(self, table: str, df: DataFrame) -> None:
         columns, key = self.TABLES[table]
         df.select(*[c.split()[0] for c in columns.split(", ")]).repartition(self.buckets, key).write.insertInto(self._name(table, self.id))
+        self.spark.catalog.refreshTable(self._name(table, self.id))  # df may be of another session
 
     def _roots(self) -> DataFrame:
         """(pdf, id, root) of the accepted batches: the newest of each record."""

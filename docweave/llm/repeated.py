@@ -98,10 +98,17 @@ def repeated_lines(documents: DataFrame, level: float = FDR) -> DataFrame:
 
 
 def without_repeated_lines(documents: DataFrame, level: float = FDR) -> DataFrame:
-    """documents with ``text`` reassembled by position from the lines kept, and ``removed``, their number.
-
-    Documents without site, or without such lines, keep their text; null text stays null; other columns pass through."""
-    drop = repeated_lines(documents, level).groupBy("doc_id").agg(F.collect_set("line_no").alias("__drop"))
-    d = documents.join(drop, "doc_id", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("__drop", F.array().cast("array<int>")), (i + 1).cast("int")))
-    return d.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).withColumn("removed", F.coalesce(F.size("__drop"), F.lit(0))).drop("__drop")
+    """documents with ``text`` reassembled by position from the lines kept, and ``removed``, the number of the others.
+
+    Lines stand apart by document and position; an anti-join drops those that recur excessively, and what is left comes
+    together again in order. Only documents that lose a line are taken apart. Documents without site, or without such
+    lines, keep their text; null text stays null; other columns pass through. doc_id is unique."""
+    drop = stored(repeated_lines(documents, level), "excess-lines")
+    hit = stored(drop.groupBy("doc_id").agg(F.count("*").cast("int").alias("removed")), "hit")
+    touched = join_sized(documents.select("doc_id", "text"), hit.select("doc_id"), ["doc_id"], "left_semi")
+    lines = touched.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    kept = lines.join(drop.select("doc_id", (F.col("line_no") - 1).alias("pos")), ["doc_id", "pos"], "left_anti")
+    again = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("__lines"))
+    x = documents.join(hit.withColumnRenamed("removed", "__removed"), "doc_id", "left").join(again, "doc_id", "left")
+    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.coalesce(F.array_join(F.transform("__lines", lambda x: x["line"]), "\n"), F.lit("")))
+    return x.withColumn("text", text).withColumn("removed", F.coalesce("__removed", F.lit(0))).drop("__removed", "__lines")

@@ -142,7 +142,7 @@ def line_key(text: Column) -> Column:
 def body_sizes(pg: DataFrame) -> DataFrame:
     """(doc_id, body, has_small): the size most characters have, to a tenth, and whether a line at an edge of a page is
     clearly smaller. Sizes are weighed by the histograms of the pages, not by their lines."""
-    edge = F.array_min(F.transform("edge", lambda z: z["sz"]))
+    edge = F.array_min(F.transform(F.filter("edge", lambda z: (z["i"] < EDGE) | (z["i"] >= F.col("n") - EDGE)), lambda z: z["sz"]))
     per = pg.select("doc_id", edge.alias("e"), F.explode("hist").alias("x")).groupBy("doc_id", F.round("x.sz", 1).alias("sz")).agg(F.sum("x.n").alias("n"), F.min("e").alias("e"))
     body = per.groupBy("doc_id").agg(F.max_by("sz", F.struct("n", "sz")).alias("body"), F.min("e").alias("least"))
     return body.select("doc_id", "body", (F.col("least") < SMALL * F.col("body")).alias("has_small"))

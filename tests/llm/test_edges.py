@@ -45,6 +45,7 @@ def run_all(t):
     yield "p2 kept", residue.real_articles(parsed)
     yield "p2 text", web.main_text(residue.real_articles(parsed))
     yield "p3", encoding.garbled_records(t["web_in"])
+    yield "p3 text", encoding.restored_records(t["web_in"])
     yield "p4", linkage.repeats(t["web_in"], t["web_meta"], *p3, t["common_words"])
     yield "p5", repeated.repeated_lines(t["documents"])
     yield "p5 text", repeated.without_repeated_lines(t["documents"])

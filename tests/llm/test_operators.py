@@ -55,6 +55,49 @@ def test_misread_words_at_line_ends(spark):
     assert got == {1, 3, 4}
 
 
+def test_long_and_short_words_are_repaired():
+    """Deletes of any length meet by hash; two confusions in a long word meet half way; short words try each confusion."""
+    r = random.Random(29)
+    for n in (5, 30, 59, 60, 61, 62, 63, 200, 5000):
+        true = "".join(r.choice("bcdghkmprstuvwaeio") for _ in range(n))
+        at = n // 2
+        for read, cost in ((true[:at] + "x" + true[at + 1 :], scanned.OTHER), (true[:at] + "rn" + true[at + 1 :], None)):
+            mine, other = ({k: t for k, t in scanned.delete_keys(w)} for w in (read, true))
+            assert any(mine[k] + other[k] <= 3 for k in mine.keys() & other.keys())
+        assert len(scanned.delete_keys(true)) <= 2 * n
+    long = "donaudampfschifffahrtsgesellschaft" * 3
+    read = long.replace("m", "rn", 1)[::-1].replace("h", "b", 1)[::-1]
+    assert scanned.two_sites(read, long) is not None and scanned.half_way(read, scanned._BY_READ) & scanned.half_way(long, scanned._BY_TRUE)
+    assert scanned._single("tbe") == scanned._single("tbe") and "the" in scanned._single("tbe")
+
+
+def test_a_long_word_is_repaired_on_its_page(spark):
+    long = "wortverbindungszusammensetzungen" * 3
+    clean = [(9, p, [(0, i, f"das {long} steht hier im buch", 11.0) for i in range(8)]) for p in range(1, 5)]
+    scan = [(1, 1, [(0, 0, f"das {long.replace('b', 'h', 1)} steht hier im", 11.0), (0, 1, f"buch das {long.replace('b', 'h', 1).replace('m', 'rn', 1)} steht", 11.0)])]
+    text = spark.createDataFrame([(9, p, False) for p in range(1, 5)] + [(1, 1, True)], "doc_id bigint, page_num int, ocr_aplicado boolean")
+    meta = spark.createDataFrame([(1, "ocr"), (9, "nativa")], "doc_id bigint, capa_texto string")
+    got = scanned.body_paragraphs(layout(spark, clean + scan), text, meta).filter("doc_id = 1").first().text
+    assert got == f"das {long} steht hier im buch das {long} steht"
+
+
+def test_running_lines_by_repetition_and_neighbours_over_chunks(spark, monkeypatch):
+    """Running lines in body size under a note in small type in mid page, two deep; a word divided between pages far apart."""
+    monkeypatch.setattr(scanned, "CHUNK", 3)
+    pages = []
+    for p in range(1, 9):
+        body = [(1, i, f"renglón {'abcdefgh'[p - 1] * 3} {'uno dos tres cuatro cinco seis siete ocho'.split()[i]} del texto", 11.0) for i in range(8)]
+        body[4] = (1, 4, "una nota en letra menor", 7.0)
+        body[7] = (1, 7, "al fin de la página sigue el regis-", 11.0) if p in (3, 5) else body[7]
+        body[0] = (1, 0, "tro de la página anterior", 11.0) if p in (4, 6) else body[0]
+        pages.append((1, p if p < 6 else p + 10, [(0, 0, f"{p}", 11.0), (0, 1, "Boletín de la villa", 11.0), *body]))
+    text = spark.createDataFrame([(1, p, True) for _, p, _ in pages], "doc_id bigint, page_num int, ocr_aplicado boolean")
+    meta = spark.createDataFrame([(1, "ocr")], "doc_id bigint, capa_texto string")
+    got = scanned.found_lines(layout(spark, pages), text, meta).collect()
+    assert {(x.page_num, x.line_no) for x in got if x.kind == "running"} == {(p, i) for _, p, _ in pages for i in (0, 1)}
+    assert {(x.page_num, x.line_no) for x in got if x.kind == "break"} == {(3, 7), (5, 7)}
+
+
 def test_edit_costs():
     assert scanned.edit_cost("coriserva", "conserva") == (scanned.LISTED, 2) and scanned.edit_cost("archiv0", "archivo")[0] == scanned.LISTED
     assert scanned.edit_cost("riiral", "rural")[0] == scanned.LISTED and scanned.edit_cost("casas", "casa") is None
@@ -150,6 +193,19 @@ def test_garbled_records(spark):
     assert set(got) == {57, 58, 59} and not got[58] and got[59]
 
 
+def test_restored_text_is_the_original(spark):
+    """Pages garbled by one of three chains each, beside clean ones: what is restorable comes back exactly."""
+    r, rows, plain = random.Random(13), [], {}
+    for i in range(90):
+        plain[i] = f"<body><p>{' '.join(sentence(r) for _ in range(8))}</p></body>"
+        shown = {0: lambda t: t.encode().decode("cp1252", "replace"), 1: lambda t: t.encode().decode("latin-1"), 2: lambda t: t.encode("cp1252").decode("cp850")}.get(i % 9, lambda t: t)(plain[i])
+        rows.append((i, f"https://{'abc'[i % 3]}.test/x", shown))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").select("*", F.lit(None).cast("string").alias("url_final"), F.lit("utf-8").alias("encoding"))
+    got = {x.page_id: x for x in encoding.restored_records(df.union(df.limit(3))).collect()}
+    assert set(got) == {i for i in range(90) if i % 9 < 3}
+    assert all(got[i].html == plain[i] for i in got if "\ufffd" not in dict((a, c) for a, _, c in rows)[i])
+
+
 def test_weak_evidence_is_pooled(spark):
     """Every third page garbled, so that the right word is only twice as frequent; a page of garbled words seen nowhere else."""
     r, rows = random.Random(11), []
@@ -240,6 +296,63 @@ def test_every_holder_of_a_key_is_compared(spark):
     assert len(want) > 100 and got == want
 
 
+def test_a_history_can_be_opened_again(spark, tmp_path):
+    """Three batches, each by a history opened anew, one of them begun twice and one given again: the clusters of one run."""
+    r, rows = random.Random(17), []
+    texts = {i: [sentence(r) for _ in range(12)] for i in range(40)}
+    for k in range(40, 70):
+        base = list(texts[r.randrange(k if k > 55 else 40)])
+        for j in r.sample(range(12), r.choice([0, 1, 2, 8])):
+            base[j] = sentence(r)
+        texts[k] = base
+    lote = {i: 0 if i < 40 else 1 if i < 55 else 2 for i in texts}
+    rows = [("web", i, lote[i], None, None, None, "es", " ".join(t)) for i, t in texts.items()]
+    records = linkage.as_records(spark.createDataFrame(rows, TEXT_COLUMNS))
+    path = f"file://{tmp_path}/history"
+    whole = linkage.link_batches(spark.createDataFrame(rows, TEXT_COLUMNS))
+    want = {tuple(x) for x in whole.representatives().collect()}
+    links = {}
+    for n in range(3):
+        if n == 2:  # a writer that is broken off after it stored its records
+            broken = linkage.History(spark.newSession(), path)
+            broken._write("begun/2", "late")
+            broken._insert("records", records.filter("lote = 2").withColumn("batch", F.lit(2)))
+        history = linkage.History(spark.newSession(), path, buckets=7)
+        assert len(history.batches()) == n and history.buckets == linkage.History(spark, path).buckets
+        links[n] = {(x.a, x.b) for x in history.add(records.filter(F.col("lote") == n), f"lote {n}").collect()}
+    again = linkage.History(spark.newSession(), path)
+    assert {tuple(x) for x in again.representatives().collect()} == want and len(want) > 15
+    assert {(x.a, x.b) for x in again.add(records.filter("lote = 1"), "lote 1").collect()} == links[1]  # by name
+    assert again.add(records.filter("lote = 1"), "other").count() == 0  # by ids
+    assert {tuple(x) for x in linkage.History(spark, path).representatives().collect()} == want
+    assert sorted(b["name"] for b in again.batches()) == ["lote 0", "lote 1", "lote 2", "other"]
+
+
+def test_waiting_batches_link_as_one_after_another(spark):
+    r, rows = random.Random(19), []
+    for i in range(60):
+        base = rows[r.randrange(len(rows))][-1].split(". ") if i > 20 else [sentence(r) for _ in range(12)]
+        base[r.randrange(len(base))] = sentence(r)
+        rows.append(("pdf" if i % 3 == 0 else "web", i, i % 4, None, None, None, None, ". ".join(base)))
+    df = spark.createDataFrame(rows, TEXT_COLUMNS)
+    a, b = ({tuple(x) for x in linkage.link_batches(df, waiting=w).representatives().collect()} for w in (True, False))
+    assert a == b and len(a) > 20
+
+
+def test_other_scripts_are_linked(spark):
+    word = {"ru": "город река мост школа книга архив музей улица поле завод театр рынок".split(), "el": "πόλη ποτάμι γέφυρα σχολείο βιβλίο αρχείο μουσείο δρόμος αγορά θέατρο λιμάνι νησί".split(), "ja": list("東京都市川橋学校本文書館道路工場劇場市場")}
+    r, rows = random.Random(23), []
+    for k, ws in enumerate(word.values()):
+        for i in range(0, 12, 2):
+            text = [r.choice(ws) for _ in range(120)]
+            other = text[:50] + [r.choice(ws)] + text[51:]
+            rows += [("web", 100 * k + i, 0, None, None, None, None, ("" if k == 2 else " ").join(text)), ("web", 100 * k + i + 1, 1, None, None, None, None, ("" if k == 2 else " ").join(other))]
+    rows.append(("web", 900, 0, None, None, None, None, "!!! ... ???"))
+    got = {(x.id, x.representative) for x in linkage.link_batches(spark.createDataFrame(rows, TEXT_COLUMNS)).representatives().collect()}
+    assert got == {(100 * k + i + 1, 100 * k + i) for k in range(3) for i in range(0, 12, 2)}
+    assert linkage.normal_words("Año, año!", False) == ["ao", "ao"] and linkage.normal_words("Год 1987", False) == ["год", "1987"]
+
+
 def test_weights_are_learned():
     pats = [((1, 1, -1, 1, 1), 90), ((0, 0, -1, 1, 0), 300), ((0, 1, 0, 0, 0), 100), ((1, 1, 1, 1, 1), 10)]
     prior, m, u = linkage.learned_weights(pats)
