@@ -136,21 +136,31 @@ def heading_level(text: Column, size: Column, body: Column, bold: Column, ratio:
     return F.when(letters < 2, 0).when((size >= ratio * body) & (F.length(s) < 160), by_size).when(capitals, F.when(bold, 2).otherwise(3)).otherwise(0)
 
 
-def language_vote(c: Column) -> Column:
-    """The language most stop words are of; empty for short texts and where none stands out.
+def vote_words(c: Column) -> Column:
+    """The runs of plain letters that a language vote is over."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+
+
+def vote_of(words: Column) -> Column:
+    """The language most stop words of an array of words are of; empty for few words and where none stands out.
 
-    Words are runs of plain letters; ties go to the language first in STOP_WORDS."""
-    words = F.slice(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)), 1, VOTE_SAMPLE)
-    total = F.size(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
+    Only the first VOTE_SAMPLE words are looked at, as the results to be met are defined; ties go to the language first in
+    STOP_WORDS. ``words`` should be a column of its own, so that it is made once."""
+    looked = F.slice(words, 1, VOTE_SAMPLE)
 
     def votes_of(stop: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(stop)))
+        return F.size(F.filter(looked, lambda w: w.isin(stop)))
 
-    votes = [F.struct(votes_of(s).alias("n"), F.lit(-i).alias("i"), F.lit(x).alias("lang")) for i, (x, s) in enumerate(STOP_WORDS.items())]
+    votes = [F.struct(votes_of(stop).alias("n"), F.lit(-i).alias("i"), F.lit(x).alias("lang")) for i, (x, stop) in enumerate(STOP_WORDS.items())]
     order = F.array_sort(F.array(*votes))
     best, second = F.element_at(order, -1), F.element_at(order, -2)
-    sure = (total >= VOTE_WORDS) & (best["n"] >= VOTE_SHARE * F.size(words)) & ((second["n"] == 0) | (best["n"] >= VOTE_LEAD * second["n"]))
-    return F.when(c.isNull() | ~sure, F.lit("")).otherwise(best["lang"])
+    sure = (F.size(words) >= VOTE_WORDS) & (best["n"] >= VOTE_SHARE * F.size(looked)) & ((second["n"] == 0) | (best["n"] >= VOTE_LEAD * second["n"]))
+    return F.when(words.isNull() | ~sure, F.lit("")).otherwise(best["lang"])
+
+
+def language_vote(c: Column) -> Column:
+    """:func:`vote_of` the words of a text; null text is empty."""
+    return F.when(c.isNull(), F.lit("")).otherwise(F.element_at(F.transform(F.array(vote_words(c)), vote_of), 1))
 
 
 def yaml_quoted(c: Column) -> Column:
@@ -168,8 +178,8 @@ def yaml_list(c: Column) -> Column:
 
 
 def escape_heading(c: Column) -> Column:
-    """A leading # that is no heading, escaped."""
-    return F.regexp_replace(c, r"^(\s*)(#{1,6}\s)", r"$1\\\\$2")
+    """A # at the very start that is no heading, escaped."""
+    return F.regexp_replace(c, r"^(#{1,6}\s)", r"\\$1")
 
 
 def markdown_url(c: Column) -> Column:

@@ -15,15 +15,17 @@ from ..functions.equations import line_with_math
 from . import structure as ls
 
 # Words that stand on either side of a hyphen of their own.
-COMPOUND_HALVES = frozenset(
-    (
-        "one two three half full long short term time left right wing party state post pre anti pro non self well known based led made wide high low old new far near cross multi inter intra "
-        "sub super counter over under out off back front progressive conservative liberal socialist democratic government east west north south central middle first second third fourth public private civil "
-        "military legal human rights media social political economic national regional local global world war line level scale year day week month hour "
-        "risk free hard soft open closed read write data driven making taking seeking building related linked "
-        "socio politico juridico medico tecnico teorico practico norte sur este oeste auto franco hispano latino afro euro ibero arabe ruso corto largo medio plazo alto bajo nuevo viejo"
-    ).split()
-)
+COMPOUND_HALVES = frozenset({
+    "one", "two", "three", "half", "full", "long", "short", "term", "time", "left", "right", "wing", "party", "state", "post", "pre",
+    "anti", "pro", "non", "self", "well", "known", "based", "led", "made", "wide", "high", "low", "old", "new", "far", "near",
+    "cross", "multi", "inter", "intra", "sub", "super", "counter", "over", "under", "out", "off", "back", "front", "progressive", "conservative", "liberal",
+    "socialist", "democratic", "government", "east", "west", "north", "south", "central", "middle", "first", "second", "third", "fourth", "public", "private", "civil",
+    "military", "legal", "human", "rights", "media", "social", "political", "economic", "national", "regional", "local", "global", "world", "war", "line", "level",
+    "scale", "year", "day", "week", "month", "hour", "risk", "free", "hard", "soft", "open", "closed", "read", "write", "data", "driven",
+    "making", "taking", "seeking", "building", "related", "linked", "socio", "politico", "juridico", "medico", "tecnico", "teorico", "practico", "norte", "sur", "este",
+    "oeste", "auto", "franco", "hispano", "latino", "afro", "euro", "ibero", "arabe", "ruso", "corto", "largo", "medio", "plazo", "alto", "bajo",
+    "nuevo", "viejo",
+})
 #: Cells of a table set by spaces have at most so many characters; share of its rows that must agree in columns.
 CELL_CHARS, SAME_COLUMNS = 40, 0.7
 #: A short line that ends no sentence joins the next.
@@ -104,7 +106,7 @@ def block_markdown(lines: list[tuple[str, int, bool]]) -> list[tuple[str, str]]:
                 out.append(("quote", "\n".join("> " + re.sub(r"^\s*[>»]\s*", "", t) for t in part)))
             else:
                 shown = [line_with_math(_BULLET.sub(r"\1- ", t)) if not t.startswith("$") else t for t in rejoined(part)]
-                shown = [re.sub(r"^(\s*)(#{1,6}\s)", r"\1\\\2", t) for t in shown]
+                shown = [re.sub(r"^(#{1,6}\s)", r"\\\1", t) for t in shown]
                 out.append(("list" if _LIST.match(part[0]) else "text", md.reflowed(shown)))
         k = j
     return out
@@ -150,7 +152,8 @@ def pages_markdown(spans: DataFrame) -> DataFrame:
 def documents_markdown(spans: DataFrame, page_marks: bool = True, page_breaks: bool = False) -> DataFrame:
     """(doc_id, markdown): pages in order, with a mark before each page that has text and the mark of the cover's end."""
     p = pages_markdown(spans).filter(F.col("markdown") != "")
-    cover = ls.cover_ends(ls.lines(spans)).withColumnRenamed("page_num", "starts")
+    x = ls.lines(spans)
+    cover = ls.cover_ends(x, ls.headings(x, ls.body_sizes(spans))).withColumnRenamed("page_num", "starts")
     mark = F.concat(F.lit("<!-- p."), F.col("page_num").cast("string"), F.lit(" -->\n\n")) if page_marks else F.lit("")
     text = F.concat(F.when(F.col("page_num") == F.col("starts"), "<!-- end-of-cover -->\n\n").otherwise(""), mark, F.col("markdown"))
     p = p.join(cover, "doc_id", "left").withColumn("markdown", text)

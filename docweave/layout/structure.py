@@ -6,6 +6,8 @@ count once where lines are built."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,10 +21,18 @@ HEADING_REPEAT_LEAST, HEADING_KEY_CHARS = 3, 4
 #: Body size where a document has no text; text-layer limits in characters a page.
 BODY_SIZE = 11.0
 ABSENT_CHARS, SCARCE_CHARS, FULL_PAGE_CHARS = 100, 800, 50
-#: Share of the width a divider of columns takes; shares of the width at which the columns begin and end.
-WIDE, LEFT_EDGE, RIGHT_EDGE = 0.6, 0.375, 0.625
-# Words of a page of credits.
-CREDITS = r"(?i)\b(?:isbn|issn|copyright|©|all rights reserved|todos los derechos reservados|depósito legal|deposito legal|printed in|impreso en|first published|primera edición|library of congress|cip data)"
+#: Shares of the width: of a divider of columns, of the columns' inner edges, and of what spans both; points of overlap.
+WIDE, LEFT_MOST, RIGHT_LEAST, SPAN_FROM, SPAN_TO, OVERLAP = 0.6, 0.55, 0.45, 0.375, 0.625, 4.0
+#: Pages looked at for credits; characters of a page of body, with a heading and without; width where none is known.
+COVER_PAGES, COVER_CHARS, COVER_CHARS_HEADED, PAGE_WIDTH = 8, 400, 200, 600.0
+#: A stamp repeated on scans: pages, characters a page, share of pages. Pages of real text, their characters, and all characters.
+STAMP_PAGES, STAMP_CHARS, STAMP_SHARE = 5, 160, 0.75
+REAL_PAGES, REAL_CHARS, REAL_TOTAL = 4, 200, 1500
+# What betrays a page of credits.
+CREDITS = (
+    "isbn", "deposito legal", "depósito legal", "d.l.", "©", "copyright", "todos los derechos reservados", "reservados todos los derechos", "primera edicion", "primera edición",
+    "edita:", "editorial", "impreso en", "printed in", "all rights reserved", "maquetacion", "maquetación",
+)
 
 LINE = ["doc_id", "page_num", "block_no", "line_no"]
 
@@ -89,16 +99,29 @@ def headings(lines_: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def text_layers(page_text: DataFrame) -> DataFrame:
-    """(doc_id, pages, chars, chars_per_page, median_chars, full_pages, layer): native, scarce or absent by pages.
-
-    Pages delivered twice count once. The median is the upper one; a layer is absent under ABSENT_CHARS a page by mean
-    and median, or if hardly a page holds text."""
-    p = page_text.groupBy("doc_id", "page_num").agg(F.max(F.coalesce("char_count", F.lit(0))).alias("n"))
-    d = p.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("n").alias("chars"), F.sort_array(F.collect_list("n")).alias("ns"), F.sum((F.col("n") >= FULL_PAGE_CHARS).cast("int")).alias("full_pages"))
-    d = d.withColumn("chars_per_page", F.bround(F.col("chars") / F.col("pages"), 0).cast("int")).withColumn("median_chars", F.element_at("ns", (F.floor(F.col("pages") / 2) + 1).cast("int")))
-    absent = (F.col("full_pages") == 0) | ((F.col("chars_per_page") < ABSENT_CHARS)) | (F.col("full_pages") * 5 <= F.col("pages"))
-    scarce = (F.col("chars_per_page") < SCARCE_CHARS) | (F.col("full_pages") * 3 < F.col("pages") * 2)
-    return d.select("doc_id", "pages", "chars", "chars_per_page", "median_chars", "full_pages", F.when(absent, "absent").when(scarce, "scarce").otherwise("native").alias("layer"))
+    """(doc_id, pages, chars, chars_per_page, median_chars, full_pages, layer): native, ocr, scarce or absent.
+
+    Pages delivered twice count once; the median is the upper one of the pages with FULL_PAGE_CHARS and more. A layer is
+    absent where scans bear only a short stamp, or where the mean or the median is under ABSENT_CHARS or most pages are
+    empty, unless several pages hold real text. Recognised documents that have text are ocr.
+    Without has_images or ocr_aplicado no page has images or was recognised."""
+    def told(name: str) -> Column:
+        return F.max(F.coalesce(F.col(name), F.lit(False))) if name in page_text.columns else F.lit(False)
+
+    p = page_text.groupBy("doc_id", "page_num").agg(F.max(F.coalesce("char_count", F.lit(0))).alias("n"), told("has_images").alias("images"), told("ocr_aplicado").alias("ocr"))
+    full = F.col("n") >= FULL_PAGE_CHARS
+    d = p.groupBy("doc_id").agg(
+        F.count("*").alias("pages"), F.sum("n").alias("chars"), F.sort_array(F.collect_list(F.when(full, F.col("n")))).alias("ns"), F.max("ocr").alias("ocr"),
+        F.count_if(F.col("images") & (F.col("n") < STAMP_CHARS)).alias("stamped"),
+    )
+    d = d.withColumn("full_pages", F.size("ns")).withColumn("chars_per_page", F.bround(F.col("chars") / F.col("pages"), 0).cast("int"))
+    d = d.withColumn("median_chars", F.coalesce(F.get("ns", F.floor(F.col("full_pages") / 2).cast("int")), F.lit(0)))
+    mean, median = F.col("chars_per_page"), F.col("median_chars")
+    stamp = ~F.col("ocr") & (F.col("pages") >= STAMP_PAGES) & (median < STAMP_CHARS) & (F.col("stamped") >= F.floor(STAMP_SHARE * F.col("pages")))
+    real = (F.col("full_pages") >= REAL_PAGES) & (median >= max(REAL_CHARS, 2 * ABSENT_CHARS)) & (F.col("chars") >= REAL_TOTAL)
+    absent = stamp | (~real & ((mean < ABSENT_CHARS) | ((F.col("pages") - F.col("full_pages")) * 2 > F.col("pages")) | (median < ABSENT_CHARS)))
+    layer = F.when(absent, "absent").when(F.col("ocr"), "ocr").when((mean < SCARCE_CHARS) | (median < SCARCE_CHARS), "scarce").otherwise("native")
+    return d.select("doc_id", "pages", "chars", "chars_per_page", "median_chars", "full_pages", layer.alias("layer"))
 
 
 def mostly_scanned(pages: DataFrame) -> DataFrame:
@@ -107,27 +130,46 @@ def mostly_scanned(pages: DataFrame) -> DataFrame:
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
-    """Blocks (doc_id, page_num, block_no, x0, y0, x1, y1, width) with ``turn``: full-width blocks divide a page into
-    bands; within a band the left column comes before the right, each from top to bottom. Pages without two columns
-    keep their order by position."""
-    wide = (F.col("x1") - F.col("x0")) >= WIDE * F.col("width")
+    """Blocks (doc_id, page_num, block_no, x0, y0, x1, y1, width) with ``turn``, from 1.
+
+    A page has two columns if some block ends left of LEFT_MOST, another begins right of RIGHT_LEAST, and two such stand
+    side by side. There, wide blocks and those that span the middle divide bands; in a band the blocks that begin in the
+    left half come first, each side from top to bottom. Other pages, and those of under three blocks, keep their order."""
     page = W.partitionBy("doc_id", "page_num")
-    both = (F.max((F.col("x1") <= RIGHT_EDGE * F.col("width")).cast("int")).over(page) == 1) & (F.max((F.col("x0") >= LEFT_EDGE * F.col("width")).cast("int")).over(page) == 1)
-    b = blocks.withColumn("wide", wide).withColumn("two", both)
+    own = F.coalesce(F.nullif("width", F.lit(0.0)), F.max("x1").over(page), F.lit(PAGE_WIDTH))
+    b = blocks.withColumn("__w", own)
+    wide = (F.col("x1") - F.col("x0")) >= WIDE * F.col("__w")
+    left = ~wide & (F.col("x1") <= LEFT_MOST * F.col("__w"))
+    right = ~wide & ~left & (F.col("x0") >= RIGHT_LEAST * F.col("__w"))
+    rows = F.struct("y0", "y1")
+    b = b.withColumn("__left", F.collect_list(F.when(left, rows)).over(page)).withColumn("__right", F.collect_list(F.when(right, rows)).over(page))  # the blocks of a page
+    beside = F.exists("__left", lambda x: F.exists("__right", lambda y: F.greatest(x["y0"], y["y0"]) < F.least(x["y1"], y["y1"]) - OVERLAP))
+    b = b.withColumn("__two", (F.count("*").over(page) >= 3) & (F.col("__w") > 0) & F.coalesce(beside, F.lit(False)))
+    divider = (wide | ((F.col("x0") < SPAN_FROM * F.col("__w")) & (F.col("x1") > SPAN_TO * F.col("__w")))).cast("int")
     down = W.partitionBy("doc_id", "page_num").orderBy("y0", "x0", "block_no")
-    b = b.withColumn("band", F.sum(F.col("wide").cast("int")).over(down) * 2 - F.col("wide").cast("int"))
-    side = F.when(F.col("wide") | ~F.col("two"), 0).otherwise((F.col("x0") >= LEFT_EDGE * F.col("width")).cast("int"))
-    b = b.withColumn("side", side).withColumn("band", F.when(F.col("two"), F.col("band")).otherwise(0))
-    return b.withColumn("turn", F.row_number().over(W.partitionBy("doc_id", "page_num").orderBy("band", "side", "y0", "x0", "block_no"))).drop("wide", "two")
-
-
-def cover_ends(lines_: DataFrame) -> DataFrame:
-    """(doc_id, page_num): the first page of the text proper after a page of credits among the first eight."""
-    p = lines_.groupBy("doc_id", "page_num").agg(F.sum(F.length("text")).alias("chars"), F.max(F.col("text").rlike(CREDITS)).alias("credits"))
-    last = p.groupBy("doc_id").agg(F.max("page_num").alias("pages"), F.count("*").alias("n")).select("doc_id", F.least(F.lit(8), F.col("n") - 1).alias("most"))
-    p = p.join(last, "doc_id")
-    at = p.filter(F.col("credits") & (F.col("page_num") <= F.col("most"))).groupBy("doc_id").agg(F.max("page_num").alias("at"))
-    return p.join(at, "doc_id").filter((F.col("page_num") > F.col("at")) & ~F.col("credits") & (F.col("chars") >= 400)).groupBy("doc_id").agg(F.min("page_num").alias("page_num"))
+    band = F.when(F.col("__two"), F.sum(divider).over(down) * 2 - divider).otherwise(0)
+    side = F.when(F.col("__two") & (divider == 0), (F.col("x0") >= 0.5 * F.col("__w")).cast("int")).otherwise(0)
+    b = b.withColumn("__band", band).withColumn("__side", side).withColumn("__y", F.when(F.col("__two"), F.col("y0"))).withColumn("__x", F.when(F.col("__two"), F.col("x0")))
+    turn = F.row_number().over(W.partitionBy("doc_id", "page_num").orderBy("__band", "__side", "__y", "__x", "block_no"))
+    return b.withColumn("turn", turn).drop("__w", "__left", "__right", "__two", "__band", "__side", "__y", "__x")
+
+
+def cover_ends(lines_: DataFrame, headings_: DataFrame) -> DataFrame:
+    """(doc_id, page_num): the first page of body after the last page of credits among the first COVER_PAGES pages but the
+    last: one without credits that has COVER_CHARS characters, or COVER_CHARS_HEADED and a heading. Pages count by
+    position; lines of a block are joined by line ends, blocks by spaces."""
+    text = F.array_sort(F.collect_list(F.struct(F.coalesce("block_no", F.lit(0)).alias("b"), F.coalesce("line_no", F.lit(0)).alias("l"), "text")))
+    p = lines_.groupBy("doc_id", "page_num").agg(text.alias("x"))
+    gap = F.aggregate("x", F.struct(F.lit("").alias("t"), F.lit(None).cast("int").alias("b")), lambda a, z: F.struct(F.concat(a["t"], F.when(a["b"].isNull(), "").when(a["b"] == z["b"], "\n").otherwise(" "), z["text"]).alias("t"), z["b"].alias("b")))["t"]
+    p = p.withColumn("t", tx.strip(gap)).withColumn("credits", reduce(lambda a, b: a | b, (F.lower("t").contains(c) for c in CREDITS)))
+    headed = headings_.select("doc_id", "page_num").distinct().withColumn("headed", F.lit(True))
+    p = p.select("doc_id", "page_num", F.length("t").alias("chars"), "credits").join(headed, ["doc_id", "page_num"], "left")
+    pages = p.groupBy("doc_id").agg(F.sort_array(F.collect_list("page_num")).alias("nums"))  # page numbers only
+    p = p.join(pages, "doc_id").withColumn("at", F.array_position("nums", F.col("page_num"))).withColumn("most", F.least(F.lit(COVER_PAGES), F.size("nums") - 1))
+    last = F.max(F.when(F.col("credits") & (F.col("at") <= F.col("most")), F.col("at"))).alias("last")
+    body = ~F.col("credits") & ((F.col("chars") >= COVER_CHARS) | (F.col("headed") & (F.col("chars") >= COVER_CHARS_HEADED)))
+    p = p.drop("nums")
+    return p.join(p.groupBy("doc_id").agg(last).filter(F.col("last").isNotNull()), "doc_id").filter((F.col("at") > F.col("last")) & body).groupBy("doc_id").agg(F.min("page_num").alias("page_num"))
 
 
 def prominent_titles(headings_: DataFrame, lines_: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import web as wb
+from ..storage import stored
 
 
 def exact_copies(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -25,21 +28,37 @@ def size_candidates(rows: DataFrame, size: str) -> DataFrame:
     return rows.join(often, size)
 
 
+def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``, the place of a row among those of its ``key`` in ``order``, from 1.
+
+    Rows are put in ranges of key and order, so that a frequent key spans several; each range is numbered alone and
+    moved up by what the ranges before it hold of the key."""
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = stored(rows.repartitionByRange(parts, key, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = x.groupBy(key, "__part").agg(F.count("*").alias("__n"))
+    before = W.partitionBy(key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    base = sums.select(F.col(key).alias("__key"), F.col("__part").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    x = x.withColumn("__turn", F.row_number().over(W.partitionBy(key, "__part").orderBy(*order)))
+    x = x.join(base, x[key].eqNullSafe(base["__key"]) & (x["__part"] == base["__at"]))
+    return x.withColumn(name, (F.col("__base") + F.col("__turn")).cast("int")).drop("__part", "__key", "__at", "__base", "__turn")
+
+
 def unique_names(rows: DataFrame, base: str, order: list[str], suffix: str, separator: str = "_") -> DataFrame:
     """Adds ``name``: base and suffix, the n-th row of one base (compared in lower case) with separator and n.
 
     A made-up name that is another row's natural one is numbered on in a second pass, past all numbers in use."""
-    low = F.lower(F.col(base))
-    n = F.row_number().over(W.partitionBy(low).orderBy(*order))
-    total = F.count("*").over(W.partitionBy(low))
-    d = rows.withColumn("__n", n).withColumn("__total", total).withColumn("__made", F.when(F.col("__n") > 1, F.concat(F.col(base), F.lit(separator), F.col("__n").cast("string"))).otherwise(F.col(base)))
-    taken = d.filter("__n = 1").select(F.lower(F.col(base)).alias("__low"), F.lit(True).alias("__taken"))
-    d = d.withColumn("__low", F.lower("__made")).join(taken, "__low", "left")
-    again = (F.col("__n") > 1) & F.coalesce("__taken", F.lit(False))
+    d = numbered(rows.withColumn("__low", F.lower(F.col(base))), "__low", order, "__n")
+    made = F.when(F.col("__n") > 1, F.concat(F.col(base), F.lit(separator), F.col("__n").cast("string"))).otherwise(F.col(base))
+    d = d.withColumn("__made", made)
+    totals = d.groupBy("__low").agg(F.max("__n").alias("__total"))
+    # names that are made up and also natural ones of another row
+    taken = totals.select(F.col("__low").alias("__taken"))
+    again = d.filter("__n > 1").join(taken, F.lower("__made") == F.col("__taken"), "left_semi").join(totals, "__low")
+    d = d.join(taken, (F.lower("__made") == F.col("__taken")) & (F.col("__n") > 1), "left").filter(F.col("__taken").isNull()).withColumn("name", F.concat("__made", F.lit(suffix)))
     # past every number the base has used, in order, so no third name arises
-    k = F.col("__total") + F.sum(F.when(again, 1).otherwise(0)).over(W.partitionBy(low).orderBy(*order))
-    name = F.when(again, F.concat(F.col(base), F.lit(separator), k.cast("string"), F.lit(separator), F.lit("b"))).otherwise(F.col("__made"))
-    return d.withColumn("name", F.concat(name, F.lit(suffix))).drop("__n", "__total", "__made", "__low", "__taken")
+    again = numbered(again, "__low", order, "__k").withColumn("name", F.concat(F.col(base), F.lit(separator), (F.col("__total") + F.col("__k")).cast("string"), F.lit(separator), F.lit("b" + suffix)))
+    names = d.drop("__low", "__n", "__made", "__taken")
+    return names.unionByName(again.select(*names.columns))
 
 
 def still_to_do(batch: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,22 +98,89 @@ def collection_summary(plan: DataFrame) -> DataFrame:
     return plan.agg(n("pending", "present", "duplicate").alias("found"), n("duplicate").alias("duplicates"), n("present").alias("present"), n("pending").alias("pending"), n("empty", "not_pdf").alias("incidents"))
 
 
-def work_items(lines: DataFrame, list_id: str = "list_id") -> DataFrame:
-    """Lines (list_id, line_no, value) of work lists as items (list_id, line_no, section, kind, origin, declared_url).
+# What a heading begins with that titles the list and no section, and rows that only name columns.
+LIST_TITLES = ("urls de", "dossier", "indice", "índice", "lista de", "contenido", "fuentes de", "listado de")
+COLUMN_ROWS = (
+    "url doc_id", "url id", "url nombre", "url archivo", "ruta url", "archivo url", "origen url", "origen doc_id", "ruta doc_id", "ruta url doc_id",
+)
+CAPTURE = "[CAPTURA LOCAL]"
+
+
+def normal_path(path: Column, base: str = "") -> Column:
+    """A path under ``base`` without ``.``, double slashes and, where something is before it, ``..``; an absolute path
+    stays one."""
+    full = F.when(path.startswith("/") | F.lit(base == ""), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), path))
+
+    def step(a: Column, p: Column) -> Column:
+        up = (p == "..") & (F.size(a) > 0) & (F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")) != "..")
+        return F.when(p.isin("", "."), a).when(up, F.slice(a, 1, F.size(a) - 1)).when((p == "..") & full.startswith("/"), a).otherwise(F.concat(a, F.array(p)))
 
-    ``#`` headings set the section up to the next one, cut at a dash; comments after `` # `` go. An item is an address,
-    a local page, or both in one row divided by ;, | or tab."""
+    out = F.array_join(F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(full.startswith("/"), F.concat(F.lit("/"), out)).when(out == "", ".").otherwise(out)
+
+
+def work_items(lines: DataFrame, list_id: str = "list_id", base: str = "") -> DataFrame:
+    """Lines (list_id, line_no, value) of work lists as items (list_id, line_no, section, kind, origin, declared_url,
+    out_name): addresses (url) and saved pages (local), a row each.
+
+    A heading sets the section up to the next one, cut at a dash; the first heading of the first level before any item
+    and headings like ``Lista de`` title the list and set none. Rows bear a page, an address and a name for the output in
+    several orders, divided by ;, | or tab; rows of column names are none. A row marked as local capture is a page.
+    Other lines give each address in them, without a comment after `` # ``, or else the page that they name."""
     v = tx.strip(F.col("value"))
-    head = F.when(v.rlike(r"^#{1,6}\s+\S"), tx.strip(F.regexp_replace(F.regexp_replace(v, r"^#+\s+", ""), r"\s+[—–-]\s.*$", "")))
+    head = tx.strip(F.regexp_replace(tx.strip(F.regexp_replace(v, "^#+", "")), "(?s)[—–].*$| - .*$", ""))
+    level = F.length(F.regexp_extract(v, "^(#+)", 1))
+    title = reduce(lambda a, b: a | b, (F.lower(head).startswith(t) for t in LIST_TITLES))
+
+    def bare(c: Column) -> Column:
+        return F.regexp_replace(tx.strip(c), "^[`'\"]+|[`'\"]+$", "")
+
+    cells = F.transform(F.filter(F.split(v, r"\s*[;|\t]\s*"), lambda c: tx.strip(c) != ""), bare)
+    a, b, c = (F.get(cells, i) for i in range(3))
+
+    def page(x: Column) -> Column:
+        return F.coalesce(F.lower(x).rlike(r"\.html?$") & ~wb.is_url(x), F.lit(False))
+
+    def url(x: Column) -> Column:
+        return F.coalesce(wb.is_url(x), F.lit(False))
+
+    def name(x: Column) -> Column:
+        return F.coalesce(x.rlike(r"^[A-Za-z0-9_.-]+$") & ~url(x) & ~page(x), F.lit(False))
+
+    def item(kind: str, origin: Column, declared: Column | None = None, out: Column | None = None) -> Column:
+        none = F.lit("")
+        return F.array(F.struct(F.lit(kind).alias("kind"), origin.alias("origin"), (none if declared is None else declared).alias("declared_url"), (none if out is None else out).alias("out_name")))
+
+    two, three = F.size(cells) == 2, F.size(cells) == 3
+    divided = v.rlike("[;|\t]")
+    # the rest: without the empty cells at the end and a comment
+    rest = tx.strip(F.regexp_replace(F.regexp_replace(v, "[ ;|\t]+$", ""), r"(?s)\s+#\s+.*$", ""))
+    urls = F.filter(F.transform(F.regexp_extract_all(rest, F.lit("https?://[^\\s><\"';|]+"), F.lit(0)), clean_address), lambda u: u != "")
+    own = bare(F.regexp_replace(rest, "(?s)#.*$", ""))
+    captured = tx.strip(F.substring_index(v, CAPTURE, -1))
+    nothing = F.array().cast("array<struct<kind:string,origin:string,declared_url:string,out_name:string>>")
+    items = (
+        F.when((v == "") | v.startswith("#"), nothing)
+        .when(v.contains(CAPTURE), item("local", normal_path(F.regexp_replace(captured, "^[`'\"]+|[`'\"]+$", ""), base), captured))
+        .when(F.lower(F.array_join(cells, " ")).isin(*COLUMN_ROWS), nothing)
+        .when(divided & three & page(a) & url(b), item("local", normal_path(a, base), clean_address(b), c))
+        .when(divided & three & url(a) & page(b), item("local", normal_path(b, base), clean_address(a), c))
+        .when(divided & two & page(a) & url(b), item("local", normal_path(a, base), clean_address(b)))
+        .when(divided & two & url(a) & page(b), item("local", normal_path(b, base), clean_address(a)))
+        .when(divided & two & url(a) & name(b), item("url", clean_address(a), out=b))
+        .when(divided & two & url(b) & name(a), item("url", clean_address(b), out=a))
+        .when(divided & two & page(a) & F.coalesce(b.rlike(r"^[A-Za-z0-9_.-]+$"), F.lit(False)), item("local", normal_path(a, base), out=b))
+        .when(rest.rlike("https?://[^\\s><\"';|]"), F.transform(urls, lambda u: F.struct(F.lit("url").alias("kind"), u.alias("origin"), F.lit("").alias("declared_url"), F.lit("").alias("out_name"))))
+        .when(F.lower(rest).rlike(r"\.html?$") & (own != ""), item("local", normal_path(own, base)))
+        .otherwise(nothing)
+    )
     w = W.partitionBy(list_id).orderBy("line_no")
-    x = lines.withColumn("section", F.last(head, True).over(w)).filter(~v.startswith("#") & (v != ""))
-    bare = tx.strip(F.regexp_replace(v, r"\s#\s.*$", ""))
-    cells = F.transform(F.split(bare, r"\s*[;|\t]\s*"), tx.strip)
-    url = F.get(F.filter(cells, wb.is_url), 0)
-    page = F.get(F.filter(cells, lambda c: c.rlike(r"(?i)\.html?$") & ~wb.is_url(c)), 0)
-    x = x.select(list_id, "line_no", F.coalesce("section", F.lit("General")).alias("section"), page.alias("page"), clean_address(url).alias("u"))
-    x = x.filter(F.col("page").isNotNull() | F.col("u").isNotNull())
-    return x.select(list_id, "line_no", "section", F.when(F.col("page").isNotNull(), "local").otherwise("url").alias("kind"), F.coalesce("page", "u").alias("origin"), F.when(F.col("page").isNotNull(), F.coalesce("u", F.lit(""))).otherwise("").alias("declared_url"))
+    x = lines.withColumn("__items", items)
+    earlier = F.coalesce(F.sum(F.size("__items")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    section = F.when(v.startswith("#") & ~title & (head != "") & ~((level == 1) & (earlier == 0)), head)
+    x = x.withColumn("__section", section)
+    x = x.withColumn("section", F.coalesce(F.last("__section", True).over(w), F.lit("")))
+    return x.select(list_id, "line_no", "section", F.explode("__items").alias("x")).select(list_id, "line_no", "section", "x.*")
 
 
 def manifest_summary(rows: DataFrame, group: str) -> DataFrame:
@@ -120,12 +206,15 @@ def to_repeat(manifest: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def clean_address(c: Column) -> Column:
     """An address without trailing punctuation and without closing parentheses that open nowhere in it."""
-    s = F.regexp_replace(c, r"[.,;:]+$", "")
-    closing = F.length(s) - F.length(F.replace(s, F.lit(")"), F.lit("")))
-    opening = F.length(s) - F.length(F.replace(s, F.lit("("), F.lit("")))
-    spare = F.greatest(closing - opening, F.lit(0))
-    ends = F.length(F.regexp_extract(s, r"(\)*)$", 1))
-    return F.substring(s, F.lit(1), F.length(s) - F.least(spare, ends))
+
+    def cut(x: Column) -> Column:
+        return F.regexp_replace(x, r"[.,;:]+$", "")
+
+    def count(x: Column, sign: str) -> Column:
+        return F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit("")))
+
+    s = cut(tx.strip(c))
+    return F.aggregate(F.sequence(F.lit(1), count(s, ")") + 1), s, lambda x, _: F.when(x.endswith(")") & (count(x, ")") > count(x, "(")), cut(F.substring(x, F.lit(1), F.length(x) - 1))).otherwise(x))
 
 
 def queue_summary(rows: DataFrame) -> DataFrame:

@@ -39,6 +39,10 @@ _STOP = {x: ", ".join(f"'{w}'" for w in ws) for x, ws in tx.STOP_WORDS.items()}
 _DOMAIN = "regexp_replace(lower(regexp_extract({c}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '')"
 
 
+_BOXES = "r AS (SELECT DISTINCT doc_id, page_num, x0 - 2 AS a, y0 - 1 AS b, x1 + 2 AS c, y1 + 1 AS d, link AS target FROM s WHERE link IS NOT NULL)"
+_SHARE = "CASE WHEN (x1 - x0) * (y1 - y0) > 0 THEN greatest(least(x1, c) - greatest(x0, a), 0) * greatest(least(y1, d) - greatest(y0, b), 0) / ((x1 - x0) * (y1 - y0)) ELSE 0 END"
+
+
 def _has(c: str, signs: list[str]) -> str:
     return "(" + " OR ".join(f"contains({c}, '{s}')" for s in signs) + ")"
 
@@ -80,21 +84,57 @@ def oracle_sql() -> dict[str, str]:
         "body_lines": f"WITH {_LAY}, {_REP} SELECT k.doc_id, count(*) AS lines, sum(length(k.text))::BIGINT AS chars FROM k LEFT JOIN reps ON k.doc_id = reps.doc_id AND k.key = reps.key WHERE NOT (margin AND (reps.key IS NOT NULL OR (length(trim(k.text)) <= 24 AND regexp_matches(regexp_replace(k.text, '^\\s+|\\s+$', '', 'g'), '(?i){_PAGE}')))) GROUP BY 1",
         "layout_headings": f"WITH {_LAY}, {_BODY}, {_HEAD} SELECT doc_id, page_num, block_no, line_no, text, level FROM heads",
         "prominent_titles": f"WITH {_LAY}, {_BODY}, {_HEAD} SELECT doc_id, t AS title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level, size DESC, page_num, block_no, line_no) AS rn FROM heads WHERE page_num <= 3) WHERE rn = 1",
-        "cover_ends": f"WITH {_LAY}, p AS (SELECT doc_id, page_num, sum(length(text)) AS chars, bool_or(regexp_matches(text, '(?i)(isbn|issn|copyright|all rights reserved|todos los derechos reservados|depósito legal|deposito legal|printed in|impreso en|first published|primera edición|library of congress|cip data)')) AS credits FROM ln GROUP BY 1, 2), m AS (SELECT doc_id, least(8, count(*) - 1) AS most FROM p GROUP BY 1), a AS (SELECT p.doc_id, max(page_num) AS last_one FROM p JOIN m USING (doc_id) WHERE credits AND page_num <= most GROUP BY 1) SELECT p.doc_id, min(page_num) AS page_num FROM p JOIN a USING (doc_id) WHERE page_num > last_one AND NOT credits AND chars >= 400 GROUP BY 1",
-        "text_layers": "WITH p AS (SELECT doc_id, page_num, max(coalesce(char_count, 0)) AS n FROM page_text GROUP BY 1, 2), d AS (SELECT doc_id, count(*) AS pages, sum(n)::BIGINT AS chars, list_sort(list(n)) AS ns, sum((n >= 50)::INT)::BIGINT AS full_pages FROM p GROUP BY 1), e AS (SELECT *, round_even(chars / pages, 0)::INT AS chars_per_page, ns[(pages // 2) + 1] AS median_chars FROM d) SELECT doc_id, pages, chars, chars_per_page, median_chars, full_pages, CASE WHEN full_pages = 0 OR chars_per_page < 100 OR full_pages * 5 <= pages THEN 'absent' WHEN chars_per_page < 800 OR full_pages * 3 < pages * 2 THEN 'scarce' ELSE 'native' END AS layer FROM e",
-        "ocr_decisions": "WITH p AS (SELECT DISTINCT doc_id, page_num, char_count - 1500 AS n, CASE WHEN coalesce(has_images, false) THEN (doc_id % 10) / 10.0 ELSE 0 END AS share FROM page_text) SELECT doc_id, page_num, coalesce(n < 340 AND ((n < 100 AND share > 0.2) OR (n < 200 AND share > 0.3) OR share > 0.95), false) AS needed FROM p",
         "layer_histogram": "SELECT coalesce(capa_texto, 'unknown') AS layer, count(*) AS documents FROM (SELECT DISTINCT doc_id, capa_texto FROM pdf_meta) GROUP BY 1",
         "document_names": f"WITH m AS (SELECT doc_id, min(title) AS title, min(filename) AS filename FROM pdf_meta GROUP BY 1), b AS (SELECT *, {_slug('title')} AS base FROM m), n AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY doc_id) AS k FROM b) SELECT doc_id, base || CASE WHEN k > 1 THEN '_' || k ELSE '' END || '.md' AS name, coalesce(length(trim(title)) >= 4 AND NOT regexp_matches(lower(trim(title)), '^(microsoft word|untitled|document\\d+$|title$)|\\.(docx?|pdf)$') AND lower(trim(title)) <> lower(regexp_replace(coalesce(filename, ''), '\\.[A-Za-z0-9]+$', '')), false) AS useful FROM n",
         "front_matter": f"WITH m AS (SELECT doc_id, min(title) AS title, min(author) AS author, min(page_count) AS page_count, min(url_origen) AS url, min(sha256_pdf) AS sha FROM pdf_meta GROUP BY 1) SELECT doc_id, array_to_string(list_filter(['---', CASE WHEN title <> '' THEN 'title: ' || {_yaml('title')} END, CASE WHEN author <> '' THEN 'author: ' || {_yaml('author')} END, 'pages: ' || page_count, coalesce(CASE WHEN url <> '' THEN 'source_url: ' || {_yaml('url')} END, 'source_url: null'), CASE WHEN sha <> '' THEN 'sha256: ' || {_yaml('sha')} END, '---'], lambda x: x IS NOT NULL), chr(10)) AS front_matter FROM m",
         "page_records": f"WITH {_WEB}, a AS (SELECT *, coalesce(url_final, url) AS address, regexp_extract(lower(regexp_replace(coalesce(url_final, url), '[?#].*$', '')), '\\.([a-z0-9]+)$', 1) AS suffix, lower(coalesce(content_type, '')) AS kind FROM w) SELECT page_id, {_DOMAIN.format(c='address')} AS domain, sha256(html) AS digest, CASE WHEN suffix IN ({', '.join(repr(x) for x in wb.BINARY_SUFFIXES)}) THEN 'binary' WHEN suffix = 'pdf' OR contains(kind, 'pdf') OR starts_with(coalesce(html, ''), '%PDF') THEN 'pdf' WHEN kind = '' OR regexp_matches(kind, 'html|xml|plain') THEN 'page' ELSE 'other' END AS route, regexp_matches(lower(url), '^https?://') AS is_url FROM a",
         "thin_reasons": f"WITH {_WEB}, a AS (SELECT page_id, html, lower(substring(html, 1, 65536)) AS head, lower(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS vis FROM w WHERE html IS NOT NULL), b AS (SELECT page_id, CASE WHEN {_has('head', wb.BOT_SIGNS)} THEN 'anti-bot' WHEN {_has('head', wb.COOKIE_SIGNS)} OR {_has('vis', wb.COOKIE_SIGNS)} THEN 'cookies' WHEN {_has('head', wb.LOGIN_SIGNS)} OR {_has('vis', wb.LOGIN_SIGNS)} THEN 'login' WHEN {_has('head', wb.SCRIPT_SIGNS)} OR (len(regexp_extract_all(html, '(?i)<script[ >]')) >= 5 AND regexp_matches(html, '(?i)<noscript[ >]')) THEN 'script' ELSE '' END AS reason FROM a) SELECT * FROM b WHERE reason <> ''",
         "new_captures": f"WITH {_WEB}, done AS (SELECT lower(sha256) AS k FROM w WHERE lote = 0 AND sha256 IS NOT NULL UNION SELECT url_final FROM w WHERE lote = 0 AND url_final IS NOT NULL) SELECT page_id, lote FROM w WHERE lote > 0 AND NOT EXISTS (SELECT 1 FROM done WHERE k = lower(sha256)) AND NOT EXISTS (SELECT 1 FROM done WHERE k = url_final)",
-        "output_guard": f"WITH {_WEB}, x AS (SELECT page_id, lote, coalesce(url_final, url) AS address, coalesce(length(html), 0) AS n FROM w WHERE coalesce(url_final, url) IS NOT NULL), o AS (SELECT address, max(n) AS old FROM x WHERE lote = 0 GROUP BY 1) SELECT page_id, coalesce(n // 10 < 500 AND old > n // 10, false) AS keep_old FROM x LEFT JOIN o USING (address)",
-        "section_index": f"WITH {_WEB}, m AS (SELECT page_id, min(nullif(trim(seccion), '')) AS section FROM web_meta GROUP BY 1), x AS (SELECT coalesce(section, 'General') AS section, coalesce(length(html), 0) // 4 AS n FROM m JOIN w USING (page_id)) SELECT section, count(*) AS items, count_if(n >= 500) AS complete, count_if(n > 0 AND n < 500) AS scarce, count_if(n = 0) AS absent, sum(n)::BIGINT AS chars FROM x GROUP BY 1",
         "plan_collection": "WITH x AS (SELECT doc_id, min(url_origen) AS path, min(sitio) AS folder, min(filename) AS name, min(coalesce(chars_extraidos, 0)) AS length, min(lower(sha256_pdf)) AS digest, min(lote) AS lote FROM pdf_meta GROUP BY 1), e AS (SELECT concat_ws('__', folder, name) AS target, min(digest) AS there FROM x WHERE lote = 0 AND digest IS NOT NULL GROUP BY 1), v AS (SELECT *, coalesce(length > 0 AND regexp_matches(lower(name), '\\.pdf$') AND digest IS NOT NULL, false) AS valid FROM x), f AS (SELECT digest, min(path) AS first_path FROM v WHERE valid GROUP BY 1), s AS (SELECT path, first_path, CASE WHEN length = 0 THEN 'empty' WHEN NOT valid THEN 'not_pdf' WHEN path <> first_path THEN 'duplicate' WHEN there = v.digest THEN 'present' ELSE 'pending' END AS state FROM v LEFT JOIN f ON v.digest = f.digest LEFT JOIN e ON e.target = concat_ws('__', folder, name)) SELECT path, state, CASE WHEN state = 'duplicate' THEN 'same as ' || first_path ELSE '' END AS note FROM s",
-        "link_overlaps": "SELECT doc_id, page_num, block_no, line_no, span_no, round(CASE WHEN (x1 - x0) * (y1 - y0) > 0 THEN greatest(least(x1, (x0 + x1) / 2) - x0, 0) * greatest(least(y1, y1 + 5) - y0, 0) / ((x1 - x0) * (y1 - y0)) ELSE 0 END, 4) AS share FROM (SELECT DISTINCT * FROM layout_in) WHERE link IS NOT NULL",
         "file_dates": "SELECT doc_id, fecha_archivo, CASE WHEN fecha_archivo IS NULL THEN '' WHEN length(fecha_archivo) = 10 THEN fecha_archivo WHEN contains(fecha_archivo, '+') THEN regexp_replace(fecha_archivo, ' ', 'T') ELSE fecha_archivo END AS iso FROM (SELECT DISTINCT doc_id, fecha_archivo FROM pdf_meta)",
-        "reading_order": f"WITH {_LAY}, b AS (SELECT doc_id, page_num, block_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(width) AS width FROM ln GROUP BY 1, 2, 3), w AS (SELECT *, (x1 - x0 >= 0.6 * width)::INT AS wide, (bool_or(x1 <= 0.625 * width) OVER p AND bool_or(x0 >= 0.375 * width) OVER p) AS two FROM b WINDOW p AS (PARTITION BY doc_id, page_num)), c AS (SELECT *, CASE WHEN two THEN sum(wide) OVER (PARTITION BY doc_id, page_num ORDER BY y0, x0, block_no) * 2 - wide ELSE 0 END AS band, CASE WHEN wide = 1 OR NOT two THEN 0 ELSE (x0 >= 0.375 * width)::INT END AS side FROM w) SELECT doc_id, page_num, block_no, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY band, side, y0, x0, block_no)::INT AS turn FROM c",
         "line_kinds": f"WITH {_LINES}, r AS (SELECT doc_id, line_no, line, trim(line, ' ') = '---' AS bar, starts_with(ltrim(line, ' '), '```') AS fence FROM l), c AS (SELECT *, sum(bar::INT) OVER w AS bars, sum(fence::INT) OVER w AS fences, first_value(bar) OVER w AS head, length(regexp_extract(line, '^(#{{1,6}})\\s', 1)) AS lv FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), k AS (SELECT doc_id, CASE WHEN head AND (bars < 2 OR (bar AND bars = 2)) THEN 'front' WHEN fence OR fences % 2 = 1 THEN 'code' WHEN lv > 0 THEN 'heading' || least(lv, 4) WHEN regexp_matches(line, '^\\s*(---+|\\*\\*\\*+|___+)\\s*$') THEN 'rule' WHEN regexp_matches(line, '^\\s*>\\s*\\[!\\w+\\]') THEN 'callout' WHEN regexp_matches(line, '^\\s*>') THEN 'quote' WHEN regexp_matches(line, '^\\s*\\|') THEN 'table' WHEN regexp_matches(line, '^\\s*([-*+]|\\d+[.)])\\s') THEN 'list' WHEN regexp_matches(line, '\\]\\(|\\[\\[|<https?://') THEN 'link' ELSE 'text' END AS kind FROM c) SELECT doc_id, kind, count(*) AS lines FROM k GROUP BY 1, 2",
         "forced_recognition": "WITH p AS (SELECT doc_id, page_num, max(coalesce(char_count, 0)) AS n FROM page_text GROUP BY 1, 2) SELECT doc_id, count_if(n >= 250) < 0.25 * count(*) AS forced FROM p GROUP BY 1",
+        "code_documents": "WITH t AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '') AS ls FROM documents), c AS (SELECT doc_id, len(ls) AS n, len(list_filter(ls, lambda x: regexp_matches(x, '[{};]\\s*$|^\\s*(def|class|import|function|var|let|const|elif|#include|#define)\\s+\\w|==|!=|=>|->|::|\\+=|\\$\\(|</?[a-z]+[ >]|\\w\\(.*\\)\\s*[:{;]?\\s*$'))) AS k FROM t) SELECT doc_id, true AS code FROM c WHERE k >= 2 AND k >= 0.3 * n",
+        "cover_ends": f"WITH {_LAY}, {_BODY}, {_HEAD}, bl AS (SELECT doc_id, page_num, coalesce(block_no, 0) AS block_no, string_agg(text, chr(10) ORDER BY coalesce(line_no, 0)) AS t FROM ln GROUP BY 1, 2, 3), p AS (SELECT doc_id, page_num, regexp_replace(string_agg(t, ' ' ORDER BY block_no), '^\\s+|\\s+$', '', 'g') AS t FROM bl GROUP BY 1, 2), "
+        "c AS (SELECT doc_id, page_num, length(t) AS chars, len(list_filter(['isbn', 'deposito legal', 'depósito legal', 'd.l.', '©', 'copyright', 'todos los derechos reservados', 'reservados todos los derechos', 'primera edicion', 'primera edición', 'edita:', 'editorial', 'impreso en', 'printed in', 'all rights reserved', 'maquetacion', 'maquetación'], lambda w: contains(lower(t), w))) > 0 AS credits, "
+        "row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS nth, count(*) OVER (PARTITION BY doc_id) AS n FROM p), a AS (SELECT doc_id, max(nth) AS last_one FROM c WHERE credits AND nth <= least(8, n - 1) GROUP BY 1), hp AS (SELECT DISTINCT doc_id, page_num FROM heads) "
+        "SELECT c.doc_id, min(c.page_num) AS page_num FROM c JOIN a USING (doc_id) LEFT JOIN hp ON hp.doc_id = c.doc_id AND hp.page_num = c.page_num WHERE nth > last_one AND NOT credits AND (chars >= 400 OR (chars >= 200 AND hp.doc_id IS NOT NULL)) GROUP BY 1",
+        "text_layers": "WITH p AS (SELECT doc_id, page_num, max(coalesce(char_count, 0)) AS n, bool_or(coalesce(has_images, false)) AS img, bool_or(coalesce(ocr_aplicado, false)) AS ocr FROM page_text GROUP BY 1, 2), d AS (SELECT doc_id, count(*) AS pages, sum(n)::BIGINT AS chars, coalesce(list_sort(list(n) FILTER (n >= 50)), []) AS ns, bool_or(ocr) AS ocr, count_if(img AND n < 160) AS stamped FROM p GROUP BY 1), "
+        "e AS (SELECT *, round_even(chars / pages, 0)::INT AS chars_per_page, len(ns)::INT AS full_pages, coalesce(ns[(len(ns) // 2) + 1], 0) AS median_chars FROM d), f AS (SELECT *, full_pages >= 4 AND median_chars >= 200 AND chars >= 1500 AS solid, NOT ocr AND pages >= 5 AND median_chars < 160 AND stamped >= floor(pages * 0.75) AS stamp FROM e) "
+        "SELECT doc_id, pages, chars, chars_per_page, median_chars, full_pages, CASE WHEN stamp OR (NOT solid AND (chars_per_page < 100 OR (pages - full_pages) * 2 > pages OR median_chars < 100)) THEN 'absent' WHEN ocr THEN 'ocr' WHEN chars_per_page < 800 OR median_chars < 800 THEN 'scarce' ELSE 'native' END AS layer FROM f",
+        "reading_order": f"WITH {_LAY}, b AS (SELECT doc_id, page_num, block_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(width) AS width FROM ln GROUP BY 1, 2, 3), w AS (SELECT *, coalesce(nullif(width, 0), max(x1) OVER p, 600.0) AS w, count(*) OVER p AS n FROM b WINDOW p AS (PARTITION BY doc_id, page_num)), "
+        "k AS (SELECT *, CASE WHEN x1 - x0 >= w * 0.60 THEN 'wide' WHEN x1 <= w * 0.5 + w * 0.05 THEN 'left' WHEN x0 >= w * 0.5 - w * 0.05 THEN 'right' END AS kind, (x1 - x0 >= w * 0.60 OR (x0 < w * 0.375 AND x1 > w * 0.625))::INT AS cut FROM w), "
+        "two AS (SELECT DISTINCT l.doc_id, l.page_num FROM k l JOIN k r ON l.doc_id = r.doc_id AND l.page_num = r.page_num WHERE l.kind = 'left' AND r.kind = 'right' AND l.n >= 3 AND l.w > 0 AND greatest(l.y0, r.y0) < least(l.y1, r.y1) - 4), "
+        "o AS (SELECT k.*, t.doc_id IS NOT NULL AS col FROM k LEFT JOIN two t ON t.doc_id = k.doc_id AND t.page_num = k.page_num), z AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, page_num ORDER BY y0, x0, block_no) * 2 - cut AS band FROM o) "
+        "SELECT doc_id, page_num, block_no, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY CASE WHEN col THEN band END NULLS FIRST, CASE WHEN col AND cut = 0 THEN (x0 >= w * 0.5)::INT ELSE 0 END, CASE WHEN col THEN y0 END NULLS FIRST, CASE WHEN col THEN x0 END NULLS FIRST, block_no)::INT AS turn FROM z",
+        "ocr_decisions": "SELECT doc_id, page_num, max(coalesce(char_count, 0)) < 340 AND bool_or(coalesce(has_images, false)) AS needed FROM page_text GROUP BY 1, 2",
+        "mostly_scanned": "WITH p AS (SELECT doc_id, page_num, max(coalesce(char_count, 0)) < 340 AND bool_or(coalesce(has_images, false)) AS needed FROM page_text GROUP BY 1, 2) SELECT doc_id, count(*) >= 3 AND count_if(needed) * 2 > count(*) AS whole FROM p GROUP BY 1",
+        "output_guard": "WITH x AS (SELECT doc_id, min(filename) AS f, min(lote) AS lote, max(coalesce(chars_extraidos, 0)) AS n FROM pdf_meta GROUP BY 1), o AS (SELECT f, max(n) AS old FROM x WHERE lote = 0 GROUP BY 1) SELECT doc_id, coalesce(n < 500 AND old > n, false) AS keep_old FROM x LEFT JOIN o ON x.f = o.f WHERE lote > 0 AND x.f IS NOT NULL",
+        "section_index": "SELECT coalesce(source, 'General') AS source, count(*) AS items, count_if(n_chars >= 500) AS complete, count_if(n_chars > 0 AND n_chars < 500) AS scarce, count_if(coalesce(n_chars, 0) = 0) AS absent, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1",
+        "queue_states": "SELECT coalesce(source, 'waiting') AS state, count(*) AS items, coalesce(sum(n_chars), 0)::BIGINT AS chars FROM documents GROUP BY 1",
+        "linked_spans": f"WITH s AS (SELECT DISTINCT * FROM layout_in), {_BOXES}, m AS (SELECT s.doc_id, s.page_num, block_no, line_no, span_no, target, {_SHARE} AS share FROM s JOIN r USING (doc_id, page_num) WHERE NOT regexp_matches(target, '^(#|file:)') AND target <> '') "
+        "SELECT DISTINCT doc_id, page_num, block_no, line_no, span_no, target FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num, block_no, line_no, span_no ORDER BY share DESC, target DESC) AS rn FROM m WHERE share > 0.05) WHERE rn = 1",
+        "loose_links": f"WITH s AS (SELECT DISTINCT * FROM layout_in), {_BOXES}, m AS (SELECT s.doc_id, s.page_num, block_no, line_no, span_no, target, {_SHARE} AS share FROM s JOIN r USING (doc_id, page_num) WHERE length(s.text) <= 12 AND NOT regexp_matches(target, '^(#|file:)') AND target <> ''), "
+        "u AS (SELECT DISTINCT doc_id, page_num, target FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num, block_no, line_no, span_no ORDER BY share DESC, target DESC) AS rn FROM m WHERE share > 0.05) WHERE rn = 1) SELECT DISTINCT doc_id, page_num, target FROM r EXCEPT SELECT doc_id, page_num, target FROM u",
+        "link_counts": f"WITH {_LAY} SELECT doc_id, sum(links)::BIGINT AS links, count_if(links > 0) AS linked_lines FROM ln GROUP BY 1",
+        "note_body_sizes": "WITH d AS (SELECT DISTINCT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM layout_in), v AS (SELECT * FROM d WHERE t <> ''), a AS (SELECT doc_id, round(size, 1) AS size, sum(length(t)) AS n FROM v WHERE y0 < 0.82 * CASE WHEN coalesce(height, 0) > 0 THEN height ELSE 842.0 END GROUP BY 1, 2), b AS (SELECT doc_id, round(size, 1) AS size, sum(length(t)) AS n FROM v GROUP BY 1, 2), "
+        "x AS (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) AS rn FROM a), y AS (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) AS rn FROM b) SELECT y.doc_id, coalesce(x.size, y.size) AS body FROM y LEFT JOIN x ON x.doc_id = y.doc_id AND x.rn = 1 WHERE y.rn = 1",
+        "outline_lines": f"WITH {_LAY}, {_BODY}, {_HEAD}, o AS (SELECT doc_id, page_num, regexp_replace(lower(upper(text)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS k, min(least(greatest(level + floor(page_num / 3), 1), 4)) AS lv FROM heads GROUP BY 1, 2, 3), x AS (SELECT doc_id, page_num, block_no, line_no, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS k FROM ln), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num, k ORDER BY block_no, line_no) AS rn FROM x) SELECT y.doc_id, y.page_num, block_no, line_no, lv::INT AS outline_level FROM y JOIN o ON o.doc_id = y.doc_id AND o.page_num = y.page_num AND o.k = y.k WHERE rn = 1 AND y.k <> ''",
+        "lines_outside_tables": f"WITH {_LAY}, s AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM ln), bx AS (SELECT doc_id, page_num, block_no, min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d FROM s WHERE length(t) - length(replace(t, '|', '')) >= 2 OR len(regexp_extract_all(t, '\\S {{2,}}\\S')) >= 2 GROUP BY 1, 2, 3) "
+        "SELECT doc_id, count(*) AS lines, sum(length(text))::BIGINT AS chars FROM ln WHERE NOT EXISTS (SELECT 1 FROM bx WHERE bx.doc_id = ln.doc_id AND bx.page_num = ln.page_num AND ln.x0 >= a - 5 AND ln.y0 >= b - 5 AND ln.x1 <= c + 5 AND ln.y1 <= d + 5) GROUP BY 1",
+        "spaced_rows": f"WITH {_LINES}, c AS (SELECT doc_id, len(string_split_regex(t, '\\t+| {{2,}}')) AS k FROM s) SELECT doc_id, count(*) AS rows, max(k)::INT AS columns, sum(k)::BIGINT AS cells FROM c WHERE k > 1 GROUP BY 1",
+        "plain_bullets": f"WITH {_LINES} SELECT doc_id, line_no::INT AS line_no, p AS plain FROM (SELECT *, regexp_replace(line, '^(\\s*)[•▪▫◦‣·∙●○–—\\-*]\\s*', '\\1- ') AS p FROM l) WHERE p <> line",
+        "escaped_headings": f"WITH {_LINES} SELECT doc_id, line_no::INT AS line_no, p AS escaped FROM (SELECT *, regexp_replace(line, '^(#{{1,6}})(\\s)', '\\\\\\1\\2') AS p FROM l) WHERE p <> line",
+        "quoted_titles": f"WITH x AS (SELECT DISTINCT doc_id, title || ' \"a\\b\" ' || coalesce(author, '') AS t FROM pdf_meta WHERE title IS NOT NULL) SELECT doc_id, {_yaml('t')} AS quoted, regexp_replace(regexp_replace(t, '\\s+', ' ', 'g'), '^ +| +$', '', 'g') AS plain, '[' || {_yaml('t')} || ', \"b\"]' AS listed FROM x",
+        "markdown_addresses": f"WITH {_WEB} SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<' || concat_ws(' ', url, '(a%3Eb)') || '>' WHEN regexp_matches(url, '[() <>]') THEN '<' || replace(url, '>', '%3E') || '>' ELSE url END AS target FROM w",
+        "cited_addresses": f"WITH {_LINES}, a AS (SELECT DISTINCT doc_id, line_no::INT AS line_no, regexp_replace(unnest(regexp_extract_all(line, 'https?://[^\\s><\"'';|]+')), '[.,;:]+$', '') AS u FROM l), b AS (SELECT *, length(regexp_extract(u, '([).,;:]*)$', 1)) AS tail, length(u) - length(replace(u, ')', '')) - length(u) + length(replace(u, '(', '')) AS spare FROM a) "
+        "SELECT DISTINCT doc_id, line_no, CASE WHEN spare <= 0 OR tail = 0 THEN u ELSE regexp_replace(u, '([.,;:]*\\)){1,' || spare || '}$', '') END AS address FROM b",
+        "collection_summary": "WITH x AS (SELECT doc_id, min(url_origen) AS path, min(sitio) AS folder, min(filename) AS name, min(coalesce(chars_extraidos, 0)) AS length, min(lower(sha256_pdf)) AS digest, min(lote) AS lote FROM pdf_meta GROUP BY 1), e AS (SELECT concat_ws('__', folder, name) AS target, min(digest) AS there FROM x WHERE lote = 0 AND digest IS NOT NULL GROUP BY 1), v AS (SELECT *, coalesce(length > 0 AND regexp_matches(lower(name), '\\.pdf$') AND digest IS NOT NULL, false) AS valid FROM x), f AS (SELECT digest, min(path) AS first_path FROM v WHERE valid GROUP BY 1), s AS (SELECT CASE WHEN length = 0 THEN 'empty' WHEN NOT valid THEN 'not_pdf' WHEN path <> first_path THEN 'duplicate' WHEN there = v.digest THEN 'present' ELSE 'pending' END AS state FROM v LEFT JOIN f ON v.digest = f.digest LEFT JOIN e ON e.target = concat_ws('__', folder, name)) SELECT count_if(state IN ('pending', 'present', 'duplicate')) AS found, count_if(state = 'duplicate') AS duplicates, count_if(state = 'present') AS present, count_if(state = 'pending') AS pending, count_if(state IN ('empty', 'not_pdf')) AS incidents FROM s",
+        # the lines are made in known forms, so the items are written out form by form
+        "work_items": "WITH m AS (SELECT page_id AS p, min(seccion) AS s, min(url_solicitada) AS u, min(lote) AS list_id FROM web_meta GROUP BY 1 HAVING min(url_solicitada) IS NOT NULL), "
+        "i AS (SELECT list_id, p * 2 + 1 AS line_no, 'url' AS kind, u AS origin, '' AS declared_url, '' AS out_name FROM m WHERE p % 9 = 0 UNION ALL SELECT list_id, p * 2 + 1, 'local', '/listas/p' || p || '.html', u, '' FROM m WHERE p % 9 = 1 UNION ALL SELECT list_id, p * 2 + 1, 'url', u, '', 'id_' || p FROM m WHERE p % 9 = 2 "
+        "UNION ALL SELECT list_id, p * 2 + 1, 'url', unnest([u, 'https://otra.test/' || p]), '', '' FROM m WHERE p % 9 = 3 UNION ALL SELECT list_id, p * 2 + 1, 'local', '/listas/c/' || p || '.htm', '`c/' || p || '.htm`', '' FROM m WHERE p % 9 = 4 UNION ALL SELECT list_id, p * 2 + 1, 'url', u, '', 'id-' || p FROM m WHERE p % 9 = 5 "
+        "UNION ALL SELECT list_id, p * 2 + 1, 'local', '/listas/x/' || p || '.HTML', '', '' FROM m WHERE p % 9 = 6 UNION ALL SELECT list_id, p * 2 + 1, 'local', '/listas/p.htm', u, p::VARCHAR FROM m WHERE p % 9 = 7), f AS (SELECT list_id, min(line_no) AS first_item FROM i GROUP BY 1), "
+        "h AS (SELECT list_id, p * 2 AS line_no, CASE WHEN p % 7 = 0 THEN nullif(trim(coalesce(s, 'Varios')), '') WHEN p % 11 = 0 THEN NULL WHEN p * 2 > first_item THEN 'Portada' END AS section FROM m LEFT JOIN f USING (list_id)), "
+        "x AS (SELECT i.*, (SELECT arg_max(section, h.line_no) FROM h WHERE h.list_id = i.list_id AND h.line_no < i.line_no AND section IS NOT NULL) AS section FROM i) SELECT list_id, line_no, coalesce(section, '') AS section, kind, origin, declared_url, out_name FROM x",
     }

@@ -13,6 +13,7 @@ from ..functions import web as wb
 from ..html import page as pg
 from ..layout import document as dc
 from ..layout import images as im
+from ..layout import notes as nt
 from ..layout import structure as ls
 from ..operators import corpus as cp
 
@@ -46,7 +47,8 @@ def caps_headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_language(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", tx.language_vote(F.col("text")).alias("lang_found"))
+    x = table(spark, d, "documents").select("doc_id", tx.vote_words(F.col("text")).alias("words"))
+    return x.select("doc_id", tx.vote_of(F.col("words")).alias("lang_found"))
 
 
 def content_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -123,17 +125,27 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cover_ends(spark: SparkSession, d: str) -> DataFrame:
-    return ls.cover_ends(ls.lines(table(spark, d, "layout_in")))
+    s = table(spark, d, "layout_in")
+    x = ls.lines(s)
+    return ls.cover_ends(x, ls.headings(x, ls.body_sizes(s)))
 
 
 def text_layers(spark: SparkSession, d: str) -> DataFrame:
     return ls.text_layers(table(spark, d, "page_text"))
 
 
+def _needed(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with ``needed``; a page with images counts as covered by them, as the tables hold no image boxes."""
+    p = table(spark, d, "page_text").groupBy("doc_id", "page_num").agg(F.max(F.coalesce("char_count", F.lit(0))).alias("n"), F.max(F.coalesce("has_images", F.lit(False))).alias("images"))
+    return p.select("doc_id", "page_num", wb.needs_ocr(F.col("n"), F.col("images").cast("double")).alias("needed"))
+
+
 def ocr_decisions(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "page_text").dropDuplicates(["doc_id", "page_num"])
-    share = F.when(F.coalesce("has_images", F.lit(False)), F.pmod("doc_id", F.lit(10)) / 10).otherwise(0.0)
-    return p.select("doc_id", "page_num", wb.needs_ocr(F.col("char_count") - 1500, share).alias("needed"))
+    return _needed(spark, d)
+
+
+def mostly_scanned(spark: SparkSession, d: str) -> DataFrame:
+    return ls.mostly_scanned(_needed(spark, d))
 
 
 def layer_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -178,15 +190,18 @@ def new_captures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def output_guard(spark: SparkSession, d: str) -> DataFrame:
-    x = web_records(spark, d).select("page_id", "lote", F.coalesce("url_final", "url").alias("address"), F.coalesce(F.length("html"), F.lit(0)).alias("n_chars")).filter(F.col("address").isNotNull())
-    old = x.filter("lote = 0").groupBy("address").agg(F.max("n_chars").alias("n_chars"))
-    return cp.guarded(x.select("page_id", "address", F.floor(F.col("n_chars") / 10).cast("int").alias("n_chars")), old, "address").select("page_id", "keep_old")
+    """New results of files of the same name as accepted ones, by the characters taken from each."""
+    x = table(spark, d, "pdf_meta").groupBy("doc_id").agg(F.min("filename").alias("filename"), F.min("lote").alias("lote"), F.max(F.coalesce("chars_extraidos", F.lit(0))).alias("n_chars")).filter(F.col("filename").isNotNull())
+    old = x.filter("lote = 0").groupBy("filename").agg(F.max("n_chars").alias("n_chars"))
+    return cp.guarded(x.filter("lote > 0").select("doc_id", "filename", "n_chars"), old, "filename").select("doc_id", "keep_old")
 
 
 def section_index(spark: SparkSession, d: str) -> DataFrame:
-    meta = table(spark, d, "web_meta").groupBy("page_id").agg(F.min(F.nullif(F.trim("seccion"), F.lit(""))).alias("section"))
-    x = meta.join(web_records(spark, d).select("page_id", F.floor(F.coalesce(F.length("html"), F.lit(0)) / 4).cast("int").alias("n_chars")), "page_id")
-    return cp.manifest_summary(x, "section")
+    return cp.manifest_summary(table(spark, d, "documents").select("source", "n_chars"), "source")
+
+
+def queue_states(spark: SparkSession, d: str) -> DataFrame:
+    return cp.queue_summary(table(spark, d, "documents").select(F.col("source").alias("state"), "n_chars"))
 
 
 def plan_collection(spark: SparkSession, d: str) -> DataFrame:
@@ -195,18 +210,104 @@ def plan_collection(spark: SparkSession, d: str) -> DataFrame:
     return cp.collection_plan(x, existing).select("path", "state", "note")
 
 
+def collection_summary(spark: SparkSession, d: str) -> DataFrame:
+    return cp.collection_summary(plan_collection(spark, d))
+
+
+def to_repeat(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without a text layer whose output was made, here those of the accepted history."""
+    names = document_names(spark, d).select("doc_id", "name")
+    layers = ls.text_layers(table(spark, d, "page_text")).select("doc_id", "layer")
+    made = table(spark, d, "pdf_meta").filter("lote = 0").select("doc_id").distinct().join(names, "doc_id")
+    return cp.to_repeat(names.join(layers, "doc_id"), made).select("doc_id", "name")
+
+
+def work_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Work lists, one for each batch, out of the addresses and sections of the records, in every form of row."""
+    m = table(spark, d, "web_meta").groupBy("page_id").agg(F.min("seccion").alias("s"), F.min("url_solicitada").alias("u"), F.min("lote").alias("lote")).filter(F.col("u").isNotNull())
+    n, p = F.pmod("page_id", F.lit(9)), F.col("page_id").cast("string")
+    row = (
+        F.when(n == 0, F.concat(F.col("u"), F.lit("  # nota"))).when(n == 1, F.concat(F.lit("a/../p"), p, F.lit(".html ; "), F.col("u"))).when(n == 2, F.concat(F.col("u"), F.lit(" | id_"), p)).when(n == 3, F.concat(F.lit("vea ("), F.col("u"), F.lit(") y https://otra.test/"), p, F.lit(".")))
+        .when(n == 4, F.concat(F.lit("[CAPTURA LOCAL] `c/"), p, F.lit(".htm`"))).when(n == 5, F.concat(F.lit("id-"), p, F.lit("\t"), F.col("u"))).when(n == 6, F.concat(F.lit("x/./"), p, F.lit(".HTML"))).when(n == 7, F.concat(F.lit("p.htm;"), F.col("u"), F.lit(";"), p)).otherwise("ruta ; url")
+    )
+    head = F.when(F.pmod("page_id", F.lit(7)) == 0, F.concat(F.lit("## "), F.coalesce("s", F.lit("Varios")), F.lit(" — notas"))).when(F.pmod("page_id", F.lit(11)) == 0, "# Lista de páginas").otherwise("# Portada")
+    return m.select(F.col("lote").alias("list_id"), (F.col("page_id") * 2).alias("line_no"), head.alias("value")).union(m.select("lote", F.col("page_id") * 2 + 1, row))
+
+
 def work_items(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "web_meta").select("page_id", "seccion", "url_solicitada", "lote").distinct()
-    head = m.select(F.col("lote").alias("list_id"), (F.col("page_id") * 2).alias("line_no"), F.when(F.pmod("page_id", F.lit(7)) == 0, F.concat(F.lit("## "), F.coalesce("seccion", F.lit("Varios")), F.lit(" — notas"))).otherwise("").alias("value"))
-    url = m.select(F.col("lote").alias("list_id"), (F.col("page_id") * 2 + 1).alias("line_no"), F.when(F.pmod("page_id", F.lit(5)) == 0, F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html ; "), F.col("url_solicitada"))).otherwise(F.concat(F.col("url_solicitada"), F.lit("  # nota"))).alias("value"))
-    return cp.work_items(head.union(url))
+    return cp.work_items(work_lines(spark, d), base="/listas")
 
 
-def link_overlaps(spark: SparkSession, d: str) -> DataFrame:
+def _link_boxes(spans: DataFrame) -> DataFrame:
+    """Rectangles of the links of a page: those of the spans that bear them, a little wider, as drawn around them."""
+    box = [(F.col(c) + by).alias(c) for c, by in (("x0", -2.0), ("y0", -1.0), ("x1", 2.0), ("y1", 1.0))]
+    return spans.filter(F.col("link").isNotNull()).select("doc_id", "page_num", *box, F.col("link").alias("target")).distinct()
+
+
+def linked_spans(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "layout_in").dropDuplicates()
-    rect = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    half = (F.col("x0"), F.col("y0"), (F.col("x0") + F.col("x1")) / 2, F.col("y1") + 5)
-    return s.filter(F.col("link").isNotNull()).select(*ls.LINE, "span_no", F.round(wb.overlap(rect, half), 4).alias("share"))
+    return nt.linked_spans(s.drop("link"), _link_boxes(s)).filter(F.col("target").isNotNull()).select(*ls.LINE, "span_no", "target").distinct()
+
+
+def loose_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of a page that no span of at most twelve characters carries."""
+    s = table(spark, d, "layout_in").dropDuplicates()
+    return nt.links_without_anchor(s.filter(F.length("text") <= 12), _link_boxes(s))
+
+
+def link_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ls.lines(table(spark, d, "layout_in")).groupBy("doc_id").agg(F.sum("links").alias("links"), F.count_if(F.col("links") > 0).alias("linked_lines"))
+
+
+def note_body_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return ls.body_sizes_without_notes(table(spark, d, "layout_in"))
+
+
+def outline_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that an outline names, here that of the headings, deeper by one for each three pages."""
+    s = table(spark, d, "layout_in")
+    x = ls.lines(s)
+    h = ls.headings(x, ls.body_sizes(s))
+    outline = h.select("doc_id", "page_num", (F.col("level") + F.floor(F.col("page_num") / 3)).cast("int").alias("level"), F.upper("text").alias("title"))
+    return nt.promoted_by_outline(x, outline).filter(F.col("outline_level").isNotNull()).select(*ls.LINE, "outline_level")
+
+
+def lines_outside_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a document outside the boxes of its blocks that are set in columns."""
+    x = ls.lines(table(spark, d, "layout_in"))
+    boxes = x.filter(tx.looks_tabular(F.col("text"))).groupBy("doc_id", "page_num", "block_no").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return im.outside_tables(x, boxes).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
+
+
+def spaced_rows(spark: SparkSession, d: str) -> DataFrame:
+    x = doc_lines(spark, d).withColumn("cells", ls.spaced_cells(F.col("line"))).filter(F.size("cells") > 1)
+    return x.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.size("cells")).alias("columns"), F.sum(F.size("cells")).alias("cells"))
+
+
+def plain_bullets(spark: SparkSession, d: str) -> DataFrame:
+    x = doc_lines(spark, d)
+    return x.withColumn("plain", tx.normal_bullet(F.col("line"))).filter(F.col("plain") != F.col("line")).select("doc_id", "line_no", "plain")
+
+
+def escaped_headings(spark: SparkSession, d: str) -> DataFrame:
+    x = doc_lines(spark, d)
+    return x.withColumn("escaped", tx.escape_heading(F.col("line"))).filter(F.col("escaped") != F.col("line")).select("doc_id", "line_no", "escaped")
+
+
+def quoted_titles(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "pdf_meta").select("doc_id", F.concat(F.col("title"), F.lit(' "a\\b" '), F.coalesce("author", F.lit(""))).alias("t")).filter(F.col("t").isNotNull()).distinct()
+    q = tx.yaml_quoted(F.col("t"))
+    return x.select("doc_id", q.alias("quoted"), tx.yaml_unquoted(q).alias("plain"), tx.yaml_list(F.array("t", F.lit("b"))).alias("listed"))
+
+
+def markdown_addresses(spark: SparkSession, d: str) -> DataFrame:
+    x = web_records(spark, d).select("page_id", F.concat_ws(" ", "url", F.when(F.pmod("page_id", F.lit(3)) == 0, F.lit("(a>b)"))).alias("u"), "url")
+    return x.select("page_id", tx.markdown_url(F.when(F.pmod("page_id", F.lit(3)) == 0, F.col("u")).otherwise(F.col("url"))).alias("target"))
+
+
+def cited_addresses(spark: SparkSession, d: str) -> DataFrame:
+    x = doc_lines(spark, d).select("doc_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit("https?://[^\\s><\"';|]+"), F.lit(0))).alias("raw"))
+    return x.select("doc_id", "line_no", cp.clean_address(F.col("raw")).alias("address")).distinct()
 
 
 def converted(spark: SparkSession, d: str) -> DataFrame:
@@ -245,7 +346,9 @@ def forced_recognition(spark: SparkSession, d: str) -> DataFrame:
 
 ALL = (
     line_flags, caps_headings, doc_language, content_summary, exact_copies, size_candidates, formula_lines, code_documents, pipe_tables, repetition_keys, normal_spans, body_sizes, line_styles, running_lines, body_lines, layout_headings, prominent_titles,
-    reading_order, cover_ends, text_layers, ocr_decisions, layer_histogram, file_dates, document_names, front_matter, page_records, thin_reasons, new_captures, output_guard, section_index, plan_collection, work_items, link_overlaps, web_manifest, web_metadata, removed_chrome, web_markdown, layout_markdown, line_kinds, forced_recognition,
+    reading_order, cover_ends, text_layers, ocr_decisions, mostly_scanned, layer_histogram, file_dates, document_names, front_matter, page_records, thin_reasons, new_captures, output_guard, section_index, queue_states, plan_collection, collection_summary,
+    to_repeat, work_items, linked_spans, loose_links, link_counts, note_body_sizes, outline_lines, lines_outside_tables, spaced_rows, plain_bullets, escaped_headings, quoted_titles, markdown_addresses, cited_addresses,
+    web_manifest, web_metadata, removed_chrome, web_markdown, layout_markdown, line_kinds, forced_recognition,
 )
 
 

@@ -78,7 +78,55 @@ def test_work_items(spark):
     lines = ["# titulo", "", "## RECETAS — dulces", "https://a.test/x  # nota", "c.html ; ", "a.html ; https://b.test/y", "## LIBROS", "https://c.test/(16)"]
     df = spark.createDataFrame([("f", i, v) for i, v in enumerate(lines)], "list_id string, line_no int, value string")
     got = [tuple(r)[2:] for r in cp.work_items(df).orderBy("line_no").collect()]
-    assert got == [("RECETAS", "url", "https://a.test/x", ""), ("RECETAS", "local", "c.html", ""), ("RECETAS", "local", "a.html", "https://b.test/y"), ("LIBROS", "url", "https://c.test/(16)", "")]
+    assert got == [("RECETAS", "url", "https://a.test/x", "", ""), ("RECETAS", "local", "c.html", "", ""), ("RECETAS", "local", "a.html", "https://b.test/y", ""), ("LIBROS", "url", "https://c.test/(16)", "", "")]
+
+
+def test_rows_of_work_lists(spark):
+    """Each form of row, title headings and column rows; expected items written by hand."""
+    cases = [
+        ("url ; doc_id", []), ("https://a.test/1 ; E1_x.y", [("url", "https://a.test/1", "", "E1_x.y")]), ("E2 | https://a.test/2).", [("url", "https://a.test/2", "", "E2")]), ("./p/../a.html\tE3", [("local", "/base/a.html", "", "E3")]),
+        ("a.html ; https://b.test/(1) ; E4", [("local", "/base/a.html", "https://b.test/(1)", "E4")]), ("https://b.test/5 | 'b.htm' | E5", [("local", "/base/b.htm", "https://b.test/5", "E5")]), ("[CAPTURA LOCAL] `x/y.html`", [("local", "/base/x/y.html", "`x/y.html`", "")]),
+        ("vea [uno](https://c.test/1), y https://c.test/2.).", [("url", "https://c.test/1", "", ""), ("url", "https://c.test/2", "", "")]), ("https://d.test/1 ; https://d.test/2", [("url", "https://d.test/1", "", ""), ("url", "https://d.test/2", "", "")]), ("solo palabras", []), ("/abs/z.HTML", [("local", "/abs/z.HTML", "", "")]),
+    ]
+    lines = ["# Título del todo", *[v for v, _ in cases[:2]], "# Sección", *[v for v, _ in cases[2:4]], "## Lista de enlaces", *[v for v, _ in cases[4:]], "##", "### Otra - parte 2", "https://e.test"]
+    df = spark.createDataFrame([("f", i, v) for i, v in enumerate(lines)], "list_id string, line_no int, value string")
+    got = [(r.section, r.kind, r.origin, r.declared_url, r.out_name) for r in cp.work_items(df, base="/base").orderBy("line_no").collect()]
+    want = [("" if k < 2 else "Sección", *x) for k, (_, xs) in enumerate(cases) for x in xs] + [("Otra", "url", "https://e.test", "", "")]
+    assert sorted(got) == sorted(want)
+
+
+def test_names_of_a_frequent_base(spark):
+    """A base that most rows have is numbered over several ranges; null is a base of its own."""
+    rows = [(i, "document" if i % 10 else f"t{i}") for i in range(500)] + [(900, "document_7"), (901, "Document_8")]
+    got = cp.unique_names(spark.createDataFrame(rows, "i int, base string"), "base", ["i"], ".md").collect()
+    by = {r.i: r.name for r in got}
+    assert len(got) == 502 and len({r.name.lower() for r in got}) == 502 and by[1] == "document.md" and by[2] == "document_2.md" and by[900] == "document_7.md" and by[499] == "document_450.md"
+
+
+def test_layers_of_stamps_and_recognised_pages(spark):
+    def layer(pages):
+        df = spark.createDataFrame([(1, i, *p) for i, p in enumerate(pages)], "doc_id int, page_num int, char_count int, has_images boolean, ocr_aplicado boolean")
+        return ls.text_layers(df).first().layer
+
+    assert layer([(103, True, False)] * 8) == "absent" and layer([(103, False, False)] * 8) == "scarce" and layer([(2000, True, True)] * 3 + [(0, True, None)]) == "ocr"
+    assert layer([(900, False, None)] * 5 + [(0, True, None)] * 6) == "scarce" and layer([(900, False, False)] * 3 + [(0, True, False)] * 6) == "absent"
+
+
+def test_columns_need_blocks_side_by_side(spark):
+    def order(*boxes):
+        b = spark.createDataFrame([(1, 1, i, *x, 600.0) for i, x in enumerate(boxes)], "doc_id int, page_num int, block_no int, x0 double, y0 double, x1 double, y1 double, width double")
+        return [r.block_no for r in ls.reading_order(b).orderBy("turn").collect()]
+
+    assert order((350.0, 100.0, 550.0, 120.0), (50.0, 200.0, 250.0, 220.0), (350.0, 300.0, 550.0, 320.0)) == [0, 1, 2]
+    assert order((350.0, 100.0, 550.0, 200.0), (50.0, 100.0, 320.0, 200.0), (200.0, 300.0, 400.0, 320.0), (340.0, 350.0, 550.0, 400.0), (40.0, 360.0, 250.0, 400.0)) == [1, 0, 2, 4, 3]
+    assert order((350.0, 100.0, 550.0, 200.0), (50.0, 100.0, 320.0, 200.0)) == [0, 1]
+
+
+def test_cover_by_a_heading(spark):
+    lines = [(1, 1, 0, 0, "EDITORIAL NORTE"), (1, 2, 0, 0, "corta"), (1, 3, 0, 0, "x" * 250), (1, 4, 0, 0, "y" * 450), (2, 1, 0, 0, "z" * 900)]
+    df = spark.createDataFrame(lines, "doc_id int, page_num int, block_no int, line_no int, text string")
+    heads = spark.createDataFrame([(1, 3)], "doc_id int, page_num int")
+    assert [tuple(r) for r in ls.cover_ends(df, heads).collect()] == [(1, 3)] and [tuple(r) for r in ls.cover_ends(df, heads.limit(0)).collect()] == [(1, 4)]
 
 
 def test_sources(spark, tmp_path):
