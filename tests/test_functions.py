@@ -5,6 +5,7 @@ from docweave.functions import equations as eq
 from docweave.functions import markdown as md
 from docweave.functions import text as tx
 from docweave.functions import web as wb
+from docweave.html import page as pg
 
 
 def col(spark, fn, values):
@@ -64,6 +65,18 @@ def test_markdown():
     assert md.span(md.Span("  x ", bold=True, italic=True)) == "  ***x*** "
 
 
+def test_reflow_and_callouts_in_detail():
+    assert md.reflowed(["-[x] hecho", "y más", "a) letra", "> cita", "sigue", "---", "1) uno", "![i](u)"]) == "-[x] hecho y más\na) letra\n> cita\nsigue\n---\n1) uno\n![i](u)"
+    assert [md.opens_item(x) for x in ("- x", "  * x", "12. x", "a) x", "ab) x", "-x", "- [ ] x", "-[X] x", "-[y] x", "2024 fue", "")] == [True, True, True, True, False, False, True, True, False, False, False]
+    assert md.merged_links("[a](u)[b](u)\n[c](u) y [d](u)\t[e](u).") == "[a b](u)\n[c](u) y [d e](u)." and md.merged_links("sin [nada] (u)") == "sin [nada] (u)"
+    assert md.callout(["> Nota - ver", "> "]) == ["> [!NOTE]", "> - ver"] and md.callout(["> Tip: ver", "> "]) == ["> [!TIP]", "> ver"] and md.callout(["> [!tip] x", "y"]) == ["> [!tip] x", "> y"] and md.callout(["Notable cosa"]) == ["> [!NOTE]", "> Notable cosa"] and md.callout([]) == []
+
+
+def test_titles_without_their_site():
+    assert pg.short_title("Kiwi - Wikipedia", "Wikipedia", "es.wikipedia.org") == "Kiwi" and pg.short_title("Manual - segunda edición", "Editorial", "a.test") == "Manual - segunda edición"
+    assert pg.short_title("A - B | El Diario Norte", "", "diarionorte.test") == "A - B | El Diario Norte" and pg.short_title(" - Norte", "Norte", "") == " - Norte" and pg.short_title("", "Norte", "") == ""
+
+
 def test_web_functions(spark):
     assert col(spark, wb.domain, ["https://www.a.test:80/x?q", "ftp://b.test", "no", None]) == ["a.test:80", "b.test", "", None]
     assert col(spark, lambda c: wb.route(c, F.lit(None).cast("string"), F.lit("<html")), ["https://a/x.zip?1", "https://a/x.PDF", "https://a/x"]) == ["binary", "pdf", "page"]
