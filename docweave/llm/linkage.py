@@ -371,7 +371,7 @@ class History:
         new = F.col("batch") == n
         crowded = every.groupBy("key").agg(F.count("*").alias("holders"), F.min(F.when(~new, node)).alias("head"), F.min(F.when(new, node)).alias("first_new")).filter(F.col("holders") > 1)
         crowded = crowded.withColumn("head", F.coalesce("head", "first_new"))
-        return every.join(crowded.hint("shuffle_hash"), "key").select("key", "pdf", "id", "lote", new.alias("is_new"), "holders", "head", "first_new")
+        return self._table("keys", n).join(crowded.hint("shuffle_hash"), "key").select("key", "pdf", "id", "lote", new.alias("is_new"), "holders", "head", "first_new")
 
     def _other_holders(self, holders: DataFrame, roots: DataFrame, pairs: DataFrame) -> DataFrame:
         """Pairs of a key with a new record that were not compared yet and are not in one cluster already. So of all

@@ -88,7 +88,7 @@ def pages(layout: DataFrame, page_text: DataFrame, pdf_meta: DataFrame) -> DataF
         for bt in batches:
             spans = bt.column("spans")
             at = spans.offsets.to_pylist()
-            cols = [c.to_pylist() for c in spans.values.flatten()]
+            cols = [_values(c) for c in spans.values.flatten()]
             rows: list[tuple[int, int, str, float]] = []
             edges: list[tuple[int, int, int, str, float]] = []
             hist: list[tuple[float, int]] = []
@@ -250,12 +250,17 @@ def page_tokens(texts: list[str], nxt: dict | None, prv: str | None) -> tuple[li
     return toks, divided
 
 
+def _values(a: pa.Array) -> list:
+    """The values of an array without null numbers; several times faster than one by one."""
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 def _flat_pages(bt: pa.RecordBatch) -> Iterator[tuple[int, list[int], list[int], list[str], dict | None, str | None]]:
     """(row, blocks, line numbers, texts) of the body lines of each page of a batch, with its neighbours."""
     lines = bt.column("lines")
     at = lines.offsets.to_pylist()
-    b, ln, t = (c.to_pylist() for c in lines.values.flatten()[:3])
-    run = bt.column("run").values.to_pylist()
+    b, ln, t = (_values(c) for c in lines.values.flatten()[:3])
+    run = _values(bt.column("run").values)
     for row, (i, j, nxt, prv) in enumerate(zip(at, at[1:], bt.column("nxt").to_pylist(), bt.column("prv").to_pylist())):
         body = [k for k in range(i, j) if not run[k]]
         yield row, [b[k] for k in body], [ln[k] for k in body], [t[k] for k in body], nxt, prv
