@@ -30,8 +30,6 @@ SIMILAR, WORDS = 0.5, 3
 BANDS, ROWS = 60, 4
 #: Bytes of the sketch, and the share of equal ones under which a pair is not looked at further; 0.5 is 4 deviations above.
 SKETCH, SKETCH_LEAST = 128, 0.33
-#: Buckets of a new history: of a large one as many as keep the keys of a batch in one bucket within some millions.
-BUCKETS = 24
 #: Rounds of expectation-maximization over agreement patterns.
 ROUNDS = 20
 FIELDS = ("title", "author", "sha", "lang", "close")
@@ -223,11 +221,12 @@ class History:
         "roots": ("pdf int, id bigint, root_lote int, root_id bigint, batch int", "id"),
     }
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        """Opens the history in ``path``, or begins one there; the number of buckets is that of its beginning."""
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        """Opens the history in ``path``, or begins one there. The number of buckets is that of its beginning, by default
+        the session's shuffle partitions: the keys of a batch in one bucket should stay within some millions."""
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/docweave/history-{uuid.uuid4().hex}"
-        self.buckets = int(self._read("buckets") or buckets)
+        self.buckets = int(self._read("buckets") or buckets or spark.conf.get("spark.sql.shuffle.partitions"))
         if self._read("buckets") is None:
             self._write("buckets", str(self.buckets))
         name = hashlib.md5(self.path.encode()).hexdigest()

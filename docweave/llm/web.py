@@ -37,8 +37,9 @@ _MARKED = ("{", "%", "@@", "[[", "__")
 PROSE, HEAD, NOTICE, MARK, AGREE = 1, 2, 4, 8, 16
 #: c: hash of its container's path; t: text; f: flags; k: hash of its letters, null without any; n: letters.
 BLOCK = "struct<c:bigint,t:string,f:int,k:bigint,n:int>"
-#: paths: the containers of the page; h1: that of its first heading of the first level.
-PARSED = f"page_id bigint, lote int, status int, host string, title string, th bigint, tk bigint, vote string, h1 string, paths array<string>, blocks array<{BLOCK}>"
+LIGHT = BLOCK.replace("t:string,", "")
+#: paths: the containers of the page; h1: that of its first heading of the first level; light: the blocks without text.
+PARSED = f"page_id bigint, lote int, status int, host string, title string, th bigint, tk bigint, vote string, h1 string, paths array<string>, blocks array<{BLOCK}>, light array<{LIGHT}>"
 
 _SENTENCE_END = re.compile(r"[.!?…][\"'”»)\]]*$")
 _SEPARATOR = re.compile(r"\s+[-|–—·»:]+\s+")
@@ -153,10 +154,12 @@ def _parser(function_words: frozenset[bytes]):  # noqa: ANN202
                 tks.append(title_key(title, host))
                 votes.append(max(score, key=score.__getitem__) if score else None)
                 h1s.append(h1)
-            blocks = pa.StructArray.from_arrays([pa.array(cs, pa.int64()), pa.array(ts, pa.string()), pa.array(fs, pa.int32()), pa.array(ks, pa.int64()), pa.array(ns, pa.int32())], ["c", "t", "f", "k", "n"])
+            c, t, f, k, n = pa.array(cs, pa.int64()), pa.array(ts, pa.string()), pa.array(fs, pa.int32()), pa.array(ks, pa.int64()), pa.array(ns, pa.int32())
+            at = pa.array(ends, pa.int32())
+            blocks = [pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(x, y)) for x, y in (([c, t, f, k, n], ["c", "t", "f", "k", "n"]), ([c, f, k, n], ["c", "f", "k", "n"]))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("lote"), b.column("status"), pa.array(hosts, pa.string()), pa.array(titles, pa.string()), pa.array(ths, pa.int64()), pa.array(tks, pa.int64()), pa.array(votes, pa.string()), pa.array(h1s, pa.string()), pa.ListArray.from_arrays(pa.array(path_ends, pa.int32()), pa.array(all_paths, pa.string())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), blocks)],
-                names=["page_id", "lote", "status", "host", "title", "th", "tk", "vote", "h1", "paths", "blocks"],
+                [b.column("page_id"), b.column("lote"), b.column("status"), pa.array(hosts, pa.string()), pa.array(titles, pa.string()), pa.array(ths, pa.int64()), pa.array(tks, pa.int64()), pa.array(votes, pa.string()), pa.array(h1s, pa.string()), pa.ListArray.from_arrays(pa.array(path_ends, pa.int32()), pa.array(all_paths, pa.string())), *blocks],
+                names=["page_id", "lote", "status", "host", "title", "th", "tk", "vote", "h1", "paths", "blocks", "light"],
             )
 
     return run
@@ -185,13 +188,15 @@ def located(pages: DataFrame, winners: DataFrame, text: bool = False) -> DataFra
     """Rows (page_id, lote, status, host, title, th, tk, pos, side, c, f, k, n, and t with ``text``) of the blocks inside
     each page's container: the host's winner; where the page has no such element, that of its h1; without one, the
     page's own vote. side: in a classed element inside it."""
-    p = join_sized(pages, winners, ["host"], "left")
+    about = ["page_id", "lote", "status", "host", "title", "th", "tk"]
+    column = "blocks" if text else "light"
+    p = join_sized(pages.select(*about, "vote", "h1", "paths", column), winners, ["host"], "left")
     home = F.when(F.array_contains("paths", F.col("winner")), F.col("winner")).otherwise(F.coalesce("h1", "vote", F.lit("")))
-    p = p.withColumn("home", home)
+    p = p.select(*about, "paths", column, home.alias("home"))
     inner = F.filter("paths", lambda c: (F.col("home") != "") & c.startswith(F.concat("home", F.lit(">"))))
-    keys = [F.xxhash64("home").alias("own"), F.transform(inner, lambda c: F.xxhash64(c)).alias("inner")]
-    about = ["page_id", "lote", "status", "host", "title", "th", "tk"]
-    b = p.select(*about, *keys, F.posexplode("blocks").alias("pos", "b"))
+    # made once a page, before its blocks stand apart
+    p = p.select(*about, column, F.xxhash64("home").alias("own"), F.transform(inner, lambda c: F.xxhash64(c)).alias("inner"))
+    b = p.select(*about, "own", "inner", F.posexplode(column).alias("pos", "b"))
     fields = [F.col(f"b.{c}").alias(c) for c in ("c", "f", "k", "n", *(["t"] if text else []))]
     b = b.select(*about, "own", "inner", "pos", *fields)
     side = F.col("c") != F.col("own")
