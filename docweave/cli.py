@@ -40,12 +40,13 @@ def main(args: list[str] | None = None) -> int:
         x = pg.converted(pages, options).withColumn("base", tx.slug(F.col("title"))).withColumn("content", wb.content_class(F.col("n_chars")))
         named = cp.unique_names(x, "base", ["page_id"], ".md", "-").cache()
         failed = sk.markdown_files(named, a.out).filter(F.col("error").isNotNull()).count()
-        sk.manifest(named.select("name", "url", "n_chars", "n_blocks", "n_links", "n_images", "content", "criterion"), f"{a.out}/manifest", ["n_chars"])
+        sk.one_file(sk.page_manifest(named), f"{a.out}/manifest.tsv", ["chars", "archivo"], mark=True)
         return int(failed > 0)
     f = src.pdf_files(spark, a.folder, tuple(a.exclude))
     files = f.select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.when(F.col("is_pdf"), F.col("digest")).alias("digest"))
     plan = cp.collection_plan(files, spark.createDataFrame([], "target string, digest string"))
-    sk.manifest(plan, f"{a.out}/plan", ["path"], ";")
+    report = plan.select(*[F.col(a).alias(b) for a, b in zip(("path", "target", "length", "state", "note"), sk.COLLECTION_COLUMNS)])
+    sk.one_file(report, f"{a.out}/plan.csv", ["origen"], ";", mark=True)
     return 0
 
 

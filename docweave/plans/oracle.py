@@ -39,6 +39,10 @@ _STOP = {x: ", ".join(f"'{w}'" for w in ws) for x, ws in tx.STOP_WORDS.items()}
 _DOMAIN = "regexp_replace(lower(regexp_extract({c}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '')"
 
 
+_FACTS = (
+    "m AS (SELECT doc_id, min(title) AS title, min(author) AS author, min(page_count) AS page_count, min(filename) AS filename, min(url_origen) AS url_origen, min(fecha_archivo) AS fecha_archivo, min(sha256_pdf) AS sha, min(idioma) AS idioma, min(capa_texto) AS capa_texto, min(ocr_motor) AS ocr_motor, min(lineas_suprimidas) AS supp, max(coalesce(chars_extraidos, 0)) AS chars FROM pdf_meta GROUP BY 1), "
+    "k AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT * FROM layout_in) WHERE link IS NOT NULL GROUP BY 1), facts AS (SELECT m.*, coalesce(k.n, 0) AS links, round_even(chars / greatest(coalesce(page_count, 1), 1), 0)::INT AS cpp FROM m LEFT JOIN k USING (doc_id))"
+)
 _BOXES = "r AS (SELECT DISTINCT doc_id, page_num, x0 - 2 AS a, y0 - 1 AS b, x1 + 2 AS c, y1 + 1 AS d, link AS target FROM s WHERE link IS NOT NULL)"
 _SHARE = "CASE WHEN (x1 - x0) * (y1 - y0) > 0 THEN greatest(least(x1, c) - greatest(x0, a), 0) * greatest(least(y1, d) - greatest(y0, b), 0) / ((x1 - x0) * (y1 - y0)) ELSE 0 END"
 
@@ -86,7 +90,6 @@ def oracle_sql() -> dict[str, str]:
         "prominent_titles": f"WITH {_LAY}, {_BODY}, {_HEAD} SELECT doc_id, t AS title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level, size DESC, page_num, block_no, line_no) AS rn FROM heads WHERE page_num <= 3) WHERE rn = 1",
         "layer_histogram": "SELECT coalesce(capa_texto, 'unknown') AS layer, count(*) AS documents FROM (SELECT DISTINCT doc_id, capa_texto FROM pdf_meta) GROUP BY 1",
         "document_names": f"WITH m AS (SELECT doc_id, min(title) AS title, min(filename) AS filename FROM pdf_meta GROUP BY 1), b AS (SELECT *, {_slug('title')} AS base FROM m), n AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY doc_id) AS k FROM b) SELECT doc_id, base || CASE WHEN k > 1 THEN '_' || k ELSE '' END || '.md' AS name, coalesce(length(trim(title)) >= 4 AND NOT regexp_matches(lower(trim(title)), '^(microsoft word|untitled|document\\d+$|title$)|\\.(docx?|pdf)$') AND lower(trim(title)) <> lower(regexp_replace(coalesce(filename, ''), '\\.[A-Za-z0-9]+$', '')), false) AS useful FROM n",
-        "front_matter": f"WITH m AS (SELECT doc_id, min(title) AS title, min(author) AS author, min(page_count) AS page_count, min(url_origen) AS url, min(sha256_pdf) AS sha FROM pdf_meta GROUP BY 1) SELECT doc_id, array_to_string(list_filter(['---', CASE WHEN title <> '' THEN 'title: ' || {_yaml('title')} END, CASE WHEN author <> '' THEN 'author: ' || {_yaml('author')} END, 'pages: ' || page_count, coalesce(CASE WHEN url <> '' THEN 'source_url: ' || {_yaml('url')} END, 'source_url: null'), CASE WHEN sha <> '' THEN 'sha256: ' || {_yaml('sha')} END, '---'], lambda x: x IS NOT NULL), chr(10)) AS front_matter FROM m",
         "page_records": f"WITH {_WEB}, a AS (SELECT *, coalesce(url_final, url) AS address, regexp_extract(lower(regexp_replace(coalesce(url_final, url), '[?#].*$', '')), '\\.([a-z0-9]+)$', 1) AS suffix, lower(coalesce(content_type, '')) AS kind FROM w) SELECT page_id, {_DOMAIN.format(c='address')} AS domain, sha256(html) AS digest, CASE WHEN suffix IN ({', '.join(repr(x) for x in wb.BINARY_SUFFIXES)}) THEN 'binary' WHEN suffix = 'pdf' OR contains(kind, 'pdf') OR starts_with(coalesce(html, ''), '%PDF') THEN 'pdf' WHEN kind = '' OR regexp_matches(kind, 'html|xml|plain') THEN 'page' ELSE 'other' END AS route, regexp_matches(lower(url), '^https?://') AS is_url FROM a",
         "thin_reasons": f"WITH {_WEB}, a AS (SELECT page_id, html, lower(substring(html, 1, 65536)) AS head, lower(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS vis FROM w WHERE html IS NOT NULL), b AS (SELECT page_id, CASE WHEN {_has('head', wb.BOT_SIGNS)} THEN 'anti-bot' WHEN {_has('head', wb.COOKIE_SIGNS)} OR {_has('vis', wb.COOKIE_SIGNS)} THEN 'cookies' WHEN {_has('head', wb.LOGIN_SIGNS)} OR {_has('vis', wb.LOGIN_SIGNS)} THEN 'login' WHEN {_has('head', wb.SCRIPT_SIGNS)} OR (len(regexp_extract_all(html, '(?i)<script[ >]')) >= 5 AND regexp_matches(html, '(?i)<noscript[ >]')) THEN 'script' ELSE '' END AS reason FROM a) SELECT * FROM b WHERE reason <> ''",
         "new_captures": f"WITH {_WEB}, done AS (SELECT lower(sha256) AS k FROM w WHERE lote = 0 AND sha256 IS NOT NULL UNION SELECT url_final FROM w WHERE lote = 0 AND url_final IS NOT NULL) SELECT page_id, lote FROM w WHERE lote > 0 AND NOT EXISTS (SELECT 1 FROM done WHERE k = lower(sha256)) AND NOT EXISTS (SELECT 1 FROM done WHERE k = url_final)",
@@ -137,4 +140,9 @@ def oracle_sql() -> dict[str, str]:
         "UNION ALL SELECT list_id, p * 2 + 1, 'local', '/listas/x/' || p || '.HTML', '', '' FROM m WHERE p % 9 = 6 UNION ALL SELECT list_id, p * 2 + 1, 'local', '/listas/p.htm', u, p::VARCHAR FROM m WHERE p % 9 = 7), f AS (SELECT list_id, min(line_no) AS first_item FROM i GROUP BY 1), "
         "h AS (SELECT list_id, p * 2 AS line_no, CASE WHEN p % 7 = 0 THEN nullif(trim(coalesce(s, 'Varios')), '') WHEN p % 11 = 0 THEN NULL WHEN p * 2 > first_item THEN 'Portada' END AS section FROM m LEFT JOIN f USING (list_id)), "
         "x AS (SELECT i.*, (SELECT arg_max(section, h.line_no) FROM h WHERE h.list_id = i.list_id AND h.line_no < i.line_no AND section IS NOT NULL) AS section FROM i) SELECT list_id, line_no, coalesce(section, '') AS section, kind, origin, declared_url, out_name FROM x",
+        "front_matter": f"WITH {_FACTS} SELECT doc_id, array_to_string(list_filter(['---', 'title: ' || {_yaml("CASE WHEN coalesce(title, '') = '' THEN regexp_replace(coalesce(filename, ''), '\\.[^.]*$', '') ELSE title END")}, CASE WHEN author <> '' THEN 'author: ' || {_yaml('author')} END, CASE WHEN page_count > 0 THEN 'pages: ' || page_count END, 'source_file: ' || {_yaml("coalesce(filename, '')")}, CASE WHEN url_origen <> '' THEN 'url_origen: ' || {_yaml('url_origen')} END, "
+        f"CASE WHEN fecha_archivo <> '' THEN 'fecha_archivo: ' || {_yaml('fecha_archivo')} END, CASE WHEN sha <> '' THEN 'sha256_pdf: ' || {_yaml('sha')} END, CASE WHEN coalesce(url_origen, '') = '' THEN 'url_origen: null' END, CASE WHEN idioma <> '' THEN 'idioma: ' || {_yaml('idioma')} END, 'chars_extraidos: ' || chars, 'chars_por_pagina: ' || cpp, 'capa_texto: ' || {_yaml("coalesce(nullif(capa_texto, ''), 'nativa')")}, "
+        f"CASE WHEN ocr_motor <> '' THEN 'ocr_motor: ' || {_yaml('ocr_motor')} ELSE 'ocr_motor: null' END, 'enlaces: ' || links, CASE WHEN len(supp) > 0 THEN 'lineas_suprimidas: [' || array_to_string(list_transform(supp, lambda x: {_yaml('x')}), ', ') || ']' END, '---'], lambda x: x IS NOT NULL), chr(10)) AS front_matter FROM facts",
+        "document_manifest": f"WITH {_FACTS} SELECT filename AS archivo, url_origen AS entrada, coalesce(page_count, 0) AS paginas, chars, cpp AS chars_pag, coalesce(capa_texto, '') AS capa_texto, links AS enlaces, '' AS avisos, CASE WHEN capa_texto = 'escasa' THEN 'escaso' WHEN capa_texto IN ('ausente', 'error', 'fallo') THEN 'fallo' ELSE 'ok' END AS estado, doc_id FROM facts",
+        "capture_stamps": "SELECT DISTINCT page_id, strftime(arrived_at, '%Y-%m-%d %H:%M:%S') AS stamp FROM web_in",
     }

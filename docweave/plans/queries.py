@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import frontmatter as fm
 from ..functions import text as tx
 from ..functions import viewer as vw
 from ..functions import web as wb
@@ -164,12 +165,29 @@ def document_names(spark: SparkSession, d: str) -> DataFrame:
     return cp.unique_names(x, "base", ["doc_id"], ".md").select("doc_id", "name", tx.useful_title(F.col("title"), F.col("filename")).alias("useful"))
 
 
+def document_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What is known of each laid-out document, a row each."""
+    first = [F.min(c).alias(c) for c in ("title", "author", "page_count", "filename", "url_origen", "fecha_archivo", "sha256_pdf", "idioma", "capa_texto", "ocr_motor", "lineas_suprimidas")]
+    x = table(spark, d, "pdf_meta").groupBy("doc_id").agg(*first, F.max(F.coalesce("chars_extraidos", F.lit(0))).alias("chars"))
+    links = table(spark, d, "layout_in").dropDuplicates().filter(F.col("link").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("links"))
+    x = x.join(links, "doc_id", "left").na.fill(0, ["links"])
+    return x.withColumn("chars_per_page", F.bround(F.col("chars") / F.greatest(F.coalesce("page_count", F.lit(1)), F.lit(1)), 0).cast("int"))
+
+
 def front_matter(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "pdf_meta").groupBy("doc_id").agg(F.min("title").alias("title"), F.min("author").alias("author"), F.min("page_count").alias("page_count"), F.min("url_origen").alias("url"), F.min("sha256_pdf").alias("sha"))
-    def field(name: str, c: Column) -> Column:
-        return F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{name}: "), tx.yaml_quoted(c)))
-    rows = F.array_compact(F.array(F.lit("---"), field("title", F.col("title")), field("author", F.col("author")), F.concat(F.lit("pages: "), F.col("page_count").cast("string")), F.coalesce(field("source_url", F.col("url")), F.lit("source_url: null")), field("sha256", F.col("sha")), F.lit("---")))
-    return x.select("doc_id", F.array_join(rows, "\n").alias("front_matter"))
+    return document_facts(spark, d).select("doc_id", fm.block(fm.document_rows(suppressed=True)).alias("front_matter"))
+
+
+def document_manifest(spark: SparkSession, d: str) -> DataFrame:
+    x = document_facts(spark, d)
+    return x.select(
+        F.col("filename").alias("archivo"), F.col("url_origen").alias("entrada"), F.coalesce("page_count", F.lit(0)).alias("paginas"), "chars", F.col("chars_per_page").alias("chars_pag"), F.coalesce("capa_texto", F.lit("")).alias("capa_texto"),
+        F.col("links").alias("enlaces"), F.lit("").alias("avisos"), fm.conversion_state(F.coalesce("capa_texto", F.lit(""))).alias("estado"), "doc_id",
+    )
+
+
+def capture_stamps(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "web_in").select("page_id", fm.stamp(F.col("arrived_at")).alias("stamp")).distinct()
 
 
 def page_records(spark: SparkSession, d: str) -> DataFrame:
@@ -329,7 +347,10 @@ def removed_chrome(spark: SparkSession, d: str) -> DataFrame:
 
 
 def web_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return converted(spark, d).select("page_id", F.concat(F.lit("---\ntitle: "), tx.yaml_quoted(F.col("title")), F.lit("\nsource_url: "), tx.yaml_quoted(F.coalesce("url", F.lit(""))), F.lit("\n---\n\n"), F.col("markdown")).alias("markdown"))
+    x = converted(spark, d).withColumn("content", wb.content_class(F.col("n_chars")))
+    body = fm.with_notice(F.col("markdown"), F.col("content"), F.lit(""), F.lit(""))
+    head = fm.block([F.concat(F.lit("title: "), tx.yaml_quoted(F.col("title"))), F.concat(F.lit("source_url: "), tx.yaml_quoted(F.coalesce("url", F.lit(""))))])
+    return x.select("page_id", F.concat(head, F.lit("\n\n"), body).alias("markdown"))
 
 
 def layout_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -346,7 +367,7 @@ def forced_recognition(spark: SparkSession, d: str) -> DataFrame:
 
 ALL = (
     line_flags, caps_headings, doc_language, content_summary, exact_copies, size_candidates, formula_lines, code_documents, pipe_tables, repetition_keys, normal_spans, body_sizes, line_styles, running_lines, body_lines, layout_headings, prominent_titles,
-    reading_order, cover_ends, text_layers, ocr_decisions, mostly_scanned, layer_histogram, file_dates, document_names, front_matter, page_records, thin_reasons, new_captures, output_guard, section_index, queue_states, plan_collection, collection_summary,
+    reading_order, cover_ends, text_layers, ocr_decisions, mostly_scanned, layer_histogram, file_dates, document_names, front_matter, document_manifest, capture_stamps, page_records, thin_reasons, new_captures, output_guard, section_index, queue_states, plan_collection, collection_summary,
     to_repeat, work_items, linked_spans, loose_links, link_counts, note_body_sizes, outline_lines, lines_outside_tables, spaced_rows, plain_bullets, escaped_headings, quoted_titles, markdown_addresses, cited_addresses,
     web_manifest, web_metadata, removed_chrome, web_markdown, layout_markdown, line_kinds, forced_recognition,
 )
