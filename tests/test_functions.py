@@ -73,7 +73,7 @@ def test_reflow_and_callouts_in_detail():
 
 
 def test_titles_without_their_site():
-    assert pg.short_title("Kiwi - Wikipedia", "Wikipedia", "es.wikipedia.org") == "Kiwi" and pg.short_title("Manual - segunda edición", "Editorial", "a.test") == "Manual - segunda edición"
+    assert pg.short_title("Mango - Wikipedia", "Wikipedia", "es.wikipedia.org") == "Mango" and pg.short_title("Manual - segunda edición", "Editorial", "a.test") == "Manual - segunda edición"
     assert pg.short_title("A - B | El Diario Norte", "", "diarionorte.test") == "A - B | El Diario Norte" and pg.short_title(" - Norte", "Norte", "") == " - Norte" and pg.short_title("", "Norte", "") == ""
 
 
